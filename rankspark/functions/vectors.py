@@ -27,11 +27,12 @@ def norm(a) -> Column:
 
 
 def cosine(a, b, assume_unit: bool = False) -> Column:
-    """Cosine similarity; ``assume_unit`` skips the norms for unit vectors."""
+    """Cosine similarity (0 when a vector is all zeros); ``assume_unit`` skips the norms."""
     d = dot(a, b)
     if assume_unit:
         return d
-    return d / (norm(a) * norm(b))
+    den = norm(a) * norm(b)
+    return F.when(den == 0, F.lit(0.0)).otherwise(d / den)
 
 
 def l2_normalize(a) -> Column:

@@ -12,7 +12,7 @@ partial + final hash aggregate. The per-field statistics are one row per field.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions.text import tokenize
@@ -43,24 +43,30 @@ def query_terms(topics: DataFrame, fields, boosts: dict | None = None, facets: s
             .where(F.col("qw") != 0))
 
 
-def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75) -> DataFrame:
-    """(topic_id, field, doc_id, part): one BM25 summand per matched posting.
+def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights: dict | None = None) -> DataFrame:
+    """(topic_id, field, doc_id, <part>...): BM25 summands of every matched posting.
 
-    ``k1`` and ``b`` may be floats or Columns (R8: changing them is arithmetic,
-    not a re-index).
+    ``weights`` maps output column → query-weight column of ``qterms`` (default
+    ``{"part": "qw"}``), so several weightings of the same postings come out of
+    one pass. ``k1`` and ``b`` may be floats or Columns of ``qterms`` (R8:
+    changing them is arithmetic, not a re-index).
     """
+    weights = weights or {"part": "qw"}
+    k1c = k1 if isinstance(k1, Column) else F.lit(float(k1))
+    bc = b if isinstance(b, Column) else F.lit(float(b))
+    param_cols = [c for c in qterms.columns if c not in ("topic_id", "field", "term", *weights.values())]
     vocab = broadcast_if_bounded(qterms.select("field", "term").distinct())
     df_t = index.term_stats.join(vocab, ["field", "term"], "left_semi")
-    weights = (qterms.join(df_t, ["field", "term"])
-               .join(F.broadcast(index.field_stats), "field")
-               .select("topic_id", "field", "term", "avgdl",
-                       (F.col("qw") * F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5)
-                                            / (F.col("df") + 0.5))).alias("wt")))
+    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = (qterms.join(df_t, ["field", "term"])
+         .join(F.broadcast(index.field_stats), "field")
+         .select("topic_id", "field", "term", "avgdl", *param_cols,
+                 *[(F.col(src) * idf).alias(f"__w_{out}") for out, src in weights.items()]))
     post = index.postings.join(vocab, ["field", "term"], "left_semi")
-    k1c, bc = F.lit(k1) if not hasattr(k1, "alias") else k1, F.lit(b) if not hasattr(b, "alias") else b
     tfn = (F.col("tf") * (k1c + 1.0)) / (F.col("tf") + k1c * (F.lit(1.0) - bc + bc * F.col("dl") / F.col("avgdl")))
-    return (post.join(broadcast_if_bounded(weights), ["field", "term"])
-            .select("topic_id", "field", "doc_id", (F.col("wt") * tfn).alias("part")))
+    return (post.join(broadcast_if_bounded(w), ["field", "term"])
+            .select("topic_id", "field", "doc_id", *param_cols,
+                    *[(F.col(f"__w_{out}") * tfn).alias(out) for out in weights]))
 
 
 def bm25(index: Index, topics: DataFrame, fields=("body",), k1: float = 1.2, b: float = 0.75,

@@ -119,3 +119,119 @@ def q_trec_summary(spark, sf_dir):
     index = inputs.corpus_index(spark, sf_dir, ("body",))
     return ev.trec_summary(body_run(spark, sf_dir, index=index), inputs.qrels(spark, sf_dir, index), EVAL_DEPTH,
                            _SUMMARY_CUTS)
+
+
+# ---------------------------------------------------------------- step 2: statistics, encoder, hybrid
+from rankspark.functions.vectors import l2_normalize  # noqa: E402,F401
+from rankspark.operators import dense as dense_ops  # noqa: E402
+from rankspark.operators import hybrid as hybrid_ops  # noqa: E402
+
+LEX_FIELDS = ("title", "body")
+EMB_FIELDS = ("title_embedding", "body_embedding")
+DIM = 64
+
+
+@register("index_stats", sql.with_(sql.corpus_ctes(LEX_FIELDS))
+          + """SELECT field, n_docs, round(avgdl, 6) AS avgdl, n_terms, n_postings FROM fstats
+               JOIN (SELECT field, count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings FROM tstats GROUP BY field)
+               USING (field)""")
+def q_index_stats(spark, sf_dir):
+    """Per field N, avgdl, vocabulary size and posting count."""
+    idx = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
+    per_field = idx.term_stats.groupBy("field").agg(F.count(F.lit(1)).alias("n_terms"),
+                                                    F.sum("df").cast("long").alias("n_postings"))
+    return (idx.field_stats.join(per_field, "field")
+            .select("field", "n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings"))
+
+
+@register("hash_encode", sql.with_(sql.corpus_ctes(("body",)), sql.hash_vec_ctes("hv", "corpus", "doc_id", "body"))
+          + """SELECT doc_id, len(list_filter(vec, lambda x: x > 0)) AS nnz, round(list_max(vec), 6) AS max_weight,
+                      round(list_sum(list_transform(range(64), lambda i: i * vec[i + 1])), 6) AS checksum FROM hv""")
+def q_hash_encode(spark, sf_dir):
+    """The hash encoder over every document body; per-vector summary."""
+    v = dense_ops.hash_encode(inputs.corpus(spark, sf_dir), "body", DIM, keep=["doc_id"])
+    idx = F.sequence(F.lit(0), F.lit(DIM - 1))
+    return v.select("doc_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("nnz"),
+                    F.round(F.array_max("embedding"), 6).alias("max_weight"),
+                    F.round(F.aggregate(F.zip_with(idx, "embedding", lambda i, x: i * x), F.lit(0.0),
+                                        lambda a, x: a + x), 6).alias("checksum"))
+
+
+def _doc_hash_vectors(spark, sf_dir):
+    return dense_ops.hash_encode_columns(inputs.corpus(spark, sf_dir), {"title": "title_embedding",
+                                                                        "body": "body_embedding"}, DIM,
+                                         keep=["doc_id"])
+
+
+def _topic_hash_vectors(spark, sf_dir, topics=None):
+    t = topics if topics is not None else inputs.topics(spark, sf_dir)
+    return dense_ops.hash_encode(t, "text", DIM, keep=["topic_id", "facet", "facet_pos"])
+
+
+def _hybrid_query(k=10, z="auto", use_bm25=True, missing=False, ceiling=None):
+    def run(spark, sf_dir):
+        index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
+        topics = inputs.topics(spark, sf_dir)
+        if missing:
+            dv, emb = inputs.doc_vectors(spark, sf_dir).select("doc_id", "embedding"), ("embedding",)
+        else:
+            dv, emb = _doc_hash_vectors(spark, sf_dir), EMB_FIELDS
+        run_df = hybrid_ops.hybrid(index, topics, _topic_hash_vectors(spark, sf_dir), dv, LEX_FIELDS, emb,
+                                   z=z, use_bm25=use_bm25, ceiling=ceiling, k=k)
+        return _round(run_df.select("topic_id", "doc_id", "rank", "score", "bm25", "embed", "z"),
+                      "score", "bm25", "embed", "z")
+    return run
+
+
+def _hybrid_sql(k=10, z="auto", use_bm25=True, missing=False, ceiling=None) -> str:
+    emb = ("embedding",) if missing else EMB_FIELDS
+    ctes = [sql.corpus_ctes(LEX_FIELDS), sql.topics_cte(),
+            sql.bm25_ctes(LEX_FIELDS, facets="all", prefix="u_"),
+            sql.bm25_ctes(LEX_FIELDS, facets="first", prefix="f_"),
+            """cand AS (SELECT u.topic_id, u.doc_id, u.score AS bm25, coalesce(f.score, 0.0) AS bm25_first
+                        FROM u_scores u LEFT JOIN f_scores f USING (topic_id, doc_id))""",
+            "nf AS (SELECT topic_id, count(*) AS n_facets FROM topics GROUP BY topic_id)",
+            sql.hash_vec_ctes("tv", "topics", "topic_id, facet", "text")]
+    if missing:
+        ctes.append("dv AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS embedding FROM embeddings)")
+    else:
+        ctes += [sql.hash_vec_ctes("hdoc", "flong", "doc_id, field", "text"),
+                 """dv AS (SELECT c.doc_id, t.vec AS title_embedding, b.vec AS body_embedding FROM corpus c
+                           LEFT JOIN hdoc t ON t.doc_id = c.doc_id AND t.field = 'title'
+                           LEFT JOIN hdoc b ON b.doc_id = c.doc_id AND b.field = 'body')"""]
+    ceil = f"{float(ceiling)}" if ceiling is not None else f"({float(len(emb))} * n_facets)"
+    zexpr = "zt.z" if z == "auto" else f"{float(z)}::DOUBLE"
+    per_facet = " + ".join(f"(CASE WHEN dv.{e} IS NULL THEN 0.0 ELSE 1.0 * {sql.cos('tv.vec', 'dv.' + e)} + 1.0 END)"
+                           for e in emb)
+    score = f"CASE WHEN {zexpr} < 0 THEN c.bm25 ELSE ln(c.bm25) / ln({zexpr}) + e.embed END" if use_bm25 else "e.embed"
+    ctes += [f"""top AS (SELECT topic_id, max(bm25_first) AS top FROM cand GROUP BY topic_id)""",
+             f"""zt AS (SELECT topic_id, CASE WHEN top > {ceil} THEN pow(top, 1.0 / {ceil}) END AS z
+                        FROM top JOIN nf USING (topic_id))""",
+             f"""emb AS (SELECT c.topic_id, c.doc_id, coalesce(sum({per_facet}), 0.0) AS embed FROM cand c
+                         LEFT JOIN tv ON tv.topic_id = c.topic_id LEFT JOIN dv ON dv.doc_id = c.doc_id
+                         GROUP BY c.topic_id, c.doc_id)""",
+             f"""sc AS (SELECT c.topic_id, c.doc_id, c.bm25, e.embed, {zexpr} AS z, {score} AS score
+                        FROM cand c JOIN emb e USING (topic_id, doc_id) LEFT JOIN zt USING (topic_id))""",
+             sql.rank_cte("run", "sc", k)]
+    return (sql.with_(*ctes) + """SELECT topic_id, doc_id, rank, round(score, 6) AS score, round(bm25, 6) AS bm25,
+                                  round(embed, 6) AS embed, round(z, 6) AS z FROM run""")
+
+
+@register("top_bm25_z", sql.with_(sql.corpus_ctes(LEX_FIELDS), sql.topics_cte(),
+                                   sql.bm25_ctes(LEX_FIELDS, facets="first"))
+          + """SELECT topic_id, round(max(score), 6) AS top_bm25, 2.0 AS ceiling,
+                      round(CASE WHEN max(score) > 2.0 THEN pow(max(score), 1.0 / 2.0) END, 6) AS z
+               FROM scores GROUP BY topic_id""")
+def q_top_bm25_z(spark, sf_dir):
+    """Best first-facet BM25 per topic and z for a ceiling of 2 (2 embedding fields × 1 facet)."""
+    index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
+    cand = hybrid_ops.lexical_candidates(index, inputs.topics(spark, sf_dir), LEX_FIELDS, facets="first")
+    top = cand.groupBy("topic_id").agg(F.max("bm25_first").alias("top_bm25"))
+    return top.select("topic_id", F.round("top_bm25", 6).alias("top_bm25"), F.lit(2.0).alias("ceiling"),
+                      F.round(hybrid_ops.z_value(F.col("top_bm25"), F.lit(2.0)), 6).alias("z"))
+
+
+register("hybrid_auto", _hybrid_sql())(_hybrid_query())
+register("hybrid_fixed_z", _hybrid_sql(z=2.15))(_hybrid_query(z=2.15))
+register("embedding_only", _hybrid_sql(use_bm25=False))(_hybrid_query(use_bm25=False))
+register("hybrid_missing_vectors", _hybrid_sql(missing=True))(_hybrid_query(missing=True))

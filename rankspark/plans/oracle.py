@@ -122,3 +122,19 @@ def metrics_union(specs) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes) + "\n"
+
+
+def hash_vec_ctes(name: str, source: str, keys: str, text: str, dim: int = 64) -> str:
+    """<name>(keys..., vec DOUBLE[]): the hash encoder over ``text`` of ``source``."""
+    return f"""
+{name}_b AS (SELECT {keys}, list_transform({tok(text)}, lambda t: ('0x' || substr(md5(t), 1, 6))::BIGINT % {dim}) AS bk
+             FROM {source} WHERE {text} IS NOT NULL),
+{name}_c AS (SELECT {keys}, list_transform(range({dim}), lambda i: len(list_filter(bk, lambda x: x = i)))::DOUBLE[] AS cnt
+             FROM {name}_b),
+{name}_n AS (SELECT *, sqrt(list_sum(list_transform(cnt, lambda c: c * c))) AS nrm FROM {name}_c),
+{name} AS (SELECT {keys}, CASE WHEN nrm > 0 THEN list_transform(cnt, lambda c: c / nrm) ELSE cnt END AS vec FROM {name}_n)"""
+
+
+def cos(a: str, b: str) -> str:
+    den = f"(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+    return f"(CASE WHEN {den} = 0 THEN 0.0 ELSE list_dot_product({a}, {b}) / {den} END)"
