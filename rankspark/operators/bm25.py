@@ -65,7 +65,7 @@ def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights:
     post = index.postings.join(vocab, ["field", "term"], "left_semi")
     tfn = (F.col("tf") * (k1c + 1.0)) / (F.col("tf") + k1c * (F.lit(1.0) - bc + bc * F.col("dl") / F.col("avgdl")))
     return (post.join(broadcast_if_bounded(w), ["field", "term"])
-            .select("topic_id", "field", "doc_id", *param_cols,
+            .select("topic_id", "field", "doc_id", *[c for c in param_cols if c not in ("k1", "b")],
                     *[(F.col(f"__w_{out}") * tfn).alias(out) for out in weights]))
 
 
@@ -88,3 +88,21 @@ def bm25_ablation(index: Index, topics: DataFrame, fields, k1: float = 1.2, b: f
     per-facet counts summed: ``facets="all"`` with ``field`` kept in the key.
     """
     return bm25(index, topics, fields, k1, b, facets="all", by_field=True)
+
+
+def bm25_settings(index: Index, topics: DataFrame, settings, fields=("body",), boosts: dict | None = None,
+                  facets: str = "first") -> DataFrame:
+    """R8 over many settings in one job: (setting, topic_id, doc_id, score).
+
+    ``settings`` is a list of (setting id, k1, b) or a Column holding an
+    ``array<struct<setting, k1, b>>``; it is exploded into the query side, so the
+    postings are read once and no join with a settings table is needed.
+    """
+    if not isinstance(settings, Column):
+        settings = F.array(*[F.struct(F.lit(s).alias("setting"), F.lit(float(k1)).alias("k1"),
+                                      F.lit(float(b)).alias("b")) for s, k1, b in settings])
+    q = (query_terms(topics, fields, boosts, facets)
+         .select("*", F.explode(settings).alias("__s"))
+         .select("topic_id", "field", "term", "qw", "__s.setting", "__s.k1", "__s.b"))
+    parts = term_contributions(index, q, F.col("k1"), F.col("b"))
+    return parts.groupBy("setting", "topic_id", "doc_id").agg(F.sum("part").alias("score"))

@@ -183,15 +183,19 @@ def _hybrid_query(k=10, z="auto", use_bm25=True, missing=False, ceiling=None):
     return run
 
 
-def _hybrid_sql(k=10, z="auto", use_bm25=True, missing=False, ceiling=None) -> str:
+def _hybrid_sql(k=10, z="auto", use_bm25=True, missing=False, ceiling=None, boosts=None, weights=None,
+                facets="all", topics_cte=None) -> str:
     emb = ("embedding",) if missing else EMB_FIELDS
-    ctes = [sql.corpus_ctes(LEX_FIELDS), sql.topics_cte(),
-            sql.bm25_ctes(LEX_FIELDS, facets="all", prefix="u_"),
-            sql.bm25_ctes(LEX_FIELDS, facets="first", prefix="f_"),
+    weights = weights or {}
+    used = "WHERE facet_pos = 0" if facets == "first" else ""
+    ctes = [sql.corpus_ctes(LEX_FIELDS), topics_cte or sql.topics_cte(),
+            f"used AS (SELECT * FROM topics {used})",
+            sql.bm25_ctes(LEX_FIELDS, boosts=boosts, facets=facets, prefix="u_"),
+            sql.bm25_ctes(LEX_FIELDS, boosts=boosts, facets="first", prefix="f_"),
             """cand AS (SELECT u.topic_id, u.doc_id, u.score AS bm25, coalesce(f.score, 0.0) AS bm25_first
                         FROM u_scores u LEFT JOIN f_scores f USING (topic_id, doc_id))""",
-            "nf AS (SELECT topic_id, count(*) AS n_facets FROM topics GROUP BY topic_id)",
-            sql.hash_vec_ctes("tv", "topics", "topic_id, facet", "text")]
+            "nf AS (SELECT topic_id, count(*) AS n_facets FROM used GROUP BY topic_id)",
+            sql.hash_vec_ctes("tv", "used", "topic_id, facet", "text")]
     if missing:
         ctes.append("dv AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS embedding FROM embeddings)")
     else:
@@ -201,10 +205,11 @@ def _hybrid_sql(k=10, z="auto", use_bm25=True, missing=False, ceiling=None) -> s
                            LEFT JOIN hdoc b ON b.doc_id = c.doc_id AND b.field = 'body')"""]
     ceil = f"{float(ceiling)}" if ceiling is not None else f"({float(len(emb))} * n_facets)"
     zexpr = "zt.z" if z == "auto" else f"{float(z)}::DOUBLE"
-    per_facet = " + ".join(f"(CASE WHEN dv.{e} IS NULL THEN 0.0 ELSE 1.0 * {sql.cos('tv.vec', 'dv.' + e)} + 1.0 END)"
-                           for e in emb)
+    per_facet = " + ".join(
+        f"(CASE WHEN dv.{e} IS NULL THEN 0.0 ELSE {float(weights.get(e, 1.0))} * {sql.cos('tv.vec', 'dv.' + e)} + 1.0 END)"
+        for e in emb if float(weights.get(e, 1.0)) != 0.0)
     score = f"CASE WHEN {zexpr} < 0 THEN c.bm25 ELSE ln(c.bm25) / ln({zexpr}) + e.embed END" if use_bm25 else "e.embed"
-    ctes += [f"""top AS (SELECT topic_id, max(bm25_first) AS top FROM cand GROUP BY topic_id)""",
+    ctes += ["""top AS (SELECT topic_id, max(bm25_first) AS top FROM cand GROUP BY topic_id)""",
              f"""zt AS (SELECT topic_id, CASE WHEN top > {ceil} THEN pow(top, 1.0 / {ceil}) END AS z
                         FROM top JOIN nf USING (topic_id))""",
              f"""emb AS (SELECT c.topic_id, c.doc_id, coalesce(sum({per_facet}), 0.0) AS embed FROM cand c
@@ -235,3 +240,88 @@ register("hybrid_auto", _hybrid_sql())(_hybrid_query())
 register("hybrid_fixed_z", _hybrid_sql(z=2.15))(_hybrid_query(z=2.15))
 register("embedding_only", _hybrid_sql(use_bm25=False))(_hybrid_query(use_bm25=False))
 register("hybrid_missing_vectors", _hybrid_sql(missing=True))(_hybrid_query(missing=True))
+
+
+# ---------------------------------------------------------------- step 3: fields, boosts, settings, ablation
+BOOSTS = {"title": 2.0, "body": 1.0}
+SETTINGS = [(0, 1.2, 0.75), (1, 0.9, 0.4), (2, 2.0, 1.0), (3, 1.2, 0.0)]
+
+
+def _bm25_fields_query(boosts=None):
+    def run(spark, sf_dir):
+        index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
+        scores = bm25_ops.bm25(index, inputs.topics(spark, sf_dir), LEX_FIELDS, boosts=boosts)
+        return _round(rank_run(scores, k=TOPK), "score").select("topic_id", "doc_id", "rank", "score")
+    return run
+
+
+def _bm25_fields_sql(boosts=None):
+    return (sql.with_(sql.corpus_ctes(LEX_FIELDS), sql.topics_cte(), sql.bm25_ctes(LEX_FIELDS, boosts=boosts),
+                      sql.rank_cte("run", "scores", TOPK))
+            + "SELECT topic_id, doc_id, rank, round(score, 6) AS score FROM run")
+
+
+register("bm25_multifield", _bm25_fields_sql())(_bm25_fields_query())
+register("bm25_boosted", _bm25_fields_sql(BOOSTS))(_bm25_fields_query(BOOSTS))
+
+
+def _settings_sql() -> str:
+    vals = ", ".join(f"({s}, {k1}::DOUBLE, {b}::DOUBLE)" for s, k1, b in SETTINGS)
+    return (sql.with_(sql.corpus_ctes(("body",)), sql.topics_cte(),
+                      f"""qt AS (SELECT topic_id, term, count(*) AS qtf FROM (SELECT topic_id, unnest({sql.tok('text')}) AS term
+                                 FROM topics WHERE facet_pos = 0) GROUP BY topic_id, term)""",
+                      f"""weights AS (SELECT s.setting, s.k1, s.b, q.topic_id, 'body' AS field, q.term, f.avgdl,
+                                      q.qtf * ln(1 + (f.n_docs - t.df + 0.5) / (t.df + 0.5)) AS wt
+                                      FROM qt q JOIN tstats t ON t.field = 'body' AND t.term = q.term
+                                      JOIN fstats f ON f.field = 'body', (VALUES {vals}) s(setting, k1, b))""",
+                      """scores AS (SELECT w.setting, w.topic_id, p.doc_id,
+                                    sum(w.wt * (p.tf * (w.k1 + 1)) / (p.tf + w.k1 * (1 - w.b + w.b * p.dl / w.avgdl))) AS score
+                                    FROM postings p JOIN weights w USING (field, term) GROUP BY w.setting, w.topic_id, p.doc_id)""",
+                      sql.rank_cte("run", "scores", TOPK, part="setting, topic_id"))
+            + "SELECT setting, topic_id, doc_id, rank, round(score, 6) AS score FROM run")
+
+
+@register("bm25_params", _settings_sql())
+def q_bm25_params(spark, sf_dir):
+    """Four (k1, b) settings scored in one pass over the postings, top 10 per setting and topic."""
+    index = inputs.corpus_index(spark, sf_dir, ("body",))
+    scores = bm25_ops.bm25_settings(index, inputs.topics(spark, sf_dir), SETTINGS)
+    return _round(rank_run(scores, k=TOPK, partition_extra=("setting",)), "score").select(
+        "setting", "topic_id", "doc_id", "rank", "score")
+
+
+@register("bm25_ablation", sql.with_(sql.corpus_ctes(LEX_FIELDS), sql.conversation_topics_cte(),
+                                      sql.bm25_ctes(LEX_FIELDS, facets="all", by_field=True),
+                                      sql.rank_cte("run", "scores", TOPK, part="field, topic_id"))
+          + "SELECT field, topic_id, doc_id, rank, round(score, 6) AS score FROM run")
+def q_bm25_ablation(spark, sf_dir):
+    """Each document field on its own, the query being all facets of a conversation, top 10."""
+    index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
+    scores = bm25_ops.bm25_ablation(index, inputs.conversation_topics(spark, sf_dir), LEX_FIELDS)
+    return _round(rank_run(scores, k=TOPK, partition_extra=("field",)), "score").select(
+        "field", "topic_id", "doc_id", "rank", "score")
+
+
+EMB_WEIGHTS = {"title_embedding": 0.5, "body_embedding": 1.0}
+
+
+@register("hybrid_fieldsets", _hybrid_sql(TOPK, boosts=BOOSTS, weights=EMB_WEIGHTS, facets="first"))
+def q_hybrid_fieldsets(spark, sf_dir):
+    """First facet, boosted lexical fields, weighted embedding fields, offset 1, auto z (ceiling 2)."""
+    index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
+    run_df = hybrid_ops.hybrid(index, inputs.topics(spark, sf_dir), _topic_hash_vectors(spark, sf_dir),
+                               _doc_hash_vectors(spark, sf_dir), LEX_FIELDS, EMB_FIELDS, boosts=BOOSTS,
+                               weights=EMB_WEIGHTS, facets="first", k=TOPK)
+    return _round(run_df.select("topic_id", "doc_id", "rank", "score", "bm25", "embed", "z"),
+                  "score", "bm25", "embed", "z")
+
+
+@register("hybrid_multifacet", _hybrid_sql(TOPK, topics_cte=sql.conversation_topics_cte()))
+def q_hybrid_multifacet(spark, sf_dir):
+    """Conversation topics, every facet × every field; z from the first facet, ceiling 2 × #facets."""
+    index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
+    topics = inputs.conversation_topics(spark, sf_dir)
+    run_df = hybrid_ops.hybrid(index, topics, _topic_hash_vectors(spark, sf_dir, topics),
+                               _doc_hash_vectors(spark, sf_dir), LEX_FIELDS, EMB_FIELDS, k=TOPK)
+    return _round(run_df.select("topic_id", "doc_id", "rank", "score", "bm25", "embed", "z"),
+                  "score", "bm25", "embed", "z")

@@ -138,3 +138,8 @@ def hash_vec_ctes(name: str, source: str, keys: str, text: str, dim: int = 64) -
 def cos(a: str, b: str) -> str:
     den = f"(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
     return f"(CASE WHEN {den} = 0 THEN 0.0 ELSE list_dot_product({a}, {b}) / {den} END)"
+
+
+def conversation_topics_cte() -> str:
+    return ("topics AS (SELECT conv_id AS topic_id, concat_ws('_', role, CAST(turn AS VARCHAR)) AS facet, "
+            "CAST(turn AS INTEGER) AS facet_pos, text FROM conversations)")
