@@ -325,3 +325,134 @@ def q_hybrid_multifacet(spark, sf_dir):
                                _doc_hash_vectors(spark, sf_dir), LEX_FIELDS, EMB_FIELDS, k=TOPK)
     return _round(run_df.select("topic_id", "doc_id", "rank", "score", "bm25", "embed", "z"),
                   "score", "bm25", "embed", "z")
+
+
+# ---------------------------------------------------------------- step 4: second stage
+from rankspark.operators import rerank as rr  # noqa: E402
+from rankspark.operators.index import fields_long  # noqa: E402
+from rankspark.operators.runs import rank_agreement  # noqa: E402
+from rankspark.functions.vectors import cosine as cosine_col  # noqa: E402
+
+RERANK_DEPTH = 100
+MV_DEPTH = 20
+
+
+@register("dense_topk", sql.with_("e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)",
+                                   f"sc AS (SELECT q.vec_id AS topic_id, d.vec_id AS doc_id, {sql.cos('q.v', 'd.v')} AS score FROM e q, e d)",
+                                   sql.rank_cte("run", "sc", TOPK))
+          + "SELECT topic_id, doc_id, rank, round(score, 6) AS score FROM run")
+def q_dense_topk(spark, sf_dir):
+    """Every embedding as a query against all embeddings, cosine, top 10 (blocked matrix products)."""
+    e = inputs.doc_vectors(spark, sf_dir)
+    q = e.select(F.col("doc_id").alias("topic_id"), "embedding")
+    return _round(dense_ops.dense_topk(q, e, k=TOPK), "score").select("topic_id", "doc_id", "rank", "score")
+
+
+def _rerank_sql(dense: bool) -> str:
+    sim = " + ".join(f"(CASE WHEN dv.{e} IS NULL THEN 0.0 ELSE 1.0 * {sql.cos('tv.vec', 'dv.' + e)} END)" for e in EMB_FIELDS)
+    ctes = [sql.corpus_ctes(LEX_FIELDS), sql.topics_cte(), sql.bm25_ctes(("body",)),
+            sql.rank_cte("first", "scores", RERANK_DEPTH),
+            sql.hash_vec_ctes("hdoc", "flong", "doc_id, field", "text"),
+            """dv AS (SELECT c.doc_id, t.vec AS title_embedding, b.vec AS body_embedding FROM corpus c
+                      LEFT JOIN hdoc t ON t.doc_id = c.doc_id AND t.field = 'title'
+                      LEFT JOIN hdoc b ON b.doc_id = c.doc_id AND b.field = 'body')""",
+            sql.hash_vec_ctes("tv", "topics", "topic_id, facet", "text"),
+            f"""j AS (SELECT f.topic_id, f.doc_id, f.score AS first_score, {sim} AS sim_sum FROM first f
+                      LEFT JOIN dv ON dv.doc_id = f.doc_id LEFT JOIN tv ON tv.topic_id = f.topic_id)"""]
+    if dense:
+        ctes += ["sc AS (SELECT topic_id, doc_id, first_score, sim_sum AS score FROM j)",
+                 sql.rank_cte("run", "sc", None)]
+        return sql.with_(*ctes) + ("SELECT topic_id, doc_id, rank, round(score, 6) AS score, "
+                                   "round(first_score, 6) AS first_score FROM run")
+    ctes += ["""j2 AS (SELECT *, max(first_score) OVER (PARTITION BY topic_id) AS top_score,
+                              max(sim_sum) OVER (PARTITION BY topic_id) AS top_sim FROM j)""",
+             """j3 AS (SELECT topic_id, doc_id, first_score, sim_sum,
+                              CASE WHEN top_sim > 0 AND top_score > top_sim THEN pow(top_score, 1.0 / top_sim) END AS z FROM j2)""",
+             "sc AS (SELECT *, ln(first_score) / ln(z) + sim_sum AS score FROM j3)",
+             sql.rank_cte("run", "sc", None)]
+    return sql.with_(*ctes) + ("SELECT topic_id, doc_id, rank, round(score, 6) AS score, round(first_score, 6) AS first_score, "
+                               "round(sim_sum, 6) AS sim_sum, round(z, 6) AS z FROM run")
+
+
+@register("rerank_hybrid", _rerank_sql(False))
+def q_rerank_hybrid(spark, sf_dir):
+    """BM25 top 100 re-ranked by log_z(score) + cosine sum over title and body vectors."""
+    first = body_run(spark, sf_dir, RERANK_DEPTH)
+    out = rr.rerank_hybrid(first, _doc_hash_vectors(spark, sf_dir), _topic_hash_vectors(spark, sf_dir), EMB_FIELDS)
+    return _round(out.select("topic_id", "doc_id", "rank", "score", "first_score", "sim_sum", "z"),
+                  "score", "first_score", "sim_sum", "z")
+
+
+@register("rerank_dense", _rerank_sql(True))
+def q_rerank_dense(spark, sf_dir):
+    """BM25 top 100 re-ranked by the cosine sum alone."""
+    first = body_run(spark, sf_dir, RERANK_DEPTH)
+    out = rr.rerank_dense(first, _doc_hash_vectors(spark, sf_dir), _topic_hash_vectors(spark, sf_dir), EMB_FIELDS)
+    return _round(out.select("topic_id", "doc_id", "rank", "score", "first_score"), "score", "first_score")
+
+
+@register("multi_vector_agg", sql.with_(
+    sql.corpus_ctes(LEX_FIELDS), sql.conversation_topics_cte(), sql.bm25_ctes(("body",), facets="all"),
+    sql.rank_cte("first", "scores", MV_DEPTH), sql.hash_vec_ctes("tv", "topics", "topic_id, facet", "text"),
+    sql.hash_vec_ctes("hdoc", "flong", "doc_id, field", "text"),
+    f"""pairs AS (SELECT f.topic_id, f.doc_id, {sql.cos('tv.vec', 'hdoc.vec')} AS sim FROM first f
+                  JOIN tv ON tv.topic_id = f.topic_id JOIN hdoc ON hdoc.doc_id = f.doc_id)""",
+    """agg AS (SELECT topic_id, doc_id, max(sim) AS max_sim, min(sim) AS min_sim, sum(sim) AS sum_sim,
+                      avg(sim) AS avg_sim FROM pairs GROUP BY topic_id, doc_id)""",
+    sql.rank_cte("run", "(SELECT *, sum_sim AS score FROM agg)", None))
+    + """SELECT topic_id, doc_id, rank, round(max_sim, 6) AS max_sim, round(min_sim, 6) AS min_sim,
+                round(sum_sim, 6) AS sum_sim, round(avg_sim, 6) AS avg_sim FROM run""")
+def q_multi_vector_agg(spark, sf_dir):
+    """Conversation candidates keyed ``topic_doc``; every facet vector × title/body vector, ranked by sum."""
+    index = inputs.corpus_index(spark, sf_dir, ("body",))
+    topics = inputs.conversation_topics(spark, sf_dir)
+    first = rank_run(bm25_ops.bm25(index, topics, ("body",), facets="all"), k=MV_DEPTH)
+    dataset = first.select(F.concat_ws("_", F.col("topic_id").cast("string"), F.col("doc_id").cast("string")).alias("id"))
+    dv_long = dense_ops.hash_encode(fields_long(inputs.corpus(spark, sf_dir), LEX_FIELDS), "text", DIM,
+                                    keep=["doc_id", "field"])
+    out = rr.rank_by_embeddings(dataset, _topic_hash_vectors(spark, sf_dir, topics), dv_long, agg="sum")
+    return _round(out.select("topic_id", "doc_id", "rank", "max_sim", "min_sim", "sum_sim", "avg_sim"),
+                  "max_sim", "min_sim", "sum_sim", "avg_sim")
+
+
+@register("kmax_pool", sql.with_(
+    sql.corpus_ctes(("body",)), sql.topics_cte(), sql.bm25_ctes(("body",)), sql.rank_cte("first", "scores", MV_DEPTH),
+    """pas AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ptext,
+                      generate_subscripts(string_split(text, chr(10)), 1) AS passage
+               FROM documents WHERE doc_id IN (SELECT doc_id FROM first)),
+       pas2 AS (SELECT * FROM pas WHERE length(ptext) > 0)""",
+    sql.hash_vec_ctes("pv", "pas2", "doc_id, passage", "ptext"), sql.hash_vec_ctes("tv", "topics", "topic_id", "text"),
+    f"""ps AS (SELECT f.topic_id, f.doc_id, pv.passage, {sql.cos('tv.vec', 'pv.vec')} AS score FROM first f
+               JOIN pv ON pv.doc_id = f.doc_id JOIN tv ON tv.topic_id = f.topic_id)""",
+    """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, doc_id ORDER BY score DESC, passage) AS r
+                                FROM ps) WHERE r <= 3)""")
+    + """SELECT topic_id, doc_id, round(sum(score), 6) AS kmax_sum, round(avg(score), 6) AS kmax_mean,
+                count(*) AS n_used FROM best GROUP BY topic_id, doc_id""")
+def q_kmax_pool(spark, sf_dir):
+    """Lines of the BM25 top-20 documents scored by cosine with the topic; best 3 per (topic, doc) pooled."""
+    first = body_run(spark, sf_dir, MV_DEPTH).select("topic_id", "doc_id")
+    docs = inputs.table(spark, sf_dir, "documents").join(first.select("doc_id").distinct(), "doc_id", "left_semi")
+    passages = (docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("passage", "ptext"))
+                .where(F.length("ptext") > 0))
+    pv = dense_ops.hash_encode(passages, "ptext", DIM, keep=["doc_id", "passage"])
+    tv = _topic_hash_vectors(spark, sf_dir).select("topic_id", F.col("embedding").alias("qvec"))
+    ps = (first.join(pv, "doc_id").join(F.broadcast(tv), "topic_id")
+          .select("topic_id", "doc_id", "passage", cosine_col("qvec", "embedding").alias("score")))
+    out = rr.kmax_pool(ps, k=3)
+    return _round(out, "kmax_sum", "kmax_mean")
+
+
+@register("rank_agreement", sql.with_(
+    sql.corpus_ctes(LEX_FIELDS), sql.topics_cte(), sql.bm25_ctes(("body",), prefix="a_"), sql.bm25_ctes(LEX_FIELDS, prefix="b_"),
+    sql.rank_cte("ra", "a_scores", TOPK), sql.rank_cte("rb", "b_scores", TOPK))
+    + """SELECT coalesce(ra.topic_id, rb.topic_id) AS topic_id, count(*) AS n_positions,
+                CAST(sum(CASE WHEN ra.doc_id = rb.doc_id THEN 1 ELSE 0 END) AS BIGINT) AS n_same,
+                round(sum(CASE WHEN ra.doc_id = rb.doc_id THEN 1 ELSE 0 END) / count(*), 6) AS agreement
+         FROM ra FULL OUTER JOIN rb ON ra.topic_id = rb.topic_id AND ra.rank = rb.rank GROUP BY 1""")
+def q_rank_agreement(spark, sf_dir):
+    """Position-by-position agreement of BM25 over body and BM25 over title + body, top 10."""
+    index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
+    topics = inputs.topics(spark, sf_dir)
+    a = rank_run(bm25_ops.bm25(index, topics, ("body",)), k=TOPK)
+    b = rank_run(bm25_ops.bm25(index, topics, LEX_FIELDS), k=TOPK)
+    return rank_agreement(a, b)
