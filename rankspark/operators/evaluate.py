@@ -173,3 +173,27 @@ def evaluate_residual(run: DataFrame, qrels: DataFrame, exclude: DataFrame, metr
         qrels = qrels.join(exclude.select("topic_id", "doc_id"), ["topic_id", "doc_id"], "left_anti")
     return evaluate(keep, qrels, metrics)
 
+
+
+def pair_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per-topic values of two runs side by side (topics evaluated in both)."""
+    return (a.select("topic_id", "metric", "depth", F.col("value").alias("a"))
+            .join(b.select("topic_id", "metric", "depth", F.col("value").alias("b")), ["topic_id", "metric", "depth"]))
+
+
+def paired_t(a: DataFrame, b: DataFrame, with_p: bool = False) -> DataFrame:
+    """Paired t-test per metric of run b − run a over common topics.
+
+    Columns: metric, depth, n, mean_diff, sd, t, dof (and p, two-sided, when asked).
+    """
+    from rankspark.functions.stats import t_pvalue
+    d = pair_metrics(a, b).withColumn("d", F.col("b") - F.col("a"))
+    s = (d.groupBy("metric", "depth")
+         .agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd")))
+    t = F.when(F.col("sd") > 0, F.col("mean_diff") / (F.col("sd") / F.sqrt(F.col("n"))))
+    out = s.select("metric", "depth", "n", F.round("mean_diff", DECIMALS).alias("mean_diff"),
+                   F.round("sd", DECIMALS).alias("sd"), F.round(t, DECIMALS).alias("t"),
+                   (F.col("n") - 1).alias("dof"))
+    if with_p:
+        out = out.withColumn("p", F.round(t_pvalue(F.col("t"), F.col("dof").cast("double")), DECIMALS))
+    return out

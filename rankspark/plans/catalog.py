@@ -456,3 +456,62 @@ def q_rank_agreement(spark, sf_dir):
     a = rank_run(bm25_ops.bm25(index, topics, ("body",)), k=TOPK)
     b = rank_run(bm25_ops.bm25(index, topics, LEX_FIELDS), k=TOPK)
     return rank_agreement(a, b)
+
+
+# ---------------------------------------------------------------- step 5: significance, residual evaluation
+PAIRED_METRICS = ["ndcg@10", "p@10", "bpref@1000", "map@1000"]
+
+
+def _two_run_metrics(spark, sf_dir):
+    index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
+    topics = inputs.topics(spark, sf_dir)
+    qrels = inputs.qrels(spark, sf_dir, index)
+    a = rank_run(bm25_ops.bm25(index, topics, ("body",)), k=EVAL_DEPTH)
+    b = rank_run(bm25_ops.bm25(index, topics, LEX_FIELDS), k=EVAL_DEPTH)
+    return ev.evaluate(a, qrels, PAIRED_METRICS), ev.evaluate(b, qrels, PAIRED_METRICS)
+
+
+def _paired_sql() -> str:
+    specs = [ev.parse_metric(m) for m in PAIRED_METRICS]
+    return (sql.with_(sql.corpus_ctes(LEX_FIELDS), sql.topics_cte(), sql.bm25_ctes(("body",), prefix="a_"),
+                      sql.bm25_ctes(LEX_FIELDS, prefix="b_"), sql.rank_cte("ra", "a_scores", EVAL_DEPTH),
+                      sql.rank_cte("rb", "b_scores", EVAL_DEPTH), sql.qrels_ctes(),
+                      sql.eval_ctes("ra", EVAL_DEPTH, "a_"), sql.eval_ctes("rb", EVAL_DEPTH, "b_"),
+                      "ma AS (" + sql.metrics_union(specs, "a_") + ")", "mb AS (" + sql.metrics_union(specs, "b_") + ")",
+                      """d AS (SELECT ma.topic_id, ma.metric, ma.depth, mb.value - ma.value AS d FROM ma
+                               JOIN mb USING (topic_id, metric, depth))""",
+                      """s AS (SELECT metric, depth, count(*) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd
+                               FROM d GROUP BY metric, depth)""")
+            + """SELECT metric, depth, n, round(mean_diff, 6) AS mean_diff, round(sd, 6) AS sd,
+                        round(CASE WHEN sd > 0 THEN mean_diff / (sd / sqrt(n)) END, 6) AS t, n - 1 AS dof FROM s""")
+
+
+@register("paired_t", _paired_sql())
+def q_paired_t(spark, sf_dir):
+    """BM25 title+body against BM25 body, paired over topics, four metrics (t statistic)."""
+    a, b = _two_run_metrics(spark, sf_dir)
+    return ev.paired_t(a, b)
+
+
+@register("paired_t_p")
+def q_paired_t_p(spark, sf_dir):
+    """A9 with the two-sided p-value (incomplete beta in a pandas_udf; no SQL twin)."""
+    a, b = _two_run_metrics(spark, sf_dir)
+    return ev.paired_t(a, b, with_p=True)
+
+
+RESIDUAL_METRICS = ["ndcg@10", "p@10", "bpref@1000"]
+
+
+@register("residual_eval", sql.with_(
+    sql.corpus_ctes(), sql.topics_cte(), sql.bm25_ctes(), sql.rank_cte("run0", "scores", EVAL_DEPTH),
+    """run AS (SELECT * FROM run0 r WHERE NOT EXISTS (SELECT 1 FROM run0 x WHERE x.rank <= 3
+               AND x.topic_id = r.topic_id AND x.doc_id = r.doc_id))""",
+    sql.qrels_ctes(), sql.eval_ctes("run", EVAL_DEPTH))
+    + sql.metrics_union([ev.parse_metric(m) for m in RESIDUAL_METRICS]))
+def q_residual_eval(spark, sf_dir):
+    """A10: the BM25 run without its top-3 documents per topic (already assessed), original ranks kept."""
+    index = inputs.corpus_index(spark, sf_dir, ("body",))
+    run = body_run(spark, sf_dir, index=index)
+    seen = run.where(F.col("rank") <= 3).select("topic_id", "doc_id")
+    return ev.evaluate_residual(run, inputs.qrels(spark, sf_dir, index), seen, RESIDUAL_METRICS)

@@ -78,21 +78,22 @@ qrels AS (SELECT topic_id, doc_id, CAST(CASE WHEN hit THEN 1 + coalesce(quality,
           FROM judged WHERE hit OR quality IS NOT NULL)"""
 
 
-def eval_ctes(run: str = "run", maxd: int = 1000) -> str:
+def eval_ctes(run: str = "run", maxd: int = 1000, p: str = "") -> str:
+    """<p>totals, <p>ej, <p>ej2 and <p>ideal for one run (needs ``qrels``)."""
     return f"""
-totals AS (SELECT topic_id, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) AS R, sum(CASE WHEN rel <= 0 THEN 1 ELSE 0 END) AS N
+{p}totals AS (SELECT topic_id, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) AS R, sum(CASE WHEN rel <= 0 THEN 1 ELSE 0 END) AS N
            FROM qrels GROUP BY topic_id HAVING sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) > 0),
-ej AS (SELECT r.topic_id, r.doc_id, r.rank, q.rel FROM {run} r LEFT JOIN qrels q USING (topic_id, doc_id) WHERE r.rank <= {maxd}),
-ej2 AS (SELECT ej.*, coalesce(sum(CASE WHEN rel <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY topic_id ORDER BY rank
+{p}ej AS (SELECT r.topic_id, r.doc_id, r.rank, q.rel FROM {run} r LEFT JOIN qrels q USING (topic_id, doc_id) WHERE r.rank <= {maxd}),
+{p}ej2 AS (SELECT e.*, coalesce(sum(CASE WHEN rel <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY topic_id ORDER BY rank
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
                sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY topic_id ORDER BY rank
                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rel_upto,
                coalesce(rel, 0)::DOUBLE AS g, t.R::DOUBLE AS RR, t.N::DOUBLE AS NN
-        FROM ej JOIN totals t USING (topic_id)),
-ideal AS (SELECT topic_id, rel, row_number() OVER (PARTITION BY topic_id ORDER BY rel DESC) AS pos FROM qrels WHERE rel > 0)"""
+        FROM {p}ej e JOIN {p}totals t USING (topic_id)),
+{p}ideal AS (SELECT topic_id, rel, row_number() OVER (PARTITION BY topic_id ORDER BY rel DESC) AS pos FROM qrels WHERE rel > 0)"""
 
 
-def metric_select(name: str, k: int) -> str:
+def metric_select(name: str, k: int, p: str = "") -> str:
     hits = f"sum(CASE WHEN rank <= {k} AND g > 0 THEN 1 ELSE 0 END)"
     if name == "p":
         v = f"{hits} / {float(k)}"
@@ -102,7 +103,7 @@ def metric_select(name: str, k: int) -> str:
         v = f"sum(CASE WHEN rank <= least(RR, {k}) AND g > 0 THEN 1 ELSE 0 END) / any_value(RR)"
     elif name == "ndcg":
         v = (f"sum(CASE WHEN rank <= {k} AND g > 0 THEN g / log2(rank + 1.0) ELSE 0.0 END) / "
-             f"any_value((SELECT sum(rel / log2(pos + 1.0)) FROM ideal i WHERE i.topic_id = ej2.topic_id AND pos <= {k}))")
+             f"any_value((SELECT sum(rel / log2(pos + 1.0)) FROM {p}ideal i WHERE i.topic_id = x.topic_id AND pos <= {k}))")
     elif name == "bpref":
         v = (f"sum(CASE WHEN rank <= {k} AND g > 0 THEN (CASE WHEN above > 0 THEN 1.0 - least(above, RR) / least(RR, NN) "
              f"ELSE 1.0 END) ELSE 0.0 END) / any_value(RR)")
@@ -113,11 +114,11 @@ def metric_select(name: str, k: int) -> str:
     else:
         raise ValueError(name)
     return (f"SELECT topic_id, '{name}' AS metric, CAST({k} AS INTEGER) AS depth, "
-            f"round(CAST({v} AS DOUBLE), 6) AS value FROM ej2 GROUP BY topic_id")
+            f"round(CAST({v} AS DOUBLE), 6) AS value FROM {p}ej2 x GROUP BY topic_id")
 
 
-def metrics_union(specs) -> str:
-    return "\nUNION ALL\n".join(metric_select(n, k) for n, k in specs)
+def metrics_union(specs, p: str = "") -> str:
+    return "\nUNION ALL\n".join(metric_select(n, k, p) for n, k in specs)
 
 
 def with_(*ctes: str) -> str:
