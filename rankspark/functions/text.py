@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Fixed patterns (the analyzer and the splitter; DuckDB accepts the same text).
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 SENTENCE_BOUNDARY = r"[.!?\n]+"
+WHITESPACE = r"[ \t\n\f\r\x0B]"
 
 
 def _c(col) -> Column:
@@ -34,7 +35,7 @@ def clean_whitespace(col) -> Column:
 def sentences(col) -> Column:
     """R2: sentences of a text, whitespace-normalised, empty ones dropped."""
     parts = F.split(_c(col), SENTENCE_BOUNDARY)
-    norm = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
+    norm = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, WHITESPACE + "+", " ")))
     return F.filter(norm, lambda s: F.length(s) > 0)
 
 

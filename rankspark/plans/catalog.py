@@ -515,3 +515,142 @@ def q_residual_eval(spark, sf_dir):
     run = body_run(spark, sf_dir, index=index)
     seen = run.where(F.col("rank") <= 3).select("topic_id", "doc_id")
     return ev.evaluate_residual(run, inputs.qrels(spark, sf_dir, index), seen, RESIDUAL_METRICS)
+
+
+# ---------------------------------------------------------------- step 6: data preparation, sources and sinks
+from rankspark.functions import columns as colf  # noqa: E402
+from rankspark.functions.text import clean_whitespace, sentences  # noqa: E402
+from rankspark.session import scratch_path  # noqa: E402
+from rankspark.sources import topics as topic_src  # noqa: E402
+from rankspark.sources import trec  # noqa: E402
+
+WIDE_FACETS = ["user_0", "assistant_1", "user_2", "assistant_3"]
+
+
+@register("topics_wide", sql.with_(sql.conversation_topics_cte())
+          + "SELECT topic_id, " + ", ".join(f"max(CASE WHEN facet = '{f}' THEN text END) AS {f}" for f in WIDE_FACETS)
+          + " FROM topics GROUP BY topic_id")
+def q_topics_wide(spark, sf_dir):
+    """Conversation topics (one facet per turn) as one column per listed facet."""
+    return topic_src.topics_to_wide(inputs.conversation_topics(spark, sf_dir), WIDE_FACETS)
+
+
+@register("topics_tsv", "SELECT CAST(item_id AS VARCHAR) AS topic_id, 'text' AS facet, 0 AS facet_pos, text "
+                        "FROM benchmark WHERE text IS NOT NULL")
+def q_topics_tsv(spark, sf_dir):
+    """The benchmark table written as a TSV topic file with a header, read back as long topics."""
+    path = scratch_path(spark, "topics-tsv")
+    (inputs.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text").write
+     .option("header", True).option("sep", "\t").option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return topic_src.read_topics_csv(spark, path, "id", ("text",), sep="\t")
+
+
+@register("jsonl_fields", """SELECT * FROM (
+      SELECT concat_ws('_', CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR)) AS topic_id, 'event_type' AS facet,
+             0 AS facet_pos, event_type AS text FROM events
+      UNION ALL
+      SELECT concat_ws('_', CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR)), 'value', 1, CAST(value AS VARCHAR)
+      FROM events) WHERE text IS NOT NULL""")
+def q_jsonl_fields(spark, sf_dir):
+    """S3: events written as JSON lines; id ``event_user``, keys matching "type" / "value" kept as facets."""
+    path = scratch_path(spark, "events-jsonl")
+    inputs.table(spark, sf_dir, "events").write.json(path)
+    return topic_src.read_topics_jsonl(spark, path, "event_id", ["type", "value"], secondary_id="user_id")
+
+
+@register("topics_xml", f"SELECT CAST(item_id AS VARCHAR) AS topic_id, 'query' AS facet, 0 AS facet_pos, "
+                        f"{sql.strip_ws('text')} AS text FROM benchmark WHERE text IS NOT NULL")
+def q_topics_xml(spark, sf_dir):
+    """Benchmark written as ``<topic number=".."><query>..</query></topic>``; read with listed fields."""
+    path = scratch_path(spark, "topics-xml")
+    (inputs.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("_number"), F.col("text").alias("query"))
+     .write.format("xml").option("rowTag", "topic").option("rootTag", "topics").save(path))
+    return topic_src.read_topics_xml(spark, path, "topic", "number", fields=["query", "question"])
+
+
+@register("flatten", """SELECT event_id, event_type AS ev_type, value AS ev_detail_value,
+                               TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS ev_detail_props_k FROM events""")
+def q_flatten(spark, sf_dir):
+    """A nested struct (type, detail{value, props{k}}) flattened with ``_``."""
+    e = inputs.table(spark, sf_dir, "events")
+    nested = e.select("event_id", F.struct(F.col("event_type").alias("type"), F.struct(
+        "value", F.from_json("props", "k BIGINT").alias("props")).alias("detail")).alias("ev"))
+    return colf.flatten_structs(nested, "_")
+
+
+_CLEAN_SQL = ("regexp_replace(replace(replace(text, chr(13) || chr(10) || chr(13) || chr(10), chr(10)), "
+              "chr(13) || chr(10), ' '), ' {2,}', ' ', 'g')")
+
+
+@register("clean_text", f"SELECT doc_id, length({_CLEAN_SQL}) AS n_chars, md5({_CLEAN_SQL}) AS text_md5 FROM documents")
+def q_clean_text(spark, sf_dir):
+    """Whitespace clean of every document; length and md5 of the result."""
+    d = inputs.table(spark, sf_dir, "documents").select("doc_id", clean_whitespace("text").alias("t"))
+    return d.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+_SENT_SQL = (f"list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), "
+             f"lambda s: trim(regexp_replace(s, '{sql.WS}+', ' ', 'g'))), lambda s: length(s) > 0)")
+
+
+@register("sentence_split", f"""SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS sent_md5
+                                FROM (SELECT doc_id, {_SENT_SQL} AS s FROM documents WHERE text IS NOT NULL)""")
+def q_sentence_split(spark, sf_dir):
+    """R2: sentences of every document (count and md5 of the joined sentences)."""
+    d = inputs.table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", sentences("text").alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n_sentences"),
+                    F.md5(F.array_join("s", "|")).alias("sent_md5"))
+
+
+@register("label_remap", """SELECT doc_id, CAST(floor((quality * 2 + toxic - 1) / 2.0) AS INTEGER) AS label FROM labels
+                            WHERE floor((quality * 2 + toxic - 1) / 2.0) <> -1""")
+def q_label_remap(spark, sf_dir):
+    """A four-grade label (quality·2 + toxic − 1 ∈ {−1..2}) mapped by ``// 2`` and −1 dropped."""
+    l = inputs.table(spark, sf_dir, "labels")
+    return colf.remap_labels(l.select("doc_id", (F.col("quality") * 2 + F.col("toxic") - 1).alias("label")))
+
+
+@register("trec_lines", sql.with_(sql.corpus_ctes(), sql.topics_cte(), sql.bm25_ctes(), sql.rank_cte("run", "scores", TOPK))
+          + """SELECT topic_id, rank, concat_ws(chr(9), CAST(topic_id AS VARCHAR), 'Q0', CAST(doc_id AS VARCHAR),
+                      CAST(rank AS VARCHAR), printf('%.6f', score), 'bm25') AS value FROM run""")
+def q_trec_lines(spark, sf_dir):
+    """The BM25 top-10 run as TREC lines named ``bm25``."""
+    return trec.format_run(body_run(spark, sf_dir, TOPK), resort=False, run_name="bm25")
+
+
+@register("run_file_roundtrip", sql.with_(sql.corpus_ctes(), sql.topics_cte(), sql.bm25_ctes(),
+                                           sql.rank_cte("run", "scores", TOPK))
+          + """SELECT CAST(topic_id AS VARCHAR) AS topic_id, CAST(doc_id AS VARCHAR) AS doc_id, rank,
+                      round(score, 6) AS score, 'bm25' AS run_name FROM run""")
+def q_run_file_roundtrip(spark, sf_dir):
+    """S12 → S9: the BM25 top-10 run written as a TREC file and read back."""
+    path = scratch_path(spark, "run")
+    trec.write_run(body_run(spark, sf_dir, TOPK), path, run_name="bm25")
+    return _round(trec.read_run(spark, path), "score")
+
+
+@register("qrels_file", sql.with_(sql.corpus_ctes(), sql.qrels_ctes())
+          + "SELECT CAST(topic_id AS VARCHAR) AS topic_id, '0' AS iter, CAST(doc_id AS VARCHAR) AS doc_id, rel FROM qrels")
+def q_qrels_file(spark, sf_dir):
+    """The judgements written as TREC qrels text and read back."""
+    path = scratch_path(spark, "qrels")
+    q = inputs.qrels(spark, sf_dir)
+    q.select(F.concat_ws(" ", F.col("topic_id").cast("string"), F.lit("0"), F.col("doc_id").cast("string"),
+                         F.col("rel").cast("string"))).write.text(path)
+    return trec.read_qrels(spark, path)
+
+
+@register("examples_columns", f"""SELECT CAST(c1.conv_id AS VARCHAR) || '_' || CAST(c1.turn AS VARCHAR) AS id,
+                                        {sql.strip_ws('c1.text')} AS text_a, {sql.strip_ws('c2.text')} AS text_b, 1.0 AS label
+                                 FROM conversations c1 JOIN conversations c2 ON c2.conv_id = c1.conv_id AND c2.turn = c1.turn + 1
+                                 WHERE c1.role = 'user'""")
+def q_examples_columns(spark, sf_dir):
+    """(user turn, next turn) pairs as examples with a constant label, then text_a / text_b columns."""
+    c = inputs.table(spark, sf_dir, "conversations")
+    a = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("q"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r"))
+    pairs = a.join(b, ["conv_id", "turn"]).withColumn(
+        "id", F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    ex = colf.to_examples(pairs, ["q", "r"], "id", label=1.0)
+    return colf.examples_to_columns(ex, n=2)

@@ -144,3 +144,10 @@ def cos(a: str, b: str) -> str:
 def conversation_topics_cte() -> str:
     return ("topics AS (SELECT conv_id AS topic_id, concat_ws('_', role, CAST(turn AS VARCHAR)) AS facet, "
             "CAST(turn AS INTEGER) AS facet_pos, text FROM conversations)")
+
+
+WS = r"[ \t\n\f\r\x0B]"
+
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
