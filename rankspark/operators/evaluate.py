@@ -93,14 +93,19 @@ def _metric_expr(name: str, k: int, rel: Column, rank: Column, above: Column, R:
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, metrics, complete: bool = False,
-             run_name: str | None = None) -> DataFrame:
-    """A1: (topic_id, metric, depth, value) for every ``metric@depth`` asked for."""
+             run_name: str | None = None, keys=(), decimals: int | None = DECIMALS) -> DataFrame:
+    """A1: (topic_id, metric, depth, value) for every ``metric@depth`` asked for.
+
+    ``keys`` are extra run columns (e.g. a setting id) evaluated separately.
+    ``decimals=None`` keeps full precision (for values that are aggregated further).
+    """
+    keys = list(keys)
     specs = [parse_metric(m) for m in metrics]
     max_depth = max(k for _, k in specs)
     totals = topic_totals(qrels)
     ndcg_depths = sorted({k for n, k in specs if n == "ndcg"})
-    j = attach_judgements(run.where(F.col("rank") <= max_depth).select("topic_id", "doc_id", "rank"), qrels)
-    w = Window.partitionBy("topic_id").orderBy("rank")
+    j = attach_judgements(run.where(F.col("rank") <= max_depth).select(*keys, "topic_id", "doc_id", "rank"), qrels)
+    w = Window.partitionBy(*keys, "topic_id").orderBy("rank")
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     j = (j.withColumn("above", F.coalesce(F.sum(F.when(F.col("rel") <= 0, 1).otherwise(0)).over(prior), F.lit(0)))
@@ -113,15 +118,15 @@ def evaluate(run: DataFrame, qrels: DataFrame, metrics, complete: bool = False,
     R, N = F.col("R").cast("double"), F.col("N").cast("double")
     cols = [_metric_expr(n, k, rel, rank, F.col("above").cast("double"), R, N).alias(f"m{i}")
             for i, (n, k) in enumerate(specs)]
-    wide = j.groupBy("topic_id").agg(*cols)
-    if complete:
+    wide = j.groupBy(*keys, "topic_id").agg(*cols)
+    if complete and not keys:
         wide = totals.select("topic_id").join(wide, "topic_id", "left")
-    long = wide.select("topic_id", F.explode(F.array(*[
+    long = wide.select(*keys, "topic_id", F.explode(F.array(*[
         F.struct(F.lit(n).alias("metric"), F.lit(k).alias("depth"),
                  F.coalesce(F.col(f"m{i}"), F.lit(0.0)).alias("value"))
         for i, (n, k) in enumerate(specs)])).alias("m"))
-    out = long.select("topic_id", "m.metric", F.col("m.depth").cast("int").alias("depth"),
-                      F.round(F.col("m.value"), DECIMALS).alias("value"))
+    out = long.select(*keys, "topic_id", "m.metric", F.col("m.depth").cast("int").alias("depth"),
+                      (F.round(F.col("m.value"), decimals) if decimals is not None else F.col("m.value")).alias("value"))
     if run_name is not None:
         out = out.withColumn("run_name", F.lit(run_name))
     return out
@@ -139,7 +144,7 @@ def trec_summary(run: DataFrame, qrels: DataFrame, depth: int = 1000, cutoffs=(5
     cut = run.where(F.col("rank") <= depth)
     totals = topic_totals(qrels)
     per_topic = evaluate(cut, qrels, [f"map@{depth}", f"rprec@{depth}", f"bpref@{depth}", f"recip_rank@{depth}"]
-                         + [f"p@{k}" for k in cutoffs])
+                         + [f"p@{k}" for k in cutoffs], decimals=None)
     means = per_topic.groupBy("metric", "depth").agg(F.avg("value").alias("value"))
     label = (F.when(F.col("metric") == "p", F.concat(F.lit("P_"), F.col("depth").cast("string")))
              .when(F.col("metric") == "rprec", F.lit("Rprec"))
@@ -159,7 +164,7 @@ def trec_summary(run: DataFrame, qrels: DataFrame, depth: int = 1000, cutoffs=(5
 
 
 def evaluate_residual(run: DataFrame, qrels: DataFrame, exclude: DataFrame, metrics,
-                      rerank: bool = False, reduce_qrels: bool = False) -> DataFrame:
+                      rerank: bool = False, reduce_qrels: bool = False, decimals: int | None = DECIMALS) -> DataFrame:
     """A10: drop the listed (topic, doc) pairs, keep the original ranks, evaluate.
 
     ``rerank=True`` renumbers the remaining documents; ``reduce_qrels=True`` also
@@ -171,7 +176,7 @@ def evaluate_residual(run: DataFrame, qrels: DataFrame, exclude: DataFrame, metr
         keep = keep.withColumn("rank", F.row_number().over(w).cast("long"))
     if reduce_qrels:
         qrels = qrels.join(exclude.select("topic_id", "doc_id"), ["topic_id", "doc_id"], "left_anti")
-    return evaluate(keep, qrels, metrics)
+    return evaluate(keep, qrels, metrics, decimals=decimals)
 
 
 

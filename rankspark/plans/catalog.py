@@ -62,10 +62,11 @@ def _eval_sql(metrics) -> str:
             + sql.metrics_union(specs))
 
 
-def _eval_query(metrics):
+def _eval_query(metrics, decimals=6):
     def run(spark, sf_dir):
         index = inputs.corpus_index(spark, sf_dir, ("body",))
-        return ev.evaluate(body_run(spark, sf_dir, index=index), inputs.qrels(spark, sf_dir, index), metrics)
+        return ev.evaluate(body_run(spark, sf_dir, index=index), inputs.qrels(spark, sf_dir, index), metrics,
+                           decimals=decimals)
     return run
 
 
@@ -87,11 +88,11 @@ MEAN_METRICS = ["ndcg@10", "ndcg@20", "ndcg@100", "rprec@1000", "p@1", "p@5", "p
 @register("eval_means", sql.with_(sql.corpus_ctes(), sql.topics_cte(), sql.bm25_ctes(),
                                    sql.rank_cte("run", "scores", EVAL_DEPTH), sql.qrels_ctes(),
                                    sql.eval_ctes("run", EVAL_DEPTH),
-                                   "per_topic AS (" + sql.metrics_union([ev.parse_metric(m) for m in MEAN_METRICS]) + ")")
+                                   "per_topic AS (" + sql.metrics_union([ev.parse_metric(m) for m in MEAN_METRICS], rnd=False) + ")")
           + "SELECT metric, depth, count(*) AS n_topics, round(avg(value), 6) AS mean_value FROM per_topic GROUP BY metric, depth")
 def q_eval_means(spark, sf_dir):
     """Mean over topics of the metric list of the reference's tests."""
-    return ev.mean_metrics(_eval_query(MEAN_METRICS)(spark, sf_dir))
+    return ev.mean_metrics(_eval_query(MEAN_METRICS, decimals=None)(spark, sf_dir))
 
 
 @register("qrels_build", sql.with_(sql.corpus_ctes(), sql.qrels_ctes()) + "SELECT topic_id, doc_id, rel FROM qrels")
@@ -106,7 +107,7 @@ _SUMMARY_SPECS = [("map", 1000), ("rprec", 1000), ("bpref", 1000), ("recip_rank"
 
 @register("trec_summary", sql.with_(
     sql.corpus_ctes(), sql.topics_cte(), sql.bm25_ctes(), sql.rank_cte("run", "scores", EVAL_DEPTH), sql.qrels_ctes(),
-    sql.eval_ctes("run", EVAL_DEPTH), "per_topic AS (" + sql.metrics_union(_SUMMARY_SPECS) + ")")
+    sql.eval_ctes("run", EVAL_DEPTH), "per_topic AS (" + sql.metrics_union(_SUMMARY_SPECS, rnd=False) + ")")
     + """SELECT measure, round(value, 6) AS value FROM (
     SELECT 'num_q' AS measure, count(DISTINCT topic_id)::DOUBLE AS value FROM ej JOIN totals USING (topic_id)
     UNION ALL SELECT 'num_ret', count(*)::DOUBLE FROM ej JOIN totals USING (topic_id)
@@ -468,7 +469,7 @@ def _two_run_metrics(spark, sf_dir):
     qrels = inputs.qrels(spark, sf_dir, index)
     a = rank_run(bm25_ops.bm25(index, topics, ("body",)), k=EVAL_DEPTH)
     b = rank_run(bm25_ops.bm25(index, topics, LEX_FIELDS), k=EVAL_DEPTH)
-    return ev.evaluate(a, qrels, PAIRED_METRICS), ev.evaluate(b, qrels, PAIRED_METRICS)
+    return (ev.evaluate(a, qrels, PAIRED_METRICS, decimals=None), ev.evaluate(b, qrels, PAIRED_METRICS, decimals=None))
 
 
 def _paired_sql() -> str:
@@ -477,7 +478,8 @@ def _paired_sql() -> str:
                       sql.bm25_ctes(LEX_FIELDS, prefix="b_"), sql.rank_cte("ra", "a_scores", EVAL_DEPTH),
                       sql.rank_cte("rb", "b_scores", EVAL_DEPTH), sql.qrels_ctes(),
                       sql.eval_ctes("ra", EVAL_DEPTH, "a_"), sql.eval_ctes("rb", EVAL_DEPTH, "b_"),
-                      "ma AS (" + sql.metrics_union(specs, "a_") + ")", "mb AS (" + sql.metrics_union(specs, "b_") + ")",
+                      "ma AS (" + sql.metrics_union(specs, "a_", rnd=False) + ")",
+                      "mb AS (" + sql.metrics_union(specs, "b_", rnd=False) + ")",
                       """d AS (SELECT ma.topic_id, ma.metric, ma.depth, mb.value - ma.value AS d FROM ma
                                JOIN mb USING (topic_id, metric, depth))""",
                       """s AS (SELECT metric, depth, count(*) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd
@@ -654,3 +656,229 @@ def q_examples_columns(spark, sf_dir):
         "id", F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     ex = colf.to_examples(pairs, ["q", "r"], "id", label=1.0)
     return colf.examples_to_columns(ex, n=2)
+
+
+# ---------------------------------------------------------------- step 7: folds, pair audits, sweeps
+from rankspark.operators import folds as fold_ops  # noqa: E402
+from rankspark.operators import pairs as pair_ops  # noqa: E402
+from rankspark.operators import sweep as sweep_ops  # noqa: E402
+from rankspark.functions.text import max_token_length  # noqa: E402
+
+
+def _md5_int(expr: str, start: int, n: int) -> str:
+    return f"('0x' || substr({expr}, {start}, {n}))::BIGINT"
+
+
+_KFOLD_KEY = "md5('42|' || CAST(doc_id AS VARCHAR))"
+
+
+@register("kfolds", f"SELECT doc_id, CAST({_md5_int(_KFOLD_KEY, 1, 8)} % 5 AS INTEGER) AS fold FROM documents")
+def q_kfolds(spark, sf_dir):
+    """Every document in one of 5 seeded folds."""
+    return fold_ops.kfolds(inputs.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 5, 42)
+
+
+@register("stratified_folds", f"""WITH x AS (SELECT vec_id, label, md5('42|' || CAST(vec_id AS VARCHAR)) AS key FROM embeddings),
+    x2 AS (SELECT *, {_md5_int('key', 9, 4)} % 64 AS bucket FROM x),
+    c AS (SELECT label, bucket, count(*) AS n FROM x2 GROUP BY label, bucket),
+    o AS (SELECT label, bucket, coalesce(sum(n) OVER (PARTITION BY label ORDER BY bucket
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c),
+    p AS (SELECT x2.vec_id, x2.label, o.off + row_number() OVER (PARTITION BY x2.label, x2.bucket ORDER BY x2.key, x2.vec_id) - 1 AS pos
+          FROM x2 JOIN o ON x2.label IS NOT DISTINCT FROM o.label AND x2.bucket = o.bucket)
+    SELECT vec_id, label, CAST(pos % 5 AS INTEGER) AS fold FROM p""")
+def q_stratified_folds(spark, sf_dir):
+    """Every embedding in one of 5 folds, stratified by label, seed 42."""
+    e = inputs.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return fold_ops.stratified_folds(e, "vec_id", "label", 5, 42)
+
+
+@register("contiguous_folds", """SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) * 3
+                                        / (SELECT count(*) FROM documents)) AS INTEGER) AS fold FROM documents""")
+def q_contiguous_folds(spark, sf_dir):
+    """Documents in doc_id order cut into exactly 3 contiguous folds."""
+    return fold_ops.contiguous_folds(inputs.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 3)
+
+
+def _pairs(spark, sf_dir):
+    """Labelled pairs: each embedding with the next id; label 1 when the classes agree."""
+    e = inputs.table(spark, sf_dir, "embeddings")
+    a = e.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"), F.col("label").alias("la"))
+    b = e.select((F.col("vec_id") - 1).alias("a_id"), F.col("embedding").alias("b"), F.col("label").alias("lb"))
+    return a.join(b, "a_id").select("a_id", "a", "b", (F.col("la") == F.col("lb")).cast("int").alias("label"))
+
+
+_PAIRS_SQL = """pairs AS (SELECT a.vec_id AS a_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b,
+                                 CAST(a.label = b.label AS INTEGER) AS label
+                          FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
+
+
+def _dist_sql(metric):
+    if metric == "cosine":
+        return f"(1.0 - {sql.cos('a', 'b')})"
+    if metric == "euclidean":
+        return "sqrt(list_sum(list_transform(list_zip(a, b), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))"
+    return "list_sum(list_transform(list_zip(a, b), lambda t: abs(t[1] - t[2])))"
+
+
+@register("contrastive_loss", sql.with_(_PAIRS_SQL) + "\nUNION ALL\n".join(
+    f"""SELECT '{m}' AS metric, count(*) AS n_pairs,
+               round(avg(0.5 * (label * d * d + (1 - label) * pow(greatest(0.5 - d, 0.0), 2))), 6) AS loss_mean,
+               round(sum(0.5 * (label * d * d + (1 - label) * pow(greatest(0.5 - d, 0.0), 2))), 6) AS loss_sum
+        FROM (SELECT label, {_dist_sql(m)} AS d FROM pairs)""" for m in ("cosine", "euclidean", "manhattan")))
+def q_contrastive_loss(spark, sf_dir):
+    """Contrastive loss (margin 0.5) of neighbouring embedding pairs under three distances."""
+    p = _pairs(spark, sf_dir)
+    out = None
+    for m in ("cosine", "euclidean", "manhattan"):
+        one = pair_ops.contrastive_loss(p, m, 0.5).select(F.lit(m).alias("metric"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SUPCON_BATCH = 32
+
+
+@register("supcon_loss", f"""WITH v AS (SELECT CAST(floor(vec_id / {SUPCON_BATCH}) AS BIGINT) AS batch, vec_id AS s, label AS l,
+                                        embedding::DOUBLE[] AS vec FROM embeddings),
+    pr AS (SELECT a.batch, a.s AS a_s, list_dot_product(a.vec, c.vec) / 1.0 AS logit, a.l = c.l AS pos
+           FROM v a JOIN v c ON a.batch = c.batch AND a.s <> c.s),
+    pa AS (SELECT batch, a_s, max(logit) AS m FROM pr GROUP BY batch, a_s),
+    agg AS (SELECT pr.batch, pr.a_s, any_value(pa.m) AS m, sum(exp(logit - pa.m)) AS se,
+                   sum(CASE WHEN pos THEN logit ELSE 0.0 END) AS pos_sum, sum(CASE WHEN pos THEN 1 ELSE 0 END) AS n_pos
+            FROM pr JOIN pa USING (batch, a_s) GROUP BY pr.batch, pr.a_s HAVING sum(CASE WHEN pos THEN 1 ELSE 0 END) > 0)
+    SELECT batch, count(*) AS n_anchors, round(avg(-1.0 * (pos_sum / n_pos - (m + ln(se)))), 6) AS loss FROM agg GROUP BY batch""")
+def q_supcon_loss(spark, sf_dir):
+    """Supervised contrastive loss (temperature 1) in batches of 32 consecutive embeddings."""
+    e = inputs.table(spark, sf_dir, "embeddings")
+    views = e.select(F.floor(F.col("vec_id") / SUPCON_BATCH).cast("long").alias("batch"),
+                     F.col("vec_id").alias("sample_id"), F.lit(0).alias("view"), "label", F.col("embedding").alias("vec"))
+    return pair_ops.supcon_loss(views)
+
+
+_SCORED_SQL = f"scored AS (SELECT round({sql.cos('a', 'b')}, 9) AS score, label FROM pairs)"
+
+
+@register("similarity_eval", sql.with_(_PAIRS_SQL, _SCORED_SQL,
+                                        """r AS (SELECT score, label,
+                                               rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rs,
+                                               rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2.0 AS rl
+                                               FROM scored)""")
+          + "SELECT count(*) AS n, round(corr(score, label), 6) AS pearson, round(corr(rs, rl), 6) AS spearman FROM r")
+def q_similarity_eval(spark, sf_dir):
+    """Pearson and Spearman correlation of pair cosine with the same-class label."""
+    return pair_ops.similarity_eval(pair_ops.cosine_pairs(_pairs(spark, sf_dir)))
+
+
+@register("binary_eval", sql.with_(
+    _PAIRS_SQL, _SCORED_SQL,
+    """per AS (SELECT score, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN label > 0 THEN 0 ELSE 1 END) AS q
+               FROM scored GROUP BY score)""",
+    """cum AS (SELECT score, p, sum(p) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+                      sum(q) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp FROM per)""",
+    "tot AS (SELECT sum(p)::DOUBLE AS n_pos, sum(q)::DOUBLE AS n_neg FROM per)",
+    """x AS (SELECT score, (tp + (n_neg - fp)) / (n_pos + n_neg) AS acc,
+                    CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + (n_pos - tp)) ELSE 0.0 END AS f1,
+                    CASE WHEN n_pos > 0 THEN (p / n_pos) * (tp / (tp + fp)) ELSE 0.0 END AS ap FROM cum, tot)""")
+    + """SELECT round(max(acc), 6) AS best_accuracy,
+                round((SELECT score FROM x ORDER BY acc DESC, score DESC LIMIT 1), 6) AS accuracy_threshold,
+                round(max(f1), 6) AS best_f1,
+                round((SELECT score FROM x ORDER BY f1 DESC, score DESC LIMIT 1), 6) AS f1_threshold,
+                round(sum(ap), 6) AS average_precision FROM x""")
+def q_binary_eval(spark, sf_dir):
+    """Best-threshold accuracy / F1 and average precision of pair cosine for the same-class label."""
+    return pair_ops.binary_eval(pair_ops.cosine_pairs(_pairs(spark, sf_dir)))
+
+
+@register("max_seq_length", sql.with_(sql.corpus_ctes(LEX_FIELDS))
+          + f"SELECT max(greatest(len({sql.tok('title')}), len({sql.tok('body')}))) AS max_seq_length FROM corpus")
+def q_max_seq_length(spark, sf_dir):
+    """The longest token count over the title and body of all documents."""
+    c = inputs.corpus(spark, sf_dir)
+    return c.agg(F.max(max_token_length("title", "body")).cast("long").alias("max_seq_length"))
+
+
+SPACE = {"k1": {"type": "float", "low": 0.5, "high": 2.0, "step": 0.1},
+         "b": {"type": "float", "low": 0.0, "high": 1.0, "step": 0.05}}
+N_SETTINGS = 6
+SWEEP_METRICS = ["ndcg@10", "map@1000"]
+
+
+def _grid_sql() -> str:
+    u = lambda name: f"({_md5_int(f'md5({chr(39)}42|{name}|{chr(39)} || CAST(i AS VARCHAR))', 1, 13)} / 4503599627370496.0)"
+    return (f"grid AS (SELECT i AS setting, 0.5::DOUBLE + floor({u('k1')} * 16) * 0.1::DOUBLE AS k1, "
+            f"0.0::DOUBLE + floor({u('b')} * 21) * 0.05::DOUBLE AS b FROM range({N_SETTINGS}) r(i))")
+
+
+def _sweep_ctes() -> list[str]:
+    specs = [ev.parse_metric(m) for m in SWEEP_METRICS]
+    return [sql.corpus_ctes(("body",)), sql.topics_cte(), _grid_sql(),
+            f"""qt AS (SELECT topic_id, term, count(*) AS qtf FROM (SELECT topic_id, unnest({sql.tok('text')}) AS term
+                       FROM topics WHERE facet_pos = 0) GROUP BY topic_id, term)""",
+            """weights AS (SELECT g.setting, g.k1, g.b, q.topic_id, 'body' AS field, q.term, f.avgdl,
+                                  q.qtf * ln(1 + (f.n_docs - t.df + 0.5) / (t.df + 0.5)) AS wt
+                           FROM qt q JOIN tstats t ON t.field = 'body' AND t.term = q.term
+                           JOIN fstats f ON f.field = 'body', grid g)""",
+            """scores AS (SELECT w.setting, w.topic_id, p.doc_id,
+                                 sum(w.wt * (p.tf * (w.k1 + 1)) / (p.tf + w.k1 * (1 - w.b + w.b * p.dl / w.avgdl))) AS score
+                          FROM postings p JOIN weights w USING (field, term) GROUP BY w.setting, w.topic_id, p.doc_id)""",
+            sql.rank_cte("run", "scores", EVAL_DEPTH, part="setting, topic_id"), sql.qrels_ctes(),
+            sql.eval_ctes("run", EVAL_DEPTH, keys="setting, "),
+            "results AS (" + sql.metrics_union(specs, keys="setting, ", rnd=False) + ")"]
+
+
+def _sweep_results(spark, sf_dir):
+    index = inputs.corpus_index(spark, sf_dir, ("body",))
+    return sweep_ops.sweep(index, inputs.topics(spark, sf_dir), inputs.qrels(spark, sf_dir, index), SPACE,
+                           N_SETTINGS, SWEEP_METRICS, seed=42)
+
+
+@register("param_sweep", sql.with_(*_sweep_ctes())
+          + "SELECT setting, topic_id, metric, depth, round(value, 6) AS value FROM results")
+def q_param_sweep(spark, sf_dir):
+    """Six seeded (k1, b) settings scored in one pass and evaluated per setting and topic."""
+    return _round(_sweep_results(spark, sf_dir), "value")
+
+
+@register("sweep_best", sql.with_(*_sweep_ctes(), """means AS (SELECT setting, avg(value) AS mean_value FROM results
+                                                                WHERE metric = 'ndcg' AND depth = 10 GROUP BY setting)""",
+                                   "best AS (SELECT * FROM means JOIN grid USING (setting) ORDER BY round(mean_value, 9) DESC, setting LIMIT 1)")
+          + """SELECT (SELECT count(*) FROM means) AS n_trials, round(mean_value, 6) AS best_value, setting AS best_setting,
+                      k1 AS best_k1, b AS best_b FROM best""")
+def q_sweep_best(spark, sf_dir):
+    """Number of settings, best mean ndcg@10 and the best setting's k1 and b."""
+    params = sweep_ops.param_grid(spark, SPACE, N_SETTINGS, 42)
+    return sweep_ops.sweep_summary(_sweep_results(spark, sf_dir), params, "ndcg", 10)
+
+
+@register("sweep_cv", sql.with_(*_sweep_ctes(), f"""tf AS (SELECT item_id AS topic_id,
+                                    CAST({_md5_int("md5('42|' || CAST(item_id AS VARCHAR))", 1, 8)} % 3 AS INTEGER) AS fold FROM benchmark)""",
+                                 """r AS (SELECT setting, fold, value, f.test_fold FROM results JOIN tf USING (topic_id),
+                                          range(3) f(test_fold) WHERE metric = 'ndcg' AND depth = 10)""",
+                                 """agg AS (SELECT test_fold, setting, avg(CASE WHEN fold <> test_fold THEN value END) AS train_mean,
+                                                   avg(CASE WHEN fold = test_fold THEN value END) AS test_mean
+                                            FROM r GROUP BY test_fold, setting)""",
+                                 """b AS (SELECT *, row_number() OVER (PARTITION BY test_fold ORDER BY round(train_mean, 9) DESC, setting) AS rn
+                                          FROM agg WHERE train_mean IS NOT NULL)""")
+          + """SELECT CAST(test_fold AS INTEGER) AS test_fold, setting AS best_setting, round(train_mean, 6) AS train_mean,
+                      round(test_mean, 6) AS test_mean FROM b WHERE rn = 1""")
+def q_sweep_cv(spark, sf_dir):
+    """Per held-out fold of 3 seeded topic folds, the setting best on the other folds and its held-out ndcg@10."""
+    folds = fold_ops.kfolds(inputs.topics(spark, sf_dir).select("topic_id"), "topic_id", 3, 42)
+    return sweep_ops.sweep_cv(_sweep_results(spark, sf_dir), folds, "ndcg", 10, 3).withColumn(
+        "test_fold", F.col("test_fold").cast("int"))
+
+
+FIELD_SETS = {"title": ["title"], "body": ["body"], "title+body": ["title", "body"]}
+
+
+@register("ablation_grid", sql.with_(sql.corpus_ctes(LEX_FIELDS), sql.topics_cte(), sql.bm25_ctes(LEX_FIELDS, by_field=True),
+                                      "v AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{f}')" for n, fs in FIELD_SETS.items() for f in fs)
+                                      + ") t(variant, field))",
+                                      "vs AS (SELECT v.variant, s.topic_id, s.doc_id, sum(s.score) AS score FROM scores s JOIN v USING (field) GROUP BY 1, 2, 3)",
+                                      sql.rank_cte("run", "vs", TOPK, part="variant, topic_id"))
+          + "SELECT variant, topic_id, doc_id, rank, round(score, 6) AS score FROM run")
+def q_ablation_grid(spark, sf_dir):
+    """G1: per-field BM25 computed once, summed per field set (title, body, title+body), top 10 per variant."""
+    index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
+    out = sweep_ops.ablation_grid(index, inputs.topics(spark, sf_dir), FIELD_SETS, k=TOPK)
+    return _round(out, "score").select("variant", "topic_id", "doc_id", "rank", "score")

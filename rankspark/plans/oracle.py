@@ -78,22 +78,24 @@ qrels AS (SELECT topic_id, doc_id, CAST(CASE WHEN hit THEN 1 + coalesce(quality,
           FROM judged WHERE hit OR quality IS NOT NULL)"""
 
 
-def eval_ctes(run: str = "run", maxd: int = 1000, p: str = "") -> str:
-    """<p>totals, <p>ej, <p>ej2 and <p>ideal for one run (needs ``qrels``)."""
+def eval_ctes(run: str = "run", maxd: int = 1000, p: str = "", keys: str = "") -> str:
+    """<p>totals, <p>ej, <p>ej2 and <p>ideal for one run (needs ``qrels``); ``keys`` like ``"setting, "``."""
+    kr = ", ".join(f"r.{k.strip()}" for k in keys.split(",") if k.strip())
+    kr = kr + ", " if kr else ""
     return f"""
 {p}totals AS (SELECT topic_id, sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) AS R, sum(CASE WHEN rel <= 0 THEN 1 ELSE 0 END) AS N
            FROM qrels GROUP BY topic_id HAVING sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) > 0),
-{p}ej AS (SELECT r.topic_id, r.doc_id, r.rank, q.rel FROM {run} r LEFT JOIN qrels q USING (topic_id, doc_id) WHERE r.rank <= {maxd}),
-{p}ej2 AS (SELECT e.*, coalesce(sum(CASE WHEN rel <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY topic_id ORDER BY rank
+{p}ej AS (SELECT {kr}r.topic_id, r.doc_id, r.rank, q.rel FROM {run} r LEFT JOIN qrels q USING (topic_id, doc_id) WHERE r.rank <= {maxd}),
+{p}ej2 AS (SELECT e.*, coalesce(sum(CASE WHEN rel <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys}topic_id ORDER BY rank
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above,
-               sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY topic_id ORDER BY rank
+               sum(CASE WHEN rel > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys}topic_id ORDER BY rank
                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rel_upto,
                coalesce(rel, 0)::DOUBLE AS g, t.R::DOUBLE AS RR, t.N::DOUBLE AS NN
         FROM {p}ej e JOIN {p}totals t USING (topic_id)),
 {p}ideal AS (SELECT topic_id, rel, row_number() OVER (PARTITION BY topic_id ORDER BY rel DESC) AS pos FROM qrels WHERE rel > 0)"""
 
 
-def metric_select(name: str, k: int, p: str = "") -> str:
+def metric_select(name: str, k: int, p: str = "", keys: str = "", rnd: bool = True) -> str:
     hits = f"sum(CASE WHEN rank <= {k} AND g > 0 THEN 1 ELSE 0 END)"
     if name == "p":
         v = f"{hits} / {float(k)}"
@@ -113,12 +115,13 @@ def metric_select(name: str, k: int, p: str = "") -> str:
         v = f"coalesce(max(CASE WHEN rank <= {k} AND g > 0 THEN 1.0 / rank END), 0.0)"
     else:
         raise ValueError(name)
-    return (f"SELECT topic_id, '{name}' AS metric, CAST({k} AS INTEGER) AS depth, "
-            f"round(CAST({v} AS DOUBLE), 6) AS value FROM {p}ej2 x GROUP BY topic_id")
+    val = f"round(CAST({v} AS DOUBLE), 6)" if rnd else f"CAST({v} AS DOUBLE)"
+    return (f"SELECT {keys}topic_id, '{name}' AS metric, CAST({k} AS INTEGER) AS depth, "
+            f"{val} AS value FROM {p}ej2 x GROUP BY {keys}topic_id")
 
 
-def metrics_union(specs, p: str = "") -> str:
-    return "\nUNION ALL\n".join(metric_select(n, k, p) for n, k in specs)
+def metrics_union(specs, p: str = "", keys: str = "", rnd: bool = True) -> str:
+    return "\nUNION ALL\n".join(metric_select(n, k, p, keys, rnd) for n, k in specs)
 
 
 def with_(*ctes: str) -> str:
