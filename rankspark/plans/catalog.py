@@ -882,3 +882,67 @@ def q_ablation_grid(spark, sf_dir):
     index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
     out = sweep_ops.ablation_grid(index, inputs.topics(spark, sf_dir), FIELD_SETS, k=TOPK)
     return _round(out, "score").select("variant", "topic_id", "doc_id", "rank", "score")
+
+
+# ---------------------------------------------------------------- step 8: incremental work
+from rankspark.operators.index import Index  # noqa: E402
+from rankspark.streaming import incremental as inc  # noqa: E402
+
+STREAM_FILES = 4
+
+
+def _as_files(df: DataFrame, spark, name: str) -> str:
+    """Write a table as several Parquet files (the stream's arriving files)."""
+    path = scratch_path(spark, name)
+    df.repartition(STREAM_FILES, df.columns[0]).write.parquet(path)
+    return path
+
+
+@register("encode_incremental", sql.with_(
+    sql.corpus_ctes(LEX_FIELDS),
+    "store AS (SELECT DISTINCT sha256(title) AS text_key FROM corpus WHERE title IS NOT NULL)",
+    """fresh AS (SELECT DISTINCT body FROM corpus WHERE body IS NOT NULL
+                 AND sha256(body) NOT IN (SELECT text_key FROM store))""",
+    sql.hash_vec_ctes("hv", "fresh", "body", "body"))
+    + """SELECT sha256(body) AS text_key, len(list_filter(vec, lambda x: x > 0)) AS nnz,
+                round(list_max(vec), 6) AS max_weight FROM hv""")
+def q_encode_incremental(spark, sf_dir):
+    """A store holds the vectors of every title; bodies are encoded only when their text is unseen."""
+    corpus = inputs.corpus(spark, sf_dir)
+    enc_id = f"hash-md5-{DIM}"
+    titles = corpus.select(F.col("title").alias("text")).where(F.col("text").isNotNull()).distinct()
+    store = dense_ops.hash_encode(titles.withColumn("encoder_id", F.lit(enc_id))
+                                  .withColumn("text_key", dense_ops.text_key("text")), "text", DIM,
+                                  keep=["encoder_id", "text_key"])
+    new = dense_ops.encode_incremental(corpus.select(F.col("body").alias("text")), store, enc_id, "text", DIM)
+    return new.select("text_key", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("nnz"),
+                      F.round(F.array_max("embedding"), 6).alias("max_weight"))
+
+
+@register("stream_index_stats", ORACLE["index_stats"])
+def q_stream_index_stats(spark, sf_dir):
+    """Documents arrive as 4 files, one micro-batch each; the streamed index's statistics."""
+    src = _as_files(inputs.corpus(spark, sf_dir).select("doc_id", "title", "body"), spark, "docs-stream")
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out, ckpt = scratch_path(spark, "stream-index"), scratch_path(spark, "stream-index-ckpt")
+    q = inc.stream_index(stream, out, ckpt, LEX_FIELDS)
+    q.awaitTermination()
+    idx = inc.read_stream_index(spark, out)
+    per_field = idx.term_stats.groupBy("field").agg(F.count(F.lit(1)).alias("n_terms"),
+                                                    F.sum("df").cast("long").alias("n_postings"))
+    return (idx.field_stats.join(per_field, "field")
+            .select("field", "n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings"))
+
+
+@register("stream_topics_bm25", ORACLE["bm25_topk"])
+def q_stream_topics_bm25(spark, sf_dir):
+    """Topics arrive as a stream of 4 files; each micro-batch ranked (BM25 top 10) against a stored index."""
+    idx_path = scratch_path(spark, "index")
+    inputs.corpus_index(spark, sf_dir, ("body",)).write(idx_path)
+    index = Index.read(spark, idx_path)
+    src = _as_files(inputs.topics(spark, sf_dir), spark, "topics-stream")
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out, ckpt = scratch_path(spark, "topic-runs"), scratch_path(spark, "topic-runs-ckpt")
+    inc.score_topic_stream(stream, index, out, ckpt, ("body",), k=TOPK).awaitTermination()
+    return _round(spark.read.parquet(out), "score").select("topic_id", "doc_id", "rank", "score")
