@@ -36,9 +36,20 @@ def cosine(a, b, assume_unit: bool = False) -> Column:
 
 
 def l2_normalize(a) -> Column:
-    """Divide by the Euclidean norm (a zero vector stays zero)."""
-    n = norm(a)
-    return F.transform(_c(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    """Divide by the Euclidean norm (a zero vector stays zero).
+
+    The norm is accumulated once and the division happens in the finishing
+    lambda, so the cost is linear in the dimension.
+    """
+    arr = _c(a)
+    return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"),
+                       lambda ss: F.transform(arr, lambda x: F.when(ss > 0, x.cast("double") / F.sqrt(ss))
+                                              .otherwise(F.lit(0.0))))
+
+
+def add_scaled(acc, vec, w) -> Column:
+    """acc + w·vec, element-wise."""
+    return F.zip_with(acc, vec, lambda a, x: a + w * x.cast("double"))
 
 
 def distance(a, b, metric: str = "euclidean") -> Column:

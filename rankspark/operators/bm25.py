@@ -64,7 +64,8 @@ def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights:
                  *[(F.col(src) * idf).alias(f"__w_{out}") for out, src in weights.items()]))
     post = index.postings.join(vocab, ["field", "term"], "left_semi")
     tfn = (F.col("tf") * (k1c + 1.0)) / (F.col("tf") + k1c * (F.lit(1.0) - bc + bc * F.col("dl") / F.col("avgdl")))
-    return (post.join(broadcast_if_bounded(w), ["field", "term"])
+    # w has at most one row per query-term row (df_t and field_stats are unique per key)
+    return (post.join(broadcast_if_bounded(w, bound_by=qterms), ["field", "term"])
             .select("topic_id", "field", "doc_id", *[c for c in param_cols if c not in ("k1", "b")],
                     *[(F.col(f"__w_{out}") * tfn).alias(out) for out in weights]))
 

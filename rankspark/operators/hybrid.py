@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.functions.vectors import cosine
+from rankspark.functions.vectors import add_scaled, dot, l2_normalize
 from rankspark.operators.bm25 import query_terms, select_facets, term_contributions
 from rankspark.operators.index import Index
 from rankspark.operators.runs import rank_run
@@ -52,26 +52,43 @@ def _facet_weight(facet: Column, facet_weights: dict) -> Column:
     return F.coalesce(F.element_at(m, facet), F.lit(1.0))
 
 
-def embed_score(qvecs: Column, doc_cols, offset: float = 1.0, weights: dict | None = None,
-                facet_weights: dict | None = None) -> Column:
-    """Σ over the topic's facet vectors × the document's embedding columns.
+def topic_query_vectors(topic_vectors: DataFrame, used: DataFrame, embed_fields, weights: dict | None = None,
+                        facet_weights: dict | None = None) -> DataFrame:
+    """(topic_id, n_facets, q_<field>...): per embedding field, Σ_facets w·fw·q̂ (unit facet vectors).
 
-    A null document vector contributes 0 and gets no offset. Zero-weight fields
-    are dropped when the plan is built (R27).
+    Cosine is linear in the unit query vector, so Σ_f w·cos(q_f, d) = (Σ_f w·q̂_f)·d̂:
+    one dot product per (candidate, field) instead of one per facet.
+    Facet vectors are few per topic, so they are gathered per topic.
     """
     weights, facet_weights = weights or {}, facet_weights or {}
-    cols = [e for e in doc_cols if float(weights.get(e, 1.0)) != 0.0]
-
-    def per_facet(q):
-        fw = _facet_weight(q["facet"], facet_weights)
-        total = F.lit(0.0)
-        for e in cols:
-            w = F.lit(float(weights.get(e, 1.0))) * fw
-            total = total + F.when(F.col(e).isNull(), F.lit(0.0)).otherwise(
-                w * cosine(q["vec"], F.col(e)) + F.lit(float(offset)))
-        return total
-
-    return F.aggregate(qvecs, F.lit(0.0), lambda acc, q: acc + per_facet(q))
+    tv = (topic_vectors.join(used.select("topic_id", "facet"), ["topic_id", "facet"], "left_semi")
+          .select("topic_id", "facet", l2_normalize("embedding").alias("qhat")))
+    g = tv.groupBy("topic_id").agg(F.collect_list(F.struct("facet", "qhat")).alias("qs"),
+                                   F.count(F.lit(1)).alias("n_facets"))
+    zeros = F.transform(F.col("qs")[0]["qhat"], lambda x: F.lit(0.0))
+    cols = []
+    for e in embed_fields:
+        w = float(weights.get(e, 1.0))
+        cols.append(F.aggregate("qs", zeros, lambda acc, q: add_scaled(acc, q["qhat"], F.lit(w) * _facet_weight(
+            q["facet"], facet_weights))).alias(f"__q_{e}"))
+    return g.select("topic_id", "n_facets", *cols)
+
+
+def embed_score(doc_cols, n_facets: Column, offset: float = 1.0, weights: dict | None = None) -> Column:
+    """Σ over facets × embedding fields of [missing ? 0 : w·cos + offset].
+
+    Expects unit document vectors in ``doc_cols`` and combined query vectors in
+    ``__q_<field>`` (``topic_query_vectors``). A null document vector contributes
+    0 and gets no offset; zero-weight fields are dropped at plan build (R27).
+    """
+    weights = weights or {}
+    total = F.lit(0.0)
+    for e in doc_cols:
+        if float(weights.get(e, 1.0)) == 0.0:
+            continue
+        total = total + F.when(F.col(e).isNull(), F.lit(0.0)).otherwise(
+            dot(f"__q_{e}", e) + n_facets.cast("double") * F.lit(float(offset)))
+    return total
 
 
 def z_value(top: Column, ceiling: Column) -> Column:
@@ -99,17 +116,13 @@ def hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vector
     per_topic_fits = n_topics <= max_broadcast_rows(topics)
 
     used = select_facets(topics, facets)
-    tv = topic_vectors.join(used.select("topic_id", "facet"), ["topic_id", "facet"], "left_semi")
-    qvecs = (tv.groupBy("topic_id")
-             .agg(F.array_sort(F.collect_list(F.struct(F.col("facet_pos").alias("pos"), "facet",
-                                                       F.col("embedding").alias("vec")))).alias("qvecs"),
-                  F.count(F.lit(1)).alias("n_facets")))
-    qvecs = F.broadcast(qvecs) if per_topic_fits else qvecs
-
-    scored = cand.join(qvecs, "topic_id", "left")
+    qv = topic_query_vectors(topic_vectors, used, embed_fields, weights, facet_weights)
+    qv = F.broadcast(qv) if per_topic_fits else qv  # one row per topic
+
+    scored = cand.join(qv, "topic_id", "left")
     if isinstance(z, str) and z == "auto":
         top = cand.groupBy("topic_id").agg(F.max("bm25_first").alias("top"))
-        top = F.broadcast(top) if per_topic_fits else top
+        top = F.broadcast(top) if per_topic_fits else top  # one row per topic
         scored = scored.join(top, "topic_id", "left")
         ceil = (F.lit(float(ceiling)) if ceiling is not None
                 else F.lit(float(len(embed_fields))) * F.coalesce(F.col("n_facets"), F.lit(0)).cast("double"))
@@ -118,9 +131,12 @@ def hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vector
         zc = F.lit(float(z))
     scored = scored.withColumn("z", zc)
 
-    dv = doc_vectors.select("doc_id", *embed_fields)
+    # unit document vectors, computed once per document before the join
+    dv = doc_vectors.select("doc_id", *[l2_normalize(e).alias(e) for e in embed_fields])
     scored = scored.join(dv, "doc_id", "left")
-    emb = F.coalesce(embed_score(F.col("qvecs"), list(embed_fields), offset, weights, facet_weights), F.lit(0.0))
+    scored = scored.withColumn("embed", F.coalesce(
+        embed_score(list(embed_fields), F.coalesce(F.col("n_facets"), F.lit(0)), offset, weights), F.lit(0.0)))
+    emb = F.col("embed")
     bm = F.col("bm25")
     log_term = F.log(bm) / F.log(F.col("z"))
     if guard:
@@ -131,7 +147,7 @@ def hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vector
         score = score_fn({"bm25": bm, "z": F.col("z"), "log_bm25": log_term, "embed": emb})
     else:
         score = F.when(F.col("z") < 0, bm).otherwise(log_term + emb) if use_bm25 else emb
-    out = scored.select("topic_id", "doc_id", "bm25", emb.alias("embed"), "z",
+    out = scored.select("topic_id", "doc_id", "bm25", "embed", "z",
                         F.col("z").isNotNull().alias("z_ok"), score.alias("score"))
     if strict and isinstance(z, str) and out.where(~F.col("z_ok")).limit(1).count() > 0:
         raise ValueError("BM25 ceiling cannot be lower than the cosine ceiling")

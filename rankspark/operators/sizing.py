@@ -21,9 +21,14 @@ def max_broadcast_rows(df: DataFrame) -> int:
     return int(conf) if conf else DEFAULT_MAX_BROADCAST_ROWS
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast hint when ``df.count() <= max_rows``; the plain frame otherwise."""
+def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None, bound_by: DataFrame | None = None) -> DataFrame:
+    """Broadcast hint when the row count is ``<= max_rows``; the plain frame otherwise.
+
+    ``bound_by`` is a cheaper table whose row count is a proven upper bound of
+    ``df``'s (e.g. the query terms for query-term weights joined 1:1 with
+    statistics); it is counted instead of ``df``.
+    """
     bound = max_rows if max_rows is not None else max_broadcast_rows(df)
-    if df.count() <= bound:
+    if (bound_by if bound_by is not None else df).count() <= bound:
         return F.broadcast(df)
     return df
