@@ -25,6 +25,17 @@ def tokenize(col) -> Column:
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(TOKEN_PATTERN), 0)
 
 
+def token_count(col) -> Column:
+    """Number of tokens without building the token array (same count as ``size(tokenize(col))``)."""
+    return F.regexp_count(F.lower(_c(col)), F.lit(TOKEN_PATTERN))
+
+
+def explode_tokens(col) -> Column:
+    """``explode_outer`` of the tokens: unlike ``explode`` it does not make Catalyst add a
+    ``size(tokens) > 0`` filter that evaluates the regex again; callers drop the null row."""
+    return F.explode_outer(tokenize(col))
+
+
 def clean_whitespace(col) -> Column:
     """CRLF CRLF → LF, CRLF → space, runs of spaces → one space."""
     c = F.regexp_replace(_c(col), "\r\n\r\n", "\n")

@@ -15,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.functions.text import tokenize
-from rankspark.operators.index import Index
-from rankspark.operators.sizing import broadcast_if_bounded
+from rankspark.functions.text import explode_tokens
+from rankspark.operators.index import LENGTH_MARKER, Index
+from rankspark.operators.sizing import max_broadcast_rows
 
 
 def select_facets(topics: DataFrame, facets: str = "first") -> DataFrame:
@@ -34,7 +34,7 @@ def query_terms(topics: DataFrame, fields, boosts: dict | None = None, facets: s
     """(topic_id, field, term, qw): query-term weight = count over facets × field boost."""
     boosts = boosts or {}
     t = select_facets(topics, facets)
-    qt = (t.select("topic_id", F.explode(tokenize("text")).alias("term"))
+    qt = (t.select("topic_id", explode_tokens("text").alias("term")).where(F.col("term").isNotNull())
           .groupBy("topic_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     fb = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(boosts.get(f, 1.0))).alias("boost"))
                    for f in fields])
@@ -55,17 +55,40 @@ def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights:
     k1c = k1 if isinstance(k1, Column) else F.lit(float(k1))
     bc = b if isinstance(b, Column) else F.lit(float(b))
     param_cols = [c for c in qterms.columns if c not in ("topic_id", "field", "term", *weights.values())]
-    vocab = broadcast_if_bounded(qterms.select("field", "term").distinct())
-    df_t = index.term_stats.join(vocab, ["field", "term"], "left_semi")
+    n_q = qterms.count()
+    fits = n_q <= max_broadcast_rows(qterms)
+    vocab = qterms.select("field", "term").distinct()
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if index.raw is not None:
+        # one pass: the matched rows (query terms + length markers of the asked fields) give
+        # df per term, N and avgdl per field, and the postings to score. Nothing filters
+        # ``m`` (a filter would be pushed below the exchange and split it in two); df reads
+        # tf (Σ signum(tf) = number of postings) for the same reason, and marker rows fall
+        # out of the scoring join because no query term is empty.
+        markers = vocab.select("field").distinct().withColumn("term", F.lit(LENGTH_MARKER))
+        keys = vocab.unionByName(markers)
+        keys = F.broadcast(keys) if fits else keys  # rows <= query-term rows + #fields
+        m = index.raw.join(keys, ["field", "term"], "left_semi")
+        stats = m.groupBy("field", "term").agg(F.sum(F.signum("tf")).cast("long").alias("df"),
+                                               F.avg("dl").alias("mean_dl"))
+        is_marker = F.col("term") == LENGTH_MARKER
+        field_stats = stats.groupBy("field").agg(
+            F.sum(F.when(is_marker, F.col("df"))).alias("n_docs"),
+            F.sum(F.when(is_marker, F.col("mean_dl"))).alias("avgdl"))
+        df_t = stats.select("field", "term", "df")
+        post = m
+    else:
+        vocab = F.broadcast(vocab) if fits else vocab
+        post = index.postings.join(vocab, ["field", "term"], "left_semi")
+        df_t = index.term_stats.join(vocab, ["field", "term"], "left_semi")
+        field_stats = index.field_stats
     w = (qterms.join(df_t, ["field", "term"])
-         .join(F.broadcast(index.field_stats), "field")
+         .join(F.broadcast(field_stats), "field")  # one row per field
          .select("topic_id", "field", "term", "avgdl", *param_cols,
                  *[(F.col(src) * idf).alias(f"__w_{out}") for out, src in weights.items()]))
-    post = index.postings.join(vocab, ["field", "term"], "left_semi")
     tfn = (F.col("tf") * (k1c + 1.0)) / (F.col("tf") + k1c * (F.lit(1.0) - bc + bc * F.col("dl") / F.col("avgdl")))
     # w has at most one row per query-term row (df_t and field_stats are unique per key)
-    return (post.join(broadcast_if_bounded(w, bound_by=qterms), ["field", "term"])
+    return (post.join(F.broadcast(w) if fits else w, ["field", "term"])
             .select("topic_id", "field", "doc_id", *[c for c in param_cols if c not in ("k1", "b")],
                     *[(F.col(f"__w_{out}") * tfn).alias(out) for out in weights]))
 

@@ -15,12 +15,20 @@ from pyspark.sql import functions as F
 from rankspark.functions.text import tokenize
 
 
+# Fixed value: the term of the one marker row per (field, document) in ``Index.raw``.
+# Tokens are non-empty runs of letters/digits, so the empty string never clashes.
+LENGTH_MARKER = ""
+
+
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame  # field, term, doc_id, dl, tf
     doc_len: DataFrame  # field, doc_id, dl
     term_stats: DataFrame  # field, term, df
     field_stats: DataFrame  # field, n_docs, avgdl
+    # Postings plus one LENGTH_MARKER row per (field, doc): a single tokenisation pass
+    # yields postings, lengths and statistics (None for an index read from storage).
+    raw: DataFrame | None = None
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
         """Persist the index: postings range-clustered by term for scan pruning."""
@@ -49,14 +57,22 @@ def fields_long(docs: DataFrame, fields, doc_id: str = "doc_id") -> DataFrame:
 
 
 def build_index(docs: DataFrame, fields=("body",), doc_id: str = "doc_id") -> Index:
-    """Tokenise each field and derive postings, lengths and statistics (lazy)."""
+    """Tokenise each field once and derive postings, lengths and statistics (lazy).
+
+    Each (field, doc) contributes its token rows plus one marker row carrying its
+    length, all through one ``explode_outer`` (no inferred filter re-running the
+    regex) and one partial + final aggregate.
+    """
     long = fields_long(docs, fields, doc_id)
-    doc_len = long.select("field", "doc_id", F.size(tokenize("text")).alias("dl"))
-    postings = (long.select("field", "doc_id", tokenize("text").alias("toks"))
-                .select("field", "doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-                .groupBy("field", "term", "doc_id", "dl")
-                .agg(F.count(F.lit(1)).alias("tf")))
+    raw = (long.select("field", "doc_id", tokenize("text").alias("toks"))
+           .select("field", "doc_id", F.size("toks").alias("dl"),
+                   F.explode_outer(F.concat(F.array(F.lit(LENGTH_MARKER)), F.col("toks"))).alias("term"))
+           .where(F.col("term").isNotNull())
+           .groupBy("field", "term", "doc_id", "dl")
+           .agg(F.count(F.lit(1)).alias("tf")))
+    postings = raw.where(F.col("term") != LENGTH_MARKER)
+    doc_len = raw.where(F.col("term") == LENGTH_MARKER).select("field", "doc_id", "dl")
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     field_stats = doc_len.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                                F.avg("dl").alias("avgdl"))
-    return Index(postings, doc_len, term_stats, field_stats)
+    return Index(postings.select("field", "term", "doc_id", "dl", "tf"), doc_len, term_stats, field_stats, raw)

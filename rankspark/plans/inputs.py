@@ -64,16 +64,17 @@ def qrels(spark: SparkSession, sf_dir: str, index: Index | None = None) -> DataF
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic_id"), "text")
     toks = b.select("topic_id", "text", tokenize("text").alias("toks"))
-    inner = toks.select("topic_id", "text", F.posexplode("toks").alias("pos", "term"), F.size("toks").alias("n"))
+    inner = (toks.select("topic_id", "text", F.posexplode_outer("toks").alias("pos", "term"), F.size("toks").alias("n"))
+             .where(F.col("term").isNotNull()))
     inner = inner.where((F.col("n") < 3) | ((F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1)))
-    body_df = index.term_stats.where(F.col("field") == "body").select("term", "df")
-    ranked = inner.join(body_df.join(broadcast_if_bounded(inner.select("term").distinct(), bound_by=inner),
-                                     "term", "left_semi"), "term")
+    terms = broadcast_if_bounded(inner.select("term").distinct(), bound_by=inner)
+    post = (index.postings.where(F.col("field") == "body").select("term", "doc_id")
+            .join(terms, "term", "left_semi"))
+    body_df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ranked = inner.join(body_df, "term")
     w = Window.partitionBy("topic_id").orderBy("df", "term")
     anchor = (ranked.withColumn("r", F.row_number().over(w))
               .where((F.col("r") == 1) | (F.col("n") < 3)).select("topic_id", "text", "term"))
-    post = index.postings.where(F.col("field") == "body").select("term", "doc_id")
-    # anchors are a subset of the topics' interior tokens: bounded by ``inner``
     cand = post.join(broadcast_if_bounded(anchor, bound_by=inner), "term").select("topic_id", "doc_id", "text").distinct()
     judged = (cand.join(docs, "doc_id")
               .withColumn("hit", F.instr(F.col("doc_text"), F.col("text")) > 0)
