@@ -32,3 +32,16 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None, bound_by: D
     if (bound_by if bound_by is not None else df).count() <= bound:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition on ``key`` when a scan yields fewer splits than the cluster has cores.
+
+    Small files with few row groups give few scan tasks; the tokenisation that
+    follows is CPU-bound, so it is worth one exchange of the input. Large inputs
+    (more splits than cores) are returned untouched — no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions.text import first_line, tokenize
 from rankspark.operators.index import Index, build_index
-from rankspark.operators.sizing import broadcast_if_bounded
+from rankspark.operators.sizing import broadcast_if_bounded, spread
 
 CORPUS_FIELDS = ("title", "body")
 
@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     return d.select("doc_id", first_line("text").alias("title"), F.col("text").alias("body"), "source", "lang")
 
 
