@@ -25,6 +25,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.operators.runs import exclude as drop_pairs
+
 DECIMALS = 6
 _ALIASES = {"r": "recall", "P": "p", "precision": "p", "Rprec": "rprec"}
 KNOWN = ("p", "recall", "rprec", "ndcg", "bpref", "map", "recip_rank")
@@ -170,7 +172,7 @@ def evaluate_residual(run: DataFrame, qrels: DataFrame, exclude: DataFrame, metr
     ``rerank=True`` renumbers the remaining documents; ``reduce_qrels=True`` also
     removes the pairs from the judgements.
     """
-    keep = run.join(exclude.select("topic_id", "doc_id"), ["topic_id", "doc_id"], "left_anti")
+    keep = drop_pairs(run, exclude)
     if rerank:
         w = Window.partitionBy("topic_id").orderBy("rank")
         keep = keep.withColumn("rank", F.row_number().over(w).cast("long"))

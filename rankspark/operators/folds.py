@@ -37,22 +37,31 @@ def kfolds(df: DataFrame, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int = 42,
-                     buckets: int = 64) -> DataFrame:
-    """Stratified k-fold (see module docstring)."""
+                     rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Stratified k-fold (see module docstring).
+
+    Each label is split into ⌈n_label / rows_per_bucket⌉ hash buckets (counted
+    first), so the per-bucket window never holds more than about
+    ``rows_per_bucket`` rows, however large a label is.
+    """
     key = seeded_key(id_col, seed)
-    x = df.withColumn("__key", key).withColumn(
-        "__bucket", F.pmod(F.conv(F.substring("__key", 9, 4), 16, 10).cast("long"), F.lit(buckets)))
+    x = df.withColumn("__key", key)
+    per_label = x.groupBy(label_col).agg(F.count(F.lit(1)).alias("__nl")).select(
+        F.col(label_col).alias("__lab"),
+        F.greatest(F.lit(1), F.ceil(F.col("__nl") / F.lit(rows_per_bucket))).cast("long").alias("__nb"))
+    # one row per label; AQE broadcasts it when small (no hint: the label count is not bounded here)
+    x = (x.join(per_label, x[label_col].eqNullSafe(per_label["__lab"])).drop("__lab")
+         .withColumn("__bucket", F.pmod(F.conv(F.substring("__key", 9, 8), 16, 10).cast("long"), F.col("__nb"))))
     counts = x.groupBy(label_col, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     wb = Window.partitionBy(label_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(label_col, "__bucket", F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"))
+    offsets = counts.select(F.col(label_col).alias("__ol"), F.col("__bucket").alias("__ob"),
+                            F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"))
     w = Window.partitionBy(label_col, "__bucket").orderBy("__key", F.col(id_col))
-    # offsets: one row per (label, bucket); no hint — AQE broadcasts it from its measured size
-    pos = x.join(offsets.withColumnRenamed(label_col, "__ol").withColumnRenamed("__bucket", "__ob"),
-                 (x[label_col].eqNullSafe(F.col("__ol"))) & (x["__bucket"] == F.col("__ob"))).drop("__ol", "__ob")
-    pos = pos.withColumn(
-        "__pos", F.col("__off") + F.row_number().over(w) - 1)
-    return pos.withColumn("fold", F.pmod(F.col("__pos"), F.lit(k)).cast("int")).drop("__key", "__bucket", "__off",
-                                                                                     "__pos")
+    pos = (x.join(offsets, x[label_col].eqNullSafe(F.col("__ol")) & (x["__bucket"] == F.col("__ob")))
+           .drop("__ol", "__ob")
+           .withColumn("__pos", F.col("__off") + F.row_number().over(w) - 1))
+    return pos.withColumn("fold", F.pmod(F.col("__pos"), F.lit(k)).cast("int")).drop(
+        "__key", "__bucket", "__off", "__pos", "__nb")
 
 
 def contiguous_folds(df: DataFrame, order_col: str, k: int, id_col: str | None = None) -> DataFrame:

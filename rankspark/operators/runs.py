@@ -48,3 +48,16 @@ def rank_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_positions"),
                  F.sum(F.when(F.col("doc_a") == F.col("doc_b"), 1).otherwise(0)).alias("n_same"))
             .withColumn("agreement", F.round(F.col("n_same") / F.col("n_positions"), SCORE_DECIMALS)))
+
+
+def exclude(run: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Drop the listed (topic, doc) pairs from a run (left anti join), ranks untouched."""
+    return run.join(pairs.select("topic_id", "doc_id"), ["topic_id", "doc_id"], "left_anti")
+
+
+def concat_examples(*dfs: DataFrame) -> DataFrame:
+    """Concatenate datasets (UNION ALL by column name, no de-duplication)."""
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out

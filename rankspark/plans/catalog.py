@@ -679,7 +679,8 @@ def q_kfolds(spark, sf_dir):
 
 
 @register("stratified_folds", f"""WITH x AS (SELECT vec_id, label, md5('42|' || CAST(vec_id AS VARCHAR)) AS key FROM embeddings),
-    x2 AS (SELECT *, {_md5_int('key', 9, 4)} % 64 AS bucket FROM x),
+    nl AS (SELECT label, greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) AS nb FROM x GROUP BY label),
+    x2 AS (SELECT x.*, {_md5_int('key', 9, 8)} % nl.nb AS bucket FROM x JOIN nl ON x.label IS NOT DISTINCT FROM nl.label),
     c AS (SELECT label, bucket, count(*) AS n FROM x2 GROUP BY label, bucket),
     o AS (SELECT label, bucket, coalesce(sum(n) OVER (PARTITION BY label ORDER BY bucket
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c),

@@ -119,7 +119,7 @@ def test_unjudged_document_leaves_bpref_unchanged(spark):
 def test_folds_partition_and_stratify(spark):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", "label")
     n = e.count()
-    f = folds.stratified_folds(e, "vec_id", "label", k=5, buckets=4)
+    f = folds.stratified_folds(e, "vec_id", "label", k=5, rows_per_bucket=7)
     rows = f.collect()
     assert len(rows) == n and len({r.vec_id for r in rows}) == n
     per = Counter((r.label, r.fold) for r in rows)

@@ -1,5 +1,7 @@
 """Readers, writers and column helpers."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,53 @@ def test_text_functions(spark):
     assert row.c == "a\nb c d"
     assert row.s == ["One", "Two", "three"]
     assert row.k == ["ünïcode", "42", "x", "y"]
+
+
+def test_small_helpers(spark, tmp_path):
+    from rankspark.operators.runs import concat_examples, exclude, rank_agreement, select_ids
+    from rankspark.sources.corpus import enrich_corpus, load_pairs
+    run = spark.createDataFrame([("t", "a", 1, 2.0), ("t", "b", 2, 1.0)],
+                                "topic_id string, doc_id string, rank long, score double")
+    assert [r.doc_id for r in exclude(run, run.where("doc_id = 'a'")).collect()] == ["b"]
+    assert concat_examples(run, run).count() == 4
+    assert select_ids(run).columns == ["topic_id", "doc_id", "rank", "score"]
+    other = spark.createDataFrame([("t", "a", 1, 2.0), ("t", "c", 2, 1.0)], run.schema)
+    ag = rank_agreement(run, other).first()
+    assert (ag.n_positions, ag.n_same, ag.agreement) == (2, 1, 0.5)
+    pairs = spark.createDataFrame([(3, "x", "y", 2), (1, "p", "q", -1), (2, "m", "n", 1)],
+                                  "id int, a string, b string, label int")
+    got = sorted((r.id, r.label) for r in load_pairs(pairs, ["a", "b"], id_col="id", limit=2).collect())
+    assert got == [(2, 0)]  # first two by id: 1 (−1 → dropped), 2 (1 // 2 = 0)
+    docs = spark.createDataFrame([(1, "t")], "doc_id long, body string")
+    vecs = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id long, body_embedding array<double>")
+    enrich_corpus(docs, vecs, str(tmp_path / "v2"))
+    assert spark.read.parquet(str(tmp_path / "v2")).columns == ["doc_id", "body", "body_embedding"]
+    nested = spark.createDataFrame([((1, "x"),)], "A struct<B:int, Textblock:string>")
+    assert nested.select(colf.facet(nested, "A_B")).first()[0] == 1
+    assert nested.select(colf.field_text(nested, "A")).first()[0] == "x"
+    assert spark.range(1).select(colf.relevance(F.lit(1))).first()[0] == 0.5
+
+
+def test_hybrid_options_and_generic_rerank(spark):
+    from rankspark.operators import hybrid as hy
+    from rankspark.operators.index import build_index
+    from rankspark.operators.rerank import rerank
+    docs = spark.createDataFrame([(1, "red apple pie"), (2, "green apple"), (3, "blue sky")], "doc_id long, body string")
+    topics = spark.createDataFrame([(7, "q", 0, "apple pie")], "topic_id long, facet string, facet_pos int, text string")
+    tv = spark.createDataFrame([(7, "q", 0, [1.0, 0.0])], "topic_id long, facet string, facet_pos int, embedding array<double>")
+    dv = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, embedding array<double>")
+    idx = build_index(docs)
+    plain = {r.doc_id: r for r in hy.hybrid(idx, topics, tv, dv, z=-1.0).collect()}
+    assert plain[1].score == pytest.approx(plain[1].bm25)  # negative z: plain BM25
+    assert 3 not in plain  # no lexical match, no candidate
+    emb_only = {r.doc_id: r.score for r in hy.hybrid(idx, topics, tv, dv, use_bm25=False).collect()}
+    assert emb_only == pytest.approx({1: 2.0, 2: 1.0})
+    fixed = {r.doc_id: r for r in hy.hybrid(idx, topics, tv, dv, z=2.0, guard=True).collect()}
+    assert fixed[2].score == pytest.approx(math.log(fixed[2].bm25) / math.log(2.0) + 1.0)
+    custom = hy.hybrid(idx, topics, tv, dv, z=2.0, score_fn=lambda c: c["embed"] * 10).collect()
+    assert sorted(r.score for r in custom) == pytest.approx([10.0, 20.0])
+    rr = rerank(plain_run := spark.createDataFrame([(7, 1, 1, 5.0), (7, 2, 2, 4.0)],
+                                                   "topic_id long, doc_id long, rank long, score double"),
+                -F.col("score"))
+    assert [r.doc_id for r in rr.orderBy("rank").collect()] == [2, 1]
+    del plain_run
