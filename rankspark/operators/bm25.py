@@ -86,11 +86,22 @@ def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights:
          .join(F.broadcast(field_stats), "field")  # one row per field
          .select("topic_id", "field", "term", "avgdl", *param_cols,
                  *[(F.col(src) * idf).alias(f"__w_{out}") for out, src in weights.items()]))
-    tfn = (F.col("tf") * (k1c + 1.0)) / (F.col("tf") + k1c * (F.lit(1.0) - bc + bc * F.col("dl") / F.col("avgdl")))
-    # w has at most one row per query-term row (df_t and field_stats are unique per key)
-    return (post.join(F.broadcast(w) if fits else w, ["field", "term"])
-            .select("topic_id", "field", "doc_id", *[c for c in param_cols if c not in ("k1", "b")],
-                    *[(F.col(f"__w_{out}") * tfn).alias(out) for out in weights]))
+    per_setting = isinstance(k1, Column) or isinstance(b, Column)
+    keep = [c for c in param_cols if c not in ("k1", "b")]
+    wb = F.broadcast(w) if fits else w  # at most one row per query-term row (df_t, field_stats unique per key)
+    if per_setting:
+        tfn = (F.col("tf") * (k1c + 1.0)) / (F.col("tf") + k1c * (F.lit(1.0) - bc + bc * F.col("dl") / F.col("avgdl")))
+        return (post.join(wb, ["field", "term"])
+                .select("topic_id", "field", "doc_id", *keep,
+                        *[(F.col(f"__w_{out}") * tfn).alias(out) for out in weights]))
+    # fixed k1, b: the tf normalisation is computed once per posting, before the join fans
+    # each posting out to every topic holding the term
+    avg = F.broadcast(field_stats.select("field", F.col("avgdl").alias("__avgdl")))  # one row per field
+    tfn = (F.col("tf") * (k1c + 1.0)) / (F.col("tf") + k1c * (F.lit(1.0) - bc + bc * F.col("dl") / F.col("__avgdl")))
+    normed = post.join(avg, "field").select("field", "term", "doc_id", tfn.alias("__tfn"))
+    return (normed.join(wb.drop("avgdl"), ["field", "term"])
+            .select("topic_id", "field", "doc_id", *keep,
+                    *[(F.col(f"__w_{out}") * F.col("__tfn")).alias(out) for out in weights]))
 
 
 def bm25(index: Index, topics: DataFrame, fields=("body",), k1: float = 1.2, b: float = 0.75,
