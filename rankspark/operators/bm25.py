@@ -75,17 +75,21 @@ def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights:
         field_stats = stats.groupBy("field").agg(
             F.sum(F.when(is_marker, F.col("df"))).alias("n_docs"),
             F.sum(F.when(is_marker, F.col("mean_dl"))).alias("avgdl"))
-        df_t = stats.select("field", "term", "df")
+        df_t = stats.where(F.col("mean_dl") >= 0).select("field", "term", "df")  # reads mean_dl: see note below
         post = m
     else:
         vocab = F.broadcast(vocab) if fits else vocab
         post = index.postings.join(vocab, ["field", "term"], "left_semi")
         df_t = index.term_stats.join(vocab, ["field", "term"], "left_semi")
         field_stats = index.field_stats
+    # Every consumer of the statistics reads both n_docs and avgdl (the ``avgdl > 0`` and
+    # ``n_docs > 0`` guards below never change a value: a field with postings has both
+    # positive). Otherwise column pruning trims the shared aggregates differently per
+    # consumer and Catalyst plans a second pass over the corpus instead of reusing one.
     w = (qterms.join(df_t, ["field", "term"])
          .join(F.broadcast(field_stats), "field")  # one row per field
          .select("topic_id", "field", "term", "avgdl", *param_cols,
-                 *[(F.col(src) * idf).alias(f"__w_{out}") for out, src in weights.items()]))
+                 *[F.when(F.col("avgdl") > 0, F.col(src) * idf).alias(f"__w_{out}") for out, src in weights.items()]))
     per_setting = isinstance(k1, Column) or isinstance(b, Column)
     keep = [c for c in param_cols if c not in ("k1", "b")]
     wb = F.broadcast(w) if fits else w  # at most one row per query-term row (df_t, field_stats unique per key)
@@ -96,9 +100,9 @@ def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights:
                         *[(F.col(f"__w_{out}") * tfn).alias(out) for out in weights]))
     # fixed k1, b: the tf normalisation is computed once per posting, before the join fans
     # each posting out to every topic holding the term
-    avg = F.broadcast(field_stats.select("field", F.col("avgdl").alias("__avgdl")))  # one row per field
+    avg = F.broadcast(field_stats.select("field", F.col("avgdl").alias("__avgdl"), F.col("n_docs").alias("__n")))
     tfn = (F.col("tf") * (k1c + 1.0)) / (F.col("tf") + k1c * (F.lit(1.0) - bc + bc * F.col("dl") / F.col("__avgdl")))
-    normed = post.join(avg, "field").select("field", "term", "doc_id", tfn.alias("__tfn"))
+    normed = post.join(avg, "field").select("field", "term", "doc_id", F.when(F.col("__n") > 0, tfn).alias("__tfn"))
     return (normed.join(wb.drop("avgdl"), ["field", "term"])
             .select("topic_id", "field", "doc_id", *keep,
                     *[(F.col(f"__w_{out}") * F.col("__tfn")).alias(out) for out in weights]))
