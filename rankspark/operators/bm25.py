@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.functions.text import explode_tokens
+from rankspark.functions.text import explode_tokens, token_count
 from rankspark.operators.index import LENGTH_MARKER, Index
 from rankspark.operators.sizing import max_broadcast_rows
 
@@ -43,7 +43,14 @@ def query_terms(topics: DataFrame, fields, boosts: dict | None = None, facets: s
             .where(F.col("qw") != 0))
 
 
-def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights: dict | None = None) -> DataFrame:
+def query_size_bound(topics: DataFrame, n_fields: int, n_settings: int = 1) -> int:
+    """An upper bound of the query-term rows: topic tokens × fields × settings (one small job)."""
+    n_tok = topics.agg(F.sum(token_count("text"))).first()[0] or 0
+    return int(n_tok) * n_fields * n_settings + n_fields
+
+
+def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights: dict | None = None,
+                       row_bound: int | None = None) -> DataFrame:
     """(topic_id, field, doc_id, <part>...): BM25 summands of every matched posting.
 
     ``weights`` maps output column → query-weight column of ``qterms`` (default
@@ -55,7 +62,8 @@ def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights:
     k1c = k1 if isinstance(k1, Column) else F.lit(float(k1))
     bc = b if isinstance(b, Column) else F.lit(float(b))
     param_cols = [c for c in qterms.columns if c not in ("topic_id", "field", "term", *weights.values())]
-    n_q = qterms.count()
+    # ``row_bound``: a proven upper bound of qterms' rows from the caller (saves a count job)
+    n_q = row_bound if row_bound is not None else qterms.count()
     fits = n_q <= max_broadcast_rows(qterms)
     vocab = qterms.select("field", "term").distinct()
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -115,7 +123,7 @@ def bm25(index: Index, topics: DataFrame, fields=("body",), k1: float = 1.2, b:
     ``by_field=True`` keeps ``field`` in the key (one score per field, R9 / G1).
     """
     qterms = query_terms(topics, fields, boosts, facets)
-    parts = term_contributions(index, qterms, k1, b)
+    parts = term_contributions(index, qterms, k1, b, row_bound=query_size_bound(topics, len(fields)))
     keys = ["topic_id", "field", "doc_id"] if by_field else ["topic_id", "doc_id"]
     return parts.groupBy(*keys).agg(F.sum("part").alias("score"))
 
@@ -137,11 +145,14 @@ def bm25_settings(index: Index, topics: DataFrame, settings, fields=("body",), b
     ``array<struct<setting, k1, b>>``; it is exploded into the query side, so the
     postings are read once and no join with a settings table is needed.
     """
+    settings_list = None if isinstance(settings, Column) else list(settings)
     if not isinstance(settings, Column):
         settings = F.array(*[F.struct(F.lit(s).alias("setting"), F.lit(float(k1)).alias("k1"),
                                       F.lit(float(b)).alias("b")) for s, k1, b in settings])
     q = (query_terms(topics, fields, boosts, facets)
          .select("*", F.explode(settings).alias("__s"))
          .select("topic_id", "field", "term", "qw", "__s.setting", "__s.k1", "__s.b"))
-    parts = term_contributions(index, q, F.col("k1"), F.col("b"))
+    n_settings = len(settings_list) if settings_list is not None else None
+    bound = query_size_bound(topics, len(fields), n_settings) if n_settings is not None else None
+    parts = term_contributions(index, q, F.col("k1"), F.col("b"), row_bound=bound)
     return parts.groupBy("setting", "topic_id", "doc_id").agg(F.sum("part").alias("score"))

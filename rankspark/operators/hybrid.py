@@ -26,21 +26,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions.vectors import add_scaled, dot, l2_normalize
-from rankspark.operators.bm25 import query_terms, select_facets, term_contributions
+from rankspark.functions.text import token_count
+from rankspark.operators.bm25 import query_size_bound, query_terms, select_facets, term_contributions
 from rankspark.operators.index import Index
 from rankspark.operators.runs import rank_run
 from rankspark.operators.sizing import broadcast_if_bounded, max_broadcast_rows
 
 
 def lexical_candidates(index: Index, topics: DataFrame, fields, boosts=None, k1=1.2, b=0.75,
-                       facets: str = "all") -> DataFrame:
+                       facets: str = "all", row_bound: int | None = None) -> DataFrame:
     """(topic_id, doc_id, bm25, bm25_first): both sums from one pass over the postings."""
     q_used = query_terms(topics, fields, boosts, facets).withColumnRenamed("qw", "qw_used")
     q_first = query_terms(topics, fields, boosts, "first").withColumnRenamed("qw", "qw_first")
     q = (q_used.join(q_first, ["topic_id", "field", "term"], "full_outer")
          .select("topic_id", "field", "term", F.coalesce("qw_used", F.lit(0.0)).alias("qw_used"),
                  F.coalesce("qw_first", F.lit(0.0)).alias("qw_first")))
-    parts = term_contributions(index, q, k1, b, {"p_used": "qw_used", "p_first": "qw_first"})
+    bound = row_bound if row_bound is not None else query_size_bound(topics, len(fields))
+    parts = term_contributions(index, q, k1, b, {"p_used": "qw_used", "p_first": "qw_first"}, row_bound=bound)
     return (parts.groupBy("topic_id", "doc_id")
             .agg(F.sum("p_used").alias("bm25"), F.sum("p_first").alias("bm25_first")))
 
@@ -111,9 +113,10 @@ def hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vector
     Columns (bm25, z, log_bm25, embed) and returns a Column.
     Output: topic_id, doc_id, rank, score, bm25, embed, z, z_ok.
     """
-    cand = lexical_candidates(index, topics, fields, boosts, k1, b, facets)
-    n_topics = topics.select("topic_id").distinct().count()
-    per_topic_fits = n_topics <= max_broadcast_rows(topics)
+    sizes = topics.agg(F.count_distinct("topic_id").alias("n"), F.sum(token_count("text")).alias("tok")).first()
+    per_topic_fits = sizes["n"] <= max_broadcast_rows(topics)
+    cand = lexical_candidates(index, topics, fields, boosts, k1, b, facets,
+                              row_bound=int(sizes["tok"] or 0) * len(fields) + len(fields))
 
     used = select_facets(topics, facets)
     qv = topic_query_vectors(topic_vectors, used, embed_fields, weights, facet_weights)
