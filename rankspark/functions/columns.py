@@ -74,6 +74,15 @@ def field_text(df: DataFrame, field: str) -> Column:
     return F.col(field).cast("string")
 
 
+def texts_to_encode(df: DataFrame, field: str, encoded_col: str | None = None) -> DataFrame:
+    """Rows whose field text should be encoded: text present (``Textblock`` child when
+    there is one) and, when ``encoded_col`` is given, no vector stored yet."""
+    out = df.withColumn(f"{field}_text", field_text(df, field)).where(F.col(f"{field}_text").isNotNull())
+    if encoded_col and encoded_col in df.columns:
+        out = out.where(F.col(encoded_col).isNull())
+    return out
+
+
 def relevance(col, max_score: float = 2.0) -> Column:
     """Graded label scaled to 0–1."""
     c = F.col(col) if isinstance(col, str) else col

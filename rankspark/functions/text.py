@@ -59,3 +59,8 @@ def max_token_length(*cols) -> Column:
     """A11 helper: the largest token count over several text columns of a row."""
     sizes = [F.size(tokenize(c)) for c in cols]
     return sizes[0] if len(sizes) == 1 else F.greatest(*sizes)
+
+
+def max_seq_length(df, cols):
+    """The longest token count over the given text columns of all rows (one-row DataFrame)."""
+    return df.agg(F.max(max_token_length(*cols)).cast("long").alias("max_seq_length"))

@@ -116,6 +116,13 @@ def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights:
                     *[(F.col(f"__w_{out}") * F.col("__tfn")).alias(out) for out in weights]))
 
 
+def match_terms(qterms: DataFrame, index: Index) -> DataFrame:
+    """Query terms ⋈ postings on (field, term) — (topic_id, field, term, doc_id, tf, dl, qw)."""
+    n = qterms.count()
+    q = F.broadcast(qterms) if n <= max_broadcast_rows(qterms) else qterms
+    return index.postings.join(q, ["field", "term"])
+
+
 def bm25(index: Index, topics: DataFrame, fields=("body",), k1: float = 1.2, b: float = 0.75,
          boosts: dict | None = None, facets: str = "first", by_field: bool = False) -> DataFrame:
     """(topic_id, doc_id, score) for every document with ≥ 1 matching term.

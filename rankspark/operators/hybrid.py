@@ -93,6 +93,21 @@ def embed_score(doc_cols, n_facets: Column, offset: float = 1.0, weights: dict |
     return total
 
 
+def top_bm25(scores: DataFrame) -> DataFrame:
+    """The best score per topic (the automatic norm pass), one row per topic."""
+    return scores.groupBy("topic_id").agg(F.max("score").alias("top_bm25"))
+
+
+def attach_z(run: DataFrame, ceiling: float, scores: DataFrame | None = None) -> DataFrame:
+    """Per-row z from the topic's best score; null z unless best > ceiling.
+
+    ``scores`` defaults to the run itself; the per-topic table (one row per
+    topic) is joined back as a partial + final aggregate, not a window.
+    """
+    top = top_bm25(scores if scores is not None else run)
+    return run.join(top, "topic_id", "left").withColumn("z", z_value(F.col("top_bm25"), F.lit(float(ceiling))))
+
+
 def z_value(top: Column, ceiling: Column) -> Column:
     """Top ** (1/ceiling), null unless top > ceiling."""
     return F.when(top > ceiling, F.pow(top, F.lit(1.0) / ceiling))

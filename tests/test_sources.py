@@ -168,3 +168,18 @@ def test_hybrid_options_and_generic_rerank(spark):
                 -F.col("score"))
     assert [r.doc_id for r in rr.orderBy("rank").collect()] == [2, 1]
     del plain_run
+
+
+def test_survey_named_helpers(spark):
+    import rankspark as rs
+    scores = spark.createDataFrame([(1, 10, 16.0), (1, 11, 4.0), (2, 12, 1.5)], "topic_id long, doc_id long, score double")
+    z = {r.doc_id: r.z for r in rs.attach_z(scores, 2.0).collect()}
+    assert z[10] == pytest.approx(4.0) and z[11] == pytest.approx(4.0) and z[12] is None
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, None, "y z")], "doc_id long, title string, body string")
+    assert rs.max_seq_length(docs, ["title", "body"]).first()[0] == 3
+    idx = rs.build_index(docs, ("body",))
+    q = spark.createDataFrame([(7, "body", "z", 1.0)], "topic_id long, field string, term string, qw double")
+    m = rs.match_terms(q, idx).collect()
+    assert [(r.topic_id, r.doc_id, r.tf) for r in m] == [(7, 2, 1)]
+    enc = spark.createDataFrame([(1, "t", [1.0]), (2, "u", None), (3, None, None)], "doc_id long, body string, v array<double>")
+    assert [r.doc_id for r in colf.texts_to_encode(enc, "body", "v").collect()] == [2]
