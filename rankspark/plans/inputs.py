@@ -55,12 +55,14 @@ def qrels(spark: SparkSession, sf_dir: str, index: Index | None = None) -> DataF
 
     Verbatim containment is found without a cross join: a text that occurs in a
     document brings each of its interior tokens (not first, not last) as a whole
-    token of that document, so the candidates are the postings of the topic's
-    rarest interior token (exact for texts of three or more tokens; shorter
-    texts use all their tokens as anchors), verified with ``instr``.
+    token of that document, so the candidates are the documents holding the
+    topic's rarest interior token (exact for texts of three or more tokens;
+    shorter texts use all their tokens as anchors), verified with ``instr``.
+    One pass over the corpus yields the distinct (doc, term) pairs of those
+    tokens; the df count and the candidate join share it through one exchange.
+    ``index`` is accepted for call compatibility and not needed.
     """
-    index = index or corpus_index(spark, sf_dir, ("body",))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic_id"), "text")
     toks = b.select("topic_id", "text", tokenize("text").alias("toks"))
@@ -68,15 +70,20 @@ def qrels(spark: SparkSession, sf_dir: str, index: Index | None = None) -> DataF
              .where(F.col("term").isNotNull()))
     inner = inner.where((F.col("n") < 3) | ((F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1)))
     terms = broadcast_if_bounded(inner.select("term").distinct(), bound_by=inner)
-    post = (index.postings.where(F.col("field") == "body").select("term", "doc_id")
-            .join(terms, "term", "left_semi"))
-    body_df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # distinct terms of each document, restricted to the topics' interior terms
+    pairs = (docs.select("doc_id", F.explode_outer(F.array_distinct(tokenize("text"))).alias("term"))
+             .where(F.col("term").isNotNull())
+             .join(terms, "term", "left_semi")
+             .repartition("doc_id"))  # the shared exchange: both consumers read it
+    body_df = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ranked = inner.join(body_df, "term")
     w = Window.partitionBy("topic_id").orderBy("df", "term")
     anchor = (ranked.withColumn("r", F.row_number().over(w))
               .where((F.col("r") == 1) | (F.col("n") < 3)).select("topic_id", "text", "term"))
-    cand = post.join(broadcast_if_bounded(anchor, bound_by=inner), "term").select("topic_id", "doc_id", "text").distinct()
-    judged = (cand.join(docs, "doc_id")
+    # anchors are a subset of the topics' interior tokens: bounded by ``inner``
+    cand = (pairs.join(broadcast_if_bounded(anchor, bound_by=inner), "term")
+            .select("topic_id", "doc_id", "text").distinct())
+    judged = (cand.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
               .withColumn("hit", F.instr(F.col("doc_text"), F.col("text")) > 0)
               .join(labels, "doc_id", "left"))
     return (judged.where(F.col("hit") | F.col("quality").isNotNull())
