@@ -16,6 +16,16 @@ MAX_BROADCAST_ROWS_CONF = "rankspark.broadcast.maxRows"
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
+MAX_PUSHDOWN_TERMS_CONF = "rankspark.pushdown.maxTerms"
+DEFAULT_MAX_PUSHDOWN_TERMS = 20_000
+
+
+def max_pushdown_terms(df: DataFrame) -> int:
+    """Largest query vocabulary turned into a literal ``IN`` filter for Parquet pushdown."""
+    conf = df.sparkSession.conf.get(MAX_PUSHDOWN_TERMS_CONF, None)
+    return int(conf) if conf else DEFAULT_MAX_PUSHDOWN_TERMS
+
+
 def max_broadcast_rows(df: DataFrame) -> int:
     conf = df.sparkSession.conf.get(MAX_BROADCAST_ROWS_CONF, None)
     return int(conf) if conf else DEFAULT_MAX_BROADCAST_ROWS
