@@ -30,16 +30,24 @@ def select_facets(topics: DataFrame, facets: str = "first") -> DataFrame:
 
 
 def query_terms(topics: DataFrame, fields, boosts: dict | None = None, facets: str = "first",
-                keep_field: bool = True) -> DataFrame:
-    """(topic_id, field, term, qw): query-term weight = count over facets × field boost."""
+                keep_field: bool = True, with_first: bool = False) -> DataFrame:
+    """(topic_id, field, term, qw): query-term weight = count over facets × field boost.
+
+    ``with_first=True`` adds ``qw_first``, the same weight counted on the first facet only
+    (its terms are a subset of the used facets' terms, so one aggregation gives both).
+    """
     boosts = boosts or {}
     t = select_facets(topics, facets)
-    qt = (t.select("topic_id", explode_tokens("text").alias("term")).where(F.col("term").isNotNull())
-          .groupBy("topic_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    aggs = [F.count(F.lit(1)).alias("qtf")]
+    if with_first:
+        aggs.append(F.sum(F.when(F.col("facet_pos") == 0, 1).otherwise(0)).alias("qtf_first"))
+    qt = (t.select("topic_id", "facet_pos", explode_tokens("text").alias("term")).where(F.col("term").isNotNull())
+          .groupBy("topic_id", "term").agg(*aggs))
     fb = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(boosts.get(f, 1.0))).alias("boost"))
                    for f in fields])
-    return (qt.select("topic_id", "term", "qtf", F.explode(fb).alias("fb"))
-            .select("topic_id", "fb.field", "term", (F.col("qtf") * F.col("fb.boost")).alias("qw"))
+    extra = [(F.col("qtf_first") * F.col("fb.boost")).alias("qw_first")] if with_first else []
+    return (qt.select("*", F.explode(fb).alias("fb"))
+            .select("topic_id", "fb.field", "term", (F.col("qtf") * F.col("fb.boost")).alias("qw"), *extra)
             .where(F.col("qw") != 0))
 
 

@@ -36,11 +36,7 @@ from rankspark.operators.sizing import broadcast_if_bounded, max_broadcast_rows
 def lexical_candidates(index: Index, topics: DataFrame, fields, boosts=None, k1=1.2, b=0.75,
                        facets: str = "all", row_bound: int | None = None) -> DataFrame:
     """(topic_id, doc_id, bm25, bm25_first): both sums from one pass over the postings."""
-    q_used = query_terms(topics, fields, boosts, facets).withColumnRenamed("qw", "qw_used")
-    q_first = query_terms(topics, fields, boosts, "first").withColumnRenamed("qw", "qw_first")
-    q = (q_used.join(q_first, ["topic_id", "field", "term"], "full_outer")
-         .select("topic_id", "field", "term", F.coalesce("qw_used", F.lit(0.0)).alias("qw_used"),
-                 F.coalesce("qw_first", F.lit(0.0)).alias("qw_first")))
+    q = query_terms(topics, fields, boosts, facets, with_first=True).withColumnRenamed("qw", "qw_used")
     bound = row_bound if row_bound is not None else query_size_bound(topics, len(fields))
     parts = term_contributions(index, q, k1, b, {"p_used": "qw_used", "p_first": "qw_first"}, row_bound=bound)
     return (parts.groupBy("topic_id", "doc_id")
