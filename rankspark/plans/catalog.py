@@ -11,11 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankspark.functions import columns as colf
+from rankspark.functions.text import clean_whitespace, max_token_length, sentences
+from rankspark.functions.vectors import cosine as cosine_col
 from rankspark.operators import bm25 as bm25_ops
+from rankspark.operators import dense as dense_ops
 from rankspark.operators import evaluate as ev
-from rankspark.operators.runs import rank_run
+from rankspark.operators import folds as fold_ops
+from rankspark.operators import hybrid as hybrid_ops
+from rankspark.operators import pairs as pair_ops
+from rankspark.operators import rerank as rr
+from rankspark.operators import sweep as sweep_ops
+from rankspark.operators.index import Index, fields_long
+from rankspark.operators.runs import rank_agreement, rank_run
 from rankspark.plans import inputs
 from rankspark.plans import oracle as sql
+from rankspark.session import scratch_path
+from rankspark.sources import topics as topic_src
+from rankspark.sources import trec
+from rankspark.streaming import incremental as inc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -123,9 +137,6 @@ def q_trec_summary(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- step 2: statistics, encoder, hybrid
-from rankspark.functions.vectors import l2_normalize  # noqa: E402,F401
-from rankspark.operators import dense as dense_ops  # noqa: E402
-from rankspark.operators import hybrid as hybrid_ops  # noqa: E402
 
 LEX_FIELDS = ("title", "body")
 EMB_FIELDS = ("title_embedding", "body_embedding")
@@ -329,10 +340,6 @@ def q_hybrid_multifacet(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- step 4: second stage
-from rankspark.operators import rerank as rr  # noqa: E402
-from rankspark.operators.index import fields_long  # noqa: E402
-from rankspark.operators.runs import rank_agreement  # noqa: E402
-from rankspark.functions.vectors import cosine as cosine_col  # noqa: E402
 
 RERANK_DEPTH = 100
 MV_DEPTH = 20
@@ -520,11 +527,6 @@ def q_residual_eval(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- step 6: data preparation, sources and sinks
-from rankspark.functions import columns as colf  # noqa: E402
-from rankspark.functions.text import clean_whitespace, sentences  # noqa: E402
-from rankspark.session import scratch_path  # noqa: E402
-from rankspark.sources import topics as topic_src  # noqa: E402
-from rankspark.sources import trec  # noqa: E402
 
 WIDE_FACETS = ["user_0", "assistant_1", "user_2", "assistant_3"]
 
@@ -659,10 +661,6 @@ def q_examples_columns(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- step 7: folds, pair audits, sweeps
-from rankspark.operators import folds as fold_ops  # noqa: E402
-from rankspark.operators import pairs as pair_ops  # noqa: E402
-from rankspark.operators import sweep as sweep_ops  # noqa: E402
-from rankspark.functions.text import max_token_length  # noqa: E402
 
 
 def _md5_int(expr: str, start: int, n: int) -> str:
@@ -886,8 +884,6 @@ def q_ablation_grid(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- step 8: incremental work
-from rankspark.operators.index import Index  # noqa: E402
-from rankspark.streaming import incremental as inc  # noqa: E402
 
 STREAM_FILES = 4
 
