@@ -18,6 +18,6 @@ from rankspark.operators.hybrid import attach_z, hybrid, top_bm25, z_value  # no
 from rankspark.operators.index import Index, build_index  # noqa: E402,F401
 from rankspark.operators.pairs import binary_eval, contrastive_loss, similarity_eval, supcon_loss  # noqa: E402,F401
 from rankspark.operators.rerank import (  # noqa: E402,F401
-    kmax_pool, multi_vector_scores, rank_by_embeddings, rerank, rerank_dense, rerank_hybrid)
+    kmax_pool, multi_vector_stats, rank_by_embeddings, rerank, rerank_dense, rerank_hybrid)
 from rankspark.operators.runs import concat_examples, exclude, rank_agreement, rank_run, top_k  # noqa: E402,F401
 from rankspark.operators.sweep import ablation_grid, param_grid, sweep, sweep_cv, sweep_summary  # noqa: E402,F401

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions.vectors import cosine, distance, dot
@@ -32,33 +32,32 @@ def supcon_loss(views: DataFrame, batch_col: str = "batch", sample_col: str = "s
     ``views``: (batch, sample_id, view, label, vec). Anchors are all views
     (``mode="all"``) or view 0 (``"one"``); the contrast set is every other view
     of the batch. Positives share the label (or the sample when ``label_col`` is
-    None). Anchors without positives are left out. The pairing is a self-join on
-    the batch key, so its cost is bounded by the batch size.
-    Returns (batch, n_anchors, loss).
+    None). Anchors without positives are left out. Returns (batch, n_anchors, loss).
+
+    No pair rows are made: each batch's views (bounded by the batch size, which
+    the caller chooses) are gathered into one array, joined to the anchors of the
+    batch, and the max-shifted log-sum-exp and the positive sum are folded over
+    that array per anchor.
     """
     lab = F.col(label_col) if label_col else F.col(sample_col)
-    v = views.select(batch_col, sample_col, view_col, lab.alias("__lab"), "vec")
-    anchors = v if mode == "all" else v.where(F.col(view_col) == 0)
-    a = anchors.select(batch_col, F.col(sample_col).alias("a_s"), F.col(view_col).alias("a_v"),
-                       F.col("__lab").alias("a_l"), F.col("vec").alias("a_vec"))
-    c = v.select(batch_col, F.col(sample_col).alias("c_s"), F.col(view_col).alias("c_v"),
-                 F.col("__lab").alias("c_l"), F.col("vec").alias("c_vec"))
-    pairs = (a.join(c, batch_col)
-             .where((F.col("a_s") != F.col("c_s")) | (F.col("a_v") != F.col("c_v")))
-             .select(batch_col, "a_s", "a_v", (dot("a_vec", "c_vec") / F.lit(float(temperature))).alias("logit"),
-                     (F.col("a_l") == F.col("c_l")).alias("pos")))
-    w = Window.partitionBy(batch_col, "a_s", "a_v")
-    shifted = pairs.withColumn("__m", F.max("logit").over(w))
-    per_anchor = (shifted.groupBy(batch_col, "a_s", "a_v")
-                  .agg(F.first("__m").alias("m"), F.sum(F.exp(F.col("logit") - F.col("__m"))).alias("se"),
-                       F.sum(F.when(F.col("pos"), F.col("logit")).otherwise(0.0)).alias("pos_sum"),
-                       F.sum(F.when(F.col("pos"), 1).otherwise(0)).alias("n_pos"))
-                  .where(F.col("n_pos") > 0))
-    lse = F.col("m") + F.log(F.col("se"))
-    mean_lp = F.col("pos_sum") / F.col("n_pos") - lse
-    loss = -(F.lit(temperature / base_temperature)) * mean_lp
-    return (per_anchor.select(batch_col, loss.alias("l")).groupBy(batch_col)
-            .agg(F.count(F.lit(1)).alias("n_anchors"), F.round(F.avg("l"), DECIMALS).alias("loss")))
+    v = views.select(F.col(batch_col).alias("__b"), F.col(sample_col).alias("s"), F.col(view_col).alias("v"),
+                     lab.alias("l"), "vec")
+    members = v.groupBy("__b").agg(F.collect_list(F.struct("s", "v", "l", "vec")).alias("__m"))
+    anchors = v if mode == "all" else v.where(F.col("v") == 0)
+    a = anchors.join(members, "__b")
+    t = F.lit(float(temperature))
+    others = F.filter("__m", lambda c: (c["s"] != F.col("s")) | (c["v"] != F.col("v")))
+    logits = F.transform(others, lambda c: F.struct((dot("vec", c["vec"]) / t).alias("x"),
+                                                    (c["l"] == F.col("l")).alias("pos")))
+    a = a.select("__b", "s", "v", logits.alias("lg"))
+    a = a.withColumn("m", F.array_max(F.transform("lg", lambda e: e["x"])))
+    se = F.aggregate("lg", F.lit(0.0), lambda acc, e: acc + F.exp(e["x"] - F.col("m")))
+    pos_sum = F.aggregate("lg", F.lit(0.0), lambda acc, e: acc + F.when(e["pos"], e["x"]).otherwise(0.0))
+    n_pos = F.size(F.filter("lg", lambda e: e["pos"]))
+    per_anchor = a.select("__b", (pos_sum / n_pos - (F.col("m") + F.log(se))).alias("mlp"), n_pos.alias("n_pos"))
+    loss = -(F.lit(temperature / base_temperature)) * F.col("mlp")
+    return (per_anchor.where(F.col("n_pos") > 0).select(F.col("__b").alias(batch_col), loss.alias("l"))
+            .groupBy(batch_col).agg(F.count(F.lit(1)).alias("n_anchors"), F.round(F.avg("l"), DECIMALS).alias("loss")))
 
 
 def similarity_eval(pairs: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
