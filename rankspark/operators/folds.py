@@ -65,8 +65,13 @@ def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 5, see
 
 
 def contiguous_folds(df: DataFrame, order_col: str, k: int, id_col: str | None = None) -> DataFrame:
-    """Exactly k contiguous folds in ``order_col`` order (``id_col`` breaks ties)."""
-    order = [F.col(order_col)] + ([F.col(id_col)] if id_col and id_col != order_col else [])
+    """Exactly k contiguous folds in ``order_col`` order.
+
+    ``id_col`` breaks ties; without it a hash of the whole row does, so a value
+    repeated on a third of the rows is still split over many range partitions.
+    """
+    tie = F.col(id_col) if id_col else F.xxhash64(*[F.col(c) for c in df.columns])
+    order = [F.col(order_col)] + ([tie] if id_col != order_col else [])
     n = df.count()
     pos = global_positions(df, order)
     return pos.withColumn("fold", F.floor(F.col("position") * k / F.lit(max(n, 1))).cast("int")).drop("position")

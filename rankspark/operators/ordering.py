@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.operators.sizing import broadcast_if_bounded
+
 
 def _ranged(df: DataFrame, order_cols, num_partitions: int | None):
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -52,4 +54,6 @@ def average_ranks(df: DataFrame, value_col: str, out_col: str, num_partitions: i
     counts = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("__c"))
     cum = running_sums(counts, [F.col(value_col).asc()], ["__c"], num_partitions)
     ranks = cum.select(value_col, (F.col("cum___c") - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(out_col))
-    return df.join(ranks, value_col)
+    # few distinct values (e.g. a 0/1 label) must not become a few huge shuffle partitions:
+    # broadcast the rank table when its size is checked small, else a shuffle join (AQE splits skew)
+    return df.join(broadcast_if_bounded(ranks), value_col)

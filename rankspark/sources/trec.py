@@ -52,12 +52,13 @@ def write_run(run: DataFrame, path: str, run_name: str | None = None, mode: str
               num_files: int | None = None) -> None:
     """Write a run as TREC text; ordered by topic then rank inside each file.
 
-    Range-partitioning by topic keeps each topic in one file and the files in
-    topic order; an existing output is refused unless ``mode="overwrite"``.
+    Range-partitioning by (topic, rank) keeps the files in run order; an
+    existing output is refused unless ``mode="overwrite"``.
     """
     lines = trec_lines(run, run_name)
+    # (topic, rank) as the range key keeps files in run order and lets one huge topic span files
     if num_files:
-        lines = lines.repartitionByRange(num_files, "topic_id")
+        lines = lines.repartitionByRange(num_files, "topic_id", "rank")
     else:
-        lines = lines.repartitionByRange("topic_id")
+        lines = lines.repartitionByRange("topic_id", "rank")
     lines.sortWithinPartitions("topic_id", "rank").select("value").write.mode(mode).text(path)
