@@ -168,7 +168,10 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 10, metric: str = "
             qn = np.linalg.norm(qm, axis=1)
             qn[qn == 0] = 1.0
             qm = qm / qn[:, None]
-        bc = spark.sparkContext.broadcast((qids, qm))
+        try:
+            bc = spark.sparkContext.broadcast((qids, qm))
+        except Exception:  # no SparkContext (Spark Connect): the bounded chunk travels with the function
+            bc = _Inline((qids, qm))
         parts.append(d.mapInArrow(_score_batches(bc, k, metric), out_schema))
     if not parts:
         return spark.createDataFrame([], out_schema.add("rank", T.LongType()))
@@ -178,6 +181,13 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 10, metric: str = "
     return rank_run(scored, k=k)
 
 
+class _Inline:
+    """Same ``.value`` interface as a broadcast variable, for a value shipped with the function."""
+
+    def __init__(self, value):
+        self.value = value
+
+
 def _score_batches(bc, k: int, metric: str):
     def run(batches):
         import pyarrow as pa

@@ -51,7 +51,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     follows is CPU-bound, so it is worth one exchange of the input. Large inputs
     (more splits than cores) are returned untouched — no shuffle is added.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:  # classic sessions only; without an RDD view the input is left as it is
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:
+        return df
+    if splits < cores:
         return df.repartition(cores, key)
     return df

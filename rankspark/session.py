@@ -42,8 +42,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="rankspark-ckpt-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    try:  # RDD checkpoints (classic sessions) go to the same shared folder
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(path)
+    except Exception:
+        pass
     return path
 
 
