@@ -18,7 +18,10 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def dot(a, b) -> Column:
+def dot(a, b, cast: bool = True) -> Column:
+    """Σ a_i·b_i in double; ``cast=False`` when both are already ``array<double>`` (skips a cast per element)."""
+    if not cast:
+        return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     return _sum(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")))
 
 

@@ -85,7 +85,7 @@ def embed_score(doc_cols, n_facets: Column, offset: float = 1.0, weights: dict |
         if float(weights.get(e, 1.0)) == 0.0:
             continue
         total = total + F.when(F.col(e).isNull(), F.lit(0.0)).otherwise(
-            dot(f"__q_{e}", e) + n_facets.cast("double") * F.lit(float(offset)))
+            dot(f"__q_{e}", e, cast=False) + n_facets.cast("double") * F.lit(float(offset)))
     return total
 
 
