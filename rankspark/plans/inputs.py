@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions.text import first_line, tokenize
 from rankspark.operators.index import Index, build_index
-from rankspark.operators.sizing import broadcast_if_bounded, spread
+from rankspark.operators.sizing import max_broadcast_rows, spread
 
 CORPUS_FIELDS = ("title", "body")
 
@@ -69,7 +69,9 @@ def qrels(spark: SparkSession, sf_dir: str, index: Index | None = None) -> DataF
     inner = (toks.select("topic_id", "text", F.posexplode_outer("toks").alias("pos", "term"), F.size("toks").alias("n"))
              .where(F.col("term").isNotNull()))
     inner = inner.where((F.col("n") < 3) | ((F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1)))
-    terms = broadcast_if_bounded(inner.select("term").distinct(), bound_by=inner)
+    small = inner.count() <= max_broadcast_rows(inner)  # bounds both topic-side tables below
+    terms = inner.select("term").distinct()
+    terms = F.broadcast(terms) if small else terms
     # distinct terms of each document, restricted to the topics' interior terms
     pairs = (docs.select("doc_id", F.explode_outer(F.array_distinct(tokenize("text"))).alias("term"))
              .where(F.col("term").isNotNull())
@@ -81,7 +83,7 @@ def qrels(spark: SparkSession, sf_dir: str, index: Index | None = None) -> DataF
     anchor = (ranked.withColumn("r", F.row_number().over(w))
               .where((F.col("r") == 1) | (F.col("n") < 3)).select("topic_id", "text", "term"))
     # anchors are a subset of the topics' interior tokens: bounded by ``inner``
-    cand = (pairs.join(broadcast_if_bounded(anchor, bound_by=inner), "term")
+    cand = (pairs.join(F.broadcast(anchor) if small else anchor, "term")
             .select("topic_id", "doc_id", "text").distinct())
     judged = (cand.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
               .withColumn("hit", F.instr(F.col("doc_text"), F.col("text")) > 0)
