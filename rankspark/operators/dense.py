@@ -110,24 +110,53 @@ class HashEncoder:
         return out / n[:, None]
 
 
-def encode(df: DataFrame, text_col: str, encoder, out_col: str = "embedding", keep=None) -> DataFrame:
-    """R10 with a pluggable encoder: ``encoder.encode_batch`` over Arrow batches."""
+def encode(df: DataFrame, text_col: str, encoder, out_col: str = "embedding", keep=None,
+           pooling: str = "none", normalize: bool = False) -> DataFrame:
+    """R10 with a pluggable encoder: ``encoder.encode_batch(list[str]) -> ndarray`` over Arrow batches.
+
+    ``pooling``: ``"none"`` encodes the whole text; ``"first"`` and ``"mean"`` split
+    it into sentences (R2, in the JVM), encode every sentence of the batch in one
+    call and keep the first sentence's vector (the reference's behaviour) or
+    their mean. ``normalize`` makes the result unit length (R11).
+    """
     keep = list(keep) if keep is not None else [c for c in df.columns if c != text_col]
-    src = df.where(F.col(text_col).isNotNull()).select(*keep, text_col)
-    out_schema = _schema_with(df, keep, [T.StructField(out_col, T.ArrayType(T.DoubleType()), False)])
+    src = df.where(F.col(text_col).isNotNull())
+    if pooling == "none":
+        src = src.select(*keep, F.array(F.col(text_col)).alias("__s"))
+    elif pooling in ("first", "mean"):
+        src = src.select(*keep, sentences(text_col).alias("__s"))
+    else:
+        raise ValueError("pooling must be 'none', 'first' or 'mean'")
+    out_schema = _schema_with(df, keep, [T.StructField(out_col, T.ArrayType(T.DoubleType()), True)])
+    n_keep = len(keep)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         for rb in batches:
-            texts = rb.column(rb.num_columns - 1).to_pylist()
-            m = np.asarray(encoder.encode_batch(texts), dtype=np.float64)
-            n = len(texts)
-            d = m.shape[1] if n else 0
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, n * d + 1, max(d, 1), dtype=np.int32)[:n + 1]),
-                                           pa.array(m.ravel()))
-            cols = [rb.column(i) for i in range(rb.num_columns - 1)] + [vec]
+            lst = rb.column(n_keep)
+            n = rb.num_rows
+            texts = pc.list_flatten(lst).to_pylist()
+            parent = pc.list_parent_indices(lst).to_numpy(zero_copy_only=False).astype(np.int64)
+            m = np.asarray(encoder.encode_batch(texts), dtype=np.float64) if texts else np.zeros((0, 1))
+            d = m.shape[1] if len(texts) else 1
+            out = np.zeros((n, d))
+            counts = np.bincount(parent, minlength=n).astype(np.float64)
+            if pooling == "mean":
+                np.add.at(out, parent, m)
+                out[counts > 0] /= counts[counts > 0, None]
+            else:  # first sentence (or the whole text): the first element of each row
+                first = np.unique(parent, return_index=True)[1]
+                out[parent[first]] = m[first]
+            if normalize:
+                nr = np.linalg.norm(out, axis=1)
+                nr[nr == 0] = 1.0
+                out = out / nr[:, None]
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, n * d + 1, d, dtype=np.int32)),
+                                           pa.array(out.ravel()), mask=pa.array(counts == 0))
+            cols = [rb.column(i) for i in range(n_keep)] + [vec]
             yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
-                [rb.schema.field(i) for i in range(rb.num_columns - 1)] + [pa.field(out_col, pa.list_(pa.float64()), False)]))
+                [rb.schema.field(i) for i in range(n_keep)] + [pa.field(out_col, pa.list_(pa.float64()), True)]))
 
     return src.mapInArrow(run, out_schema)
 

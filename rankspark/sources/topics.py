@@ -102,3 +102,11 @@ def read_topics_xml(spark: SparkSession, path: str, row_tag: str = "topic", id_a
     df = raw.select(id_col.alias("topic_id"), strip_ws(F.col("_VALUE").cast("string")).alias("query"),
                     _position().alias("__pos"))
     return wide_to_long(latest_per_id(df, "topic_id", ["query"]), "topic_id", ["query"])
+
+
+def numeric_ids(topics: DataFrame, id_col: str = "topic_id") -> DataFrame:
+    """when every id is made of digits only, make the id column a long (one small check job)."""
+    all_digits = topics.agg(F.min(F.col(id_col).cast("string").rlike("^[0-9]+$").cast("int"))).first()[0]
+    if all_digits == 1:
+        return topics.withColumn(id_col, F.col(id_col).cast("long"))
+    return topics

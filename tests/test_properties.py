@@ -153,9 +153,23 @@ def test_hash_encoder_jvm_equals_python(spark):
 
 
 def test_pluggable_encoder_path(spark):
-    df = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string")
-    out = {r.id: r.embedding for r in dense.encode(df, "text", dense.HashEncoder(8), keep=["id"]).collect()}
-    assert np.allclose(out[1], dense.HashEncoder(8).encode_batch(["a b"])[0])
+    df = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "Sea. Sky and sun."), (4, "...")], "id long, text string")
+    enc = dense.HashEncoder(8)
+    out = {r.id: r.embedding for r in dense.encode(df, "text", enc, keep=["id"]).collect()}
+    assert np.allclose(out[1], enc.encode_batch(["a b"])[0])
+    first = {r.id: r.embedding for r in dense.encode(df, "text", enc, keep=["id"], pooling="first").collect()}
+    assert np.allclose(first[3], enc.encode_batch(["Sea"])[0]) and first[4] is None
+    mean = {r.id: r.embedding for r in dense.encode(df, "text", enc, keep=["id"], pooling="mean", normalize=True).collect()}
+    want = enc.encode_batch(["Sea", "Sky and sun"]).mean(axis=0)
+    assert np.allclose(mean[3], want / np.linalg.norm(want))
+
+
+def test_numeric_ids(spark):
+    from rankspark.sources.topics import numeric_ids
+    t = spark.createDataFrame([("12", "a"), ("007", "b")], "topic_id string, text string")
+    assert dict(numeric_ids(t).dtypes)["topic_id"] == "bigint"
+    u = spark.createDataFrame([("12", "a"), ("x7", "b")], "topic_id string, text string")
+    assert dict(numeric_ids(u).dtypes)["topic_id"] == "string"
 
 
 def test_dense_topk_equals_brute_force(spark):
