@@ -237,20 +237,16 @@ def _score_batches(bc, k: int, metric: str):
                 s = s / dn[None, :]
             elif metric != "dot":
                 raise ValueError("metric must be 'cosine' or 'dot'")
-            out_q, out_d, out_s = [], [], []
+            # local top-k of every query at once: keep scores within 2e-6 of the k-th best
+            # (rounded) score, a superset of the top k under the (rounded score desc, id) order
             rounded = np.round(s, 6)
-            for i in range(s.shape[0]):
-                row = rounded[i]
-                if n > k:
-                    kth = np.partition(row, n - k)[n - k]
-                    sel = np.nonzero(row >= kth - 2e-6)[0]  # superset under (rounded desc, id) order
-                else:
-                    sel = np.arange(n)
-                out_q.append(np.full(len(sel), qids[i]))
-                out_d.append(ids[sel])
-                out_s.append(s[i, sel])
+            if n > k:
+                kth = np.partition(rounded, n - k, axis=1)[:, n - k]
+                qi, di = np.nonzero(rounded >= (kth - 2e-6)[:, None])
+            else:
+                qi, di = np.nonzero(np.ones_like(s, dtype=bool))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_d)), pa.array(np.concatenate(out_s))],
+                [pa.array(qids[qi]), pa.array(ids[di]), pa.array(s[qi, di])],
                 names=["topic_id", "doc_id", "score"])
     return run
 
