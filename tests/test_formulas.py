@@ -96,3 +96,34 @@ def test_paired_t_pvalue():
     from rankspark.functions.stats import t_two_sided_p
     assert t_two_sided_p(2.0, 10.0) == pytest.approx(0.07338803, abs=1e-6)
     assert t_two_sided_p(0.0, 5.0) == pytest.approx(1.0)
+
+
+def test_missing_topic_column_is_an_error(spark, tmp_path):
+    from rankspark.sources.topics import read_topics_csv
+    p = tmp_path / "t.csv"
+    p.write_text("id,text\n1,a\n")
+    with pytest.raises(ValueError):
+        read_topics_csv(spark, str(p), fields=("text", "narrative"))
+
+
+def test_strict_z_raises_when_top_not_above_ceiling(spark):
+    from rankspark.operators.index import build_index
+    docs = spark.createDataFrame([(1, "zebra")], "doc_id long, body string")
+    topics = spark.createDataFrame([(1, "q", 0, "zebra")], "topic_id long, facet string, facet_pos int, text string")
+    tv = spark.createDataFrame([(1, "q", 0, [1.0])], "topic_id long, facet string, facet_pos int, embedding array<double>")
+    dv = spark.createDataFrame([(1, [1.0])], "doc_id long, embedding array<double>")
+    idx = build_index(docs)
+    loose = hy.hybrid(idx, topics, tv, dv, ceiling=100.0).first()
+    assert loose.z is None and loose.z_ok is False and loose.score is None
+    with pytest.raises(ValueError):
+        hy.hybrid(idx, topics, tv, dv, ceiling=100.0, strict=True)
+
+
+def test_residual_options(spark):
+    run = spark.createDataFrame([("t", "a", 1), ("t", "b", 2), ("t", "c", 3)], "topic_id string, doc_id string, rank long")
+    qrels = spark.createDataFrame([("t", "a", 1), ("t", "c", 1)], "topic_id string, doc_id string, rel int")
+    seen = spark.createDataFrame([("t", "a")], "topic_id string, doc_id string")
+    keep_ranks = ev.evaluate_residual(run, qrels, seen, ["p@2"]).first().value
+    renumbered = ev.evaluate_residual(run, qrels, seen, ["p@2"], rerank=True).first().value
+    reduced = ev.evaluate_residual(run, qrels, seen, ["recall@3"], reduce_qrels=True).first().value
+    assert keep_ranks == 0.0 and renumbered == 0.5 and reduced == 1.0
