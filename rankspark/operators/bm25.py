@@ -57,18 +57,12 @@ def query_size_bound(topics: DataFrame, n_fields: int, n_settings: int = 1) -> i
     return int(n_tok) * n_fields * n_settings + n_fields
 
 
-def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights: dict | None = None,
-                       row_bound: int | None = None) -> DataFrame:
-    """(topic_id, field, doc_id, <part>...): BM25 summands of every matched posting.
+def _matched(index: Index, qterms: DataFrame, weights: dict, row_bound: int | None):
+    """Shared core: (post, w, field_stats, fits) for the query vocabulary.
 
-    ``weights`` maps output column → query-weight column of ``qterms`` (default
-    ``{"part": "qw"}``), so several weightings of the same postings come out of
-    one pass. ``k1`` and ``b`` may be floats or Columns of ``qterms`` (R8:
-    changing them is arithmetic, not a re-index).
+    ``post``: matched postings (field, term, doc_id, dl, tf); ``w``: (topic_id, field,
+    term, avgdl, <params>, __w_<out>...) with query weight × idf.
     """
-    weights = weights or {"part": "qw"}
-    k1c = k1 if isinstance(k1, Column) else F.lit(float(k1))
-    bc = b if isinstance(b, Column) else F.lit(float(b))
     param_cols = [c for c in qterms.columns if c not in ("topic_id", "field", "term", *weights.values())]
     # ``row_bound``: a proven upper bound of qterms' rows from the caller (saves a count job)
     n_q = row_bound if row_bound is not None else qterms.count()
@@ -114,19 +108,40 @@ def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights:
          .join(F.broadcast(field_stats), "field")  # one row per field
          .select("topic_id", "field", "term", "avgdl", *param_cols,
                  *[F.when(F.col("avgdl") > 0, F.col(src) * idf).alias(f"__w_{out}") for out, src in weights.items()]))
-    per_setting = isinstance(k1, Column) or isinstance(b, Column)
+    return post, w, field_stats, fits, param_cols
+
+
+def _normalised(post: DataFrame, field_stats: DataFrame, k1: float, b: float) -> DataFrame:
+    """(field, term, doc_id, __tfn): the tf normalisation once per posting (fixed k1, b)."""
+    k1c, bc = F.lit(float(k1)), F.lit(float(b))
+    avg = F.broadcast(field_stats.select("field", F.col("avgdl").alias("__avgdl"), F.col("n_docs").alias("__n")))
+    tfn = (F.col("tf") * (k1c + 1.0)) / (F.col("tf") + k1c * (F.lit(1.0) - bc + bc * F.col("dl") / F.col("__avgdl")))
+    return post.join(avg, "field").select("field", "term", "doc_id", F.when(F.col("__n") > 0, tfn).alias("__tfn"))
+
+
+def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights: dict | None = None,
+                       row_bound: int | None = None) -> DataFrame:
+    """(topic_id, field, doc_id, <part>...): BM25 summands of every matched posting.
+
+    ``weights`` maps output column → query-weight column of ``qterms`` (default
+    ``{"part": "qw"}``), so several weightings of the same postings come out of
+    one pass. ``k1`` and ``b`` may be floats or Columns of ``qterms`` (R8:
+    changing them is arithmetic, not a re-index).
+    """
+    weights = weights or {"part": "qw"}
+    post, w, field_stats, fits, param_cols = _matched(index, qterms, weights, row_bound)
     keep = [c for c in param_cols if c not in ("k1", "b")]
     wb = F.broadcast(w) if fits else w  # at most one row per query-term row (df_t, field_stats unique per key)
-    if per_setting:
+    if isinstance(k1, Column) or isinstance(b, Column):
+        k1c = k1 if isinstance(k1, Column) else F.lit(float(k1))
+        bc = b if isinstance(b, Column) else F.lit(float(b))
         tfn = (F.col("tf") * (k1c + 1.0)) / (F.col("tf") + k1c * (F.lit(1.0) - bc + bc * F.col("dl") / F.col("avgdl")))
         return (post.join(wb, ["field", "term"])
                 .select("topic_id", "field", "doc_id", *keep,
                         *[(F.col(f"__w_{out}") * tfn).alias(out) for out in weights]))
     # fixed k1, b: the tf normalisation is computed once per posting, before the join fans
     # each posting out to every topic holding the term
-    avg = F.broadcast(field_stats.select("field", F.col("avgdl").alias("__avgdl"), F.col("n_docs").alias("__n")))
-    tfn = (F.col("tf") * (k1c + 1.0)) / (F.col("tf") + k1c * (F.lit(1.0) - bc + bc * F.col("dl") / F.col("__avgdl")))
-    normed = post.join(avg, "field").select("field", "term", "doc_id", F.when(F.col("__n") > 0, tfn).alias("__tfn"))
+    normed = _normalised(post, field_stats, k1, b)
     return (normed.join(wb.drop("avgdl"), ["field", "term"])
             .select("topic_id", "field", "doc_id", *keep,
                     *[(F.col(f"__w_{out}") * F.col("__tfn")).alias(out) for out in weights]))
