@@ -212,3 +212,15 @@ def test_streaming_index_equals_batch_index(spark, tmp_path):
     fa = {r.field: (r.n_docs, round(r.avgdl, 9)) for r in got.field_stats.collect()}
     fb = {r.field: (r.n_docs, round(r.avgdl, 9)) for r in want.field_stats.collect()}
     assert fa == fb
+
+
+def test_pruned_top_k_equals_exhaustive(spark):
+    from rankspark.operators.topk import bm25_top_k
+    idx = inputs.corpus_index(spark, SF_SMALL, ("title", "body"))
+    topics = inputs.topics(spark, SF_SMALL)
+    for k, fields in [(3, ("body",)), (10, ("title", "body")), (50, ("body",))]:
+        want = sorted((r.topic_id, r.rank, r.doc_id, round(r.score, 6))
+                      for r in rank_run(bm.bm25(idx, topics, fields), k=k).collect())
+        got = sorted((r.topic_id, r.rank, r.doc_id, round(r.score, 6))
+                     for r in bm25_top_k(idx, topics, k, fields).collect())
+        assert got == want
