@@ -54,3 +54,13 @@ def load_pairs(df: DataFrame, text_cols, label_col: str = "label", id_col: str |
 def enrich_corpus(docs: DataFrame, vectors: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write a new corpus version with cleaned text and vector columns (no in-place update)."""
     docs.join(vectors, "doc_id", "left").write.mode(mode).parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "doc_id", mode: str = "errorifexists") -> None:
+    """Store a corpus or vector table bucketed (and sorted) by ``key`` as a catalog table.
+
+    Scans of a bucketed table report hash partitioning on the key, so tokenising,
+    the postings aggregate, the (topic, doc) sum and the join of candidates with
+    document vectors (stored with the same bucket count) need no exchange.
+    """
+    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)

@@ -183,3 +183,19 @@ def test_survey_named_helpers(spark):
     assert [(r.topic_id, r.doc_id, r.tf) for r in m] == [(7, 2, 1)]
     enc = spark.createDataFrame([(1, "t", [1.0]), (2, "u", None), (3, None, None)], "doc_id long, body string, v array<double>")
     assert [r.doc_id for r in colf.texts_to_encode(enc, "body", "v").collect()] == [2]
+
+
+def test_write_bucketed_gives_colocated_scans(spark):
+    from rankspark.sources.corpus import write_bucketed
+    name = "rs_bucketed_docs_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, body string")
+    write_bucketed(docs, name, 4)
+    t = spark.table(name)
+    t.groupBy("doc_id").count().collect()
+    final = t.groupBy("doc_id").count()
+    final.collect()
+    final_plan = final._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Bucketed: true" in final_plan and "Exchange" not in final_plan
+    assert t.count() == 40
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
