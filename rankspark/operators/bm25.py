@@ -30,7 +30,7 @@ def select_facets(topics: DataFrame, facets: str = "first") -> DataFrame:
 
 
 def query_terms(topics: DataFrame, fields, boosts: dict | None = None, facets: str = "first",
-                keep_field: bool = True, with_first: bool = False) -> DataFrame:
+                with_first: bool = False) -> DataFrame:
     """(topic_id, field, term, qw): query-term weight = count over facets × field boost.
 
     ``with_first=True`` adds ``qw_first``, the same weight counted on the first facet only
