@@ -127,3 +127,12 @@ def test_residual_options(spark):
     renumbered = ev.evaluate_residual(run, qrels, seen, ["p@2"], rerank=True).first().value
     reduced = ev.evaluate_residual(run, qrels, seen, ["recall@3"], reduce_qrels=True).first().value
     assert keep_ranks == 0.0 and renumbered == 0.5 and reduced == 1.0
+
+
+def test_complete_counts_missing_topics_as_zero(spark):
+    run = spark.createDataFrame([("t", "a", 1)], "topic_id string, doc_id string, rank long")
+    qrels = spark.createDataFrame([("t", "a", 1), ("u", "b", 1), ("v", "c", 0)], "topic_id string, doc_id string, rel int")
+    default = {r.topic_id: r.value for r in ev.evaluate(run, qrels, ["p@1"]).collect()}
+    complete = {r.topic_id: r.value for r in ev.evaluate(run, qrels, ["p@1"], complete=True).collect()}
+    assert default == {"t": 1.0}
+    assert complete == {"t": 1.0, "u": 0.0}  # v has no relevant document: left out either way
