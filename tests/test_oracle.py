@@ -7,8 +7,10 @@ import __spark_entry__ as entry
 from tools.oracle_check import TABLES, rows_key
 from tests.conftest import SF_SMALL
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+from rankspark.plans import catalog
+
+QUERIES = catalog.QUERIES
+ORACLE = catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
