@@ -14,11 +14,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.operators.sizing import broadcast_if_bounded
+from rankspark.session import scratch_path
 
 
 def _ranged(df: DataFrame, order_cols, num_partitions: int | None):
+    """The rows with the number of their range.
+
+    Range bounds come from a sample, and every evaluation of a range exchange
+    samples anew (two branches that need different columns are two exchanges).
+    So the ranges are written once, and all that follows reads one assignment.
+    """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order_cols).withColumn("__pid", F.spark_partition_id())
+    path = scratch_path(df.sparkSession, "ranged")
+    df.repartitionByRange(n, *order_cols).withColumn("__pid", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def running_sums(df: DataFrame, order_cols, sum_cols, num_partitions: int | None = None) -> DataFrame:
