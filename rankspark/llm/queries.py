@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from rankspark.llm import chat_format, line_dedup, url_filter
+from rankspark.llm import chat_format, decontaminate, fingerprint, language_id, line_dedup, mixing, url_filter
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_mixing": mixing.op7_mixing,
 }
 
 ORACLE = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
 }
