@@ -8,10 +8,11 @@ constraints (words and documents of the source) until all but at most two per
 group are 0 or 1, so both totals are kept exactly in that flight phase.
 
 At scale the flight runs on hash blocks of every source at once, each block a
-stream with three units in memory, largest first, so that what stays open is small. What a block leaves open (two
+stream in hash order with three units in memory. What a block leaves open (two
 units at most) meets its source's other remainders in the next level, until one
-stream per source is left; its last two units are landed on the total nearest to
-the target. Block and order come from hashes of the rows, so reruns agree.
+stream per source is left. That one keeps its last ``LANDING`` units back: with
+the two that its flight leaves open they are the landing problem, settled by the
+choice whose words, then documents, come nearest to the target. Block and order come from hashes of the rows, so reruns agree.
 
 Defined cases: a null text has size 0 and a null source is a source of its own,
 last in order; rows equal in id, source, size and text hash are drawn together;
@@ -34,6 +35,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 #: Units of one hash block (all sources together): bounds a stream's length, not memory.
 BLOCK_UNITS = 50_000
+#: Units kept back for the landing: 2^(LANDING + 2) choices are tried once per source.
+LANDING = 12
 EPS = 1e-9
 
 
@@ -67,17 +70,20 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
 class Flight:
     """The flight phase as a stream; a unit is ``[probability, documents, words, row]``."""
 
-    def __init__(self, key):
+    def __init__(self, key, hold=0):
         import random
 
-        self.pool, self.draw = [], random.Random(key).random
+        self.pool, self.held, self.hold, self.draw = [], [], hold, random.Random(key).random
 
     def push(self, unit):
         """Add a unit; returns those that are decided now."""
         if unit[0] < EPS or unit[0] > 1 - EPS:
             unit[0] = float(round(unit[0]))
             return [unit]
-        self.pool.append(unit)
+        self.held.append(unit)
+        if len(self.held) <= self.hold:
+            return []
+        self.pool.append(self.held.pop(0))
         return self.move() if len(self.pool) == 3 else []
 
     def direction(self):
@@ -109,14 +115,17 @@ class Flight:
 
     def land(self):
         """Decide the last units: the choice whose words, then documents, come nearest."""
-        best = None
-        for k in range(1 << len(self.pool)):
-            bits = [k >> i & 1 for i in range(len(self.pool))]
-            off = [abs(sum((b - u[0]) * u[j] for b, u in zip(bits, self.pool))) for j in (2, 1)]
-            best = min(best, (off, bits)) if best else (off, bits)
-        for b, u in zip(best[1] if best else [], self.pool):
-            u[0] = float(b)
-        return self.pool
+        import numpy as np
+
+        left = self.pool + self.held
+        if left:
+            p, m, w = (np.array([u[i] for u in left], dtype=float) for i in range(3))
+            bits = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+            off = (np.abs((bits - p) @ w), np.abs((bits - p) @ m))
+            best = bits[np.lexsort((off[1], np.round(off[0], 6)))[0]]
+            for b, u in zip(best.tolist(), left):
+                u[0] = float(b)
+        return left
 
 
 def fly(units: DataFrame, blocks: int, last: bool) -> DataFrame:
@@ -125,7 +134,7 @@ def fly(units: DataFrame, blocks: int, last: bool) -> DataFrame:
     at = {c: names.index(c) for c in ("__source", "__p", "__m", "__w", "__order")}
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (units.withColumn("__block", F.pmod("__order", F.lit(blocks)))
-             .repartition(n, "__source", "__block").sortWithinPartitions("__source", "__block", F.desc("__w"), "__order", *[c for c in names if c.startswith("__key")]))
+             .repartition(n, "__source", "__block").sortWithinPartitions("__source", "__block", "__order", *[c for c in names if c.startswith("__key")]))
 
     def run(batches):
         import pyarrow as pa
@@ -142,7 +151,7 @@ def fly(units: DataFrame, blocks: int, last: bool) -> DataFrame:
                 if flight is None or key != group:
                     if flight:
                         ready += flight.land() if last else flight.pool
-                    flight, group = Flight(repr(key)), key
+                    flight, group = Flight(repr(key), LANDING if last else 0), key
                 ready += flight.push([row[at["__p"]], row[at["__m"]], row[at["__w"]], row])
             yield out([(*u[3][:at["__p"]], u[0], *u[3][at["__p"] + 1:-1]) for u in ready])
         if flight:
