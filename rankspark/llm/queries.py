@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankspark.llm import chat_format, decontaminate, fingerprint, language_id, line_dedup, mixing, url_filter
+from rankspark.llm import chat_format, decontaminate, fingerprint, language_id, line_dedup, lm_score, mixing, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_mixing": mixing.op7_mixing,
+    "op8_lm_score": lm_score.op8_lm_score,
 }
 
 ORACLE = {
