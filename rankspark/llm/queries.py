@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankspark.llm import chat_format, decontaminate, fingerprint, language_id, line_dedup, lm_score, mixing, url_filter
+from rankspark.llm import chat_format, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, mixing, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_mixing": mixing.op7_mixing,
     "op8_lm_score": lm_score.op8_lm_score,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 
 ORACLE = {
@@ -20,4 +21,5 @@ ORACLE = {
     "op4_url_filter": url_filter.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
+    "op9_jaccard_join": jaccard_join.OP9_SQL,
 }
