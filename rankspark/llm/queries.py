@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankspark.llm import chat_format, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, mixing, url_filter
+from rankspark.llm import chat_format, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, mixing, substring_dedup, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLE = {
@@ -22,4 +23,5 @@ ORACLE = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
 }
