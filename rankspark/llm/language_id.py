@@ -38,7 +38,7 @@ EPOCHS = 6
 BATCH = 64
 RATE = 6.0
 ALPHA = 0.001
-MAX_THRESHOLD = 0.5
+MAX_THRESHOLD = 0.4
 SEGMENT = 1 << 20
 UND = "und"
 
@@ -112,12 +112,16 @@ def sample_counts(docs: DataFrame, id_col, text_col, label_col, learn: Column, r
     """Bucket counts of at most ``rows`` labelled texts: ``[(label, buckets, shares)]``."""
     usable = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("__id"), F.col(label_col).alias("__label"))
-    labels = [r[0] for r in usable.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(rows // 20).collect()]
+    labels = {r[0]: r[1] for r in usable.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(rows // 20).collect()}
     if not labels:
         return []
-    order = [F.xxhash64(F.col("__id").cast("string")), F.col("__id")]
-    picked = (usable.where(F.col("__label").isin(labels)).withColumn("__rank", F.row_number().over(Window.partitionBy("__label").orderBy(*order)))
-              .where(F.col("__rank") <= rows // len(labels)).drop("__rank"))
+    share = rows // len(labels)
+    order = F.xxhash64(F.col("__id").cast("string"))
+    # a coarse cut by hash first: about four times the share of each label is left to rank, whatever its size
+    cut = F.create_map(*[F.lit(x) for k, n in labels.items() for x in (k, min(1.0, 4 * share / n))])[F.col("__label")]
+    picked = (usable.where(F.pmod(order, F.lit(1 << 30)) <= cut * (1 << 30))
+              .withColumn("__rank", F.row_number().over(Window.partitionBy("__label").orderBy(order, F.col("__id"))))
+              .where(F.col("__rank") <= share).drop("__rank"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"), F.col(text_col).alias("__text"))
     texts = texts.where(F.col("__text").isNotNull()).join(F.broadcast(picked), ["__id", "__label"])  # at most `rows` ids
     texts = texts.select("__id", "__label", "__text")
