@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankspark.llm.frames import map_rows, without, written
+from rankspark.llm.frames import Carried, map_rows, written
 from rankspark.llm.hashing import NOT_ALNUM, Poly, byte_values, text_bytes, text_groups, tokens
 
 WINDOW = 10
@@ -154,7 +154,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     blocks = max(1, math.ceil(total / max_block_bytes))
     longs, strings = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
     fields = [T.StructField("n_words", T.LongType()), T.StructField("__spans", longs), T.StructField("__items", strings)]
-    out = without(docs, names).withColumns({"__spans": F.lit(None).cast(longs), "__items": F.lit(None).cast(strings)})
+    carried = Carried(docs, names)
+    text_col = carried[text_col]
+    out = carried.df.withColumns({"__spans": F.lit(None).cast(longs), "__items": F.lit(None).cast(strings)})
     out = out.withColumns({"__spans": F.coalesce("__spans", F.array().cast(longs)), "__items": F.coalesce("__items", F.array().cast(strings))})
     for b in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b)
@@ -163,7 +165,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         if b + 1 < blocks:
             out = written(out, "decontaminate")
     hit = F.aggregate(F.transform("__spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.withColumn("n_hit", hit).withColumnsRenamed({"__items": "items", "__spans": "hit_spans"})
+    return carried.restore(out.withColumn("n_hit", hit), "n_words", "n_hit", F.col("__items").alias("items"), F.col("__spans").alias("hit_spans"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text_col: str = "text", **kw) -> DataFrame:
@@ -172,18 +174,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     ``documents`` drops each document with a hit; ``spans`` keeps it without the
     text from the first to the last word of each hit span.
     """
-    clash = {"n_words", "n_hit", "items", "hit_spans"} & {c.lower() for c in docs.columns}
-    kept = {c: f"__own_{c}" for c in docs.columns if c.lower() in clash}
-    found = find_contamination(docs.withColumnsRenamed(kept), benchmark, text_col=kept.get(text_col, text_col), **kw)
+    carried = Carried(docs)
+    text_col = carried[text_col]
+    found = find_contamination(carried.df, benchmark, text_col=text_col, **kw)
     if mode == "documents":
-        return found.where(F.col("n_hit") == 0).select(*[F.col(f"`{kept.get(c, c)}`").alias(c) for c in docs.columns])
+        return carried.restore(found.where(F.col("n_hit") == 0))
     if mode != "spans":
         raise ValueError("mode must be 'documents' or 'spans'")
 
     def cut(batch):
         import pyarrow as pa
 
-        column = _column(batch, kept.get(text_col, text_col))
+        column = _column(batch, text_col)
         spans, out = _column(batch, "hit_spans").to_pylist(), column.to_pylist()
         _, offs = text_bytes(column)
         for a, raw, _, counts, s, e in Words().groups(column):
@@ -197,7 +199,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         return [pa.array(out, pa.string())]
 
     cleaned = map_rows(found, cut, [T.StructField("__clean", T.StringType())])
-    return cleaned.select(*[F.col("__clean" if c == text_col else f"`{kept.get(c, c)}`").alias(c) for c in docs.columns])
+    return carried.restore(cleaned, **{text_col: "__clean"})
 
 
 def op5_decontaminate(spark, sf_dir):

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -35,6 +36,26 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
+class Carried:
+    """A frame under neutral column names (``c0``, ``c1``, ...), so that an operator's own names cannot clash.
+
+    ``carried["text"]`` is the neutral name of an input column; ``restore`` gives
+    the input's names back. Columns in ``replaced`` (in any case) are left out.
+    """
+
+    def __init__(self, df: DataFrame, replaced=()):
+        taken = {n.lower() for n in replaced}
+        self.names = [c for c in df.columns if c.lower() not in taken]
+        self.df = df.select(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(self.names)])
+
+    def __getitem__(self, name: str) -> str:
+        return f"c{[c.lower() for c in self.names].index(name.lower())}"
+
+    def restore(self, out: DataFrame, *added, **instead) -> DataFrame:
+        """The input's columns from ``out`` (``instead``: other columns for some of them), then ``added``."""
+        return out.select(*[F.col(instead.get(f"c{i}", f"c{i}")).alias(c) for i, c in enumerate(self.names)], *added)
+
+
 def map_rows(df: DataFrame, fn, fields: list[T.StructField]) -> DataFrame:
     """Adds columns computed per Arrow batch: ``fn(batch) -> list of Arrow arrays``, one per field.
 

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from rankspark.llm.bloom import contains, filter_bits, twice_filter
 from rankspark.llm.components import components
-from rankspark.llm.frames import written
+from rankspark.llm.frames import Carried, written
 from rankspark.llm.hashing import SPACE, Poly, byte_values, mix64, text_bytes, text_groups, tokens
 from rankspark.llm.lm_score import Counter
 
@@ -336,11 +336,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One document of each group: the one whose id is the component's (of rows with one id, one)."""
+    carried = Carried(docs)
+    docs, id_col, text_col = carried.df, carried[id_col], carried[text_col]
     groups = link_documents(docs, id_col, text_col, **kw)
     first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.min("__text").alias("__text"), F.count(F.lit(1)).alias("__rows"))
     j = docs.join(first, docs[id_col].eqNullSafe(first["__id"]) & F.xxhash64(docs[text_col]).eqNullSafe(first["__text"]))
     one = j.withColumn("__n", F.when(F.col("__rows") > 1, F.row_number().over(Window.partitionBy(F.col("__id")).orderBy(F.lit(1)))).otherwise(1))
-    return one.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return carried.restore(one.where("__n = 1"))
 
 
 def op9_jaccard_join(spark, sf_dir):

@@ -35,6 +35,7 @@ DIM = 16
 MAX_GRAM = 4
 SAMPLE_ROWS = 4000
 EPOCHS = 6
+MIN_STEPS = 300
 BATCH = 64
 RATE = 6.0
 ALPHA = 0.001
@@ -174,7 +175,9 @@ def train(rows: list, seed: int = 1, epochs: int = EPOCHS, alpha: float = ALPHA)
     emb = rng.normal(0, 1.0, (BUCKETS, DIM)).astype(np.float32)
     w = np.zeros((DIM, k), dtype=np.float32)
     bias = np.zeros(k, dtype=np.float32)
-    steps, step = epochs * -(-len(use) // BATCH), 0
+    per_epoch = -(-len(use) // BATCH)
+    epochs = max(epochs, -(-MIN_STEPS // per_epoch))
+    steps, step = epochs * per_epoch, 0
     for _ in range(epochs):
         use = rng.permutation(use)
         for i in range(0, len(use), BATCH):

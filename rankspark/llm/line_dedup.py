@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankspark.llm.bloom import contains, filter_bits, twice_filter
-from rankspark.llm.frames import map_rows, without
+from rankspark.llm.frames import Carried, map_rows
 from rankspark.llm.hashing import SPACE, Poly, byte_values, text_bytes, text_groups
 
 MIN_CHARS = 10
@@ -73,7 +73,8 @@ def _distinct(doc, keys):
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with repeated lines removed from ``text``, plus ``n_lines`` and ``n_dropped``."""
     spark = docs.sparkSession
-    base = without(docs, ["n_lines", "n_dropped"])
+    carried = Carried(docs, ["n_lines", "n_dropped"])
+    base, id_col, text_col = carried.df, carried[id_col], carried[text_col]
     bits = filter_bits(docs.count() * LINES_PER_DOCUMENT)
     texts = base.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)
 
@@ -137,7 +138,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     fields = [T.StructField("__kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     out = map_rows(marked, strip, fields)
-    return out.select(*[F.col("__kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns], "n_lines", "n_dropped")
+    return carried.restore(out, "n_lines", "n_dropped", **{text_col: "__kept"})
 
 
 def op2_line_dedup(spark, sf_dir):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankspark.llm.frames import without, written
+from rankspark.llm.frames import Carried, written
 from rankspark.llm.hashing import SPACE, Poly, byte_values, text_bytes, text_groups, tokens
 
 DEPTH = 6
@@ -345,6 +345,10 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     ``training`` is a boolean Column over ``docs``; texts for which it holds are learned from.
     """
     spark = docs.sparkSession
+    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
+    docs, text_name = docs.withColumn("__training", training), text_col
+    carried = Carried(docs, names)
+    docs, text_col, training = carried.df, carried[text_col], F.col(carried["__training"])
     counts = written(corpus_counts(docs.where(training).select(text_col), text_col), "lm-counts")
     model, _ = train(counts, max_entries)
     words = counts.where("kind = 0")
@@ -360,8 +364,7 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     keys, n = common.column(0).to_numpy().view(np.uint64), common.column(1).to_numpy()
     order = np.argsort(keys)
     sent = spark.sparkContext.broadcast((model, keys[order], np.log10(n[order] + 1.0)))
-    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
-    base = without(docs, names).drop(text_col)
+    base = docs.drop(text_col)
     kept = base.columns
     state: dict = {}
 
@@ -412,7 +415,7 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     known = F.col("__known") + F.coalesce("__more", F.lit(0)) + F.lit(int(ends > 0))
     logs = F.col("__logs") + F.coalesce("__more_logs", F.lit(0.0)) + F.lit(math.log10(ends + 1))
     return rows.drop("__rare").join(sums, "__row", "left").select(
-        *[F.col(f"`{c}`") for c in kept], n_tokens.alias("n_tokens"), known.cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(carried.names) if c not in (text_name, "__training")], n_tokens.alias("n_tokens"), known.cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         (logs - n_tokens * F.lit(base_log)).alias("base_score"), "score", "n_bytes",
         (-F.col("score") * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 

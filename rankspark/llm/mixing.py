@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankspark.llm.frames import without, written
+from rankspark.llm.frames import Carried, written
 from rankspark.operators.ordering import global_positions
 
 WEIGHTS = (5, 2, 1)
@@ -205,13 +205,14 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **kw) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its columns and ``copy`` (0, 1, ...)."""
-    base = without(docs, ["copy"])
+    carried = Carried(docs, ["copy"])
+    base, id_col, source_col, text_col = carried.df, carried[id_col], carried[source_col], carried[text_col]
     sized = written(sized_rows(base, id_col, source_col, text_col), "mix-sizes")
     copies = mix_copies(sized, **kw).select("__id", "__source", "__size", "__hash", F.col("copies").alias("__copies")).where("__copies > 0")
     on = [base[id_col].eqNullSafe(copies["__id"]), base[source_col].eqNullSafe(copies["__source"]),
           F.xxhash64(base[text_col]) == copies["__hash"]]
     out = base.join(copies, on).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
-    return out.select(*[F.col(f"`{c}`") for c in base.columns], "copy")
+    return carried.restore(out, "copy")
 
 
 def op7_mixing(spark, sf_dir):

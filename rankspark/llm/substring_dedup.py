@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankspark.llm.bloom import contains, filter_bits, twice_filter
-from rankspark.llm.frames import map_rows, without, written
+from rankspark.llm.frames import Carried, map_rows, written
 from rankspark.llm.hashing import SPACE, Poly, byte_values, text_bytes, text_groups, tokens
 
 WINDOW = 35
@@ -171,7 +171,8 @@ def automata(patterns):
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """The documents with ``text`` reduced to the kept words, joined by one space, plus ``n_words`` and ``n_removed``."""
-    base = without(docs, ["n_words", "n_removed"])
+    carried = Carried(docs, ["n_words", "n_removed"])
+    base, id_col, text_col = carried.df, carried[id_col], carried[text_col]
     found = suspects(base, id_col, text_col, size)
     masks = confirm(found.select("key", "seg", "wins"))
     marks = (found.select("__id", "__text", "start", "key", "seg").join(masks, ["key", "seg"])
@@ -218,7 +219,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     fields = [T.StructField("__kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     out = map_rows(j, locate, fields)
-    return out.select(*[F.col("__kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns], "n_words", "n_removed")
+    return carried.restore(out, "n_words", "n_removed", **{text_col: "__kept"})
 
 
 def op10_substring_dedup(spark, sf_dir):

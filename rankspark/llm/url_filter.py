@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankspark.llm.frames import map_rows, without
+from rankspark.llm.frames import Carried, map_rows
 
 #: The rules of the task, (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -97,16 +97,17 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, strict=STRIC
             w.append(sorted(y))
         return [pa.array(s, pa.list_(pa.string())), pa.array(w, pa.list_(pa.string()))]
 
-    base = without(pages, ["host", "path", "rule", "verdict", "strict_hits", "soft_hits"])
-    counted = map_rows(base, count, [T.StructField("strict_hits", hits), T.StructField("soft_hits", hits)])
+    names = ["host", "path", "rule", "verdict", "strict_hits", "soft_hits"]
+    carried = Carried(pages, names)
+    url_col = carried[url_col]
+    counted = map_rows(carried.df, count, [T.StructField("strict_hits", hits), T.StructField("soft_hits", hits)])
     host, path = host_and_path(F.col(url_col))
     out = counted.withColumns({"host": host, "path": path})
     fit = fitting_rule(F.col("host"), F.col("path"), rules)
     bad = (F.size("strict_hits") > 0) | (F.size("soft_hits") >= soft_limit)
-    return (out.withColumn("__fit", fit)
-            .withColumn("rule", F.col("__fit.rule"))
-            .withColumn("verdict", F.coalesce("__fit.verdict", F.when(bad, "block").otherwise("allow")))
-            .drop("__fit"))
+    out = (out.withColumn("fit", fit).withColumn("rule", F.col("fit.rule"))
+           .withColumn("verdict", F.coalesce("fit.verdict", F.when(bad, "block").otherwise("allow"))))
+    return carried.restore(out, *names)
 
 
 def op4_url_filter(spark, sf_dir):
