@@ -252,7 +252,7 @@ def suffix_filter(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame
             keep = apart <= both - 2 * needed(both, percent)
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
 
-    return j.mapInArrow(run, pairs.schema)
+    return j.mapInArrow(run, "a binary, na long, b binary, nb long")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
