@@ -24,7 +24,7 @@ def flatten_structs(df: DataFrame, sep: str = "_") -> DataFrame:
             for f in dtype.fields:
                 walk(f.dataType, path + [f.name])
         else:
-            ref = F.col(path[0])
+            ref = F.col(f"`{path[0]}`")
             for p in path[1:]:
                 ref = ref.getField(p)
             cols.append(ref.alias(sep.join(path)))
@@ -61,9 +61,10 @@ def unwrap_singletons(df: DataFrame, cols=None) -> DataFrame:
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     out = {}
     for c in cols:
-        s = F.transform(F.col(c), lambda x: x.cast("string"))
-        out[c] = F.when(F.size(c) == 1, s[0]).otherwise(F.concat_ws(" ", s))
-    return df.withColumns(out)
+        ref = df[f"`{c}`"]
+        s = F.transform(ref, lambda x: x.cast("string"))
+        out[c] = F.when(F.size(ref) == 1, s[0]).otherwise(F.concat_ws(" ", s))
+    return df.select(*[(out[c].alias(c) if c in out else df[f"`{c}`"]) for c in df.columns])
 
 
 def field_text(df: DataFrame, field: str) -> Column:
@@ -107,6 +108,9 @@ def examples_to_columns(df: DataFrame, n: int | None = None) -> DataFrame:
     """``texts[]`` → ``text_a, text_b, …`` (trimmed); ``n`` fixes the number of columns."""
     if n is None:
         n = df.select(F.max(F.size("texts"))).first()[0] or 0
-    names = [f"text_{chr(ord('a') + i)}" for i in range(n)]
+    def name(i):  # a ... z, then aa, ab, ...
+        return (name(i // 26 - 1) if i >= 26 else "") + chr(ord("a") + i % 26)
+
+    names = [f"text_{name(i)}" for i in range(n)]
     return df.select("id", *[strip_ws(F.try_element_at("texts", F.lit(i + 1))).alias(nm) for i, nm in enumerate(names)],
                      "label")

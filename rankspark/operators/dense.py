@@ -176,12 +176,12 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 10, metric: str = "
     per-query window.
     """
     spark = docs.sparkSession
-    q = queries.select(F.col(query_id).alias("topic_id"), F.col(query_vec).alias("qv"))
+    q = queries.select(F.col(query_id).alias("topic_id"), F.col(query_vec).alias("qv")).where(F.col("qv").isNotNull())
     n_q = q.count()
     n_chunks = max(1, -(-n_q // chunk_rows))
     # chunk by a hash of the query id: no global ordering needed, sizes ~ n_q / n_chunks
     q = q.withColumn("__chunk", F.pmod(F.xxhash64("topic_id"), F.lit(n_chunks)))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("dv"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("dv")).where(F.col("dv").isNotNull())
     id_type = d.schema["doc_id"].dataType
     qid_type = q.schema["topic_id"].dataType
     out_schema = T.StructType([T.StructField("topic_id", qid_type), T.StructField("doc_id", id_type),
@@ -242,7 +242,18 @@ def _score_batches(bc, k: int, metric: str):
             rounded = np.round(s, 6)
             if n > k:
                 kth = np.partition(rounded, n - k, axis=1)[:, n - k]
-                qi, di = np.nonzero(rounded >= (kth - 2e-6)[:, None])
+                near = rounded >= (kth - 2e-6)[:, None]
+                # ties (equal or zero vectors): per query only the smallest ids of each score can be among the k
+                place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+                for i in np.flatnonzero(near.sum(axis=1) > 4 * k):
+                    cand = np.flatnonzero(near[i])
+                    cand = cand[np.lexsort((place[cand], rounded[i, cand]))]
+                    level = rounded[i, cand]
+                    start = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]]))
+                    nth = np.arange(len(cand)) - np.repeat(start, np.diff(np.append(start, len(cand))))
+                    near[i] = False
+                    near[i, cand[nth < k]] = True
+                qi, di = np.nonzero(near)
             else:
                 qi, di = np.nonzero(np.ones_like(s, dtype=bool))
             yield pa.RecordBatch.from_arrays(

@@ -121,8 +121,11 @@ def evaluate(run: DataFrame, qrels: DataFrame, metrics, complete: bool = False,
     cols = [_metric_expr(n, k, rel, rank, F.col("above").cast("double"), R, N).alias(f"m{i}")
             for i, (n, k) in enumerate(specs)]
     wide = j.groupBy(*keys, "topic_id").agg(*cols)
-    if complete and not keys:
-        wide = totals.select("topic_id").join(wide, "topic_id", "left")
+    if complete:
+        wanted = totals.select("topic_id")
+        if keys:  # every setting that the run names, for every judged topic: the grid is the result's size
+            wanted = wanted.crossJoin(run.select(*keys).distinct())
+        wide = wanted.join(wide, [*keys, "topic_id"], "left")
     long = wide.select(*keys, "topic_id", F.explode(F.array(*[
         F.struct(F.lit(n).alias("metric"), F.lit(k).alias("depth"),
                  F.coalesce(F.col(f"m{i}"), F.lit(0.0)).alias("value"))
@@ -166,7 +169,8 @@ def trec_summary(run: DataFrame, qrels: DataFrame, depth: int = 1000, cutoffs=(5
 
 
 def evaluate_residual(run: DataFrame, qrels: DataFrame, exclude: DataFrame, metrics,
-                      rerank: bool = False, reduce_qrels: bool = False, decimals: int | None = DECIMALS) -> DataFrame:
+                      rerank: bool = False, reduce_qrels: bool = False, decimals: int | None = DECIMALS,
+                      keys=()) -> DataFrame:
     """A10: drop the listed (topic, doc) pairs, keep the original ranks, evaluate.
 
     ``rerank=True`` renumbers the remaining documents; ``reduce_qrels=True`` also
@@ -174,11 +178,11 @@ def evaluate_residual(run: DataFrame, qrels: DataFrame, exclude: DataFrame, metr
     """
     keep = drop_pairs(run, exclude)
     if rerank:
-        w = Window.partitionBy("topic_id").orderBy("rank")
+        w = Window.partitionBy(*keys, "topic_id").orderBy("rank")
         keep = keep.withColumn("rank", F.row_number().over(w).cast("long"))
     if reduce_qrels:
         qrels = qrels.join(exclude.select("topic_id", "doc_id"), ["topic_id", "doc_id"], "left_anti")
-    return evaluate(keep, qrels, metrics, decimals=decimals)
+    return evaluate(keep, qrels, metrics, decimals=decimals, keys=keys)
 
 
 
@@ -198,9 +202,8 @@ def paired_t(a: DataFrame, b: DataFrame, with_p: bool = False) -> DataFrame:
     s = (d.groupBy("metric", "depth")
          .agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd")))
     t = F.when(F.col("sd") > 0, F.col("mean_diff") / (F.col("sd") / F.sqrt(F.col("n"))))
-    out = s.select("metric", "depth", "n", F.round("mean_diff", DECIMALS).alias("mean_diff"),
-                   F.round("sd", DECIMALS).alias("sd"), F.round(t, DECIMALS).alias("t"),
-                   (F.col("n") - 1).alias("dof"))
+    s = s.withColumns({"full_t": t, "dof": F.col("n") - 1})
     if with_p:
-        out = out.withColumn("p", F.round(t_pvalue(F.col("t"), F.col("dof").cast("double")), DECIMALS))
-    return out
+        s = s.withColumn("p", F.round(t_pvalue(F.col("full_t"), F.col("dof")), DECIMALS))
+    return s.select("metric", "depth", "n", F.round("mean_diff", DECIMALS).alias("mean_diff"),
+                    F.round("sd", DECIMALS).alias("sd"), F.round("full_t", DECIMALS).alias("t"), "dof", *(["p"] if with_p else []))

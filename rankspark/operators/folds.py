@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from rankspark.operators.ordering import global_positions
 
+#: Hash buckets of every label in ``stratified_folds``.
+FOLD_BUCKETS = 64
+
 
 def seeded_key(id_col, seed: int) -> Column:
     """md5 of ``"<seed>|<id>"`` (hex string): a seeded pseudo-random order."""
@@ -37,21 +40,16 @@ def kfolds(df: DataFrame, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int = 42,
-                     rows_per_bucket: int = 1_000_000) -> DataFrame:
+                     buckets: int = FOLD_BUCKETS) -> DataFrame:
     """Stratified k-fold (see module docstring).
 
-    Each label is split into ⌈n_label / rows_per_bucket⌉ hash buckets (counted
-    first), so the per-bucket window never holds more than about
-    ``rows_per_bucket`` rows, however large a label is.
+    Every label is split into ``buckets`` hash buckets, whatever its size, so the
+    deal depends on the seed, the ids and ``buckets`` alone; raise ``buckets`` where
+    a bucket of the largest label would be too long to sort in one task.
     """
     key = seeded_key(id_col, seed)
-    x = df.withColumn("__key", key)
-    per_label = x.groupBy(label_col).agg(F.count(F.lit(1)).alias("__nl")).select(
-        F.col(label_col).alias("__lab"),
-        F.greatest(F.lit(1), F.ceil(F.col("__nl") / F.lit(rows_per_bucket))).cast("long").alias("__nb"))
-    # one row per label; AQE broadcasts it when small (no hint: the label count is not bounded here)
-    x = (x.join(per_label, x[label_col].eqNullSafe(per_label["__lab"])).drop("__lab")
-         .withColumn("__bucket", F.pmod(F.conv(F.substring("__key", 9, 8), 16, 10).cast("long"), F.col("__nb"))))
+    x = df.withColumn("__key", key).withColumn("__bucket", F.pmod(
+        F.conv(F.substring("__key", 9, 8), 16, 10).cast("long"), F.lit(buckets)))
     counts = x.groupBy(label_col, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     wb = Window.partitionBy(label_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(label_col).alias("__ol"), F.col("__bucket").alias("__ob"),
@@ -61,7 +59,7 @@ def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 5, see
            .drop("__ol", "__ob")
            .withColumn("__pos", F.col("__off") + F.row_number().over(w) - 1))
     return pos.withColumn("fold", F.pmod(F.col("__pos"), F.lit(k)).cast("int")).drop(
-        "__key", "__bucket", "__off", "__pos", "__nb")
+        "__key", "__bucket", "__off", "__pos")
 
 
 def contiguous_folds(df: DataFrame, order_col: str, k: int, id_col: str | None = None) -> DataFrame:

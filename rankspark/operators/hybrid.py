@@ -7,7 +7,8 @@
 * automatic z (R15/R16): ``z = top ** (1/ceiling)`` where ``top`` is the best
   first-facet BM25 of the topic and ``ceiling`` defaults to
   #embed fields × #facets used by that topic; ``top <= ceiling`` gives a null z,
-  a null score and ``z_ok = false`` (an error with ``strict=True``).
+  a null score and ``z_ok = false``: such topics are left out (``low_topics`` lists
+  them), kept unscored with ``keep_low=True``, or an error with ``strict=True``.
   Both BM25 sums (used facets, first facet) come out of the same aggregation.
 * a fixed z (R19) is a literal; a negative z returns plain BM25 (R21);
   ``guard=True`` maps bm25 <= 0 to a log term of 0 (R20);
@@ -114,7 +115,7 @@ def hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vector
            offset: float = 1.0, weights: dict | None = None, facet_weights: dict | None = None,
            boosts: dict | None = None, use_bm25: bool = True, guard: bool = False, facets: str = "all",
            k1: float = 1.2, b: float = 0.75, k: int | None = 1000, strict: bool = False,
-           score_fn=None) -> DataFrame:
+           score_fn=None, keep_low: bool = False) -> DataFrame:
     """R17 (R18–R22 through the options): ranked run with the parts of the score.
 
     ``topic_vectors``: (topic_id, facet, facet_pos, embedding), one row per facet.
@@ -164,5 +165,13 @@ def hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vector
     out = scored.select("topic_id", "doc_id", "bm25", "embed", "z",
                         F.col("z").isNotNull().alias("z_ok"), score.alias("score"))
     if strict and isinstance(z, str) and out.where(~F.col("z_ok")).limit(1).count() > 0:
-        raise ValueError("BM25 ceiling cannot be lower than the cosine ceiling")
+        raise ValueError("some topics have a best BM25 score at or under the ceiling: no normaliser exists for them")
+    if use_bm25 and not keep_low:
+        out = out.where(F.col("z_ok"))  # a topic without a normaliser has no scores to rank by
     return rank_run(out, k=k)
+
+
+def low_topics(index: Index, topics: DataFrame, ceiling: float, fields=("body",), **kw) -> DataFrame:
+    """(topic_id, top_bm25) of the topics that ``hybrid`` leaves out at this ceiling."""
+    top = lexical_candidates(index, topics, fields, facets="first", **kw).groupBy("topic_id").agg(F.max("bm25_first").alias("top_bm25"))
+    return top.where(F.col("top_bm25") <= F.lit(float(ceiling)))

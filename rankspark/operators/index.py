@@ -31,7 +31,15 @@ class Index:
     raw: DataFrame | None = None
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
-        """Persist the index: postings range-clustered by (field, term) so row-group statistics prune scans."""
+        """Persist the index: postings range-clustered by (field, term) so row-group statistics prune scans.
+
+        A fresh index is tokenised once: its raw rows are written first, and the
+        four tables (and the range sampling) read them from there.
+        """
+        if self.raw is not None:
+            self.raw.write.mode(mode).parquet(f"{path}/raw")
+            from_raw(self.raw.sparkSession.read.parquet(f"{path}/raw"), keep_raw=False).write(path, mode)
+            return
         # doc_id in the range key splits a very frequent term over several files
         (self.postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
          .write.mode(mode).parquet(f"{path}/postings"))
@@ -71,9 +79,14 @@ def build_index(docs: DataFrame, fields=("body",), doc_id: str = "doc_id") -> In
            .where(F.col("term").isNotNull())
            .groupBy("field", "term", "doc_id", "dl")
            .agg(F.count(F.lit(1)).alias("tf")))
+    return from_raw(raw)
+
+
+def from_raw(raw: DataFrame, keep_raw: bool = True) -> Index:
+    """The index tables of raw rows (postings and length markers)."""
     postings = raw.where(F.col("term") != LENGTH_MARKER)
     doc_len = raw.where(F.col("term") == LENGTH_MARKER).select("field", "doc_id", "dl")
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     field_stats = doc_len.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                                F.avg("dl").alias("avgdl"))
-    return Index(postings.select("field", "term", "doc_id", "dl", "tf"), doc_len, term_stats, field_stats, raw)
+    return Index(postings.select("field", "term", "doc_id", "dl", "tf"), doc_len, term_stats, field_stats, raw if keep_raw else None)

@@ -29,10 +29,16 @@ def _param_value(name: str, spec, i: Column, seed: int) -> Column:
         choices = spec["choices"]
         return F.element_at(F.array(*[F.lit(c) for c in choices]), (F.floor(u * len(choices)) + 1).cast("int"))
     low, high = float(spec["low"]), float(spec["high"])
-    if kind in ("loguniform",) or spec.get("log"):
+    log = kind == "loguniform" or spec.get("log")
+    step = spec.get("q") if kind == "discrete_uniform" else spec.get("step")
+    if log and step:
+        raise ValueError(f"parameter {name!r}: log and step exclude each other")
+    if kind == "discrete_uniform" and not step:
+        raise ValueError(f"parameter {name!r}: discrete_uniform needs q")
+    if log:
         v = F.exp(F.lit(math.log(low)) + u * F.lit(math.log(high) - math.log(low)))
-    elif spec.get("step"):
-        step = float(spec["step"])
+    elif step:
+        step = float(step)
         n_steps = int(math.floor((high - low) / step + 1e-9)) + 1
         v = F.lit(low) + F.floor(u * n_steps) * F.lit(step)
     else:

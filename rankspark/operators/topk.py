@@ -40,7 +40,12 @@ MARGIN = 2e-6
 
 def bm25_top_k(index: Index, topics: DataFrame, k: int = 10, fields=("body",), k1: float = 1.2, b: float = 0.75,
                boosts: dict | None = None, facets: str = "first", probe_terms: int = 3) -> DataFrame:
-    """(topic_id, doc_id, score, rank) — the exact BM25 top k per topic, pruned."""
+    """(topic_id, doc_id, score, rank) — the exact BM25 top k per topic, pruned.
+
+    The bounds need contributions that are not negative, so negative boosts are refused.
+    """
+    if any(float(x) < 0 for x in (boosts or {}).values()):
+        raise ValueError("pruning needs boosts of at least 0; use bm25 with rank_run instead")
     qterms = query_terms(topics, fields, boosts, facets)
     post, w, field_stats, fits, _ = _matched(index, qterms, {"part": "qw"}, query_size_bound(topics, len(fields)))
     # (field, term, doc_id, __tfn), read by four branches: one explicit exchange lets them

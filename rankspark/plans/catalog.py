@@ -217,10 +217,13 @@ def _hybrid_sql(k=10, z="auto", use_bm25=True, missing=False, ceiling=None, boos
                            LEFT JOIN hdoc b ON b.doc_id = c.doc_id AND b.field = 'body')"""]
     ceil = f"{float(ceiling)}" if ceiling is not None else f"({float(len(emb))} * n_facets)"
     zexpr = "zt.z" if z == "auto" else f"{float(z)}::DOUBLE"
+    plain = z != "auto" and float(z) < 0
     per_facet = " + ".join(
         f"(CASE WHEN dv.{e} IS NULL THEN 0.0 ELSE {float(weights.get(e, 1.0))} * {sql.cos('tv.vec', 'dv.' + e)} + 1.0 END)"
         for e in emb if float(weights.get(e, 1.0)) != 0.0)
+    only = "WHERE zt.z IS NOT NULL" if z == "auto" and use_bm25 else ""
     score = f"CASE WHEN {zexpr} < 0 THEN c.bm25 ELSE ln(c.bm25) / ln({zexpr}) + e.embed END" if use_bm25 else "e.embed"
+    score = "c.bm25" if plain and use_bm25 else score
     ctes += ["""top AS (SELECT topic_id, max(bm25_first) AS top FROM cand GROUP BY topic_id)""",
              f"""zt AS (SELECT topic_id, CASE WHEN top > {ceil} THEN pow(top, 1.0 / {ceil}) END AS z
                         FROM top JOIN nf USING (topic_id))""",
@@ -228,7 +231,7 @@ def _hybrid_sql(k=10, z="auto", use_bm25=True, missing=False, ceiling=None, boos
                          LEFT JOIN tv ON tv.topic_id = c.topic_id LEFT JOIN dv ON dv.doc_id = c.doc_id
                          GROUP BY c.topic_id, c.doc_id)""",
              f"""sc AS (SELECT c.topic_id, c.doc_id, c.bm25, e.embed, {zexpr} AS z, {score} AS score
-                        FROM cand c JOIN emb e USING (topic_id, doc_id) LEFT JOIN zt USING (topic_id))""",
+                        FROM cand c JOIN emb e USING (topic_id, doc_id) LEFT JOIN zt USING (topic_id) {only})""",
              sql.rank_cte("run", "sc", k)]
     return (sql.with_(*ctes) + """SELECT topic_id, doc_id, rank, round(score, 6) AS score, round(bm25, 6) AS bm25,
                                   round(embed, 6) AS embed, round(z, 6) AS z FROM run""")
@@ -485,7 +488,15 @@ def _body_and_all_fields(index, topics, k):
     return rank_run(body, k=k), rank_run(both, k=k)
 
 
-def _paired_sql() -> str:
+_P_SQL = """CASE WHEN n > 1 AND sd > 0 THEN greatest(0.0, 1 - CASE
+    WHEN n - 1 = 1 THEN 2 / pi() * th
+    WHEN (n - 1) % 2 = 1 THEN 2 / pi() * (th + sin(th) * list_sum(list_transform(range(0, (n - 4) // 2 + 1),
+         lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2 * pow(cos(th), 2 * j + 1))))
+    ELSE sin(th) * list_sum(list_transform(range(0, (n - 3) // 2 + 1),
+         lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos(th), 2 * j))) END) END"""
+
+
+def _paired_sql(with_p: bool = False) -> str:
     specs = [ev.parse_metric(m) for m in PAIRED_METRICS]
     return (sql.with_(sql.corpus_ctes(LEX_FIELDS), sql.topics_cte(), sql.bm25_ctes(("body",), prefix="a_"),
                       sql.bm25_ctes(LEX_FIELDS, prefix="b_"), sql.rank_cte("ra", "a_scores", EVAL_DEPTH),
@@ -498,7 +509,8 @@ def _paired_sql() -> str:
                       """s AS (SELECT metric, depth, count(*) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd
                                FROM d GROUP BY metric, depth)""")
             + """SELECT metric, depth, n, round(mean_diff, 6) AS mean_diff, round(sd, 6) AS sd,
-                        round(CASE WHEN sd > 0 THEN mean_diff / (sd / sqrt(n)) END, 6) AS t, n - 1 AS dof FROM s""")
+                        round(CASE WHEN sd > 0 THEN mean_diff / (sd / sqrt(n)) END, 6) AS t, n - 1 AS dof"""
+            + (f", round({_P_SQL}, 6) AS p FROM (SELECT *, atan(abs(mean_diff / (sd / sqrt(n))) / sqrt(n - 1)) AS th FROM s)" if with_p else " FROM s"))
 
 
 @register("paired_t", _paired_sql())
@@ -508,9 +520,9 @@ def q_paired_t(spark, sf_dir):
     return ev.paired_t(a, b)
 
 
-@register("paired_t_p")
+@register("paired_t_p", _paired_sql(with_p=True))
 def q_paired_t_p(spark, sf_dir):
-    """A9 with the two-sided p-value (incomplete beta in a pandas_udf; no SQL twin)."""
+    """A9 with the two-sided p-value (a finite sum for whole degrees of freedom)."""
     a, b = _two_run_metrics(spark, sf_dir)
     return ev.paired_t(a, b, with_p=True)
 
@@ -534,15 +546,11 @@ def q_residual_eval(spark, sf_dir):
 
 # ---------------------------------------------------------------- step 6: data preparation, sources and sinks
 
-WIDE_FACETS = ["user_0", "assistant_1", "user_2", "assistant_3"]
-
-
-@register("topics_wide", sql.with_(sql.conversation_topics_cte())
-          + "SELECT topic_id, " + ", ".join(f"max(CASE WHEN facet = '{f}' THEN text END) AS {f}" for f in WIDE_FACETS)
-          + " FROM topics GROUP BY topic_id")
+@register("topics_wide", "SELECT * FROM (PIVOT (SELECT conv_id AS topic_id, concat_ws('_', role, CAST(turn AS VARCHAR)) AS facet, text "
+                         "FROM conversations) ON facet USING max(text) GROUP BY topic_id)")
 def q_topics_wide(spark, sf_dir):
-    """Conversation topics (one facet per turn) as one column per listed facet."""
-    return topic_src.topics_to_wide(inputs.conversation_topics(spark, sf_dir), WIDE_FACETS)
+    """Conversation topics (one facet per turn) as one column per facet, all facets of the table."""
+    return topic_src.topics_to_wide(inputs.conversation_topics(spark, sf_dir))
 
 
 @register("topics_tsv", "SELECT CAST(item_id AS VARCHAR) AS topic_id, 'text' AS facet, 0 AS facet_pos, text "
@@ -683,13 +691,7 @@ def q_kfolds(spark, sf_dir):
 
 
 @register("stratified_folds", f"""WITH x AS (SELECT vec_id, label, md5('42|' || CAST(vec_id AS VARCHAR)) AS key FROM embeddings),
-    nl AS (SELECT label, greatest(1, CAST(ceil(count(*) / 1000000.0) AS BIGINT)) AS nb FROM x GROUP BY label),
-    x2 AS (SELECT x.*, {_md5_int('key', 9, 8)} % nl.nb AS bucket FROM x JOIN nl ON x.label IS NOT DISTINCT FROM nl.label),
-    c AS (SELECT label, bucket, count(*) AS n FROM x2 GROUP BY label, bucket),
-    o AS (SELECT label, bucket, coalesce(sum(n) OVER (PARTITION BY label ORDER BY bucket
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c),
-    p AS (SELECT x2.vec_id, x2.label, o.off + row_number() OVER (PARTITION BY x2.label, x2.bucket ORDER BY x2.key, x2.vec_id) - 1 AS pos
-          FROM x2 JOIN o ON x2.label IS NOT DISTINCT FROM o.label AND x2.bucket = o.bucket)
+    p AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_md5_int('key', 9, 8)} % {fold_ops.FOLD_BUCKETS}, key, vec_id) - 1 AS pos FROM x)
     SELECT vec_id, label, CAST(pos % 5 AS INTEGER) AS fold FROM p""")
 def q_stratified_folds(spark, sf_dir):
     """Every embedding in one of 5 folds, stratified by label, seed 42."""
@@ -891,14 +893,8 @@ def q_ablation_grid(spark, sf_dir):
 
 # ---------------------------------------------------------------- step 8: incremental work
 
-STREAM_FILES = 4
-
-
-def _as_files(df: DataFrame, spark, name: str) -> str:
-    """Write a table as several Parquet files (the stream's arriving files)."""
-    path = scratch_path(spark, name)
-    df.repartition(STREAM_FILES, df.columns[0]).write.parquet(path)
-    return path
+#: Micro-batches that the files of one arrival are dealt over; a batch's files are read in parallel.
+STREAM_BATCHES = 4
 
 
 @register("encode_incremental", sql.with_(
@@ -922,16 +918,23 @@ def q_encode_incremental(spark, sf_dir):
                       F.round(F.array_max("embedding"), 6).alias("max_weight"))
 
 
+def _streamed(spark, *arrivals: DataFrame) -> str:
+    """Index the arrivals, one after the other, each in several micro-batches; the index's folder."""
+    out, ckpt = scratch_path(spark, "stream-index"), scratch_path(spark, "stream-index-ckpt")
+    folder = scratch_path(spark, "docs-stream")
+    for docs in arrivals:
+        docs.write.mode("append").parquet(folder)
+        files = max(1, -(-len(spark.read.parquet(folder).inputFiles()) // STREAM_BATCHES))
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(folder)
+        inc.stream_index(stream, out, ckpt, "version", LEX_FIELDS, dim=DIM).awaitTermination()
+    return out
+
+
 @register("stream_index_stats", ORACLE["index_stats"])
 def q_stream_index_stats(spark, sf_dir):
-    """Documents arrive as 4 files, one micro-batch each; the streamed index's statistics."""
-    src = _as_files(inputs.corpus(spark, sf_dir).select("doc_id", "title", "body"), spark, "docs-stream")
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out, ckpt = scratch_path(spark, "stream-index"), scratch_path(spark, "stream-index-ckpt")
-    q = inc.stream_index(stream, out, ckpt, LEX_FIELDS)
-    q.awaitTermination()
-    idx = inc.read_stream_index(spark, out)
+    """Documents arrive as files in several micro-batches; the streamed index's statistics."""
+    idx = inc.read_stream_index(spark, _streamed(spark, inputs.corpus(spark, sf_dir).select("doc_id", "title", "body")
+                                                 .withColumn("version", F.lit(1).cast("long"))))
     per_field = idx.term_stats.groupBy("field").agg(F.count(F.lit(1)).alias("n_terms"),
                                                     F.sum("df").cast("long").alias("n_postings"))
     return (idx.field_stats.join(per_field, "field")
@@ -940,12 +943,13 @@ def q_stream_index_stats(spark, sf_dir):
 
 @register("stream_topics_bm25", ORACLE["bm25_topk"])
 def q_stream_topics_bm25(spark, sf_dir):
-    """Topics arrive as a stream of 4 files; each micro-batch ranked (BM25 top 10) against a stored index."""
+    """Topics arrive as a stream of files; each micro-batch ranked (BM25 top 10) against a stored index."""
     idx_path = scratch_path(spark, "index")
     inputs.corpus_index(spark, sf_dir, ("body",)).write(idx_path)
     index = Index.read(spark, idx_path)
-    src = _as_files(inputs.topics(spark, sf_dir), spark, "topics-stream")
+    src = scratch_path(spark, "topics-stream")
+    inputs.topics(spark, sf_dir).write.parquet(src)
     stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
     out, ckpt = scratch_path(spark, "topic-runs"), scratch_path(spark, "topic-runs-ckpt")
     inc.score_topic_stream(stream, index, out, ckpt, ("body",), k=TOPK).awaitTermination()
-    return _round(spark.read.parquet(out), "score").select("topic_id", "doc_id", "rank", "score")
+    return _round(inc.read_topic_runs(spark, out), "score").select("topic_id", "doc_id", "rank", "score")

@@ -5,10 +5,10 @@ These only reshape the given tables into the schemas the operators expect
 
 * corpus   documents → doc_id, title (first line), body (whole text), source, lang
 * topics   benchmark → topic_id = item_id, one facet ``text`` at position 0
-* qrels    a document is relevant to a topic when it contains the topic text
-           verbatim (grade 1 + labels.quality, 1 when unlabelled); labelled
-           documents that share the topic's anchor term without containing the
-           text are judged non-relevant (grade 0).
+* qrels    a document is relevant to a topic when the topic's tokens occur in it
+           as one run (grade 1 + labels.quality, 1 when unlabelled); labelled
+           documents that have the topic's rarest token without containing the
+           run are judged non-relevant (grade 0).
 """
 
 from __future__ import annotations
@@ -50,43 +50,42 @@ def corpus_index(spark: SparkSession, sf_dir: str, fields=CORPUS_FIELDS) -> Inde
     return build_index(corpus(spark, sf_dir), fields)
 
 
+def _token_line(col) -> "F.Column":
+    """The tokens of a text between single spaces (also before the first and after the last)."""
+    return F.concat(F.lit(" "), F.array_join(tokenize(col), " "), F.lit(" "))
+
+
 def qrels(spark: SparkSession, sf_dir: str, index: Index | None = None) -> DataFrame:
     """(topic_id, doc_id, rel) as described in the module docstring.
 
-    Verbatim containment is found without a cross join: a text that occurs in a
-    document brings each of its interior tokens (not first, not last) as a whole
-    token of that document, so the candidates are the documents holding the
-    topic's rarest interior token (exact for texts of three or more tokens;
-    shorter texts use all their tokens as anchors), verified with ``instr``.
-    One pass over the corpus yields the distinct (doc, term) pairs of those
-    tokens; the df count and the candidate join share it through one exchange.
+    Containment is a run of tokens, so a document that holds the topic holds each
+    of its tokens: the candidates are the documents with the topic's rarest token
+    (an equi-join, exact for topics of any length; a topic without tokens has no
+    judgements), verified on the token line of the same row. One pass over
+    the corpus carries terms and token lines of the documents that hold any
+    topic token; the df count and the candidate join share it.
     ``index`` is accepted for call compatibility and not needed.
     """
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("topic_id"), "text")
-    toks = b.select("topic_id", "text", tokenize("text").alias("toks"))
-    inner = (toks.select("topic_id", "text", F.posexplode_outer("toks").alias("pos", "term"), F.size("toks").alias("n"))
-             .where(F.col("term").isNotNull()))
-    inner = inner.where((F.col("n") < 3) | ((F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1)))
+    inner = (b.select("topic_id", _token_line("text").alias("topic_line"), F.explode(F.array_distinct(tokenize("text"))).alias("term")))
     small = inner.count() <= max_broadcast_rows(inner)  # bounds both topic-side tables below
     terms = inner.select("term").distinct()
     terms = F.broadcast(terms) if small else terms
-    # distinct terms of each document, restricted to the topics' interior terms
     pairs = (docs.select("doc_id", F.explode_outer(F.array_distinct(tokenize("text"))).alias("term"))
              .where(F.col("term").isNotNull())
              .join(terms, "term", "left_semi")
              .repartition("doc_id"))  # the shared exchange: both consumers read it
     body_df = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = inner.join(body_df, "term")
+    # a token that no document has makes the topic's containment impossible; the rarest that occurs still gives the judged ones
     w = Window.partitionBy("topic_id").orderBy("df", "term")
-    anchor = (ranked.withColumn("r", F.row_number().over(w))
-              .where((F.col("r") == 1) | (F.col("n") < 3)).select("topic_id", "text", "term"))
-    # anchors are a subset of the topics' interior tokens: bounded by ``inner``
-    cand = (pairs.join(F.broadcast(anchor) if small else anchor, "term")
-            .select("topic_id", "doc_id", "text").distinct())
+    anchor = (inner.join(body_df, "term").withColumn("r", F.row_number().over(w))
+              .where(F.col("r") == 1).select("topic_id", "topic_line", "term"))
+    # anchors are a subset of the topics' tokens: bounded by ``inner``
+    cand = pairs.join(F.broadcast(anchor) if small else anchor, "term").select("topic_id", "doc_id", "topic_line")
     judged = (cand.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
-              .withColumn("hit", F.instr(F.col("doc_text"), F.col("text")) > 0)
+              .withColumn("hit", F.contains(_token_line("doc_text"), F.col("topic_line")))
               .join(labels, "doc_id", "left"))
     return (judged.where(F.col("hit") | F.col("quality").isNotNull())
             .select("topic_id", "doc_id",

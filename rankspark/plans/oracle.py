@@ -63,19 +63,18 @@ def rank_cte(name: str, source: str, k: int | None, part: str = "topic_id", scor
 
 
 def qrels_ctes() -> str:
-    """Needs ``tstats`` / ``postings`` over the body field."""
+    """From the definition: every (topic, document) pair is tested for containment as a run of tokens."""
+    line = f"' ' || array_to_string({tok('text')}, ' ') || ' '"
     return f"""
-btoks AS (SELECT item_id AS topic_id, text, {tok('text')} AS toks FROM benchmark),
-bterms AS (SELECT topic_id, text, unnest(toks) AS term, generate_subscripts(toks, 1) AS i, len(toks) AS n FROM btoks),
-inner_terms AS (SELECT * FROM bterms WHERE n < 3 OR (i > 1 AND i < n)),
-anchor AS (SELECT topic_id, text, term FROM (
-             SELECT it.*, row_number() OVER (PARTITION BY topic_id ORDER BY t.df, it.term) AS r
-             FROM inner_terms it JOIN tstats t ON t.field = 'body' AND t.term = it.term) WHERE r = 1 OR n < 3),
-cand AS (SELECT DISTINCT a.topic_id, p.doc_id, a.text FROM anchor a JOIN postings p ON p.field = 'body' AND p.term = a.term),
-judged AS (SELECT c.topic_id, c.doc_id, contains(d.text, c.text) AS hit, l.quality
-           FROM cand c JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)),
-qrels AS (SELECT topic_id, doc_id, CAST(CASE WHEN hit THEN 1 + coalesce(quality, 0) ELSE 0 END AS INTEGER) AS rel
-          FROM judged WHERE hit OR quality IS NOT NULL)"""
+tlines AS (SELECT item_id AS topic_id, {line} AS line, list_distinct({tok('text')}) AS terms FROM benchmark WHERE len({tok('text')}) > 0),
+dlines AS (SELECT doc_id, {line} AS line FROM documents),
+hits AS (SELECT t.topic_id, d.doc_id FROM tlines t JOIN dlines d ON contains(d.line, t.line)),
+dfs AS (SELECT term, count(*) AS df FROM postings WHERE field = 'body' GROUP BY term),
+rarest AS (SELECT topic_id, arg_min(term, struct_pack(df := df, term := term)) AS term
+           FROM (SELECT topic_id, unnest(terms) AS term FROM tlines) JOIN dfs USING (term) GROUP BY topic_id),
+near AS (SELECT r.topic_id, p.doc_id FROM rarest r JOIN postings p ON p.field = 'body' AND p.term = r.term JOIN labels l ON l.doc_id = p.doc_id),
+qrels AS (SELECT topic_id, doc_id, CAST(CASE WHEN max(hit) = 1 THEN 1 + coalesce(any_value(l.quality), 0) ELSE 0 END AS INTEGER) AS rel
+          FROM (SELECT *, 1 AS hit FROM hits UNION ALL SELECT *, 0 FROM near) LEFT JOIN labels l USING (doc_id) GROUP BY topic_id, doc_id)"""
 
 
 def eval_ctes(run: str = "run", maxd: int = 1000, p: str = "", keys: str = "") -> str:

@@ -37,10 +37,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a fresh scratch folder is created.
+    is. Only on a local master (tests) a fresh scratch folder replaces an unset one.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by the driver and all executors")
         path = tempfile.mkdtemp(prefix="rankspark-ckpt-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, path)
     try:  # RDD checkpoints (classic sessions) go to the same shared folder

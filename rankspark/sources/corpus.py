@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.functions.columns import flatten_structs, remap_labels, unwrap_singletons
+from rankspark.functions.text import clean_whitespace
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -21,9 +22,7 @@ def read_docs_xml(spark: SparkSession, path: str, row_tag: str, sections, sep: s
     raw = spark.read.format("xml").option("rowTag", row_tag).load(path)
     present = [s for s in sections if s in raw.columns]
     df = raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.xml$", "").alias("doc_id"), *present)
-    flat = flatten_structs(df, sep="__")
-    flat = flat.toDF(*[c.replace("__", sep) for c in flat.columns])
-    return unwrap_singletons(flat)
+    return unwrap_singletons(flatten_structs(df, sep=sep))
 
 
 def read_posts(spark: SparkSession, path: str, kind: str = "submissions") -> DataFrame:
@@ -51,9 +50,26 @@ def load_pairs(df: DataFrame, text_cols, label_col: str = "label", id_col: str |
     return remap_labels(out, label_col, div, drop)
 
 
-def enrich_corpus(docs: DataFrame, vectors: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def enrich(docs: DataFrame, fields, dim: int | None = None, doc_id: str = "doc_id", encoder=None) -> DataFrame:
+    """Cleaned text fields and a ``<field>_embedding`` for each, in one pass and without a join.
+
+    The hash encoder by default, or any ``encode_batch`` object (one pass per field).
+    """
+    from rankspark.operators.dense import DEFAULT_DIM, encode, hash_encode_columns
+    cleaned = docs.withColumns({f: clean_whitespace(f) for f in fields})
+    if encoder is None:
+        carried = cleaned.withColumns({f"__{f}": F.col(f) for f in fields})
+        return hash_encode_columns(carried, {f"__{f}": f"{f}_embedding" for f in fields}, dim or DEFAULT_DIM, keep=cleaned.columns)
+    for f in fields:
+        # a null text is not encoded: an empty one stands in and its vector is removed again
+        cleaned = encode(cleaned.withColumn("__text", F.coalesce(F.col(f), F.lit(""))), "__text", encoder, f"{f}_embedding", keep=cleaned.columns)
+        cleaned = cleaned.withColumn(f"{f}_embedding", F.when(F.col(f).isNotNull(), F.col(f"{f}_embedding")))
+    return cleaned
+
+
+def enrich_corpus(docs: DataFrame, fields, path: str, mode: str = "errorifexists", **kw) -> None:
     """Write a new corpus version with cleaned text and vector columns (no in-place update)."""
-    docs.join(vectors, "doc_id", "left").write.mode(mode).parquet(path)
+    enrich(docs, fields, **kw).write.mode(mode).parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "doc_id", mode: str = "errorifexists") -> None:

@@ -37,8 +37,20 @@ def topics_long(df: DataFrame, fields, id_col: str = "topic_id") -> DataFrame:
     return wide_to_long(df, id_col, fields)
 
 
-def topics_to_wide(topics: DataFrame, fields) -> DataFrame:
-    """One column per listed facet, null when absent (pivot on the listed values)."""
+#: Most columns that ``topics_to_wide`` makes of a topic table's own facets.
+MAX_WIDE_FACETS = 2000
+
+
+def topics_to_wide(topics: DataFrame, fields=None) -> DataFrame:
+    """One column per facet, null when absent (a pivot).
+
+    Without ``fields`` all facets of the table become columns, in order of their
+    names; more than ``MAX_WIDE_FACETS`` are an error, not a cut.
+    """
+    if fields is None:
+        fields = sorted(r[0] for r in topics.select("facet").where(F.col("facet").isNotNull()).distinct().limit(MAX_WIDE_FACETS + 1).collect())
+        if len(fields) > MAX_WIDE_FACETS:
+            raise ValueError(f"more than {MAX_WIDE_FACETS} facets; list the wanted ones")
     return (topics.groupBy("topic_id").pivot("facet", list(fields))
             .agg(F.max_by("text", "facet_pos")))
 

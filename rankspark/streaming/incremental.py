@@ -1,13 +1,15 @@
 """Incremental indexing and topic scoring with Structured Streaming.
 
-* ``stream_index``: each micro-batch of documents is tokenised and its
-  postings, lengths and ids are written under ``batch_id=<n>`` with overwrite,
-  so a replayed batch (after a failure) rewrites the same folder: the sink is
-  idempotent. Statistics are never frozen into the written rows;
-  ``read_stream_index`` keeps each document's latest batch (re-sent ids
-  replace older rows) and re-aggregates df / N / avgdl at read time.
+* ``stream_index``: each micro-batch of documents is reduced to one row per id
+  (its highest version), cleaned and encoded, and written under
+  ``batch_id=<n>`` with overwrite; the postings are tokenised from those written
+  rows, once. A replayed batch (after a failure) rewrites the same folders, so
+  the sink is idempotent. Statistics are never frozen into the written rows;
+  ``read_stream_index`` keeps each document's highest (version, batch), so an old
+  version that arrives late does not win, and re-aggregates df / N / avgdl.
 * ``score_topic_stream``: topics arrive as a stream and each micro-batch is
-  ranked against a static index (BM25 + per-topic top-k), appended by batch id.
+  ranked against a static index (BM25 or hybrid + per-topic top-k), written by
+  batch id; ``read_topic_runs`` keeps the latest list of a repeated topic.
 Checkpoints live in the cluster's shared ``spark.checkpoint.dir``.
 """
 
@@ -18,57 +20,89 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rankspark.operators import bm25 as bm25_ops
-from rankspark.operators.index import Index, build_index
+from rankspark.operators.index import LENGTH_MARKER, Index, build_index
 from rankspark.operators.runs import rank_run
+from rankspark.sources.corpus import enrich
 
 
-def _latest_per_doc(batch: DataFrame, doc_id: str, version_col: str | None) -> DataFrame:
-    """One row per id inside a micro-batch: the highest ``version_col`` (or text hash when absent)."""
-    key = F.col(version_col) if version_col else F.sha2(F.to_json(F.struct(*batch.columns)), 256)
+def _latest_per_doc(batch: DataFrame, doc_id: str, version_col: str) -> DataFrame:
+    """One row per id inside a micro-batch: the highest ``version_col`` (equal versions: the highest row content)."""
     others = [c for c in batch.columns if c != doc_id]
-    return (batch.groupBy(doc_id).agg(F.max_by(F.struct(*others), key).alias("__r"))
+    row = F.struct(*[F.col(c) for c in others])
+    return (batch.groupBy(doc_id).agg(F.max_by(row, F.struct(F.col(version_col), F.to_json(row))).alias("__r"))
             .select(doc_id, *[F.col(f"__r.{c}").alias(c) for c in others]))
 
 
-def stream_index(docs_stream: DataFrame, out_path: str, checkpoint: str, fields=("body",), doc_id: str = "doc_id",
-                 version_col: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Start the incremental indexing stream (see module docstring)."""
+def stream_index(docs_stream: DataFrame, out_path: str, checkpoint: str, version_col: str, fields=("body",), doc_id: str = "doc_id",
+                 dim: int | None = None, encoder=None, available_now: bool = True) -> StreamingQuery:
+    """Start the incremental indexing stream (see module docstring).
+
+    ``version_col`` orders the versions of a document (a version number or an arrival time).
+    """
+    spark = docs_stream.sparkSession
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        docs = _latest_per_doc(batch, doc_id, version_col)
-        idx = build_index(docs, fields, doc_id)
         part = f"batch_id={batch_id}"
-        docs.select(F.col(doc_id).alias("doc_id")).write.mode("overwrite").parquet(f"{out_path}/docs/{part}")
-        idx.postings.write.mode("overwrite").parquet(f"{out_path}/postings/{part}")
-        idx.doc_len.write.mode("overwrite").parquet(f"{out_path}/doc_len/{part}")
+        docs = enrich(_latest_per_doc(batch, doc_id, version_col), fields, dim, doc_id, encoder)
+        docs.withColumnsRenamed({doc_id: "doc_id", version_col: "version"}).write.mode("overwrite").parquet(f"{out_path}/docs/{part}")
+        raw = build_index(spark.read.parquet(f"{out_path}/docs/{part}"), fields).raw
+        raw.write.mode("overwrite").parquet(f"{out_path}/raw/{part}")
 
     w = docs_stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
+def superseded(docs: DataFrame) -> DataFrame:
+    """(doc_id, batch_id) of stored rows that a higher (version, batch) of the same document replaces."""
+    again = docs.groupBy("doc_id").agg(F.max(F.struct("version", "batch_id")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return docs.select("doc_id", "batch_id").join(again, "doc_id").where(F.col("batch_id") != F.col("top.batch_id")).select("doc_id", "batch_id")
+
+
+def read_stream_documents(spark: SparkSession, out_path: str) -> DataFrame:
+    """The current documents: cleaned text, vectors and version."""
+    docs = spark.read.parquet(f"{out_path}/docs")
+    return docs.join(superseded(docs), ["doc_id", "batch_id"], "left_anti").drop("batch_id")
+
+
 def read_stream_index(spark: SparkSession, out_path: str) -> Index:
-    """The current index: latest batch per document, statistics re-aggregated."""
-    latest = spark.read.parquet(f"{out_path}/docs").groupBy("doc_id").agg(F.max("batch_id").alias("batch_id"))
-    postings = (spark.read.parquet(f"{out_path}/postings").join(latest, ["doc_id", "batch_id"], "left_semi")
-                .drop("batch_id"))
-    doc_len = (spark.read.parquet(f"{out_path}/doc_len").join(latest, ["doc_id", "batch_id"], "left_semi")
-               .drop("batch_id"))
+    """The current index: the highest version of each document, statistics re-aggregated.
+
+    Only replaced rows are looked up (an anti join with a side that holds re-sent
+    documents alone), so postings of documents sent once are not shuffled for it.
+    """
+    raw = spark.read.parquet(f"{out_path}/raw").join(superseded(spark.read.parquet(f"{out_path}/docs").select("doc_id", "version", "batch_id")),
+                                                     ["doc_id", "batch_id"], "left_anti").drop("batch_id")
+    postings = raw.where(F.col("term") != LENGTH_MARKER)
+    doc_len = raw.where(F.col("term") == LENGTH_MARKER).select("field", "doc_id", "dl")
     term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     field_stats = doc_len.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return Index(postings.select("field", "term", "doc_id", "dl", "tf"), doc_len.select("field", "doc_id", "dl"),
-                 term_stats, field_stats)
+    return Index(postings.select("field", "term", "doc_id", "dl", "tf"), doc_len, term_stats, field_stats)
 
 
 def score_topic_stream(topics_stream: DataFrame, index: Index, out_path: str, checkpoint: str, fields=("body",),
-                       k: int = 10, k1: float = 1.2, b: float = 0.75, available_now: bool = True) -> StreamingQuery:
-    """Rank every micro-batch of topics against a static index; results appended by batch id."""
+                       k: int = 10, k1: float = 1.2, b: float = 0.75, facets: str = "first", available_now: bool = True,
+                       score=None) -> StreamingQuery:
+    """Rank every micro-batch of topics against a static index; results are written by batch id.
+
+    ``facets`` picks the facets of a topic (``"first"`` or ``"all"``). ``score`` may
+    replace BM25: ``score(index, topics) -> run`` with a rank, e.g. a hybrid.
+    """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        scores = bm25_ops.bm25(index, batch, fields, k1, b)
-        (rank_run(scores, k=k).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}"))
+        if score is not None:
+            run = score(index, batch)
+        else:
+            run = rank_run(bm25_ops.bm25(index, batch, fields, k1, b, facets=facets), k=k)
+        run.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     w = topics_stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
+
+
+def read_topic_runs(spark: SparkSession, out_path: str) -> DataFrame:
+    """The streamed runs; of a topic that came in several batches the last list only."""
+    runs = spark.read.parquet(out_path)
+    last = runs.groupBy("topic_id").agg(F.max("batch_id").alias("batch_id"))
+    return runs.join(last, ["topic_id", "batch_id"], "left_semi")

@@ -92,10 +92,14 @@ def test_supcon_single_pair(spark):
     assert pr.supcon_loss(views).first()["loss"] == pytest.approx(0.0)
 
 
-def test_paired_t_pvalue():
-    from rankspark.functions.stats import t_two_sided_p
-    assert t_two_sided_p(2.0, 10.0) == pytest.approx(0.07338803, abs=1e-6)
-    assert t_two_sided_p(0.0, 5.0) == pytest.approx(1.0)
+def test_paired_t_pvalue(spark):
+    from rankspark.functions.stats import t_pvalue
+    # reference values of the t distribution (tables), odd and even degrees of freedom
+    cases = [(2.0, 10, 0.07338803), (0.0, 5, 1.0), (12.7062, 1, 0.05), (4.302653, 2, 0.05), (3.182446, 3, 0.05),
+             (-2.776445, 4, 0.05), (2.228139, 10, 0.05), (1.984217, 99, 0.05), (2.0, 0, None), (None, 4, None)]
+    df = spark.createDataFrame([(i, t, n, p) for i, (t, n, p) in enumerate(cases)], "i int, t double, n int, want double")
+    for r in df.withColumn("p", t_pvalue(F.col("t"), F.col("n"))).collect():
+        assert r["p"] == (None if r["want"] is None else pytest.approx(r["want"], abs=2e-6))
 
 
 def test_missing_topic_column_is_an_error(spark, tmp_path):

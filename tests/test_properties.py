@@ -119,7 +119,7 @@ def test_unjudged_document_leaves_bpref_unchanged(spark):
 def test_folds_partition_and_stratify(spark):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", "label")
     n = e.count()
-    f = folds.stratified_folds(e, "vec_id", "label", k=5, rows_per_bucket=7)
+    f = folds.stratified_folds(e, "vec_id", "label", k=5, buckets=7)
     rows = f.collect()
     assert len(rows) == n and len({r.vec_id for r in rows}) == n
     per = Counter((r.label, r.fold) for r in rows)
@@ -199,10 +199,10 @@ def test_streaming_index_equals_batch_index(spark, tmp_path):
     from rankspark.streaming import incremental as inc
     stream = spark.readStream.schema(corpus.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    inc.stream_index(stream, out, ck, ("title", "body")).awaitTermination()
+    inc.stream_index(stream, out, ck, "source", ("title", "body")).awaitTermination()
     first.write.mode("append").parquet(src)
     inc.stream_index(spark.readStream.schema(corpus.schema).option("maxFilesPerTrigger", 1).parquet(src),
-                     out, ck, ("title", "body")).awaitTermination()
+                     out, ck, "source", ("title", "body")).awaitTermination()
     got = inc.read_stream_index(spark, out)
     want_docs = corpus.where(F.col("doc_id") != 0).unionByName(first)
     want = build_index(want_docs, ("title", "body"))

@@ -136,8 +136,7 @@ def test_small_helpers(spark, tmp_path):
     got = sorted((r.id, r.label) for r in load_pairs(pairs, ["a", "b"], id_col="id", limit=2).collect())
     assert got == [(2, 0)]  # first two by id: 1 (−1 → dropped), 2 (1 // 2 = 0)
     docs = spark.createDataFrame([(1, "t")], "doc_id long, body string")
-    vecs = spark.createDataFrame([(1, [1.0, 0.0])], "doc_id long, body_embedding array<double>")
-    enrich_corpus(docs, vecs, str(tmp_path / "v2"))
+    enrich_corpus(docs, ["body"], str(tmp_path / "v2"))
     assert spark.read.parquet(str(tmp_path / "v2")).columns == ["doc_id", "body", "body_embedding"]
     nested = spark.createDataFrame([((1, "x"),)], "A struct<B:int, Textblock:string>")
     assert nested.select(colf.facet(nested, "A_B")).first()[0] == 1
