@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rankspark.functions.text import explode_tokens, token_count
 from rankspark.operators.index import LENGTH_MARKER, Index
-from rankspark.operators.sizing import max_broadcast_rows, max_pushdown_terms
+from rankspark.operators.sizing import max_broadcast_rows
 
 
 def select_facets(topics: DataFrame, facets: str = "first") -> DataFrame:
@@ -88,17 +88,10 @@ def _matched(index: Index, qterms: DataFrame, weights: dict, row_bound: int | No
         df_t = stats.where(F.col("mean_dl") >= 0).select("field", "term", "df")  # reads mean_dl: see note below
         post = m
     else:
-        # stored index: when the query vocabulary is small, its terms also go into a literal
-        # IN filter that Parquet pushes down, so row groups of the term-sorted postings that
-        # hold none of them are skipped; the semi join keeps the (field, term) pairing exact.
-        postings, term_stats = index.postings, index.term_stats
-        if n_q <= max_pushdown_terms(qterms):
-            terms = [r[0] for r in vocab.select("term").distinct().collect()]
-            postings = postings.where(F.col("term").isin(terms))
-            term_stats = term_stats.where(F.col("term").isin(terms))
+        # stored index: the query vocabulary stays distributed; the semi join drops other terms in the scan's task
         vocab = F.broadcast(vocab) if fits else vocab
-        post = postings.join(vocab, ["field", "term"], "left_semi")
-        df_t = term_stats.join(vocab, ["field", "term"], "left_semi")
+        post = index.postings.join(vocab, ["field", "term"], "left_semi")
+        df_t = index.term_stats.join(vocab, ["field", "term"], "left_semi")
         field_stats = index.field_stats
     # Every consumer of the statistics reads both n_docs and avgdl (the ``avgdl > 0`` and
     # ``n_docs > 0`` guards below never change a value: a field with postings has both

@@ -24,6 +24,7 @@ from rankspark.operators import rerank as rr
 from rankspark.operators import sweep as sweep_ops
 from rankspark.operators.index import Index, fields_long
 from rankspark.operators.runs import rank_agreement, rank_run
+from rankspark.operators.sizing import broadcast_if_bounded
 from rankspark.plans import inputs
 from rankspark.plans import oracle as sql
 from rankspark.session import scratch_path
@@ -175,6 +176,12 @@ def _doc_hash_vectors(spark, sf_dir):
                                          keep=["doc_id"])
 
 
+def _run_hash_vectors(spark, sf_dir, run: DataFrame) -> DataFrame:
+    """Title and body vectors of the documents that the run names, and of no others."""
+    docs = inputs.corpus(spark, sf_dir).join(run.select("doc_id").distinct(), "doc_id", "left_semi")
+    return dense_ops.hash_encode_columns(docs, {"title": "title_embedding", "body": "body_embedding"}, DIM, keep=["doc_id"])
+
+
 def _topic_hash_vectors(spark, sf_dir, topics=None):
     t = topics if topics is not None else inputs.topics(spark, sf_dir)
     return dense_ops.hash_encode(t, "text", DIM, keep=["topic_id", "facet", "facet_pos"])
@@ -389,7 +396,7 @@ def _rerank_sql(dense: bool) -> str:
 def q_rerank_hybrid(spark, sf_dir):
     """BM25 top 100 re-ranked by log_z(score) + cosine sum over title and body vectors."""
     first = body_run(spark, sf_dir, RERANK_DEPTH)
-    out = rr.rerank_hybrid(first, _doc_hash_vectors(spark, sf_dir), _topic_hash_vectors(spark, sf_dir), EMB_FIELDS)
+    out = rr.rerank_hybrid(first, _run_hash_vectors(spark, sf_dir, first), _topic_hash_vectors(spark, sf_dir), EMB_FIELDS)
     return _round(out.select("topic_id", "doc_id", "rank", "score", "first_score", "sim_sum", "z"),
                   "score", "first_score", "sim_sum", "z")
 
@@ -398,7 +405,7 @@ def q_rerank_hybrid(spark, sf_dir):
 def q_rerank_dense(spark, sf_dir):
     """BM25 top 100 re-ranked by the cosine sum alone."""
     first = body_run(spark, sf_dir, RERANK_DEPTH)
-    out = rr.rerank_dense(first, _doc_hash_vectors(spark, sf_dir), _topic_hash_vectors(spark, sf_dir), EMB_FIELDS)
+    out = rr.rerank_dense(first, _run_hash_vectors(spark, sf_dir, first), _topic_hash_vectors(spark, sf_dir), EMB_FIELDS)
     return _round(out.select("topic_id", "doc_id", "rank", "score", "first_score"), "score", "first_score")
 
 
@@ -447,7 +454,7 @@ def q_kmax_pool(spark, sf_dir):
                 .where(F.length("ptext") > 0))
     pv = dense_ops.hash_encode(passages, "ptext", DIM, keep=["doc_id", "passage"])
     tv = _topic_hash_vectors(spark, sf_dir).select("topic_id", F.col("embedding").alias("qvec"))
-    ps = (first.join(pv, "doc_id").join(F.broadcast(tv), "topic_id")
+    ps = (first.join(pv, "doc_id").join(broadcast_if_bounded(tv), "topic_id")
           .select("topic_id", "doc_id", "passage", cosine_col("qvec", "embedding").alias("score")))
     out = rr.kmax_pool(ps, k=3)
     return _round(out, "kmax_sum", "kmax_mean")

@@ -16,7 +16,6 @@ from rankspark.operators import hybrid as hybrid_ops
 from rankspark.operators import rerank as rr
 from rankspark.operators import sweep as sweep_ops
 from rankspark.operators.runs import concat_examples, select_ids
-from rankspark.operators.sizing import broadcast_if_bounded
 from rankspark.plans import catalog as base
 from rankspark.plans import inputs
 from rankspark.plans import oracle as sql
@@ -246,18 +245,11 @@ def _rerank_sql(score: str, weights=(1.0, 1.0)) -> str:
             + "SELECT topic_id, doc_id, rank, round(score, 6) AS score, round(first_score, 6) AS first_score FROM run")
 
 
-def _run_vectors(spark, sf_dir, run):
-    """Vectors of the run's documents only."""
-    ids = broadcast_if_bounded(run.select("doc_id").distinct())
-    docs = inputs.corpus(spark, sf_dir).join(ids, "doc_id", "left_semi")
-    return dense_ops.hash_encode_columns(docs, {"title": "title_embedding", "body": "body_embedding"}, DIM, keep=["doc_id"])
-
-
 @register("rerank_weights", _rerank_sql(sql.cos("{q}", "{d}"), (0.0, 0.5)))
 def q_rerank_weights(spark, sf_dir):
     """A zero weight drops its field, the other field weighs 0.5; only the run's documents are encoded."""
     run = body_run(spark, sf_dir, RERANK_DEPTH)
-    out = rr.rerank_dense(run, _run_vectors(spark, sf_dir, run), base._topic_hash_vectors(spark, sf_dir), EMB_FIELDS,
+    out = rr.rerank_dense(run, base._run_hash_vectors(spark, sf_dir, run), base._topic_hash_vectors(spark, sf_dir), EMB_FIELDS,
                           {"title_embedding": 0.0, "body_embedding": 0.5})
     return _round(out.select("topic_id", "doc_id", "rank", "score", "first_score"), "score", "first_score")
 
@@ -266,7 +258,7 @@ def q_rerank_weights(spark, sf_dir):
 def q_rerank_custom(spark, sf_dir):
     """Re-ranking by a user's distance function of two Columns."""
     run = body_run(spark, sf_dir, RERANK_DEPTH)
-    out = rr.rerank_dense(run, _run_vectors(spark, sf_dir, run), base._topic_hash_vectors(spark, sf_dir), EMB_FIELDS,
+    out = rr.rerank_dense(run, base._run_hash_vectors(spark, sf_dir, run), base._topic_hash_vectors(spark, sf_dir), EMB_FIELDS,
                           similarity_metric=lambda q, d: F.lit(2.0) * dot(q, d) - F.lit(1.0))
     return _round(out.select("topic_id", "doc_id", "rank", "score", "first_score"), "score", "first_score")
 
