@@ -117,7 +117,9 @@ def test_strict_z_raises_when_top_not_above_ceiling(spark):
     tv = spark.createDataFrame([(1, "q", 0, [1.0])], "topic_id long, facet string, facet_pos int, embedding array<double>")
     dv = spark.createDataFrame([(1, [1.0])], "doc_id long, embedding array<double>")
     idx = build_index(docs)
-    loose = hy.hybrid(idx, topics, tv, dv, ceiling=100.0).first()
+    assert hy.hybrid(idx, topics, tv, dv, ceiling=100.0).count() == 0  # left out, and listed:
+    assert [r.topic_id for r in hy.low_topics(idx, topics, 100.0).collect()] == [1]
+    loose = hy.hybrid(idx, topics, tv, dv, ceiling=100.0, keep_low=True).first()
     assert loose.z is None and loose.z_ok is False and loose.score is None
     with pytest.raises(ValueError):
         hy.hybrid(idx, topics, tv, dv, ceiling=100.0, strict=True)

@@ -191,18 +191,18 @@ def test_dense_topk_equals_brute_force(spark):
 
 
 def test_streaming_index_equals_batch_index(spark, tmp_path):
-    corpus = inputs.corpus(spark, SF_SMALL).select("doc_id", "title", "body")
+    corpus = inputs.corpus(spark, SF_SMALL).select("doc_id", "title", "body").withColumn("version", F.lit(1))
     src = str(tmp_path / "src")
     corpus.repartition(3, "doc_id").write.parquet(src)
     # a re-sent document: a later file holds a new version of doc 0
-    first = corpus.where(F.col("doc_id") == 0).withColumn("body", F.lit("replaced text entirely"))
+    first = corpus.where(F.col("doc_id") == 0).withColumn("body", F.lit("replaced text entirely")).withColumn("version", F.lit(2))
     from rankspark.streaming import incremental as inc
     stream = spark.readStream.schema(corpus.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    inc.stream_index(stream, out, ck, "source", ("title", "body")).awaitTermination()
+    inc.stream_index(stream, out, ck, "version", ("title", "body")).awaitTermination()
     first.write.mode("append").parquet(src)
     inc.stream_index(spark.readStream.schema(corpus.schema).option("maxFilesPerTrigger", 1).parquet(src),
-                     out, ck, "source", ("title", "body")).awaitTermination()
+                     out, ck, "version", ("title", "body")).awaitTermination()
     got = inc.read_stream_index(spark, out)
     want_docs = corpus.where(F.col("doc_id") != 0).unionByName(first)
     want = build_index(want_docs, ("title", "body"))
