@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rankspark.operators import bm25 as bm25_ops
 from rankspark.operators.evaluate import evaluate
 from rankspark.operators.folds import seeded_uniform
+from rankspark.operators.hybrid import hybrid
 from rankspark.operators.index import Index
 from rankspark.operators.runs import rank_run
 
@@ -120,3 +121,34 @@ def ablation_grid(index: Index, topics: DataFrame, field_sets: dict, k: int = 10
     summed = (per_field.join(F.broadcast(variants), "field")
               .groupBy("variant", "topic_id", "doc_id").agg(F.sum("score").alias("score")))
     return rank_run(summed, k=k, partition_extra=("variant",))
+
+
+def ablation_hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vectors: DataFrame, lexical_sets: dict,
+                    embed_sets: dict, query_types=("first",), k: int = 10, **kw) -> DataFrame:
+    """G1 in full: query type × lexical field set × embedding field set, top k per (variant, topic).
+
+    Variants are few and named ``<query type>-<lexical set>-<embedding set>``; each is one
+    hybrid plan over the shared index and vectors.
+    """
+    out = None
+    for q in query_types:
+        for lex, fields in lexical_sets.items():
+            for emb, vectors in embed_sets.items():
+                run = hybrid(index, topics, topic_vectors, doc_vectors, fields, vectors, facets=q, k=k, **kw)
+                run = run.withColumn("variant", F.lit(f"{q}-{lex}-{emb}"))
+                out = run if out is None else out.unionByName(run)
+    return out
+
+
+def sweep_hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vectors: DataFrame, qrels: DataFrame, settings,
+                 metrics, fields=("body",), embed_fields=("embedding",), depth: int = 1000) -> DataFrame:
+    """G3 over z and embedding weights: ``settings`` is a list of ``{"z": number, "weights": {field: weight}}``.
+
+    Evaluated per setting (its place in the list) and topic; a topic without hits under a setting counts 0.
+    """
+    runs = None
+    for i, s in enumerate(settings):
+        run = hybrid(index, topics, topic_vectors, doc_vectors, fields, embed_fields, z=s.get("z", "auto"), weights=s.get("weights"), k=depth)
+        run = run.select(F.lit(i).cast("long").alias("setting"), "topic_id", "doc_id", "rank")
+        runs = run if runs is None else runs.unionByName(run)
+    return evaluate(runs, qrels, metrics, keys=("setting",), decimals=None, complete=True)

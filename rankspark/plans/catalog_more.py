@@ -306,6 +306,49 @@ def q_eval_complete(spark, sf_dir):
     return ev.evaluate(both, inputs.qrels(spark, sf_dir, index), ["p@10", "ndcg@10"], complete=True, keys=("setting",))
 
 
+LEX_SETS = {"body": ("body",), "both": LEX_FIELDS}
+EMB_SETS = {"title": EMB_FIELDS[:1], "both": EMB_FIELDS}
+
+
+def _ablation_sql() -> str:
+    parts = []
+    for lex, fields in LEX_SETS.items():
+        for emb, vectors in EMB_SETS.items():
+            one = _hybrid_sql(TOPK, boosts={f: float(f in fields) for f in LEX_FIELDS}, weights={e: float(e in vectors) for e in EMB_FIELDS},
+                              ceiling=len(vectors), facets="first")
+            parts.append(f"SELECT 'first-{lex}-{emb}' AS variant, topic_id, doc_id, rank, score FROM ({one})")
+    return " UNION ALL ".join(parts)
+
+
+@register("ablation_hybrid", _ablation_sql())
+def q_ablation_hybrid(spark, sf_dir):
+    """G1: first facet, two lexical field sets, two embedding field sets: the hybrid top 10 of every variant."""
+    out = sweep_ops.ablation_hybrid(inputs.corpus_index(spark, sf_dir, LEX_FIELDS), inputs.topics(spark, sf_dir), base._topic_hash_vectors(spark, sf_dir),
+                                    base._doc_hash_vectors(spark, sf_dir), LEX_SETS, EMB_SETS, k=TOPK)
+    return _round(out.select("variant", "topic_id", "doc_id", "rank", "score"), "score")
+
+
+HYBRID_SETTINGS = [{"z": 2.0, "weights": {"title_embedding": 1.0, "body_embedding": 1.0}}, {"z": 3.5, "weights": {"title_embedding": 0.25, "body_embedding": 2.0}}]
+
+
+def _sweep_hybrid_sql() -> str:
+    runs = [f"r{i} AS (SELECT {i}::BIGINT AS setting, topic_id, doc_id, rank FROM ({_hybrid_sql(EVAL_DEPTH, z=s['z'], weights=s['weights'])}))"
+            for i, s in enumerate(HYBRID_SETTINGS)]
+    return (sql.with_(sql.corpus_ctes(), *runs, "run AS (" + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(len(runs))) + ")", sql.qrels_ctes(),
+                      sql.eval_ctes("run", 10, keys="setting, "), "found AS (" + sql.metrics_union(_COMPLETE, keys="setting, ", rnd=False) + ")",
+                      "wanted AS (SELECT topic_id, setting, metric, depth FROM totals, (SELECT DISTINCT setting FROM run), (VALUES ('p', 10), ('ndcg', 10)) m(metric, depth))")
+            + "SELECT topic_id, setting, metric, depth, round(coalesce(value, 0.0), 6) AS value FROM wanted LEFT JOIN found USING (topic_id, setting, metric, depth)")
+
+
+@register("sweep_hybrid", _sweep_hybrid_sql())
+def q_sweep_hybrid(spark, sf_dir):
+    """Two settings of z and embedding weights, evaluated per topic."""
+    index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
+    out = sweep_ops.sweep_hybrid(index, inputs.topics(spark, sf_dir), base._topic_hash_vectors(spark, sf_dir), base._doc_hash_vectors(spark, sf_dir),
+                                 inputs.qrels(spark, sf_dir), HYBRID_SETTINGS, ["p@10", "ndcg@10"], LEX_FIELDS, EMB_FIELDS)
+    return _round(out, "value")
+
+
 SPACE = {"w": {"type": "discrete_uniform", "low": 0.0, "high": 1.0, "q": 0.25}, "z": {"type": "loguniform", "low": 1.1, "high": 4.0},
          "n": {"type": "int", "low": 1, "high": 5}, "s": {"type": "categorical", "choices": ["a", "b", "c"]}, "c": 7}
 
