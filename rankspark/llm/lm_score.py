@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankspark.llm.frames import Carried, written
+from rankspark.llm.frames import Carried, small_batches, written
 from rankspark.llm.hashing import SPACE, Poly, byte_values, text_bytes, text_groups, tokens
 
 DEPTH = 6
@@ -45,7 +45,7 @@ MAX_ENTRIES = 1 << 21
 MAX_WORDS = 1 << 20
 #: A byte that UTF-8 never has: the end symbol, and the context before a text's start.
 EDGE = 0xFF
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -73,16 +73,11 @@ def grams(framed_bytes, at):
     return g[at]
 
 
-def tally(keys, counts=None):
-    """Sorted distinct keys and their sums."""
-    if counts is None:
-        keys = np.sort(keys)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        return keys[first], np.diff(np.append(first, len(keys)))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+def tally(keys):
+    """Sorted distinct keys and how often each occurs."""
+    keys = np.sort(keys)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 class Counter:
@@ -97,14 +92,19 @@ class Counter:
         return self.fold() if self.size >= FLUSH else None
 
     def fold(self):
-        k, c = tally(np.concatenate(self.fresh)) if self.fresh else (self.keys[:0], self.counts[:0])
-        self.fresh, self.size = [], 0
-        self.keys, self.counts = tally(np.concatenate([self.keys, k]), np.concatenate([self.counts, c]))
+        if self.fresh:
+            k, c = tally(np.concatenate(self.fresh))
+            self.fresh, self.size = [], 0
+            at = np.searchsorted(self.keys, k)
+            known = at < len(self.keys)
+            known[known] = self.keys[at[known]] == k[known]
+            self.counts[at[known]] += c[known]
+            self.keys, self.counts = np.insert(self.keys, at[~known], k[~known]), np.insert(self.counts, at[~known], c[~known])
         return self.take() if len(self.keys) >= FLUSH else None
 
     def take(self):
         out = self.keys, self.counts
-        self.keys, self.counts = self.keys[:0], self.counts[:0]
+        self.keys, self.counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         return out
 
 
@@ -213,36 +213,19 @@ def build_model(levels: list) -> dict:
             "stop": [s.astype(np.float32) for s in stop], "reach": [r.astype(np.float32) for r in reach], "kt": [k.astype(np.float32) for k in kt]}
 
 
-class Scorer:
-    """log probability of packed strings under a model."""
+class Table:
+    """Open addressing over distinct uint64 keys (none of them all ones); ``find`` looks up many at once."""
 
-    def __init__(self, model):
-        self.m, self.depth = model, len(model["pairs"]) - 1
-        self.tables()
+    EMPTY = np.uint64((1 << 64) - 1)
 
-    def tables(self):
-        """One open-addressing table over all depths: packed pair -> log probability where its context is the deepest opened one."""
-        m, keys, values = self.m, [], []
-        logs = None
-        for d, pairs in enumerate(m["pairs"]):
-            c = np.searchsorted(m["ctx"][d], pairs >> np.uint64(8))
-            here = m["kt"][d].astype(np.float64)
-            if d:
-                up = np.searchsorted(m["pairs"][d - 1], pairs & np.uint64((1 << 8 * d) - 1))
-                logs = np.logaddexp(shallow[up], m["reach"][d][c] + here)  # mixture if d is the last depth
-                shallow = np.logaddexp(shallow[up], m["reach"][d][c] + m["stop"][d][c] + here)
-            else:
-                logs, shallow = here, m["stop"][0][c] + here
-            keys.append(pairs | np.uint64(d << 56))
-            values.append(logs)
-        keys, values = np.concatenate(keys), np.concatenate(values)
-        size = 1 << max(4, (2 * len(keys)).bit_length())
-        self.mask = np.uint64(size - 1)
-        self.keys, self.values = np.full(size, (1 << 64) - 1, dtype=np.uint64), np.zeros(size, dtype=np.float32)
-        slot = self.slot(keys)
-        left = np.arange(len(keys))
+    def __init__(self, keys, values):
+        bits = 1 + max(4, (len(keys) - 1).bit_length()) if len(keys) else 4
+        size = 1 << bits
+        self.mask, self.shift = np.uint64(size - 1), np.uint64(64 - bits)
+        self.keys, self.values = np.full(size, self.EMPTY, dtype=np.uint64), np.zeros(size, dtype=values.dtype)
+        slot, left = self.slot(keys), np.arange(len(keys))
         while len(left):
-            free = self.keys[slot[left]] == np.uint64((1 << 64) - 1)
+            free = self.keys[slot[left]] == self.EMPTY
             self.keys[slot[left[free]]] = keys[left[free]]  # the last writer of a slot wins
             won = self.keys[slot[left]] == keys[left]
             self.values[slot[left[won]]] = values[left[won]]
@@ -250,55 +233,96 @@ class Scorer:
             slot[left] = (slot[left] + np.uint64(1)) & self.mask
 
     def slot(self, keys):
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) & self.mask
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift  # the top bits depend on the whole key
 
     def find(self, keys):
         """(value, found) per key."""
-        out, found = np.zeros(len(keys), dtype=np.float32), np.zeros(len(keys), dtype=bool)
-        at, slot = np.arange(len(keys)), self.slot(keys)
+        slot = self.slot(keys)
+        there = self.keys[slot]
+        found = there == keys
+        out = np.where(found, self.values[slot], self.values.dtype.type(0))
+        at = np.flatnonzero(~found & (there != self.EMPTY))
+        slot = slot[at]
         while len(at):
+            slot = (slot + np.uint64(1)) & self.mask
             there = self.keys[slot]
             hit = there == keys[at]
             out[at[hit]] = self.values[slot[hit]]
             found[at[hit]] = True
-            go = ~hit & (there != np.uint64((1 << 64) - 1))
-            at, slot = at[go], (slot[go] + np.uint64(1)) & self.mask
+            go = ~hit & (there != self.EMPTY)
+            at, slot = at[go], slot[go]
         return out, found
 
+
+class Scorer:
+    """log probability of packed strings under a model."""
+
+    def __init__(self, model):
+        self.m, self.depth = model, len(model["pairs"]) - 1
+        self.table = self.mixtures()
+
+    def mixtures(self):
+        """Over all depths: packed pair -> log probability where its context is the deepest opened one; and the opened contexts."""
+        m, keys, values = self.m, [], []
+        for d, pairs in enumerate(m["pairs"]):
+            c = np.searchsorted(m["ctx"][d], pairs >> np.uint64(8))
+            here = m["kt"][d].astype(np.float64)
+            if d:
+                up = np.searchsorted(m["pairs"][d - 1], pairs & np.uint64((1 << 8 * d) - 1))
+                logs = np.logaddexp(shallow[up], m["reach"][d][c] + here)  # mixture if d is the last depth
+                shallow = np.logaddexp(shallow[up], m["reach"][d][c] + m["stop"][d][c] + here)
+            else:
+                logs, shallow = here, m["stop"][0][c] + here
+            keys += [pairs | np.uint64(d << 56), m["ctx"][d] | np.uint64((d + 16) << 56)]
+            values += [logs.astype(np.float32), np.zeros(len(m["ctx"][d]), dtype=np.float32)]
+        return Table(np.concatenate(keys), np.concatenate(values))
+
     def logs(self, packed):
         """Natural log probability of the byte of each packed string after its context."""
-        out = np.zeros(len(packed), dtype=np.float64)
-        left = np.arange(len(packed))
+        out, left, part = np.zeros(len(packed), dtype=np.float64), None, packed
         for d in range(self.depth, -1, -1):
-            part = packed[left] & np.uint64((1 << 8 * (d + 1)) - 1)
-            value, found = self.find(part | np.uint64(d << 56))
-            out[left[found]] = value[found]
-            left, part = left[~found], part[~found]
+            part = part & np.uint64((1 << 8 * (d + 1)) - 1)
+            value, found = self.table.find(part | np.uint64(d << 56))
+            if left is None:
+                out[:] = value
+                left = np.flatnonzero(~found)
+            else:
+                out[left[found]] = value[found]
+                left = left[~found]
+            part = part[~found]
             if not len(left):
-                break
-            c = np.searchsorted(self.m["ctx"][d], part >> np.uint64(8))
-            c = np.minimum(c, max(0, len(self.m["ctx"][d]) - 1))
-            opened = self.m["ctx"][d][c] == part >> np.uint64(8) if len(self.m["ctx"][d]) else np.zeros(len(part), dtype=bool)
+                return out
+            opened = self.table.find((part >> np.uint64(8)) | np.uint64((d + 16) << 56))[1]
             if opened.any():  # the context is known, the byte after it is new
                 out[left[opened]] = self.slow(part[opened], d)
-                left = left[~opened]
+                left, part = left[~opened], part[~opened]
         out[left] = -8 * math.log(2)
         return out
 
     def slow(self, packed, last):
-        """The mixture up to depth ``last`` from counts, for pairs that training never had."""
+        """The mixture up to depth ``last`` for pairs that training never had at that depth."""
         total = np.full(len(packed), -np.inf)
         for d in range(last + 1):
             part = packed & np.uint64((1 << 8 * (d + 1)) - 1)
             c = np.searchsorted(self.m["ctx"][d], part >> np.uint64(8))
-            p = np.zeros(len(part))
-            for bit in range(8):
-                inside, node = (self.range(d, part, w) for w in (bit + 1, bit))
-                p += np.log((inside + 0.5) / (node + 1))
-            weight = self.m["reach"][d][c].astype(np.float64)
-            total = np.logaddexp(total, weight + p + (self.m["stop"][d][c] if d < last else 0))
+            k = np.minimum(np.searchsorted(self.m["pairs"][d], part), len(self.m["pairs"][d]) - 1)
+            seen = self.m["pairs"][d][k] == part
+            p = self.m["kt"][d][k].astype(np.float64)
+            p[~seen] = self.unseen(d, part[~seen])
+            total = np.logaddexp(total, self.m["reach"][d][c] + p + (self.m["stop"][d][c] if d < last else 0))
         return total
 
+    def unseen(self, d, packed):
+        """log KT probability of bytes that a context of depth ``d`` never had, from its counts."""
+        out, at, node = np.zeros(len(packed)), np.arange(len(packed)), self.range(d, packed, 0)
+        for bit in range(1, 9):
+            inside = self.range(d, packed[at], bit)
+            out[at] += np.log((inside + 0.5) / (node + 1))
+            gone = inside == 0
+            out[at[gone]] -= (8 - bit) * math.log(2)  # no counts below: every bit is even
+            at, node = at[~gone], inside[~gone]
+        return out
+
     def range(self, d, packed, bits):
         """Count of the context's bytes that share the first ``bits`` bits."""
         low = packed >> np.uint64(8 - bits) << np.uint64(8 - bits)
@@ -349,6 +373,7 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     docs, text_name = docs.withColumn("__training", training), text_col
     carried = Carried(docs, names)
     docs, text_col, training = carried.df, carried[text_col], F.col(carried["__training"])
+    small_batches(docs)
     counts = written(corpus_counts(docs.where(training).select(text_col), text_col), "lm-counts")
     model, _ = train(counts, max_entries)
     words = counts.where("kind = 0")
@@ -374,8 +399,8 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
         for batch in batches:
             if "s" not in state:
                 m, k, logs = sent.value
-                state["s"] = (Scorer(m) if m else None, WordHashes(), k, logs)
-            scorer, hashes, known, known_logs = state["s"]
+                state["s"] = (Scorer(m) if m else None, WordHashes(), Table(k, logs))
+            scorer, hashes, known = state["s"]
             data, offs = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
             cols = [[] for _ in range(5)]
             misses = []
@@ -387,11 +412,10 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
                 cols[1].append(np.diff(o))
                 h, n_words = hashes.of(part, o)
                 owner = np.repeat(np.arange(b - a), n_words)
-                k = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                hit = known[k] == h if len(known) else np.zeros(len(h), dtype=bool)
+                word_logs, hit = known.find(h)
                 cols[2].append(n_words)
                 cols[3].append(np.bincount(owner[hit], minlength=b - a))
-                cols[4].append(np.bincount(owner[hit], weights=known_logs[k[hit]] if len(known) else None, minlength=b - a))
+                cols[4].append(np.bincount(owner[hit], weights=word_logs[hit], minlength=b - a))
                 gone, where = h[~hit].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=b - a))])
                 misses.append((gone, where))
             flat = np.concatenate([g for g, _ in misses]) if misses else np.zeros(0, dtype=np.int64)
