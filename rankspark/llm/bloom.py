@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 SLICE_BITS = 1 << 20
 FAN_IN = 64
-#: 2^29 bits are 64 MB: the most that is broadcast.
-MAX_BITS = 1 << 29
-BITS_PER_KEY = 16
+#: 2^28 bits are 32 MB: the most that is broadcast.
+MAX_BITS = 1 << 28
+#: At 4 bits a key about one key in 50 that was seen once passes.
+BITS_PER_KEY = 4
 PROBES = 2
 
 

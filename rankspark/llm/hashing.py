@@ -151,7 +151,7 @@ def per_text(counts):
     return np.repeat(np.arange(len(counts)), counts), bounds
 
 
-def text_groups(offsets, limit=1 << 22):
+def text_groups(offsets, limit=1 << 20):
     """Row ranges of a batch with about ``limit`` bytes of text each."""
     a, n = 0, len(offsets) - 1
     while a < n:

@@ -19,10 +19,10 @@ class at once, and only classes are joined:
 4. Verification. A pair that passes is verified once on its whole sets.
 
 Pairs within a group are not listed: a first round compares every class with
-one leader per posting list, a second with another leader, and the components of the links
-found are taken each time. Only pairs of a posting list that lie in different
-components after that are listed, so nothing is missed and a group of near copies costs
-about one pair per member.
+two leaders of each of its posting lists, and the components of the links found
+are taken. Only pairs of a posting list that lie in different components after
+that are listed, so nothing is missed and a group of near copies costs
+a few pairs per member.
 
 Defined cases: a text with fewer words than a shingle is one shingle; an empty or null
 text has an empty set and no links; rows with one id and different texts are
@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from rankspark.llm.bloom import contains, filter_bits, twice_filter
 from rankspark.llm.components import components
-from rankspark.llm.frames import Carried, written
+from rankspark.llm.frames import Carried, small_batches, written
 from rankspark.llm.hashing import SPACE, Poly, byte_values, mix64, text_bytes, text_groups, tokens
 from rankspark.llm.lm_score import Counter
 
@@ -211,15 +211,15 @@ def pair(a, na, b, nb):
             F.when(a < b, b).otherwise(a).alias("b"), F.when(a < b, nb).otherwise(na).alias("nb")]
 
 
-def leader_pairs(posts: DataFrame, labels: DataFrame | None, salt: int, percent: int) -> DataFrame:
-    """Candidate pairs of every class with one leader of each posting list, in another component."""
-    if labels is None:
-        p = posts.withColumn("comp", F.col("cls"))
-    else:
-        p = posts.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    lead = p.groupBy("token").agg(F.min(F.struct(F.xxhash64("comp", F.lit(salt)).alias("o"), "cls", "n", "pos", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    lead = lead.where("lo != hi").select("token", F.col("l.cls").alias("lc"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp"), F.col("l.comp").alias("lcomp"))
-    j = p.join(lead, "token").where((F.col("comp") != F.col("lcomp")) & passes(F.col("n"), F.col("pos"), F.col("ln"), F.col("lp"), percent))
+def leader_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of every class with two leaders of each posting list (two orders by hash), two at most per posting."""
+    def first(salt):
+        return F.min(F.struct(F.xxhash64("cls", F.lit(salt)).alias("o"), "cls", "n", "pos"))
+
+    lead = posts.groupBy("token").agg(first(0).alias("l0"), first(1).alias("l1"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{y}") for y in ("cls", "n", "pos")]) for x in ("l0", "l1")]))).alias("l"))
+    lead = lead.select("token", F.col("l.cls").alias("lc"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp"))
+    j = posts.join(lead, "token").where((F.col("cls") != F.col("lc")) & passes(F.col("n"), F.col("pos"), F.col("ln"), F.col("lp"), percent))
     return j.select(*pair(F.col("cls"), F.col("n"), F.col("lc"), F.col("ln"))).distinct()
 
 
@@ -304,6 +304,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document ``id, __text (hash of the text), n_shingles, component_id`` (smallest id reachable by links)."""
+    small_batches(docs)
     rows = prefixes(docs, id_col, text_col, size, percent)
     full = rows.where(F.col("n") > 0)
     total = full.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
@@ -311,21 +312,23 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # one row per class; the row to fetch its set from, and its cells
     classes = written(full.groupBy("cls").agg(F.min(F.struct("__id", "__text", "cells")).alias("r"), F.min("__id").alias("least"))
                       .select("cls", "least", "r.__id", "r.__text", "r.cells"), "jaccard-classes")
-    links = tested = labels = None
-    for step in ("first leader", "second leader", "rest"):
-        if step == "rest":
-            found = rest_pairs(posts, labels, percent)
-        else:
-            found = leader_pairs(posts, labels, 0 if step == "first leader" else 1, percent)
+    tested = labels = None
+    for step in ("leaders", "rest"):
+        found = leader_pairs(posts, percent) if step == "leaders" else rest_pairs(posts, labels, percent)
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = written(found, "jaccard-pairs")
+        tested = found.select("a", "b") if tested is None else tested.unionAll(found.select("a", "b"))
         likely = written(suffix_filter(found, classes.select("cls", "cells"), percent), "jaccard-likely")
+        if labels is not None and likely.isEmpty():
+            continue  # nothing to verify, so the components stay
         members = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
         sets = written(whole_sets(docs, classes.select("cls", "__id", "__text").join(members, "cls", "left_semi"), id_col, text_col, size), "jaccard-sets")
         new = written(verify(likely, sets, percent), "jaccard-links")
-        links = new if links is None else links.unionAll(new)
-        tested = found.select("a", "b") if tested is None else tested.unionAll(found.select("a", "b"))
+        if labels is not None and new.isEmpty():
+            continue
+        # links of earlier steps are already in the labels: only their components are joined up further
+        links = new if labels is None else new.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = written(components(links), "jaccard-labels")
     owned = classes.select("cls", "least").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = owned.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -339,10 +342,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     carried = Carried(docs)
     docs, id_col, text_col = carried.df, carried[id_col], carried[text_col]
     groups = link_documents(docs, id_col, text_col, **kw)
-    first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.min("__text").alias("__text"), F.count(F.lit(1)).alias("__rows"))
-    j = docs.join(first, docs[id_col].eqNullSafe(first["__id"]) & F.xxhash64(docs[text_col]).eqNullSafe(first["__text"]))
-    one = j.withColumn("__n", F.when(F.col("__rows") > 1, F.row_number().over(Window.partitionBy(F.col("__id")).orderBy(F.lit(1)))).otherwise(1))
-    return carried.restore(one.where("__n = 1"))
+    first = written(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id"))
+                    .agg(F.min("__text").alias("__text"), F.count(F.lit(1)).alias("__rows")), "jaccard-first")
+    one = docs.join(first, docs[id_col].eqNullSafe(first["__id"]) & F.xxhash64(docs[text_col]).eqNullSafe(first["__text"]))
+    if not first.where("__rows > 1").isEmpty():  # ids that come more than once: one row of each
+        one = one.withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy(F.lit(1)))).where("__n = 1")
+    return carried.restore(one)
 
 
 def op9_jaccard_join(spark, sf_dir):
