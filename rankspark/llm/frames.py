@@ -23,6 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+BATCH_ROWS = 1000
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(df: DataFrame) -> None:
+    """Whole texts travel to Python in batches of ``BATCH_ROWS`` rows, unless the session sets its own number.
+
+    Spark's default of 10,000 rows would put tens of MB of text (and their copies) into every worker at once.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps survive a lost executor."""
     path = os.path.join(shared_dir(df.sparkSession), f"llm-{name}-{uuid.uuid4().hex}")

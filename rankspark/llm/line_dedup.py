@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankspark.llm.bloom import contains, filter_bits, twice_filter
-from rankspark.llm.frames import Carried, map_rows
+from rankspark.llm.frames import Carried, map_rows, small_batches
 from rankspark.llm.hashing import SPACE, Poly, byte_values, text_bytes, text_groups
 
 MIN_CHARS = 10
@@ -75,6 +75,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     carried = Carried(docs, ["n_lines", "n_dropped"])
     base, id_col, text_col = carried.df, carried[id_col], carried[text_col]
+    small_batches(docs)
     bits = filter_bits(docs.count() * LINES_PER_DOCUMENT)
     texts = base.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)
 
