@@ -33,17 +33,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankspark.llm.bloom import contains, filter_bits, twice_filter
-from rankspark.llm.frames import Carried, map_rows, written
+from rankspark.llm.frames import Carried, map_rows, small_batches, written
 from rankspark.llm.hashing import SPACE, Poly, byte_values, text_bytes, text_groups, tokens
 
 WINDOW = 35
 PHRASE = 8
-SHARD_BYTES = 1 << 19
-AUTOMATON_CHARS = 1 << 20
+SHARD_BYTES = 1 << 18
+AUTOMATON_CHARS = 1 << 19
 CHUNK_WORDS = 2048
 PLACE_BITS = 24
 #: Sizes the filter; a wrong guess costs rows in the confirming step, not results.
 PHRASES_PER_DOCUMENT = 64
+#: Phrases with several segments: up to this number (8 bytes each) they are broadcast, more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 1 << 21
 
 
 def _column(batch, name):
@@ -93,7 +95,7 @@ class Segments:
 
 
 def suspects(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Segments of suspected windows: ``__id, __text, start, key, seg, wins``; written."""
+    """Segments of suspected windows: ``__id, __text, start, n (windows), key, seg, wins``; written."""
     bits = filter_bits(docs.count() * PHRASES_PER_DOCUMENT)
 
     def keys_of(batch):
@@ -118,21 +120,24 @@ def suspects(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 flat = wins[np.repeat(at - bounds[:-1], n) + np.arange(bounds[-1])]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))
                 take = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), lists],
-                                                 names=["__id", "__text", "start", "key", "seg", "wins"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), lists],
+                                                 names=["__id", "__text", "start", "n", "key", "seg", "wins"])
 
-    schema = T.StructType([rows.schema["__id"], rows.schema["__text"], T.StructField("start", T.IntegerType()), T.StructField("key", T.LongType()),
+    schema = T.StructType([rows.schema["__id"], rows.schema["__text"], T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType()),
                            T.StructField("seg", T.LongType()), T.StructField("wins", T.ArrayType(T.LongType()))])
     return written(rows.mapInArrow(run, schema), "substring-segments")
 
 
 def confirm(found: DataFrame) -> DataFrame:
     """Per segment with a recurring window ``key, seg, mask`` (bit ``j``: its window ``j`` recurs)."""
-    segs = written(found.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("c"), F.first("wins").alias("wins")), "substring-distinct")
-    several = segs.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("key")
-    everything = F.expr("shiftleft(1L, size(wins)) - 1")
-    alone = segs.join(several, "key", "left_anti").where("c > 1").select("key", "seg", everything.alias("mask"))
-    wins = segs.join(several, "key", "left_semi").select("key", "seg", "c", F.posexplode("wins").alias("j", "w"))
+    segs = written(found.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")), "substring-distinct")
+    several = written(segs.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("key"), "substring-several")
+    if several.count() <= MAX_BROADCAST_KEYS:
+        several = F.broadcast(several)
+    alone = segs.join(several, "key", "left_anti").where("c > 1").select("key", "seg", F.expr("shiftleft(1L, n) - 1").alias("mask"))
+    # window hashes move only for phrases with several segments, once per segment and task
+    wins = found.select("key", "seg", "wins").join(several, "key", "left_semi").groupBy("key", "seg").agg(F.count(F.lit(1)).alias("c"), F.first("wins").alias("wins"))
+    wins = wins.select("key", "seg", "c", F.posexplode("wins").alias("j", "w"))
     again = wins.groupBy("key", "w").agg(F.sum("c").alias("n")).where("n > 1").select("key", "w")
     some = wins.join(again, ["key", "w"]).groupBy("key", "seg").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     return alone.unionByName(some)
@@ -173,8 +178,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The documents with ``text`` reduced to the kept words, joined by one space, plus ``n_words`` and ``n_removed``."""
     carried = Carried(docs, ["n_words", "n_removed"])
     base, id_col, text_col = carried.df, carried[id_col], carried[text_col]
+    small_batches(docs)
     found = suspects(base, id_col, text_col, size)
-    masks = confirm(found.select("key", "seg", "wins"))
+    masks = confirm(found.select("key", "seg", "n", "wins"))
     marks = (found.select("__id", "__text", "start", "key", "seg").join(masks, ["key", "seg"])
              .groupBy("__id", "__text").agg(F.collect_set(F.struct("start", "mask")).alias("__marks")))
     j = base.join(marks, base[id_col].eqNullSafe(marks["__id"]) & (F.xxhash64(base[text_col]) == marks["__text"]), "left").drop("__id", "__text")
