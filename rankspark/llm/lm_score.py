@@ -10,12 +10,15 @@ training counts are then held, so the probability of a byte is the mixture of
 the KT estimates of all depths along its context path. Code length per byte is
 ``-log2`` of the score over the bytes.
 
-Training counts all (context, byte) strings of the training texts exactly: tasks
-count their own, Spark adds up. The model that is broadcast is bounded by
-``MAX_ENTRIES`` (context, byte) pairs: contexts seen fewer than ``min_count``
-times are leaves that the model does not open, with the smallest power of two that
-keeps within the bound (1 where everything fits). That limits the model, not the
-data: all counts cover all training texts, and every text is scored whole.
+All (context, byte) strings of the texts are counted exactly: tasks count their
+own, Spark adds up. Every string of ``DEPTH + 1`` bytes of any text is in the table,
+with count 0 if training lacks it, so its log probability is worked out once and
+nothing is pruned. The subtree below a context of ``SPLIT`` bytes is complete in one
+task (``subtrees``); the contexts above have at most 2^24 (context, byte) pairs
+whatever the corpus, and the driver weighs them (``upper``). The most frequent strings
+(at most ``MAX_ENTRIES``) are broadcast with their log probabilities; all others of a
+text leave it, are joined with the table and summed per row. The bound decides the
+way of a string, not its score.
 
 ``score_documents`` also gives an add-one word model (``base_score``). Words go
 by 64-bit hash. The most frequent words (at most ``MAX_WORDS``) are broadcast;
@@ -41,11 +44,17 @@ from rankspark.llm.frames import Carried, small_batches, written
 from rankspark.llm.hashing import SPACE, Poly, byte_values, text_bytes, text_groups, tokens
 
 DEPTH = 6
+#: Contexts of so many bytes and their subtrees are weighed in tasks, shorter ones on the driver.
+SPLIT = 3
 MAX_ENTRIES = 1 << 21
+#: Strings that a task weighs at once (whole subtrees, so a larger one is one piece).
+PIECE = 1 << 18
 MAX_WORDS = 1 << 20
 #: A byte that UTF-8 never has: the end symbol, and the context before a text's start.
 EDGE = 0xFF
 FLUSH = 1 << 21
+#: Marks packed strings of texts that are not learned from, while a task counts them.
+HELD_OUT = np.uint64(1 << 63)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -117,24 +126,32 @@ class WordHashes:
         return h, counts
 
 
-def corpus_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """``(kind, key, n)``: kind 0 counts word hashes, kind 1 packed byte strings, kind 2 (key 0) texts."""
+def corpus_counts(texts: DataFrame, text_col: str, training_col: str) -> DataFrame:
+    """``(kind, key, n, uses)``: kind 0 counts word hashes of training texts, kind 1 packed byte strings, kind 2 (key 0) training texts.
+
+    ``n`` counts in training texts, ``uses`` in all.
+    """
     def count(batches):
         import pyarrow as pa
 
         def rows(kind, found):
             for i in range(0, len(found[0]), 100_000):
-                k, n = found[0][i:i + 100_000], found[1][i:i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, dtype=np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+                k, n = found[0][i:i + 100_000], found[1][i:i + 100_000].astype(np.int64)
+                learned = np.where(k & HELD_OUT, 0, n) if kind == 1 else n
+                k = k & ~HELD_OUT if kind == 1 else k
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, dtype=np.int32)), pa.array(k.view(np.int64)), pa.array(learned), pa.array(n)], names=["kind", "key", "n", "uses"])
 
         words, by_kind, n_texts = WordHashes(), (Counter(), Counter()), 0
         for batch in batches:
             data, offs = text_bytes(batch.column(0))
-            n_texts += batch.num_rows
+            learn = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            n_texts += int(learn.sum())
             for a, b in text_groups(offs, 1 << 20):
                 part, o = data[offs[a]:offs[b]], offs[a:b + 1] - offs[a]
-                full, at, _ = framed(part, o)
-                for kind, keys in ((0, words.of(part, o)[0]), (1, grams(full, at))):
+                full, at, text = framed(part, o)
+                h, n_words = words.of(part, o)
+                strings = grams(full, at) | np.where(learn[a:b], np.uint64(0), HELD_OUT)[text]
+                for kind, keys in ((0, h[np.repeat(learn[a:b], n_words)]), (1, strings)):
                     found = by_kind[kind].add(keys)
                     if found:
                         yield from rows(kind, found)
@@ -144,8 +161,8 @@ def corpus_counts(texts: DataFrame, text_col: str) -> DataFrame:
         if n_texts:
             yield from rows(2, (np.zeros(1, dtype=np.uint64), np.array([n_texts])))
 
-    out = texts.select(text_col).mapInArrow(count, "kind int, key long, n long")
-    return out.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    out = texts.select(text_col, training_col).mapInArrow(count, "kind int, key long, n long, uses long")
+    return out.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
 
 def log_gamma(x):
@@ -162,6 +179,19 @@ def log_gamma(x):
     return shift + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + i * (1 / 12 - i2 * (1 / 360 - i2 * (1 / 1260 - i2 / 1680)))
 
 
+#: log Gamma at k + 0.5 and k + 1 for small counts k.
+LOG_GAMMA = {shift: log_gamma(np.arange(4096) + shift) for shift in (0.5, 1.0)}
+
+
+def log_gamma_of(counts, shift):
+    """log Gamma(count + shift) for arrays of counts."""
+    table = LOG_GAMMA[shift]
+    out = table[np.minimum(counts, len(table) - 1)]
+    large = np.flatnonzero(counts >= len(table))
+    out[large] = log_gamma(counts[large] + shift)
+    return out
+
+
 def bit_counts(keys, counts, bit):
     """For sorted pairs: (node of each pair at this bit, zeros and ones of each node, the pair's own bit)."""
     node = keys >> np.uint64(8 - bit)
@@ -172,21 +202,68 @@ def bit_counts(keys, counts, bit):
     return number, np.add.reduceat(counts, first) - ones, ones, own, first
 
 
+def estimates(keys, counts):
+    """From sorted pairs: (contexts, their counts, first pair of each, log block probabilities, log KT estimate of each pair)."""
+    c = keys >> np.uint64(8)
+    first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    p, logs = np.zeros(len(keys)), np.zeros(len(first))
+    for bit in range(8):
+        number, zeros, ones, own, at = bit_counts(keys, counts, bit)
+        z, o = zeros.astype(float), ones.astype(float)
+        p += np.log((np.where(own == 1, o[number], z[number]) + 0.5) / (z[number] + o[number] + 1))
+        node = log_gamma_of(zeros, 0.5) + log_gamma_of(ones, 0.5) - log_gamma_of(zeros + ones, 1.0) - math.log(math.pi)
+        node[zeros + ones == 0] = 0.0
+        np.add.at(logs, np.searchsorted(first, at, side="right") - 1, node)
+    return c[first], np.add.reduceat(counts, first), first, logs, p
+
+
+def tree(keys, counts, low, high, below=None):
+    """Weighs the contexts of ``low`` to ``high`` bytes; ``keys``: all their sorted pairs of depth ``high`` (counts may be 0).
+
+    ``below``: per context of ``high`` bytes the sum of its children's log weighted probabilities (none for ``DEPTH``).
+    Returns ``(acc, out, going, weighted, contexts)``. Per pair: ``acc``, the log mixture of the depths up to ``high`` if
+    the context path goes on; ``out``, the one if the deepest context known to training is the last (nan where there is
+    none); ``going``, the log weight of going beyond ``high``; all relative to reaching the context of ``low`` bytes.
+    ``weighted``: log weighted probability of the ``contexts`` of ``low`` bytes.
+    """
+    levels, up_pair = {}, {}
+    pairs, n = keys, counts
+    for d in range(high, low - 1, -1):
+        if d < high:
+            pairs, up_pair[d + 1] = np.unique(pairs & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+            n = np.bincount(up_pair[d + 1], weights=n, minlength=len(pairs)).astype(np.int64)
+        levels[d] = (pairs, *estimates(pairs, n))
+    half, stop, up = math.log(0.5), {}, {}
+    for d in range(high, low - 1, -1):
+        _, ctx, total, _, block, _ = levels[d]
+        if d < high:
+            up[d + 1] = np.searchsorted(ctx, levels[d + 1][1] & np.uint64((1 << 8 * d) - 1))
+            below = np.bincount(up[d + 1], weights=weighted, minlength=len(ctx))
+        if below is None:
+            stop[d], weighted = np.zeros(len(ctx)), block
+        else:
+            weighted = np.logaddexp(half + block, half + below)
+            stop[d] = np.minimum(half + block - weighted, -1e-12)
+    for d in range(low, high + 1):
+        pairs, ctx, total, first, _, kt = levels[d]
+        of = np.repeat(np.arange(len(ctx)), np.diff(np.append(first, len(pairs))))
+        if d == low:
+            reach, acc, out = np.zeros(len(ctx)), np.full(len(pairs), -np.inf), np.full(len(pairs), np.nan)
+        else:
+            reach, acc, out = going[up[d]], acc[up_pair[d]], out[up_pair[d]]
+        out = np.where(total[of] > 0, np.logaddexp(acc, reach[of] + kt), out)
+        acc = np.logaddexp(acc, reach[of] + stop[d][of] + kt)
+        going = reach + np.log(-np.expm1(np.minimum(stop[d], -1e-300))) if d < DEPTH else reach
+    return acc, out, going[of], weighted, levels[low][1]
+
+
 def build_model(levels: list) -> dict:
-    """Weights and tables from ``levels[d] = (pairs, counts)``: sorted ``context << 8 | byte`` of depth ``d``, all pairs of each opened context."""
+    """Weights and tables of a small tree in one process, from ``levels[d] = (pairs, counts)``: sorted ``context << 8 | byte`` of depth ``d``, all pairs of each opened context."""
     depth = len(levels) - 1
     ctx, block, kt = [], [], []
     for keys, counts in levels:
-        c = keys >> np.uint64(8)
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        p, logs = np.zeros(len(keys)), np.zeros(len(first))
-        for bit in range(8):
-            number, zeros, ones, own, at = bit_counts(keys, counts, bit)
-            z, o = zeros.astype(float), ones.astype(float)
-            p += np.log((np.where(own == 1, o[number], z[number]) + 0.5) / (z[number] + o[number] + 1))
-            node = log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1) - math.log(math.pi)
-            np.add.at(logs, np.searchsorted(first, at, side="right") - 1, node)
-        ctx.append((c[first], np.add.reduceat(counts, first)))
+        c, n, _, logs, p = estimates(keys, counts)
+        ctx.append((c, n))
         block.append(logs)
         kt.append(p)
     stop = [None] * (depth + 1)  # log weight of stopping at a context
@@ -330,36 +407,86 @@ class Scorer:
         return self.m["cum"][d][b] - self.m["cum"][d][a]
 
 
-def train(counts: DataFrame, max_entries: int = MAX_ENTRIES) -> tuple[dict | None, int]:
-    """The model from written ``corpus_counts`` rows, and the ``min_count`` that it took."""
-    full = counts.where("kind = 1").select(F.col("key"), "n")
-    by_depth = full.select(F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("pair"))
-                                                for d in range(DEPTH + 1)])).alias("x"), "n")
-    by_depth = by_depth.groupBy("x.d", "x.pair").agg(F.sum("n").alias("n"))
-    context = F.shiftright("pair", 8)
-    opened = by_depth.groupBy("d", context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("pairs"))
-    # per depth and power of two at most 64 rows
-    sizes = opened.groupBy(F.floor(F.log2("total")).cast("int").alias("e")).agg(F.sum("pairs").alias("pairs")).collect()
-    if not sizes:
-        return None, 1
+def subtrees(found: DataFrame) -> DataFrame:
+    """``(key, uses, log, context, weighted)`` from ``(key, n, uses)``: rows of strings and, with null keys, of the contexts of ``SPLIT`` bytes.
+
+    ``log`` is relative to reaching the string's context of ``SPLIT`` bytes, nan where training lacks that.
+    """
+    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SPLIT) - 1))
+
+    def run(batches):
+        import pyarrow as pa
+
+        def weigh(key, n, uses):
+            order = np.argsort(key)
+            key, n, uses = key[order], n[order], uses[order]
+            _, out, _, weighted, ctx = tree(key.view(np.uint64), n, SPLIT, DEPTH)
+            none = [pa.nulls(len(key), t) for t in (pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(uses), pa.array(out), *none], names=names)
+            none = [pa.nulls(len(ctx), t) for t in (pa.int64(), pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(ctx.view(np.int64)), pa.array(weighted)], names=names)
+
+        names, held, size = ["key", "uses", "log", "context", "weighted"], [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size < PIECE:
+                continue
+            key, n, uses = (np.concatenate(x) for x in zip(*held))
+            c = (key >> 8) & ((1 << 8 * SPLIT) - 1)
+            cut = int(np.searchsorted(c, c[-1]))  # the last subtree may go on
+            if cut:
+                yield from weigh(key[:cut], n[:cut], uses[:cut])
+            held, size = [[key[cut:], n[cut:], uses[cut:]]], 0 if not cut else size - cut
+        if held and sum(len(h[0]) for h in held):
+            yield from weigh(*(np.concatenate(x) for x in zip(*held)))
+
+    dealt = found.select("key", "n", "uses").repartition(context).sortWithinPartitions(context)
+    return dealt.mapInArrow(run, "key long, uses long, log double, context long, weighted double")
+
+
+def upper(found: DataFrame, trees: DataFrame):
+    """The contexts above ``SPLIT`` bytes: sorted pairs of depth ``SPLIT - 1`` and per pair the three logs of ``tree``."""
+    top = found.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * SPLIT) - 1)).alias("pair")).agg(F.sum("n").alias("n")).toArrow()  # at most 2^24 rows
+    below = (trees.where("key IS NULL").groupBy(F.col("context").bitwiseAND(F.lit((1 << 8 * (SPLIT - 1)) - 1)).alias("context"))
+             .agg(F.sum("weighted").alias("weighted")).toArrow())  # at most 2^16 rows
+    pairs, n = top.column(0).to_numpy(), top.column(1).to_numpy()
+    order = np.argsort(pairs)
+    pairs, n = pairs[order].view(np.uint64), n[order]
+    if not len(pairs):
+        return pairs, *[np.zeros(0)] * 3
+    order = np.argsort(below.column(0).to_numpy())  # the same contexts as those of the pairs
+    acc, out, going, _, _ = tree(pairs, n, 0, SPLIT - 1, below.column(1).to_numpy()[order])
+    return pairs, acc, np.where(np.isnan(out), -8 * math.log(2), out), going
+
+
+def log_probabilities(spark, found: DataFrame) -> DataFrame:
+    """``(key, uses, log)``: the natural log probability of the last byte of each packed string after its context, from written ``(key, n, uses)``."""
+    trees = written(subtrees(found), "lm-trees")
+    sent = spark.sparkContext.broadcast(upper(found, trees))
+
+    def whole(batches):
+        import pyarrow as pa
+
+        pairs, acc, out, going = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, log = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+            at = np.searchsorted(pairs, key & np.uint64((1 << 8 * SPLIT) - 1))
+            log = np.where(np.isnan(log), out[at], np.logaddexp(acc[at], going[at] + log))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log)], names=["key", "uses", "log"])
+
+    return trees.where("key IS NOT NULL").select("key", "uses", "log").mapInArrow(whole, "key long, uses long, log double")
+
+
+def frequent(table: DataFrame, count_col: str, most: int) -> int:
+    """The smallest exponent so that at most ``most`` rows count 2^exponent or more."""
+    sizes = table.groupBy(F.floor(F.log2(count_col)).cast("int").alias("e")).count().collect()  # at most 64 rows
     exponent = 0
-    while sum(r["pairs"] for r in sizes if r["e"] >= exponent) > max_entries:
+    while sum(r["count"] for r in sizes if r["e"] >= exponent) > most:
         exponent += 1
-    min_count = 1 << exponent
-    pairs = by_depth
-    if min_count > 1:
-        big = opened.where(F.col("total") >= min_count).select("d", "context")
-        pairs = by_depth.withColumn("context", context).join(big, ["d", "context"]).drop("context")
-    found = pairs.select("d", "pair", "n").toArrow()  # at most max_entries rows
-    d, pair, n = (found.column(i).to_numpy() for i in range(3))
-    levels = []
-    for k in range(DEPTH + 1):
-        at = np.flatnonzero(d == k)
-        at = at[np.argsort(pair[at], kind="stable")]
-        if not len(at):
-            break
-        levels.append((pair[at].astype(np.uint64), n[at].astype(np.int64)))
-    return build_model(levels), min_count
+    return exponent
 
 
 def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", max_entries: int = MAX_ENTRIES,
@@ -374,41 +501,55 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     carried = Carried(docs, names)
     docs, text_col, training = carried.df, carried[text_col], F.col(carried["__training"])
     small_batches(docs)
-    counts = written(corpus_counts(docs.where(training).select(text_col), text_col), "lm-counts")
-    model, _ = train(counts, max_entries)
+    counts = written(corpus_counts(docs.select(text_col, training.alias("__learn")), text_col, "__learn"), "lm-counts")
+    strings = counts.where("kind = 1")
+    table = log_probabilities(spark, strings)
+    least = 1 << frequent(strings, "uses", max_entries)
+    often = table.where(F.col("uses") >= least).select("key", "log").toArrow()  # at most max_entries rows
     words = counts.where("kind = 0")
     total = {r["kind"]: (r["n"], r["distinct"]) for r in counts.where("kind != 1").groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()}
     ends = total.get(2, (0, 0))[0]
     n_train, vocabulary = total.get(0, (0, 0))[0] + ends, total.get(0, (0, 0))[1] + (ends > 0)
     base_log = math.log10(n_train + vocabulary + 1)
-    sizes = words.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).count().collect()  # at most 64 rows
-    exponent = 0
-    while sum(r["count"] for r in sizes if r["e"] >= exponent) > max_words:
-        exponent += 1
+    exponent = frequent(words, "n", max_words)
     common = words.where(F.col("n") >= 1 << exponent).select("key", "n").toArrow()  # at most max_words rows
     keys, n = common.column(0).to_numpy().view(np.uint64), common.column(1).to_numpy()
     order = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((model, keys[order], np.log10(n[order] + 1.0)))
+    sent = spark.sparkContext.broadcast((often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy(), keys[order], np.log10(n[order] + 1.0)))
     base = docs.drop(text_col)
     kept = base.columns
     state: dict = {}
 
+    def left_over(keys, hit, owner, rows):
+        """The keys without a hit, and where those of each row start."""
+        return keys[~hit].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=rows))])
+
     def score(batches):
         import pyarrow as pa
 
+        def lists(found):
+            flat = np.concatenate([g for g, _ in found]) if found else np.zeros(0, dtype=np.int64)
+            bounds, at = [0], 0
+            for g, w in found:
+                bounds += (w[1:] + at).tolist()
+                at += len(g)
+            return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+
         for batch in batches:
             if "s" not in state:
-                m, k, logs = sent.value
-                state["s"] = (Scorer(m) if m else None, WordHashes(), Table(k, logs))
-            scorer, hashes, known = state["s"]
+                strings, probabilities, k, logs = sent.value
+                state["s"] = (Table(strings, probabilities), WordHashes(), Table(k, logs))
+            model, hashes, known = state["s"]
             data, offs = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
             cols = [[] for _ in range(5)]
-            misses = []
+            misses, strays = [], []
             for a, b in text_groups(offs, 1 << 18):
                 part, o = data[offs[a]:offs[b]], offs[a:b + 1] - offs[a]
                 full, at, text = framed(part, o)
-                logs = scorer.logs(grams(full, at)) if scorer else np.full(len(at), -8 * math.log(2))
+                packed = grams(full, at)
+                logs, hit = model.find(packed)
                 cols[0].append(np.bincount(text, weights=logs, minlength=b - a) / math.log(10))
+                strays.append(left_over(packed, hit, text, b - a))
                 cols[1].append(np.diff(o))
                 h, n_words = hashes.of(part, o)
                 owner = np.repeat(np.arange(b - a), n_words)
@@ -416,29 +557,26 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
                 cols[2].append(n_words)
                 cols[3].append(np.bincount(owner[hit], minlength=b - a))
                 cols[4].append(np.bincount(owner[hit], weights=word_logs[hit], minlength=b - a))
-                gone, where = h[~hit].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=b - a))])
-                misses.append((gone, where))
-            flat = np.concatenate([g for g, _ in misses]) if misses else np.zeros(0, dtype=np.int64)
-            bounds, at = [0], 0
-            for g, w in misses:
-                bounds += (w[1:] + at).tolist()
-                at += len(g)
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+                misses.append(left_over(h, hit, owner, b - a))
             c = [np.concatenate(x) if x else np.zeros(0) for x in cols]
-            new = [pa.array(c[0], pa.float64()), pa.array(c[1].astype(np.int64)), pa.array(c[2].astype(np.int64)), pa.array(c[3].astype(np.int64)), pa.array(c[4], pa.float64()), lists]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in kept], *new], names=[*kept, "score", "n_bytes", "__words", "__known", "__logs", "__rare"])
+            new = [pa.array(c[0], pa.float64()), pa.array(c[1].astype(np.int64)), pa.array(c[2].astype(np.int64)), pa.array(c[3].astype(np.int64)), pa.array(c[4], pa.float64()), lists(misses), lists(strays)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in kept], *new], names=[*kept, "score", "n_bytes", "__words", "__known", "__logs", "__rare", "__strings"])
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("n_bytes", T.LongType()), T.StructField("__words", T.LongType()), T.StructField("__known", T.LongType()),
-              T.StructField("__logs", T.DoubleType()), T.StructField("__rare", T.ArrayType(T.LongType()))]
+              T.StructField("__logs", T.DoubleType()), T.StructField("__rare", T.ArrayType(T.LongType())), T.StructField("__strings", T.ArrayType(T.LongType()))]
     rows = docs.mapInArrow(score, T.StructType([*base.schema.fields, *fields]))
     rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "lm-rows")  # written: the row numbers stay
     rest = words.where(F.col("n") < 1 << exponent).select(F.col("key").alias("__key"), F.col("n").alias("__n"))
     used = rows.select("__row", F.explode("__rare").alias("__key")).groupBy("__row", "__key").agg(F.count(F.lit(1)).alias("__tf"))
     sums = used.join(rest, "__key").groupBy("__row").agg(F.sum("__tf").alias("__more"), F.sum(F.col("__tf") * F.log10(F.col("__n") + 1)).alias("__more_logs"))
+    uncommon = table.where(F.col("uses") < least).select(F.col("key").alias("__key"), "log")
+    stray = rows.select("__row", F.explode("__strings").alias("__key")).join(uncommon, "__key").groupBy("__row").agg(F.sum("log").alias("__more_score"))
     n_tokens = F.col("__words") + 1
     known = F.col("__known") + F.coalesce("__more", F.lit(0)) + F.lit(int(ends > 0))
     logs = F.col("__logs") + F.coalesce("__more_logs", F.lit(0.0)) + F.lit(math.log10(ends + 1))
-    return rows.drop("__rare").join(sums, "__row", "left").select(
+    rows = rows.drop("__rare", "__strings").join(sums, "__row", "left").join(stray, "__row", "left")
+    rows = rows.withColumn("score", F.col("score") + F.coalesce("__more_score", F.lit(0.0)) / math.log(10))
+    return rows.select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(carried.names) if c not in (text_name, "__training")], n_tokens.alias("n_tokens"), known.cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         (logs - n_tokens * F.lit(base_log)).alias("base_score"), "score", "n_bytes",
         (-F.col("score") * math.log2(10) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))

@@ -313,6 +313,33 @@ def test_context_tree_equals_the_definition_and_sums_to_one():
             assert abs(p[b] - brute_probability(levels, context, b)) < 1e-5 * max(p[b], 1e-3)
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_entries": 5}])
+def test_scores_do_not_depend_on_the_broadcast_bound(spark, monkeypatch, limits):
+    monkeypatch.setattr(lm_score, "PIECE", 50)
+    rng = random.Random(6)
+    learn = [" ".join(rng.choice(["abra", "Cada", "bra", "é", "x1"]) for _ in range(rng.randrange(9))) for _ in range(12)]
+    held = ["abra cada zebra", "ö", "", "quite other words"]
+    rows = [(i * 2, t) for i, t in enumerate(learn)] + [(i * 2 + 1, t) for i, t in enumerate(held)]
+    counts = [Counter() for _ in range(lm_score.DEPTH + 1)]
+    for t in learn:
+        for table, (keys, n) in zip(counts, level_counts(ascii_lower(t).encode(), lm_score.DEPTH)):
+            table.update(dict(zip(keys.tolist(), n.tolist())))
+    levels = [(np.array(sorted(t), dtype=np.uint64), np.array([t[k] for k in sorted(t)], dtype=np.int64)) for t in counts]
+    memo = {}
+    want = {}
+    for i, t in rows:
+        full = bytes([lm_score.EDGE] * lm_score.DEPTH) + ascii_lower(t).encode() + bytes([lm_score.EDGE])
+        strings = [(full[k - lm_score.DEPTH:k], full[k]) for k in range(lm_score.DEPTH, len(full))]
+        for s in strings:
+            if s not in memo:
+                memo[s] = math.log10(brute_probability(levels, *s))
+        want[i] = sum(memo[s] for s in strings)
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs, F.col("doc_id") % 2 == 0, **limits).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i] - want[i]) <= 1e-6 * abs(want[i]) for i in want)
+
+
 def test_log_gamma():
     x = np.array([0.5, 1.0, 1.5, 7.9, 8.0, 100.5, 1e6])
     assert np.allclose(lm_score.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
