@@ -304,6 +304,11 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document ``id, __text (hash of the text), n_shingles, component_id`` (smallest id reachable by links)."""
+    return linked(docs, id_col, text_col, size, percent).drop("__component")
+
+
+def linked(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``link_documents`` with ``__component``: one class key for all linked documents, null for an empty set."""
     small_batches(docs)
     rows = prefixes(docs, id_col, text_col, size, percent)
     full = rows.where(F.col("n") > 0)
@@ -332,22 +337,25 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         labels = written(components(links), "jaccard-labels")
     owned = classes.select("cls", "least").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = owned.groupBy("component").agg(F.min("least").alias("component_id"))
-    owned = owned.join(least, "component").select("cls", "component_id")
+    owned = owned.join(least, "component").select("cls", "component", "component_id")
     out = rows.select("__id", "__text", "n", "cls").join(owned, "cls", "left")
-    return out.select(F.col("__id").alias(id_col), "__text", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col("__id")).alias("component_id"))
+    return out.select(F.col("__id").alias(id_col), "__text", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col("__id")).alias("component_id"),
+                      F.col("component").alias("__component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """One document of each group: the one whose id is the component's (of rows with one id, one)."""
+    """One document of each linked group, by smallest id (null last) and text hash; documents without words all stay."""
     carried = Carried(docs)
     docs, id_col, text_col = carried.df, carried[id_col], carried[text_col]
-    groups = link_documents(docs, id_col, text_col, **kw)
-    first = written(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id"))
-                    .agg(F.min("__text").alias("__text"), F.count(F.lit(1)).alias("__rows")), "jaccard-first")
-    one = docs.join(first, docs[id_col].eqNullSafe(first["__id"]) & F.xxhash64(docs[text_col]).eqNullSafe(first["__text"]))
-    if not first.where("__rows > 1").isEmpty():  # ids that come more than once: one row of each
-        one = one.withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy(F.lit(1)))).where("__n = 1")
-    return carried.restore(one)
+    groups = linked(docs, id_col, text_col, **kw).where(F.col("__component").isNotNull())
+    rows = groups.groupBy("__component", F.col(id_col).alias("__id"), "__text").agg(F.count(F.lit(1)).alias("__rows"))
+    first = rows.groupBy("__component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__text", "__rows")).alias("f"))
+    first = written(first.select("__component", "f.__id", "f.__text", "f.__rows"), "jaccard-first")
+    has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = docs.where(has_words).join(first, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__text")))
+    if not first.where("__rows > 1").isEmpty():  # rows equal in id and text: one of them
+        one = one.withColumn("__n", F.row_number().over(Window.partitionBy("__component").orderBy(F.lit(1)))).where("__n = 1")
+    return carried.restore(one.select(*docs.columns).unionAll(docs.where(~has_words)))
 
 
 def op9_jaccard_join(spark, sf_dir):

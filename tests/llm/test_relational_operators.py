@@ -217,6 +217,14 @@ def test_jaccard_keeps_one_of_each_group(spark):
     assert jaccard_join.link_documents(frame(spark, [])).count() == 0 and jaccard_join.keep_one(frame(spark, [])).count() == 0
 
 
+def test_jaccard_keeps_unrelated_rows_without_id_or_of_one_id(spark):
+    rows = [(None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six seven"), (None, "One two three four five six seven"),
+            (1, "some text of its own under one id"), (1, "quite another text under that same id"), (1, "quite another text under that same id"),
+            (2, "one two three four five six seven"), (None, None), (None, ""), (3, " "), (3, None)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(frame(spark, rows)).collect()), key=repr)
+    assert kept == sorted([rows[i] for i in (0, 3, 4, 6, 7, 8, 9, 10)], key=repr)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     rng = random.Random(8)
     names = list(range(300))
