@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from rankspark.llm import chat_format, decontaminate, fingerprint, jaccard_join, language_id, line_dedup, lm_score, mixing, substring_dedup, url_filter
+from rankspark.llm import (chat_format, decontaminate, fill_middle, fingerprint, jaccard_join, language_id, lexical_search, line_dedup, lm_score, mixing,
+                           personal_data, substring_dedup, url_filter)
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_personal_data": personal_data.op13_personal_data,
 }
 
 ORACLE = {
@@ -24,4 +28,6 @@ ORACLE = {
     "op6_chat_format": chat_format.OP6_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
+    "op12_lexical_search": lexical_search.OP12_SQL,
 }
