@@ -18,7 +18,7 @@ Score (64-bit integers): a term's weight is ``floor(1000 ln((2N+2)/(2df+1)))``;
 document's ``m = 100 - b + (b n N) div L`` for ``b = 75``; the score sums ``weight *
 ((10^9 tf) div (1000 tf + 8 m))`` over the item's terms, repeats included.
 
-Scale: statistics are one aggregation of the items' terms; signatures are built and
+Scale: statistics count the items' terms per task (found by hash, confirmed byte for byte); signatures are built and
 scanned per task without a shuffle; items go out in blocks of at most ``max_block_bytes``,
 one scan of the signatures each; only documents that pass move, by id.
 
@@ -50,6 +50,7 @@ LEVELS = (1, 2, 4, 8)
 BITS_PER_ENTRY, HASHES = 12, 4
 BLOCK_DOCS = 1024
 BLOCK_BYTES = 1 << 22
+LANES = 8  # 8-byte pieces of a term that are compared together; longer terms are compared on their own
 MAX_BLOCK_BYTES = 16 << 20
 SEEDS = 4  # per item, times k: documents scored exactly to find the floor
 B = 75
@@ -148,21 +149,91 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return t.groupBy("item", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def weighted_terms(docs: DataFrame, wanted: DataFrame, text_col: str = "text"):
-    """``(item, term, qtf, weight)`` of terms that occur, and ``(N, L)``; one pass for the counts of all wanted terms.
+class Wanted:
+    """Finds a list of terms among the tokens of a piece of text: by hash first, then byte for byte."""
 
-    Every document gives each distinct term once plus one row with its length under the empty term,
-    which no item has; so one aggregation gives document frequencies and totals.
-    """
+    def __init__(self, terms):
+        import pyarrow as pa
+
+        raw = [t.encode() for t in terms]
+        h = term_hash(pa.array(terms, pa.string()))
+        self.order = np.argsort(h, kind="stable")
+        self.hashes, self.size = h[self.order], np.array([len(t) for t in raw])
+        self.lanes = np.zeros((len(raw), LANES), dtype="<u8")
+        for i, t in enumerate(raw):
+            head = t[:8 * LANES].ljust(8 * LANES, b"\0")
+            self.lanes[i] = np.frombuffer(head, dtype="<u8")
+        self.raw = raw
+
+    def find(self, low, h, s, e):
+        """``(token numbers, term numbers)`` of the tokens that are wanted terms; ``low``: the lower-cased bytes."""
+        place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        at = np.flatnonzero(self.hashes[place] == h)
+        term = self.order[place[at]]
+        same = (e[at] - s[at]) == self.size[term]
+        at, term = at[same], term[same]
+        if not len(at):
+            return at, term
+        padded = np.concatenate([low, np.zeros(8 * LANES, dtype=np.uint8)])
+        words = np.ndarray((len(low) + 8 * (LANES - 1) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))  # the 8 bytes from each place
+        good = np.ones(len(at), dtype=bool)
+        for lane in range(LANES):
+            left = np.minimum(self.size[term] - 8 * lane, 8)
+            here = np.flatnonzero(left > 0)
+            if not len(here):
+                break
+            mask = (~np.uint64(0)) >> (np.uint64(64) - left[here].astype(np.uint64) * np.uint64(8))
+            good[here] &= (words[s[at[here]] + 8 * lane] & mask) == self.lanes[term[here], lane]
+        for i in np.flatnonzero(self.size[term] > 8 * LANES).tolist():
+            good[i] = low[s[at[i]]:e[at[i]]].tobytes() == self.raw[term[i]]
+        return at[good], term[good]
+
+
+def term_counts(docs: DataFrame, terms: list, text_col: str = "text") -> DataFrame:
+    """``(term, df, sum_n long)``: documents with each listed term; under the empty term all documents that have terms, and all their terms."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches):
+        import pyarrow as pa
+
+        poly, value, wanted = Poly(41), byte_values(41, True), Wanted(sent.value)
+        df, n_docs, length = np.zeros(len(sent.value), dtype=np.int64), 0, 0
+        fold = np.arange(256, dtype=np.uint8)
+        fold[65:91] += 32
+        for batch in batches:
+            data, offs = text_bytes(batch.column(0))
+            for a, b in text_groups(offs):
+                low = fold[data[offs[a]:offs[b]]]
+                (h,), counts, s, e = tokens(low, offs[a:b + 1] - offs[a], NOT_ALNUM, [poly], [value], spans=True)
+                n_docs, length = n_docs + int(np.count_nonzero(counts)), length + int(counts.sum())
+                at, term = wanted.find(low, h, s, e)
+                owner, _ = per_text(counts)
+                pairs = np.unique(owner[at].astype(np.int64) * len(df) + term)
+                df += np.bincount(pairs % len(df), minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(["", *(sent.value[i] for i in some)]), pa.array([n_docs, *df[some].tolist()]),
+                                          pa.array([length] + [0] * len(some))], names=["term", "df", "sum_n"])
+
+    parts = docs.select(text_col).mapInArrow(count, "term string, df long, sum_n long")
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("sum_n").alias("sum_n"))
+
+
+def weighted_terms(docs: DataFrame, wanted: DataFrame, text_col: str = "text", max_block_bytes: int = MAX_BLOCK_BYTES):
+    """``(item, term, qtf, weight)`` of the terms that occur, and ``(N, L)``; one pass over the texts per block of wanted terms."""
     vocab = written(wanted.select("term").distinct(), "search-vocab")
-    keys = vocab.unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
-    listed = docs.select(term_list(text_col).alias("t")).select(F.size("t").cast("long").alias("n"), F.array_distinct("t").alias("t"))
-    rows = listed.where(F.col("n") > 0).select(F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"), "n")
-    counts = written(rows.join(keys, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("sum_n")), "search-counts")
-    total = counts.where(F.col("term") == "").first()
-    if total is None:
+    size = vocab.agg(F.sum(F.octet_length("term") + 96)).first()[0] or 0
+    blocks, counts = max(1, math.ceil(size / max_block_bytes)), None
+    for b in range(blocks):
+        terms = sorted(r["term"] for r in vocab.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect())  # about max_block_bytes
+        if terms:
+            part = term_counts(docs, terms, text_col)
+            counts = part if counts is None else counts.unionByName(part.where(F.col("term") != ""))
+    if counts is None:
+        return None, (0, 0)
+    counts = written(counts, "search-counts")
+    n_docs, length = counts.where(F.col("term") == "").select("df", "sum_n").first() or (0, 0)
+    if not n_docs:
         return None, (0, 0)
-    n_docs, length = total["df"], total["sum_n"]
     weight = F.floor(F.lit(1000.0) * F.log((F.lit(2.0) * n_docs + 2) / (F.lit(2.0) * F.col("df") + 1))).cast("long")
     return wanted.join(counts.select("term", "df"), "term").select("item", "term", "qtf", weight.alias("weight")), (n_docs, length)
 
@@ -304,7 +375,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     empty = spark.createDataFrame([], T.StructType([T.StructField("item", T.StringType()), T.StructField("rank", T.IntegerType()),
                                                     T.StructField("id", id_type), T.StructField("score", T.LongType())]))
     wanted = written(item_terms(items, item_id_col, item_text_col), "search-items")
-    weighted, totals = weighted_terms(docs, wanted, text_col)
+    weighted, totals = weighted_terms(docs, wanted, text_col, max_block_bytes)
     if weighted is None:
         return empty
     weighted = written(weighted.where(F.col("weight") > 0), "search-weights")
