@@ -1 +1,10 @@
-"""operators."""
+"""Operators over DataFrames.
+
+Functions that run inside Python workers are pickled by value, so executors need numpy and pyarrow, but not this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -113,9 +113,12 @@ def _normalised(post: DataFrame, field_stats: DataFrame, k1: float, b: float) ->
 
 
 def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights: dict | None = None,
-                       row_bound: int | None = None) -> DataFrame:
+                       row_bound: int | None = None, by_doc: bool = False) -> DataFrame:
     """(topic_id, field, doc_id, <part>...): BM25 summands of every matched posting.
 
+    ``by_doc`` deals the matched postings by doc_id before they fan out to topics, so that
+    sums per (topic, document) and anything per document need no further shuffle.
+
     ``weights`` maps output column → query-weight column of ``qterms`` (default
     ``{"part": "qw"}``), so several weightings of the same postings come out of
     one pass. ``k1`` and ``b`` may be floats or Columns of ``qterms`` (R8:
@@ -135,6 +138,7 @@ def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights:
     # fixed k1, b: the tf normalisation is computed once per posting, before the join fans
     # each posting out to every topic holding the term
     normed = _normalised(post, field_stats, k1, b)
+    normed = normed.repartition("doc_id") if by_doc else normed
     return (normed.join(wb.drop("avgdl"), ["field", "term"])
             .select("topic_id", "field", "doc_id", *keep,
                     *[(F.col(f"__w_{out}") * F.col("__tfn")).alias(out) for out in weights]))

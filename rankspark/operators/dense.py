@@ -5,9 +5,9 @@
   one ``np.bincount`` per Arrow batch inside ``mapInArrow`` (no shuffle).
 * ``encode``  any object with ``encode_batch(list[str]) -> ndarray`` (U1), run
   in ``mapInArrow``; one model per Python worker, Arrow batches in and out.
-* ``dense_topk``  exhaustive top-k of query vectors against a corpus: query
-  chunks of bounded size are broadcast, each Arrow batch of documents is scored
-  with one matrix product and reduced to its local top-k per query, and a final
+* ``dense_topk``  exhaustive top-k of query vectors against a corpus: one bounded block of
+  queries is broadcast, more of them form a grid of blocks with the documents; each
+  block is one matrix product, reduced to its local top-k per query, and a final
   window keeps the global top-k. No pair table is ever materialised.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from rankspark.functions.text import sentences, tokenize
 from rankspark.functions.vectors import hash_bucket
+from rankspark.operators.blocks import TopK, unit_rows, vectors
 from rankspark.operators.runs import rank_run
 
 DEFAULT_DIM = 64
@@ -162,51 +163,46 @@ def encode(df: DataFrame, text_col: str, encoder, out_col: str = "embedding", ke
 
 
 # ------------------------------------------------------------------ exhaustive dense top-k
-MAX_QUERY_CHUNK_ROWS = 4096
+QUERY_BLOCK = 4096  # queries of one product; so many may be broadcast
+DOC_BLOCK = 1 << 14  # documents of one product in the grid
+QUERY_BLOCK_BYTES = 64 << 20
 
 
 def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 10, metric: str = "cosine",
                query_id: str = "topic_id", doc_id: str = "doc_id", query_vec: str = "embedding",
-               doc_vec: str = "embedding", chunk_rows: int = MAX_QUERY_CHUNK_ROWS) -> DataFrame:
+               doc_vec: str = "embedding", query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
     """(topic_id, doc_id, score, rank) — the k best documents per query, no lexical gate.
 
-    Queries are taken to the executors in chunks of at most ``chunk_rows`` rows
-    (their size is bounded by the chunk, whatever the number of queries); each
-    chunk is one pass over the corpus, and passes are unioned before the final
-    per-query window.
+    Up to ``query_block`` queries (and ``QUERY_BLOCK_BYTES``) go to the executors as they are, and the
+    corpus is scanned in place. More queries form a grid with the documents: queries are dealt into
+    groups of about ``query_block``, documents into buckets of about ``doc_block``; each row goes to every cell
+    of its line or column, and a cell (two bounded blocks that Spark cogroups) is one matrix product, reduced to
+    the best k per query. Nothing grows on the driver, and no pair table is made.
     """
-    spark = docs.sparkSession
+    if metric not in ("cosine", "dot"):
+        raise ValueError("metric must be 'cosine' or 'dot'")
     q = queries.select(F.col(query_id).alias("topic_id"), F.col(query_vec).alias("qv")).where(F.col("qv").isNotNull())
-    n_q = q.count()
-    n_chunks = max(1, -(-n_q // chunk_rows))
-    # chunk by a hash of the query id: no global ordering needed, sizes ~ n_q / n_chunks
-    q = q.withColumn("__chunk", F.pmod(F.xxhash64("topic_id"), F.lit(n_chunks)))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("dv")).where(F.col("dv").isNotNull())
-    id_type = d.schema["doc_id"].dataType
-    qid_type = q.schema["topic_id"].dataType
-    out_schema = T.StructType([T.StructField("topic_id", qid_type), T.StructField("doc_id", id_type),
+    out_schema = T.StructType([T.StructField("topic_id", q.schema["topic_id"].dataType), T.StructField("doc_id", d.schema["doc_id"].dataType),
                                T.StructField("score", T.DoubleType())])
-    parts = []
-    for c in range(n_chunks):
-        pdf = q.where(F.col("__chunk") == c).select("topic_id", "qv").toPandas()
-        if pdf.empty:
-            continue
-        qids = pdf["topic_id"].to_numpy()
-        qm = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["qv"]])
-        if metric == "cosine":
-            qn = np.linalg.norm(qm, axis=1)
-            qn[qn == 0] = 1.0
-            qm = qm / qn[:, None]
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("qv") * 8).alias("bytes")).first()
+    if size["n"] <= query_block and (size["bytes"] or 0) <= QUERY_BLOCK_BYTES:
+        block = q.toArrow().combine_chunks()
         try:
-            bc = spark.sparkContext.broadcast((qids, qm))
-        except Exception:  # no SparkContext (Spark Connect): the bounded chunk travels with the function
-            bc = _Inline((qids, qm))
-        parts.append(d.mapInArrow(_score_batches(bc, k, metric), out_schema))
-    if not parts:
-        return spark.createDataFrame([], out_schema.add("rank", T.LongType()))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+            sent = docs.sparkSession.sparkContext.broadcast(block)
+        except Exception:  # no SparkContext (Spark Connect): the bounded block travels with the function
+            sent = _Inline(block)
+        return rank_run(d.mapInArrow(_score_batches(sent, k, metric), out_schema), k=k)
+    groups = max(-(-size["n"] // query_block), -(-size["bytes"] // QUERY_BLOCK_BYTES))
+    buckets = max(1, -(-d.count() // doc_block))
+
+    def cell(vec, mine, n_mine, other, n_other):
+        place = F.pmod(F.xxhash64(*vec), F.lit(n_mine)).cast("int").alias(mine)
+        return [place, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)]
+
+    left = q.select("topic_id", "qv", *cell(("topic_id", "qv"), "g", groups, "h", buckets))
+    right = d.select("doc_id", "dv", *cell(("doc_id", "dv"), "h", buckets, "g", groups))
+    scored = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(_score_cell(k, metric), out_schema)
     return rank_run(scored, k=k)
 
 
@@ -217,48 +213,90 @@ class _Inline:
         self.value = value
 
 
-def _score_batches(bc, k: int, metric: str):
+class _Queries:
+    """A block of queries: scores batches of documents and keeps the best."""
+
+    def __init__(self, ids, column, k, metric):
+        self.ids, self.k, self.metric = ids, k, metric
+        m, _ = vectors(column)
+        self.m = unit_rows(m) if metric == "cosine" else m
+        self.best = TopK(k, len(ids))
+
+    def add(self, ids, column):
+        m, _ = vectors(column)
+        if not len(m) or not len(self.m):
+            return
+        s = self.m @ (unit_rows(m) if self.metric == "cosine" else m).T  # (queries, docs)
+        qi, di = best_of_block(s, ids, self.k)
+        self.best.add(qi, ids[di], s[qi, di])
+
+    def rows(self, kind):
+        """The kept (topic_id, doc_id, score)."""
+        import pyarrow as pa
+
+        found = self.best.take() or (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
+        return [self.ids.take(pa.array(found[0])), pa.array(found[1], kind) if len(found[0]) else pa.array([], kind), pa.array(found[2])]
+
+
+def best_of_block(s, ids, k):
+    """``(query, document)`` places of a block of scores that can be among a query's k best: a superset under (rounded score desc, id)."""
+    rounded = np.round(s, 6)
+    n = s.shape[1]
+    if n <= k:
+        return np.nonzero(np.ones_like(s, dtype=bool))
+    kth = np.partition(rounded, n - k, axis=1)[:, n - k]
+    near = rounded >= (kth - 2e-6)[:, None]
+    # ties (equal or zero vectors): per query only the smallest ids of each score can be among the k
+    many = np.flatnonzero(near.sum(axis=1) > 4 * k)
+    place = np.argsort(np.argsort(ids, kind="stable"), kind="stable") if len(many) else None
+    for i in many:
+        cand = np.flatnonzero(near[i])
+        cand = cand[np.lexsort((place[cand], rounded[i, cand]))]
+        level = rounded[i, cand]
+        start = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]]))
+        nth = np.arange(len(cand)) - np.repeat(start, np.diff(np.append(start, len(cand))))
+        near[i] = False
+        near[i, cand[nth < k]] = True
+    return np.nonzero(near)
+
+
+PRODUCT = 1 << 22  # scores of one matrix product
+
+
+def _score_batches(sent, k: int, metric: str):
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
-        qids, qm = bc.value
+
+        block, kind = sent.value, None
+        found = _Queries(block.column("topic_id").combine_chunks(), block.column("qv").combine_chunks(), k, metric)
+        step = max(64, PRODUCT // max(1, len(found.ids)))
         for rb in batches:
-            n = rb.num_rows
-            if n == 0:
-                continue
-            ids = rb.column(0).to_numpy(zero_copy_only=False)
-            lst = rb.column(1)
-            flat = pc.list_flatten(lst).to_numpy(zero_copy_only=False).astype(np.float64)
-            dm = flat.reshape(n, -1)
-            s = qm @ dm.T  # (queries, docs)
-            if metric == "cosine":
-                dn = np.linalg.norm(dm, axis=1)
-                dn[dn == 0] = 1.0
-                s = s / dn[None, :]
-            elif metric != "dot":
-                raise ValueError("metric must be 'cosine' or 'dot'")
-            # local top-k of every query at once: keep scores within 2e-6 of the k-th best
-            # (rounded) score, a superset of the top k under the (rounded score desc, id) order
-            rounded = np.round(s, 6)
-            if n > k:
-                kth = np.partition(rounded, n - k, axis=1)[:, n - k]
-                near = rounded >= (kth - 2e-6)[:, None]
-                # ties (equal or zero vectors): per query only the smallest ids of each score can be among the k
-                place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-                for i in np.flatnonzero(near.sum(axis=1) > 4 * k):
-                    cand = np.flatnonzero(near[i])
-                    cand = cand[np.lexsort((place[cand], rounded[i, cand]))]
-                    level = rounded[i, cand]
-                    start = np.flatnonzero(np.concatenate([[True], level[1:] != level[:-1]]))
-                    nth = np.arange(len(cand)) - np.repeat(start, np.diff(np.append(start, len(cand))))
-                    near[i] = False
-                    near[i, cand[nth < k]] = True
-                qi, di = np.nonzero(near)
-            else:
-                qi, di = np.nonzero(np.ones_like(s, dtype=bool))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids[qi]), pa.array(ids[di]), pa.array(s[qi, di])],
-                names=["topic_id", "doc_id", "score"])
+            kind = rb.column(0).type
+            for a in range(0, rb.num_rows, step):
+                part = rb.slice(a, step)
+                found.add(part.column(0).to_numpy(zero_copy_only=False), part.column(1))
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays(found.rows(kind), names=["topic_id", "doc_id", "score"])
+    return run
+
+
+def _score_cell(k: int, metric: str):
+    def run(left, right):
+        import pyarrow as pa
+
+        left, right = left.combine_chunks(), right.combine_chunks()
+        kind = right.schema.field("doc_id").type
+
+        def column(table, name):
+            x = table.column(name)
+            return x.combine_chunks() if x.num_chunks != 1 else x.chunk(0)
+
+        found = _Queries(column(left, "topic_id"), column(left, "qv"), k, metric)
+        step = max(64, PRODUCT // max(1, len(found.ids)))
+        ids, docs = column(right, "doc_id"), column(right, "dv")
+        for a in range(0, len(ids), step):
+            found.add(ids.slice(a, step).to_numpy(zero_copy_only=False), docs.slice(a, step))
+        return pa.table(found.rows(kind), names=["topic_id", "doc_id", "score"])
     return run
 
 

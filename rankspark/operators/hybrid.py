@@ -1,4 +1,4 @@
-"""The log-normalised hybrid score, as one Spark plan.
+"""The log-normalised hybrid score, as one Spark plan for any number of variants.
 
     score = ln(bm25)/ln(z) + Σ_{facet q, embed field e} [ e missing ? 0 : w_{q,e}·cos(q, e) + offset ]
 
@@ -8,30 +8,41 @@
   first-facet BM25 of the topic and ``ceiling`` defaults to
   #embed fields × #facets used by that topic; ``top <= ceiling`` gives a null z,
   a null score and ``z_ok = false``: such topics are left out (``low_topics`` lists
-  them), kept unscored with ``keep_low=True``, or an error with ``strict=True``.
-  Both BM25 sums (used facets, first facet) come out of the same aggregation.
+  them), kept unscored with ``keep_low=True``, or an error with ``strict=True``;
 * a fixed z (R19) is a literal; a negative z returns plain BM25 (R21);
   ``guard=True`` maps bm25 <= 0 to a log term of 0 (R20);
   ``use_bm25=False`` drops the log term (R18).
 
-Plan: postings ⋈ broadcast(query weights) → partial/final sum per (topic, doc);
-⟕ document vectors on doc_id (one row per document, a column per embedding
-field); each topic's facet vectors travel as one small array per topic and the
-per-topic z as one row per topic (both broadcast, bounded by the topic count);
-the final rank is ``row_number() <= k`` per topic.
+Plan of ``hybrid_variants``: the postings of the query's terms, with their idf and tf parts
+multiplied, are dealt by doc_id before they fan out to topics and written once as
+one list per document (at most the index's size). Every later step reads these
+lists: the best first-facet score per topic, then all variants. A document's
+vectors meet its list, one row a document, not one a (topic, document) pair. Arrow batches
+sum the pairs, score every variant with matrix products, and each task keeps a top-k
+per (variant, topic): a pair whose lexical part plus the largest possible
+embedding part stays below the task's k-th best score never meets a vector.
+``hybrid`` is the case of one variant; with a ``score_fn`` (U4), ``exhaustive=True``, or more query
+terms than may be broadcast, all pairs meet the vectors as Columns instead.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankspark.functions.vectors import add_scaled, dot, l2_normalize
 from rankspark.functions.text import token_count
 from rankspark.operators.bm25 import query_size_bound, query_terms, select_facets, term_contributions
+from rankspark.operators.blocks import TopK, pair_products, unit_rows, vectors
 from rankspark.operators.index import Index
 from rankspark.operators.runs import rank_run
-from rankspark.operators.sizing import max_broadcast_rows
+from rankspark.operators.sizing import max_broadcast_bytes, max_broadcast_rows
+from rankspark.session import scratch_path
 
 
 def lexical_candidates(index: Index, topics: DataFrame, fields, boosts=None, k1=1.2, b=0.75,
@@ -106,8 +117,301 @@ def attach_z(run: DataFrame, ceiling: float, scores: DataFrame | None = None) ->
 
 
 def z_value(top: Column, ceiling: Column) -> Column:
-    """Top ** (1/ceiling), null unless top > ceiling."""
-    return F.when(top > ceiling, F.pow(top, F.lit(1.0) / ceiling))
+    """Top ** (1/ceiling), null unless top > ceiling; a ceiling of 0 (a topic without vectors) has no z."""
+    return F.when((top > ceiling) & (ceiling != 0), F.pow(top, F.try_divide(F.lit(1.0), ceiling)))
+
+
+@dataclass(frozen=True)
+class Variant:
+    """One way to score: ``fields`` maps lexical fields to boosts, ``embed`` embedding fields to weights.
+
+    ``embed={}`` with a negative ``z`` is plain BM25 (a baseline); the other options are those of ``hybrid``.
+    """
+
+    name: str
+    fields: dict
+    embed: dict
+    facets: str = "all"
+    z: float | str = "auto"
+    ceiling: float | None = None
+    offset: float = 1.0
+    use_bm25: bool = True
+    guard: bool = False
+    facet_weights: dict = field(default_factory=dict)
+
+    def boosts(self):
+        return {f: float(w) for f, w in sorted(self.fields.items()) if float(w) != 0.0}
+
+    def auto(self):
+        return isinstance(self.z, str)
+
+    def lexical(self):
+        return self.facets, tuple(self.boosts().items())
+
+    def query(self):
+        return self.facets, tuple(sorted(self.facet_weights.items()))
+
+
+PAIRS_PER_TASK = 1 << 22  # kept pairs of one task: topics x variants x k of one round stay below
+FEW_TOPICS = 4096  # vectors of so many topics need no measuring
+CELLS = 1 << 21  # numbers of one array while pairs are summed
+
+
+class QuerySide:
+    """Query terms and facet vectors of some topics, as arrays for the workers."""
+
+    def __init__(self, terms, topic_ids, n_terms, matrices):
+        """``terms``: (topic number, field number, term number, weights of all used and of the first facet), by term."""
+        self.topic, self.field, term, self.all, self.first = terms
+        self.start = np.searchsorted(term, np.arange(n_terms + 1))
+        self.topic_ids, self.n, self.matrices = topic_ids, len(topic_ids), matrices
+
+    def sums(self, owner, term, value, n_docs, modes):
+        """``(document, topic, {(mode, field): sum, not a number where nothing matches})`` of all pairs of up to ``CELLS`` cells, in order."""
+        fan = self.start[term + 1] - self.start[term]
+        total = np.concatenate([[0], np.cumsum(fan)])
+        doc_at = np.searchsorted(owner, np.arange(n_docs + 1))
+        a = 0
+        while a < n_docs:
+            b = min(n_docs, a + max(1, CELLS // self.n))
+            while b > a + 1 and total[doc_at[b]] - total[doc_at[a]] > 2 * CELLS:
+                b = a + max(1, (b - a) // 2)
+            lo, hi = doc_at[a], doc_at[b]
+            each = np.repeat(np.arange(lo, hi), fan[lo:hi])
+            at = self.start[term[each]] + np.arange(len(each)) - (total[each] - total[lo])
+            key = (owner[each] - a) * self.n + self.topic[at]
+            cells = (b - a) * self.n
+            if len(key) * 16 < cells:
+                pairs, place = np.unique(key, return_inverse=True)
+            else:
+                pairs, place = np.arange(cells), key
+            out, hit = {}, np.zeros(len(pairs), dtype=bool)
+            for mode in modes:
+                weighted = value[each] * (self.all if mode == "all" else self.first)[at]
+                for f in np.unique(self.field):
+                    mine = self.field[at] == f
+                    x = np.bincount(place[mine], weighted[mine], len(pairs))
+                    out[mode, int(f)] = x
+                    hit |= x != 0
+            found = np.flatnonzero(hit)
+            yield a + pairs[found] // self.n, pairs[found] % self.n, {i: np.where(x[found] != 0, x[found], np.nan) for i, x in out.items()}
+            a = b
+
+
+def total(sums, mode, boosts, fields):
+    """The boosted sum over some fields, not a number where none of them matches."""
+    out = None
+    for f, w in boosts:
+        x = sums[mode, fields.index(f)] * w
+        out = x if out is None else np.where(np.isnan(out), x, out + np.where(np.isnan(x), 0.0, x))
+    return out
+
+
+def query_matrix(topic_vectors: DataFrame, topics: DataFrame, queries) -> DataFrame:
+    """``(topic_id, n0, q0, n1, q1, ...)``: per query choice the number of facets and the summed unit facet vector."""
+    out = topics.select("topic_id").distinct()
+    for i, (facets, facet_weights) in enumerate(queries):
+        q = topic_query_vectors(topic_vectors, select_facets(topics, facets), ("q",), None, dict(facet_weights))
+        out = out.join(q.select("topic_id", F.col("n_facets").alias(f"n{i}"), F.col("__q_q").alias(f"q{i}")), "topic_id", "left")
+    return out
+
+
+def document_terms(index: Index, vocab: DataFrame, k1: float, b: float, n_vocab: int) -> DataFrame:
+    """``(doc_id, terms array<struct<term_no, value>>)``: each document's listed terms with idf times tf part.
+
+    ``vocab``: (field, term, term_no), at most ``n_vocab`` rows.
+    """
+    q = vocab.select(F.lit(0).alias("topic_id"), "field", "term", "term_no", F.lit(1.0).alias("qw"))
+    parts = term_contributions(index, q, k1, b, {"value": "qw"}, row_bound=n_vocab + 16, by_doc=True)
+    return parts.groupBy("doc_id").agg(F.collect_list(F.struct("term_no", "value")).alias("terms"))
+
+
+def hybrid_variants(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vectors: DataFrame, variants, k: int | None = 1000,
+                    k1: float = 1.2, b: float = 0.75, keep_low: bool = False) -> DataFrame:
+    """Ranked runs of all variants from one pass over the corpus.
+
+    Output: variant, topic_id, doc_id, rank, score, bm25, embed, z. A topic id that is null takes no part.
+    """
+    variants = list(variants)
+    if len({v.name for v in variants}) != len(variants):
+        raise ValueError("variants need different names")
+    spark = topics.sparkSession
+    embed = sorted({e for v in variants for e in v.embed})
+    fields = sorted({f for v in variants for f in v.boosts()})
+    queries = list(dict.fromkeys(v.query() for v in variants))
+    topics = topics.where(F.col("topic_id").isNotNull())
+    facets = "all" if any(v.facets == "all" for v in variants) else "first"
+    asked = query_terms(topics, ("",), None, facets, with_first=True).select("topic_id", "term", "qw", "qw_first")
+    asked = asked.toArrow()  # the caller has checked its size
+    types = topics.schema["topic_id"].dataType
+    schema = T.StructType([T.StructField("variant", T.StringType()), T.StructField("topic_id", types), T.StructField("doc_id", index.postings.schema["doc_id"].dataType),
+                           *[T.StructField(c, T.DoubleType()) for c in ("score", "bm25", "embed", "z")]])
+    names = ("variant", "topic_id", "doc_id", "rank", "score", "bm25", "embed", "z")
+    if not len(asked) or not fields:
+        return rank_run(spark.createDataFrame([], schema), k=k, partition_extra=("variant",)).select(*names)
+    words = asked.column("term").combine_chunks().dictionary_encode()
+    n_words = len(words.dictionary)
+    vocab = spark.createDataFrame([(f, w, j * n_words + i) for j, f in enumerate(fields) for i, w in enumerate(words.dictionary.to_pylist())], "field string, term string, term_no int")
+    path = scratch_path(spark, "hybrid-terms")
+    document_terms(index, vocab, k1, b, n_words * len(fields)).write.parquet(path)
+    lists = spark.read.parquet(path)
+    ids = asked.column("topic_id").combine_chunks().dictionary_encode()
+    n_topics = len(ids.dictionary)
+    wide = (topic_vectors.agg(F.max(F.size("embedding"))).first()[0] or 0) if n_topics > FEW_TOPICS else 0
+    rounds = max(1, math.ceil(n_topics * len(queries) * wide * 8 / max_broadcast_bytes(topics)), math.ceil(n_topics * len(variants) * (k or 1) / PAIRS_PER_TASK))
+    number, out = ids.indices.to_numpy(), None
+    for r in range(rounds):
+        mine = np.flatnonzero(number % rounds == r)
+        topic_ids = ids.dictionary.take(np.arange(r, n_topics, rounds))
+        word, weights = words.indices.to_numpy()[mine], [asked.column(c).to_numpy()[mine] for c in ("qw", "qw_first")]
+        nf = len(fields)
+        order = np.argsort(np.concatenate([word + j * n_words for j in range(nf)]), kind="stable")
+        columns = [np.tile(number[mine] // rounds, nf), np.repeat(np.arange(nf), len(mine)), np.concatenate([word + j * n_words for j in range(nf)]), *[np.tile(w, nf) for w in weights]]
+        columns = [c[order] for c in columns]
+        some = topics if rounds == 1 else topics.join(F.broadcast(spark.createDataFrame([(x,) for x in topic_ids.to_pylist()], T.StructType([T.StructField("topic_id", types)]))), "topic_id")
+        matrices = _matrices(query_matrix(topic_vectors, some, queries).toArrow(), topic_ids, len(queries))
+        sent = spark.sparkContext.broadcast((columns, topic_ids, n_words * nf, matrices))
+        part = _variants_round(spark, lists, doc_vectors, sent, len(topic_ids), variants, embed, fields, queries, k, keep_low, schema)
+        out = part if out is None else out.unionByName(part)
+    return rank_run(out, k=k, partition_extra=("variant",)).select(*names)
+
+
+def _matrices(known, topic_ids, n_queries):
+    """Per query choice: the topics' summed vectors and facet counts, in the order of ``topic_ids``."""
+    import pyarrow.compute as pc
+
+    known = known.take(pc.index_in(topic_ids, value_set=known.column("topic_id").combine_chunks()))
+    out = []
+    for i in range(n_queries):
+        m, _ = vectors(known.column(f"q{i}").combine_chunks())
+        out.append((m, pc.fill_null(known.column(f"n{i}"), 0).to_numpy().astype(np.float64)))
+    return out
+
+
+def _list_parts(column):
+    import pyarrow.compute as pc
+
+    flat, owner = pc.list_flatten(column), pc.list_parent_indices(column).to_numpy().astype(np.int64)
+    return owner, *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("term_no", "value"))
+
+
+def _variants_round(spark, lists, doc_vectors, sent, n, variants, embed, fields, queries, k, keep_low, schema):
+    tops = list(dict.fromkeys(v.lexical()[1] for v in variants if v.auto()))
+    best = np.full((len(tops), n), np.nan)
+    if tops:
+        found = lists.select("terms").mapInArrow(_best_first(sent, tops, fields), "place int, topic int, top double")
+        for place, topic, value in found.groupBy("place", "topic").agg(F.max("top")).collect():  # a number a topic and choice
+            best[place, topic] = value
+    rows = lists.join(doc_vectors.select("doc_id", *[F.col(e).alias(f"__v{i}") for i, e in enumerate(embed)]), "doc_id", "left")
+    return rows.select("doc_id", "terms", *[f"__v{i}" for i in range(len(embed))]).mapInArrow(
+        _score_lists(sent, best, variants, embed, fields, tops, queries, k, keep_low), schema)
+
+
+def _best_first(sent, tops, fields):
+    """The best first-facet BM25 of each topic under each choice of boosted fields, per task."""
+    def run(batches):
+        import pyarrow as pa
+
+        side = QuerySide(*sent.value)
+        best = np.full((len(tops), side.n), -np.inf)
+        for batch in batches:
+            owner, term, value = _list_parts(batch.column(0))
+            for _, topic, sums in side.sums(owner, term, value, batch.num_rows, ("first",)):
+                for i, boosts in enumerate(tops):
+                    x = total(sums, "first", boosts, fields)
+                    np.maximum.at(best[i], topic, np.where(np.isnan(x), -np.inf, x))
+        place, topic = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(topic, pa.int32()), pa.array(best[place, topic])], names=["place", "topic", "top"])
+
+    return run
+
+
+def _variant_z(v, top, n_facets):
+    """Z per topic from its best first-facet score; not a number where there is none."""
+    if not v.auto():
+        return np.full(len(n_facets), float(v.z))
+    ceiling = np.full(len(n_facets), float(v.ceiling)) if v.ceiling is not None else float(len(v.embed)) * n_facets
+    with np.errstate(all="ignore"):
+        return np.where((top > ceiling) & (ceiling != 0), np.power(top, 1.0 / ceiling), np.nan)
+
+
+def _lexical_part(v, bm, z):
+    """The score without its embedding part; not a number where the log does not exist."""
+    if not v.use_bm25:
+        return np.zeros(len(bm))
+    with np.errstate(all="ignore"):
+        log = np.where(bm > 0, np.log(bm) / np.log(z), 0.0 if v.guard else np.nan)
+        return np.where(z < 0, bm, log) if not v.auto() else np.where(np.isnan(z), np.nan, log)
+
+
+def _score_lists(sent, top, variants, embed, fields, tops, queries, k, keep_low):
+    modes = sorted({v.facets for v in variants})
+
+    def run(batches):
+        import pyarrow as pa
+
+        side = QuerySide(*sent.value)
+        n = side.n
+        q = side.matrices
+        norms = [np.sqrt((m * m).sum(axis=1)) for m, _ in q]
+        best, kinds = TopK(k, len(variants) * n), []
+        plans = []
+        for v in variants:
+            c = queries.index(v.query())
+            z = _variant_z(v, top[tops.index(v.lexical()[1])] if v.auto() else None, q[c][1])
+            used = {e: float(w) for e, w in v.embed.items() if float(w) != 0.0}
+            most = sum((np.maximum(0.0, abs(w) * norms[c] + q[c][1] * v.offset) for w in used.values()), np.zeros(n))  # all that cosines can add
+            plans.append((v, c, used, z, np.where(z < 0, 0.0, most) if v.use_bm25 else most))
+
+        def rows(found):
+            key, docs, score, bm, emb, z = found
+            cols = [pa.array([v.name for v in variants]).take(pa.array(key // n)), side.topic_ids.take(pa.array(key % n)), pa.array(docs, kinds[0]),
+                    *[pa.array(c, from_pandas=True) for c in (score, bm, emb, z)]]
+            return pa.RecordBatch.from_arrays(cols, names=["variant", "topic_id", "doc_id", "score", "bm25", "embed", "z"])
+
+        for batch in batches:
+            kinds[:] = [batch.column(0).type]
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            unit = []
+            for i in range(len(embed)):
+                m, present = vectors(batch.column(2 + i))
+                unit.append((unit_rows(m), present))
+            for owner, topic, sums in side.sums(*_list_parts(batch.column(1)), batch.num_rows, modes):
+                scored, wanted = [], np.zeros((len(queries), len(topic)), dtype=bool)
+                for j, (v, c, used, z_of, most) in enumerate(plans):
+                    bm, z = total(sums, v.facets, v.boosts().items(), fields), z_of[topic]
+                    part = _lexical_part(v, bm, z)
+                    keep = ~np.isnan(bm)
+                    if k is not None:
+                        keep &= np.where(np.isnan(part), -np.inf, part + most[topic]) + 1e-5 >= best.floor[j * n + topic]
+                    if v.use_bm25 and not keep_low:
+                        keep &= ~np.isnan(z)
+                    scored.append((bm, z, part, np.flatnonzero(keep)))
+                    if used:
+                        wanted[c] |= keep
+                cosines = {}
+                for c in range(len(queries)):
+                    at = np.flatnonzero(wanted[c])
+                    for i, e in enumerate(embed):
+                        dots = np.zeros(len(topic))
+                        if len(at) and q[c][0].shape[1] == unit[i][0].shape[1]:
+                            dots[at] = pair_products(unit[i][0], q[c][0], owner[at], topic[at])
+                        cosines[c, e] = dots, unit[i][1][owner]
+                for j, ((v, c, used, _, _), (bm, z, part, at)) in enumerate(zip(plans, scored)):
+                    nf, emb = q[c][1][topic[at]], np.zeros(len(at))
+                    for e, w in used.items():
+                        dots, present = cosines[c, e]
+                        emb += np.where(present[at] & (nf > 0), w * dots[at] + nf * v.offset, 0.0)
+                    score = part[at] + np.where(z[at] < 0, 0.0, emb) if v.use_bm25 else emb
+                    best.add(j * n + topic[at], doc[owner[at]], score, bm[at], emb, z[at])
+                if k is None and (found := best.take()) is not None:
+                    best.parts, best.rows = [], 0
+                    yield rows(found)
+        found = best.take()
+        if found is not None and len(found[0]):
+            yield rows(found)
+
+    return run
 
 
 def hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vectors: DataFrame,
@@ -115,7 +419,7 @@ def hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vector
            offset: float = 1.0, weights: dict | None = None, facet_weights: dict | None = None,
            boosts: dict | None = None, use_bm25: bool = True, guard: bool = False, facets: str = "all",
            k1: float = 1.2, b: float = 0.75, k: int | None = 1000, strict: bool = False,
-           score_fn=None, keep_low: bool = False) -> DataFrame:
+           score_fn=None, keep_low: bool = False, exhaustive: bool = False) -> DataFrame:
     """R17 (R18–R22 through the options): ranked run with the parts of the score.
 
     ``topic_vectors``: (topic_id, facet, facet_pos, embedding), one row per facet.
@@ -125,6 +429,29 @@ def hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vector
     Columns (bm25, z, log_bm25, embed) and returns a Column.
     Output: topic_id, doc_id, rank, score, bm25, embed, z, z_ok.
     """
+    fits = query_size_bound(topics, len(fields)) <= max_broadcast_rows(topics)
+    if score_fn is not None or exhaustive or not fits:
+        out = _hybrid_pairs(index, topics, topic_vectors, doc_vectors, fields, embed_fields, z, ceiling, offset, weights, facet_weights, boosts,
+                            use_bm25, guard, facets, k1, b, score_fn)
+        if strict and isinstance(z, str) and out.where(~F.col("z_ok")).limit(1).count() > 0:
+            raise ValueError(LOW)
+        if use_bm25 and not keep_low:
+            out = out.where(F.col("z_ok"))  # a topic without a normaliser has no scores to rank by
+        return rank_run(out, k=k)
+    one = Variant("hybrid", {f: float((boosts or {}).get(f, 1.0)) for f in fields}, {e: float((weights or {}).get(e, 1.0)) for e in embed_fields}, facets, z, ceiling,
+                  offset, use_bm25, guard, dict(facet_weights or {}))
+    out = hybrid_variants(index, topics, topic_vectors, doc_vectors, [one], k, k1, b, keep_low or strict)
+    if strict and isinstance(z, str) and out.where(F.col("z").isNull()).limit(1).count() > 0:
+        raise ValueError(LOW)
+    return out.drop("variant").withColumn("z_ok", F.col("z").isNotNull())
+
+
+LOW = "some topics have a best BM25 score at or under the ceiling: no normaliser exists for them"
+
+
+def _hybrid_pairs(index, topics, topic_vectors, doc_vectors, fields, embed_fields, z, ceiling, offset, weights, facet_weights, boosts,
+                  use_bm25, guard, facets, k1, b, score_fn):
+    """Every candidate pair with its vectors as Columns: the exhaustive form, and the one for a user's expression."""
     sizes = topics.agg(F.count_distinct("topic_id").alias("n"), F.sum(token_count("text")).alias("tok")).first()
     per_topic_fits = sizes["n"] <= max_broadcast_rows(topics)
     cand = lexical_candidates(index, topics, fields, boosts, k1, b, facets,
@@ -162,13 +489,8 @@ def hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vector
         score = score_fn({"bm25": bm, "z": F.col("z"), "log_bm25": log_term, "embed": emb})
     else:
         score = F.when(F.col("z") < 0, bm).otherwise(log_term + emb) if use_bm25 else emb
-    out = scored.select("topic_id", "doc_id", "bm25", "embed", "z",
-                        F.col("z").isNotNull().alias("z_ok"), score.alias("score"))
-    if strict and isinstance(z, str) and out.where(~F.col("z_ok")).limit(1).count() > 0:
-        raise ValueError("some topics have a best BM25 score at or under the ceiling: no normaliser exists for them")
-    if use_bm25 and not keep_low:
-        out = out.where(F.col("z_ok"))  # a topic without a normaliser has no scores to rank by
-    return rank_run(out, k=k)
+    return scored.select("topic_id", "doc_id", "bm25", "embed", "z",
+                         F.col("z").isNotNull().alias("z_ok"), score.alias("score"))
 
 
 def low_topics(index: Index, topics: DataFrame, ceiling: float, fields=("body",), **kw) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rankspark.operators import bm25 as bm25_ops
 from rankspark.operators.evaluate import evaluate
 from rankspark.operators.folds import seeded_uniform
-from rankspark.operators.hybrid import hybrid
+from rankspark.operators.hybrid import Variant, hybrid_variants
 from rankspark.operators.index import Index
 from rankspark.operators.runs import rank_run
 
@@ -123,32 +123,40 @@ def ablation_grid(index: Index, topics: DataFrame, field_sets: dict, k: int = 10
     return rank_run(summed, k=k, partition_extra=("variant",))
 
 
-def ablation_hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vectors: DataFrame, lexical_sets: dict,
-                    embed_sets: dict, query_types=("first",), k: int = 10, **kw) -> DataFrame:
-    """G1 in full: query type × lexical field set × embedding field set, top k per (variant, topic).
+def ablation_variants(lexical_sets: dict, embed_sets: dict, query_types=("baseline", "embedding"), facets: str = "first") -> list:
+    """The variants of an ablation: each query type with each lexical field set, ``embedding`` also with each embedding field set.
 
-    Variants are few and named ``<query type>-<lexical set>-<embedding set>``; each is one
-    hybrid plan over the shared index and vectors.
+    ``baseline`` is plain BM25 over the lexical fields, ``embedding`` the hybrid score with an automatic z.
+    Names are ``baseline-<lexical set>`` and ``embedding-<lexical set>-<embedding set>``.
     """
-    out = None
+    out = []
     for q in query_types:
+        if q not in ("baseline", "embedding"):
+            raise ValueError("query types are 'baseline' and 'embedding'")
         for lex, fields in lexical_sets.items():
-            for emb, vectors in embed_sets.items():
-                run = hybrid(index, topics, topic_vectors, doc_vectors, fields, vectors, facets=q, k=k, **kw)
-                run = run.withColumn("variant", F.lit(f"{q}-{lex}-{emb}"))
-                out = run if out is None else out.unionByName(run)
+            boosts = {f: 1.0 for f in fields}
+            if q == "baseline":
+                out.append(Variant(f"baseline-{lex}", boosts, {}, facets, z=-1.0))
+            else:
+                out += [Variant(f"embedding-{lex}-{emb}", boosts, {e: 1.0 for e in vectors}, facets) for emb, vectors in embed_sets.items()]
     return out
 
 
+def ablation_hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vectors: DataFrame, lexical_sets: dict,
+                    embed_sets: dict, query_types=("baseline", "embedding"), k: int = 10, facets: str = "first") -> DataFrame:
+    """G1 in full: top k per (variant, topic) of every ``ablation_variants``, scored together in one pass over the corpus."""
+    return hybrid_variants(index, topics, topic_vectors, doc_vectors, ablation_variants(lexical_sets, embed_sets, query_types, facets), k)
+
+
 def sweep_hybrid(index: Index, topics: DataFrame, topic_vectors: DataFrame, doc_vectors: DataFrame, qrels: DataFrame, settings,
                  metrics, fields=("body",), embed_fields=("embedding",), depth: int = 1000) -> DataFrame:
     """G3 over z and embedding weights: ``settings`` is a list of ``{"z": number, "weights": {field: weight}}``.
 
-    Evaluated per setting (its place in the list) and topic; a topic without hits under a setting counts 0.
+    All settings are scored in one pass over the corpus and evaluated per setting (its place in the list) and
+    topic; a topic without hits under a setting counts 0.
     """
-    runs = None
-    for i, s in enumerate(settings):
-        run = hybrid(index, topics, topic_vectors, doc_vectors, fields, embed_fields, z=s.get("z", "auto"), weights=s.get("weights"), k=depth)
-        run = run.select(F.lit(i).cast("long").alias("setting"), "topic_id", "doc_id", "rank")
-        runs = run if runs is None else runs.unionByName(run)
+    variants = [Variant(str(i), {f: 1.0 for f in fields}, {e: float((s.get("weights") or {}).get(e, 1.0)) for e in embed_fields}, z=s.get("z", "auto"))
+                for i, s in enumerate(settings)]
+    runs = hybrid_variants(index, topics, topic_vectors, doc_vectors, variants, depth)
+    runs = runs.select(F.col("variant").cast("long").alias("setting"), "topic_id", "doc_id", "rank")
     return evaluate(runs, qrels, metrics, keys=("setting",), decimals=None, complete=True)

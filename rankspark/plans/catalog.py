@@ -28,6 +28,7 @@ from rankspark.operators.sizing import broadcast_if_bounded
 from rankspark.plans import inputs
 from rankspark.plans import oracle as sql
 from rankspark.session import scratch_path
+from rankspark.sources import corpus as corpus_src
 from rankspark.sources import topics as topic_src
 from rankspark.sources import trec
 from rankspark.streaming import incremental as inc
@@ -203,7 +204,8 @@ def _hybrid_query(k=10, z="auto", use_bm25=True, missing=False, ceiling=None):
 
 
 def _hybrid_sql(k=10, z="auto", use_bm25=True, missing=False, ceiling=None, boosts=None, weights=None,
-                facets="all", topics_cte=None) -> str:
+                facets="all", topics_cte=None, log=None, final=None) -> str:
+    """``log`` and ``final`` replace the log term and the final score: templates over ``{bm25} {z} {log} {embed}``."""
     emb = ("embedding",) if missing else EMB_FIELDS
     weights = weights or {}
     used = "WHERE facet_pos = 0" if facets == "first" else ""
@@ -229,7 +231,9 @@ def _hybrid_sql(k=10, z="auto", use_bm25=True, missing=False, ceiling=None, boos
         f"(CASE WHEN dv.{e} IS NULL THEN 0.0 ELSE {float(weights.get(e, 1.0))} * {sql.cos('tv.vec', 'dv.' + e)} + 1.0 END)"
         for e in emb if float(weights.get(e, 1.0)) != 0.0)
     only = "WHERE zt.z IS NOT NULL" if z == "auto" and use_bm25 else ""
-    score = f"CASE WHEN {zexpr} < 0 THEN c.bm25 ELSE ln(c.bm25) / ln({zexpr}) + e.embed END" if use_bm25 else "e.embed"
+    log_sql = (log or "ln({bm25}) / ln({z})").format(bm25="c.bm25", z=zexpr)
+    score = f"CASE WHEN {zexpr} < 0 THEN c.bm25 ELSE {log_sql} + e.embed END" if use_bm25 else "e.embed"
+    score = final.format(bm25="c.bm25", z=zexpr, log=log_sql, embed="e.embed") if final else score
     score = "c.bm25" if plain and use_bm25 else score
     ctes += ["""top AS (SELECT topic_id, max(bm25_first) AS top FROM cand GROUP BY topic_id)""",
              f"""zt AS (SELECT topic_id, CASE WHEN top > {ceil} THEN pow(top, 1.0 / {ceil}) END AS z
@@ -553,11 +557,32 @@ def q_residual_eval(spark, sf_dir):
 
 # ---------------------------------------------------------------- step 6: data preparation, sources and sinks
 
-@register("topics_wide", "SELECT * FROM (PIVOT (SELECT conv_id AS topic_id, concat_ws('_', role, CAST(turn AS VARCHAR)) AS facet, text "
-                         "FROM conversations) ON facet USING max(text) GROUP BY topic_id)")
+@register("topics_wide", "SELECT conv_id AS topic_id, count(*) AS n_facets, string_agg(concat(facet, '=', text), '|' ORDER BY facet) AS facets FROM ("
+                         "SELECT conv_id, concat_ws('_', role, CAST(turn AS VARCHAR)) AS facet, arg_max(text, turn) AS text FROM conversations "
+                         "WHERE text IS NOT NULL GROUP BY ALL) GROUP BY conv_id")
 def q_topics_wide(spark, sf_dir):
-    """Conversation topics (one facet per turn) as one column per facet, all facets of the table."""
-    return topic_src.topics_to_wide(inputs.conversation_topics(spark, sf_dir))
+    """Conversation topics (one facet per turn) as one column per facet, all facets of the table; each row's filled columns by name."""
+    wide = topic_src.topics_to_wide(inputs.conversation_topics(spark, sf_dir).where(F.col("text").isNotNull()))
+    names = sorted(c for c in wide.columns if c != "topic_id")
+    filled = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"{c}="), F.col(f"`{c}`"))) for c in names]))
+    return wide.select("topic_id", F.size(filled).cast("long").alias("n_facets"), F.array_join(filled, "|").alias("facets"))
+
+
+@register("docs_xml_names", "SELECT CAST(item_id AS VARCHAR) AS doc_id, text FROM benchmark WHERE trim(text) <> ''")
+def q_docs_xml_names(spark, sf_dir):
+    """Every benchmark item as an XML file of its own, named by its id; read back with the id from the file name."""
+    path = scratch_path(spark, "docs-named")
+    items = inputs.table(spark, sf_dir, "benchmark").where(F.trim("text") != "")
+    items.repartition("item_id").write.partitionBy("item_id").format("xml").option("rowTag", "doc").option("rootTag", "docs").save(path)
+    named = [(f"{path}/{r[0]}", f"{path}/named/{r[1]}.xml") for r in
+             spark.read.format("binaryFile").load(path).select(F.concat_ws("/", F.concat(F.lit("item_id="), F.col("item_id").cast("string")), "_metadata.file_name"),
+                                                               F.col("item_id").cast("string")).collect()]  # a name per file written above
+    jvm = spark._jvm
+    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{path}/named"))
+    for old, new in named:
+        files.rename(jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new))
+    return corpus_src.read_docs_xml(spark, f"{path}/named", "doc", ("text",)).select("doc_id", "text")
 
 
 @register("topics_tsv", "SELECT CAST(item_id AS VARCHAR) AS topic_id, 'text' AS facet, 0 AS facet_pos, text "

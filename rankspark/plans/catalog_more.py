@@ -216,22 +216,35 @@ def q_run_ids(spark, sf_dir):
 
 
 register("hybrid_negative_z", _hybrid_sql(z=-1.0))(_hybrid_query(z=-1.0))
-register("hybrid_low_top", _hybrid_sql(ceiling=20.0))(_hybrid_query(ceiling=20.0))
+#: Above the best BM25 of some topics and below that of others in every table.
+CEILING = 60.0
+register("hybrid_low_top", _hybrid_sql(ceiling=CEILING))(_hybrid_query(ceiling=CEILING))
 
+GUARD_BOOSTS = {"title": 1.0, "body": -1.0}
 
-@register("hybrid_guard", _hybrid_sql(z=2.15))
+
+@register("hybrid_guard", _hybrid_sql(z=2.15, boosts=GUARD_BOOSTS, log="CASE WHEN {bm25} <= 0 THEN 0.0 ELSE ln({bm25}) / ln({z}) END"))
 def q_hybrid_guard(spark, sf_dir):
-    """Guarded log with a fixed z (no document of the run has a BM25 of 0, so the scores are the unguarded ones)."""
+    """Guarded log with a fixed z; the body counts against the title, so most sums are negative and the guard acts."""
+    run = hybrid_ops.hybrid(inputs.corpus_index(spark, sf_dir, LEX_FIELDS), inputs.topics(spark, sf_dir), base._topic_hash_vectors(spark, sf_dir),
+                            base._doc_hash_vectors(spark, sf_dir), LEX_FIELDS, EMB_FIELDS, z=2.15, guard=True, boosts=GUARD_BOOSTS, k=10)
+    return _round(run.select("topic_id", "doc_id", "rank", "score", "bm25", "embed", "z"), "score", "bm25", "embed", "z")
+
+
+@register("hybrid_score_fn", _hybrid_sql(final="{bm25} / ({bm25} + 4.0 * {z}) + 0.5 * {embed} + 0.125 * {log}"))
+def q_hybrid_score_fn(spark, sf_dir):
+    """U4: a user's expression over bm25, z, the log term and the embedding part replaces the score."""
     run = hybrid_ops.hybrid(inputs.corpus_index(spark, sf_dir, LEX_FIELDS), inputs.topics(spark, sf_dir), base._topic_hash_vectors(spark, sf_dir),
-                            base._doc_hash_vectors(spark, sf_dir), LEX_FIELDS, EMB_FIELDS, z=2.15, guard=True, k=10)
+                            base._doc_hash_vectors(spark, sf_dir), LEX_FIELDS, EMB_FIELDS, k=10,
+                            score_fn=lambda p: p["bm25"] / (p["bm25"] + 4.0 * p["z"]) + 0.5 * p["embed"] + 0.125 * p["log_bm25"])
     return _round(run.select("topic_id", "doc_id", "rank", "score", "bm25", "embed", "z"), "score", "bm25", "embed", "z")
 
 
 @register("low_topics", sql.with_(sql.corpus_ctes(LEX_FIELDS), sql.topics_cte(), sql.bm25_ctes(LEX_FIELDS, facets="first"))
-          + "SELECT topic_id, round(max(score), 6) AS top_bm25 FROM scores GROUP BY topic_id HAVING max(score) <= 20.0")
+          + f"SELECT topic_id, round(max(score), 6) AS top_bm25 FROM scores GROUP BY topic_id HAVING max(score) <= {CEILING}")
 def q_low_topics(spark, sf_dir):
-    """The topics that the automatic z leaves out at a ceiling of 20."""
-    return _round(hybrid_ops.low_topics(inputs.corpus_index(spark, sf_dir, LEX_FIELDS), inputs.topics(spark, sf_dir), 20.0, LEX_FIELDS), "top_bm25")
+    """The topics that the automatic z leaves out at a high ceiling."""
+    return _round(hybrid_ops.low_topics(inputs.corpus_index(spark, sf_dir, LEX_FIELDS), inputs.topics(spark, sf_dir), CEILING, LEX_FIELDS), "top_bm25")
 
 
 def _rerank_sql(score: str, weights=(1.0, 1.0)) -> str:
@@ -313,16 +326,18 @@ EMB_SETS = {"title": EMB_FIELDS[:1], "both": EMB_FIELDS}
 def _ablation_sql() -> str:
     parts = []
     for lex, fields in LEX_SETS.items():
+        base_run = _hybrid_sql(TOPK, z=-1.0, boosts={f: float(f in fields) for f in LEX_FIELDS}, facets="first")
+        parts.append(f"SELECT 'baseline-{lex}' AS variant, topic_id, doc_id, rank, score FROM ({base_run})")
         for emb, vectors in EMB_SETS.items():
             one = _hybrid_sql(TOPK, boosts={f: float(f in fields) for f in LEX_FIELDS}, weights={e: float(e in vectors) for e in EMB_FIELDS},
                               ceiling=len(vectors), facets="first")
-            parts.append(f"SELECT 'first-{lex}-{emb}' AS variant, topic_id, doc_id, rank, score FROM ({one})")
+            parts.append(f"SELECT 'embedding-{lex}-{emb}' AS variant, topic_id, doc_id, rank, score FROM ({one})")
     return " UNION ALL ".join(parts)
 
 
 @register("ablation_hybrid", _ablation_sql())
 def q_ablation_hybrid(spark, sf_dir):
-    """G1: first facet, two lexical field sets, two embedding field sets: the hybrid top 10 of every variant."""
+    """G1: baseline and embedding queries, two lexical and two embedding field sets: the top 10 of every variant, in one pass."""
     out = sweep_ops.ablation_hybrid(inputs.corpus_index(spark, sf_dir, LEX_FIELDS), inputs.topics(spark, sf_dir), base._topic_hash_vectors(spark, sf_dir),
                                     base._doc_hash_vectors(spark, sf_dir), LEX_SETS, EMB_SETS, k=TOPK)
     return _round(out.select("variant", "topic_id", "doc_id", "rank", "score"), "score")

@@ -180,7 +180,7 @@ def test_dense_topk_equals_brute_force(spark):
     m = m / np.linalg.norm(m, axis=1)[:, None]
     q = e.select(F.col("vec_id").alias("topic_id"), "embedding")
     d = e.select(F.col("vec_id").alias("doc_id"), "embedding")
-    got = dense.dense_topk(q, d, k=5, chunk_rows=37).collect()
+    got = dense.dense_topk(q, d, k=5, query_block=37).collect()
     per = {}
     for r in got:
         per.setdefault(r.topic_id, []).append((r["rank"], r.doc_id))
@@ -214,18 +214,6 @@ def test_streaming_index_equals_batch_index(spark, tmp_path):
     assert fa == fb
 
 
-def test_pruned_top_k_equals_exhaustive(spark):
-    from rankspark.operators.topk import bm25_top_k
-    idx = inputs.corpus_index(spark, SF_SMALL, ("title", "body"))
-    topics = inputs.topics(spark, SF_SMALL)
-    for k, fields in [(3, ("body",)), (10, ("title", "body")), (50, ("body",))]:
-        want = sorted((r.topic_id, r.rank, r.doc_id, round(r.score, 6))
-                      for r in rank_run(bm.bm25(idx, topics, fields), k=k).collect())
-        got = sorted((r.topic_id, r.rank, r.doc_id, round(r.score, 6))
-                     for r in bm25_top_k(idx, topics, k, fields).collect())
-        assert got == want
-
-
 def test_topic_stream_restart_adds_no_duplicates(spark, tmp_path):
     from rankspark.streaming import incremental as inc
     idx = inputs.corpus_index(spark, SF_SMALL, ("body",))

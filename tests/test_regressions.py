@@ -8,7 +8,6 @@ from rankspark.operators import dense as dense_ops
 from rankspark.operators import evaluate as ev
 from rankspark.operators import folds, sweep
 from rankspark.operators.ordering import average_ranks, global_positions
-from rankspark.operators.topk import bm25_top_k
 from rankspark.sources import corpus as csrc
 from rankspark.sources import topics as tsrc
 from rankspark.streaming import incremental as inc
@@ -91,11 +90,6 @@ def test_dense_ties_are_cut_inside_the_task(spark):
     assert {k: sorted(v) for k, v in got.items()} == {t: [(i + 1, i) for i in range(5)] for t in (1, 2)}
 
 
-def test_negative_boosts_are_refused_by_the_pruned_top_k(spark):
-    with pytest.raises(ValueError):
-        bm25_top_k(None, None, boosts={"body": -1.0})
-
-
 def test_late_old_version_does_not_win(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
     for rows in ([(1, 2, "new  text"), (2, 1, "other")], [(1, 1, "old"), (2, 1, "other again"), (1, 0, "older")]):
