@@ -1,12 +1,15 @@
 """Incremental indexing and topic scoring with Structured Streaming.
 
-* ``stream_index``: each micro-batch of documents is reduced to one row per id
-  (its highest version), cleaned and encoded, and written under
-  ``batch_id=<n>`` with overwrite; the postings are tokenised from those written
-  rows, once. A replayed batch (after a failure) rewrites the same folders, so
-  the sink is idempotent. Statistics are never frozen into the written rows;
-  ``read_stream_index`` keeps each document's highest (version, batch), so an old
-  version that arrives late does not win, and re-aggregates df / N / avgdl.
+* ``stream_index``: a stateful operator keyed by document keeps the newest version and its
+  terms. A newer or equal version passes with the next revision number and with the terms
+  it replaces; an older one that arrives late is dropped. Each micro-batch's
+  passing documents are cleaned, encoded and written under ``batch_id=<n>`` with
+  overwrite, their postings are tokenised once from those rows, and the changes
+  (new terms count +1, replaced ones -1) are added to the statistics of the batch
+  before, giving the next statistics table. A replayed batch (after a failure) starts from the
+  same state and the same earlier statistics and rewrites the same folders, so nothing counts twice.
+* ``read_stream_index`` reads the newest finished statistics as they are; only replaced
+  revisions, which the documents themselves name, are anti-joined away. Nothing is aggregated.
 * ``score_topic_stream``: topics arrive as a stream and each micro-batch is
   ranked against a static index (BM25 or hybrid + per-topic top-k), written by
   batch id; ``read_topic_runs`` keeps the latest list of a repeated topic.
@@ -15,69 +18,156 @@ Checkpoints live in the cluster's shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from rankspark.functions.text import clean_whitespace, tokenize
 from rankspark.operators import bm25 as bm25_ops
 from rankspark.operators.index import LENGTH_MARKER, Index, build_index
 from rankspark.operators.runs import rank_run
 from rankspark.sources.corpus import enrich
 
-
-def _latest_per_doc(batch: DataFrame, doc_id: str, version_col: str) -> DataFrame:
-    """One row per id inside a micro-batch: the highest ``version_col`` (equal versions: the highest row content)."""
-    others = [c for c in batch.columns if c != doc_id]
-    row = F.struct(*[F.col(c) for c in others])
-    return (batch.groupBy(doc_id).agg(F.max_by(row, F.struct(F.col(version_col), F.to_json(row))).alias("__r"))
-            .select(doc_id, *[F.col(f"__r.{c}").alias(c) for c in others]))
+TERMS = "array<struct<field:string,dl:long,terms:array<string>>>"
+
+
+def _newest(key, frames, state):
+    """Per document: the newest row of the micro-batch, if the stored version is not newer; with its revision and the terms it replaces."""
+    import pandas as pd
+
+    best = None
+    for frame in frames:
+        for row in frame.to_dict("records"):
+            order = bool(row["__some"]), row["__version"], row["__row"]
+            if best is None or order > best[0]:
+                best = order, row
+    if best is None:
+        return
+    (some, version, _), row = best
+    version = version.item() if hasattr(version, "item") else version
+    revision, replaced = 1, None
+    if state.exists:
+        had, held, revision, replaced = state.get
+        if (some, version) < (had, held):
+            return
+        revision += 1
+    state.update((some, version, revision, row["__terms"]))
+    yield pd.DataFrame({**{c: [row[c]] for c in frame.columns if c not in ("__some", "__version")}, "revision": [revision], "__replaced": [replaced]})
+
+
+def _ordered(docs: DataFrame, version_col: str):
+    """A version as a number or text that sorts like it."""
+    kind = docs.schema[version_col].dataType
+    v = F.col(version_col)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(v)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(v).cast("long")
+    return v.cast("long") if isinstance(kind, T.IntegralType) else v if isinstance(kind, T.StringType) else v.cast("double")
+
+
+def newest_documents(docs: DataFrame, doc_id: str, version_col: str, fields) -> DataFrame:
+    """The stateful part of ``stream_index``: passing documents with ``revision`` and ``__replaced`` (their predecessor's terms).
+
+    A row without an id is not indexed; a missing version is older than any other.
+    """
+    def listed(f):
+        toks = tokenize(clean_whitespace(f))
+        return F.struct(F.lit(f).alias("field"), F.size(toks).cast("long").alias("dl"), F.array_distinct(toks).alias("terms"))
+
+    terms = F.to_json(F.filter(F.array(*[F.when(F.col(f).isNotNull(), listed(f)) for f in fields]), lambda x: x.isNotNull()))
+    version = _ordered(docs, version_col)
+    others = docs.select(*[c for c in docs.columns if c != doc_id])
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    rows = docs.where(F.col(doc_id).isNotNull()).select(  # whole rows as JSON, versions without nulls: pandas would turn numbers with nulls into floats
+        doc_id, F.to_json(F.struct(*others.columns), options).alias("__row"), F.col(version_col).isNotNull().alias("__some"),
+        F.coalesce(version, F.lit("" if isinstance(docs.schema[version_col].dataType, T.StringType) else 0)).alias("__version"), terms.alias("__terms"))
+    kept = [f for f in rows.schema.fields if f.name not in ("__some", "__version")]
+    schema = T.StructType([*kept, T.StructField("revision", T.LongType()), T.StructField("__replaced", T.StringType())])
+    state = T.StructType([T.StructField("some", T.BooleanType()), T.StructField("version", rows.schema["__version"].dataType),
+                          T.StructField("revision", T.LongType()), T.StructField("terms", T.StringType())])
+    out = rows.groupBy(doc_id).applyInPandasWithState(_newest, schema, state, "update", "NoTimeout")
+    return out.withColumn("__row", F.from_json("__row", others.schema, options)).select(doc_id, "__row.*", "__terms", "revision", "__replaced")
 
 
 def stream_index(docs_stream: DataFrame, out_path: str, checkpoint: str, version_col: str, fields=("body",), doc_id: str = "doc_id",
                  dim: int | None = None, encoder=None, available_now: bool = True) -> StreamingQuery:
     """Start the incremental indexing stream (see module docstring).
 
-    ``version_col`` orders the versions of a document (a version number or an arrival time).
+    ``version_col`` orders the versions of a document (a version number or an arrival time); of equal
+    versions the one of the later micro-batch wins, within one the greater row content.
     """
     spark = docs_stream.sparkSession
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         part = f"batch_id={batch_id}"
-        docs = enrich(_latest_per_doc(batch, doc_id, version_col), fields, dim, doc_id, encoder)
+        docs = enrich(batch, fields, dim, doc_id, encoder)
         docs.withColumnsRenamed({doc_id: "doc_id", version_col: "version"}).write.mode("overwrite").parquet(f"{out_path}/docs/{part}")
-        raw = build_index(spark.read.parquet(f"{out_path}/docs/{part}"), fields).raw
+        docs = spark.read.parquet(f"{out_path}/docs/{part}")
+        raw = build_index(docs, fields).raw.join(docs.select("doc_id", "revision"), "doc_id")
         raw.write.mode("overwrite").parquet(f"{out_path}/raw/{part}")
-
-    w = docs_stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+        changes = term_changes(docs.select(F.explode(F.from_json("__terms", TERMS)).alias("f")), 1).unionByName(
+            term_changes(docs.where(F.col("__replaced").isNotNull()).select(F.explode(F.from_json("__replaced", TERMS)).alias("f")), -1))
+        before = last_batch(spark, f"{out_path}/stats", batch_id - 1)
+        if before is not None:
+            changes = changes.unionByName(spark.read.parquet(f"{out_path}/stats/batch_id={before}"))
+        stats = changes.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")).where(F.col("df") != 0)
+        stats.write.mode("overwrite").parquet(f"{out_path}/stats/{part}")
+
+    w = newest_documents(docs_stream, doc_id, version_col, fields).writeStream.outputMode("update").foreachBatch(write_batch)
+    w = w.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
-def superseded(docs: DataFrame) -> DataFrame:
-    """(doc_id, batch_id) of stored rows that a higher (version, batch) of the same document replaces."""
-    again = docs.groupBy("doc_id").agg(F.max(F.struct("version", "batch_id")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return docs.select("doc_id", "batch_id").join(again, "doc_id").where(F.col("batch_id") != F.col("top.batch_id")).select("doc_id", "batch_id")
+def term_changes(lists: DataFrame, sign: int) -> DataFrame:
+    """(field, term, df, length): ``sign`` per document and term; under the length marker the document and its length."""
+    f = F.col("f")
+    return (lists.select(f.field.alias("field"), f.dl.alias("dl"), F.explode(F.concat(F.array(F.lit(LENGTH_MARKER)), f.terms)).alias("term"))
+            .select("field", "term", F.lit(sign).cast("long").alias("df"), F.when(F.col("term") == LENGTH_MARKER, F.col("dl") * sign).otherwise(0).alias("length")))
+
+
+def last_batch(spark: SparkSession, path: str, most: int | None = None) -> int | None:
+    """The highest finished ``batch_id`` folder (not above ``most``), None if there is none."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    found = []
+    for status in files.listStatus(folder):
+        name = re.fullmatch(r"batch_id=(\d+)", status.getPath().getName())
+        if name and files.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")) and (most is None or int(name[1]) <= most):
+            found.append(int(name[1]))
+    return max(found, default=None)
+
+
+def _current(spark: SparkSession, out_path: str, name: str):
+    """The rows of the finished batches without replaced revisions, and the last finished batch."""
+    last = last_batch(spark, f"{out_path}/stats")
+    docs = spark.read.parquet(f"{out_path}/docs").where(F.col("batch_id") <= F.lit(last))
+    gone = docs.where(F.col("__replaced").isNotNull()).select("doc_id", (F.col("revision") - 1).alias("revision"))  # re-sent documents only
+    rows = docs if name == "docs" else spark.read.parquet(f"{out_path}/{name}").where(F.col("batch_id") <= F.lit(last))
+    return rows.join(gone, ["doc_id", "revision"], "left_anti"), last
 
 
 def read_stream_documents(spark: SparkSession, out_path: str) -> DataFrame:
     """The current documents: cleaned text, vectors and version."""
-    docs = spark.read.parquet(f"{out_path}/docs")
-    return docs.join(superseded(docs), ["doc_id", "batch_id"], "left_anti").drop("batch_id")
+    docs, _ = _current(spark, out_path, "docs")
+    return docs.drop("batch_id", "revision", "__terms", "__replaced")
 
 
 def read_stream_index(spark: SparkSession, out_path: str) -> Index:
-    """The current index: the highest version of each document, statistics re-aggregated.
-
-    Only replaced rows are looked up (an anti join with a side that holds re-sent
-    documents alone), so postings of documents sent once are not shuffled for it.
-    """
-    raw = spark.read.parquet(f"{out_path}/raw").join(superseded(spark.read.parquet(f"{out_path}/docs").select("doc_id", "version", "batch_id")),
-                                                     ["doc_id", "batch_id"], "left_anti").drop("batch_id")
-    postings = raw.where(F.col("term") != LENGTH_MARKER)
-    doc_len = raw.where(F.col("term") == LENGTH_MARKER).select("field", "doc_id", "dl")
-    term_stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    field_stats = doc_len.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return Index(postings.select("field", "term", "doc_id", "dl", "tf"), doc_len, term_stats, field_stats)
+    """The current index: the newest version of each document, with the statistics that the stream keeps."""
+    raw, last = _current(spark, out_path, "raw")
+    stats = spark.read.parquet(f"{out_path}/stats/batch_id={last}")
+    is_length = F.col("term") == LENGTH_MARKER
+    field_stats = stats.where(is_length).select("field", F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avgdl"))
+    return Index(raw.where(~is_length).select("field", "term", "doc_id", "dl", "tf"), raw.where(is_length).select("field", "doc_id", "dl"),
+                 stats.where(~is_length).select("field", "term", "df"), field_stats)
 
 
 def score_topic_stream(topics_stream: DataFrame, index: Index, out_path: str, checkpoint: str, fields=("body",),
