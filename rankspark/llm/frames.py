@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -44,6 +45,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets by ``column``: later joins and groups on it need no shuffle.
+
+    The table's entry lives in the session's catalog; ``forget`` takes it out again.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"llm_{name}_{uuid.uuid4().hex}".replace("-", "_")
+    path = os.path.join(shared_dir(spark), table)
+    writer = df.repartition(n, column).write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(n, column).saveAsTable(table)
+    return spark.table(table)
+
+
+def forget(df: DataFrame) -> None:
+    """Take a ``bucketed`` table out of the session's catalog; ``df`` is not read any more."""
+    spark = df.sparkSession
+    for table in re.findall(r"llm_[a-z_]*_[0-9a-f]{32}", df._jdf.queryExecution().analyzed().toString()):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def without(df: DataFrame, names) -> DataFrame:
     """``df`` without columns that clash (in any case) with columns about to be added."""
     taken = {n.lower() for n in names}

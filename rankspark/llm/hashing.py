@@ -1,10 +1,12 @@
 """Vectorised splitting and hashing of Arrow text batches (used inside tasks).
 
-A token's hash is a polynomial over its bytes modulo 2^64, taken from prefix
+A short token's hash is a polynomial over its bytes modulo 2^64, taken from prefix
 sums: with ``S[i] = sum(v[b_k] * B^k, k < i)`` the hash of bytes ``[s, e)`` is
 ``(S[e] - S[s]) * B^-s``, which depends on the content alone. Windows of tokens
-are hashed the same way over the token hashes. Everything is a few numpy calls
-per piece of about half a megabyte, never a call per token.
+are hashed the same way over the token hashes. That is a few numpy calls
+per piece of about half a megabyte, never a call per token. Polynomials modulo 2^64 have
+collisions that hold for every base, between strings of many hundred
+bytes; so a token of more than ``LONG`` bytes is hashed on its own by XXH3 with the polynomial's seed.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 
 PIECE = 1 << 19
+#: Up to here a polynomial loses at most 20 of its 64 bits to the worst pair of strings.
+LONG = 32
 M64 = (1 << 64) - 1
 
 
@@ -44,6 +48,7 @@ class Poly:
     """Prefix-sum hashing of ranges with one random base; power tables grow as needed."""
 
     def __init__(self, seed):
+        self.seed = seed
         self.base = (int(mix64(np.array([seed + 77], dtype=np.uint64))[0]) & ~7 & M64) | 5
         self.inv_base = pow(self.base, -1, 1 << 64)
         self.n = 0
@@ -62,6 +67,20 @@ class Poly:
     def ranges(self, prefix, starts, ends):
         return mix64((prefix[ends] - prefix[starts]) * self.inv[starts])
 
+    def strings(self, data, values, starts, ends):
+        """Hashes of byte ranges of any length (``values``: a number per byte; equal ones are the same letter)."""
+        out = self.ranges(self.prefix(values[data]), starts, ends)
+        long = np.flatnonzero(ends - starts > LONG)
+        if len(long):
+            import xxhash
+
+            same = np.arange(256, dtype=np.uint8)
+            if values[65] == values[97]:
+                same[65:91] += 32
+            raw = same[data].tobytes()
+            out[long] = [xxhash.xxh3_64_intdigest(raw[a:b], self.seed) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        return out
+
     def windows(self, tokens, size):
         """Hash of every run of ``size`` tokens (one per start position)."""
         if len(tokens) < size:
@@ -134,7 +153,7 @@ def tokens(data, offsets, sep, polys, values, spans=False):
         end[before] |= word[1:-1][before]
         s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
         for out, poly, value in zip(hashes, polys, values):
-            out.append(poly.ranges(poly.prefix(value[part]), s, e))
+            out.append(poly.strings(part, value, s, e))
         starts.append(s + a)
         ends.append(e + a)
     s = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)

@@ -20,27 +20,28 @@ class at once, and only classes are joined:
 
 Pairs within a group are not listed: a first round compares every class with
 two leaders of each of its posting lists, and the components of the links found
-are taken. Only pairs of a posting list that lie in different components after
-that are listed, so nothing is missed and a group of near copies costs
-a few pairs per member.
+are taken. Further rounds compare it with two more leaders, drawn anew for every list, if they
+are of another component, until a round finds no link. Only pairs of a posting
+list that lie in different components after that are listed, so nothing is
+missed and a group of near copies costs a few pairs per member and round. The postings
+are dealt by shingle once and stored in buckets; no round shuffles them again.
 
 Defined cases: a text with fewer words than a shingle is one shingle; an empty or null
 text has an empty set and no links; rows with one id and different texts are
 different members; a null id counts for linking, and a component's id is its
-smallest non-null one; an empty table gives an empty result. Shingles are told apart by 64-bit hashes
-(40 bits within a verified pair).
+smallest non-null one; an empty table gives an empty result. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankspark.llm.bloom import contains, filter_bits, twice_filter
 from rankspark.llm.components import components
-from rankspark.llm.frames import Carried, small_batches, written
+from rankspark.llm.frames import Carried, bucketed, forget, small_batches, written
 from rankspark.llm.hashing import SPACE, Poly, byte_values, mix64, text_bytes, text_groups, tokens
 from rankspark.llm.lm_score import Counter
 
@@ -52,6 +53,8 @@ LOCAL_DOCS = 4
 MAX_COMMON = 1 << 19
 #: Ids up to this number (24 bytes each) are broadcast to fetch sets, more are joined by a shuffle.
 MAX_FETCH = 1 << 20
+#: At most so many rounds with leaders of components, before the remaining pairs are compared.
+LEADER_ROUNDS = 3
 
 
 def needed(n_sum, percent):
@@ -96,6 +99,11 @@ def cell_parity(shingles):
     return np.packbits((np.bincount(cells, minlength=CELLS) & 1).astype(np.uint8)).tobytes()
 
 
+def fold(cells):
+    """The parities of 64 cells: every 64th of ``CELLS`` together."""
+    return int(np.bitwise_xor.reduce(np.frombuffer(cells, dtype="<i8")))
+
+
 def common_shingles(texts: DataFrame, size: int):
     """Sorted hashes and levels (floor log2 of the documents seen) of the most frequent shingles."""
     def count(batches):
@@ -126,7 +134,7 @@ def common_shingles(texts: DataFrame, size: int):
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Per document ``__id, __text (hash), n, cls, prefix, cells``; written."""
+    """Per document ``__id, __text (hash), n, cls, prefix, cells, sig``; written."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(docs.select(text_col), size))
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.col(text_col).alias("__whole"))
@@ -153,15 +161,16 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                     pre[row] = s[np.argsort(level, kind="stable")[:take]].tobytes()
                 else:
                     pre[row] = s[:take].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(pre, pa.binary()), pa.array(cells, pa.binary())],
-                                             names=["__id", "__text", "n", "cls", "prefix", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(pre, pa.binary()), pa.array(cells, pa.binary()),
+                                              pa.array([None if c is None else fold(c) for c in cells], pa.int64())],
+                                             names=["__id", "__text", "n", "cls", "prefix", "cells", "sig"])
 
-    schema = T.StructType([rows.schema["__id"], rows.schema["__text"], T.StructField("n", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("cls", "prefix", "cells")]])
+    schema = T.StructType([rows.schema["__id"], rows.schema["__text"], T.StructField("n", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("cls", "prefix", "cells")], T.StructField("sig", T.LongType())])
     return written(rows.mapInArrow(run, schema), "jaccard-prefixes")
 
 
 def postings(rows: DataFrame, total: int) -> DataFrame:
-    """``(token, cls, n, pos)`` of prefix shingles that more than one class has."""
+    """``(token, cls, n, pos, sig)`` of prefix shingles that more than one class has."""
     bits = filter_bits(total)
 
     def keys_of(batch):
@@ -191,18 +200,20 @@ def postings(rows: DataFrame, total: int) -> DataFrame:
                     row.append(np.full(len(k), i))
             if tok:
                 r = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), _column(batch, "cls").take(r), _column(batch, "n").take(r), pa.array(np.concatenate(at).astype(np.int32))],
-                                                 names=["token", "cls", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), _column(batch, "cls").take(r), _column(batch, "n").take(r), pa.array(np.concatenate(at).astype(np.int32)), _column(batch, "sig").take(r)],
+                                                 names=["token", "cls", "n", "pos", "sig"])
 
-    found = rows.select("cls", "n", "prefix").mapInArrow(emit, "token long, cls binary, n long, pos int")
-    found = found.groupBy("token", "cls").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
-    return written(found, "jaccard-postings")
+    found = rows.select("cls", "n", "prefix", "sig").mapInArrow(emit, "token long, cls binary, n long, pos int, sig long")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.repartition(n, "token").groupBy("token", "cls").agg(F.max("n").alias("n"), F.min("pos").alias("pos"), F.max("sig").alias("sig"))
+    return bucketed(found, "jaccard-postings", "token")
 
 
-def passes(na, pa, nb, pb, percent):
-    """Length and positional filter of a match at positions ``pa``, ``pb`` of sets of ``na``, ``nb`` shingles."""
+def passes(na, pa, sa, nb, pb, sb, percent):
+    """Length, positional and 64-cell filter of a match at positions ``pa``, ``pb`` of sets of ``na``, ``nb`` shingles."""
     least = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
-    return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa, nb - pb) >= least))
+    return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa, nb - pb) >= least)
+            & (F.bit_count(sa.bitwiseXOR(sb)) <= na + nb - 2 * least))
 
 
 def pair(a, na, b, nb):
@@ -211,27 +222,39 @@ def pair(a, na, b, nb):
             F.when(a < b, b).otherwise(a).alias("b"), F.when(a < b, nb).otherwise(na).alias("nb")]
 
 
-def leader_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of every class with two leaders of each posting list (two orders by hash), two at most per posting."""
-    def first(salt):
-        return F.min(F.struct(F.xxhash64("cls", F.lit(salt)).alias("o"), "cls", "n", "pos"))
+def with_components(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with ``comp``, the class's component (itself, if it has no link yet)."""
+    if labels is None:
+        return posts.withColumn("comp", F.col("cls"))
+    return posts.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+
 
-    lead = posts.groupBy("token").agg(first(0).alias("l0"), first(1).alias("l1"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{y}") for y in ("cls", "n", "pos")]) for x in ("l0", "l1")]))).alias("l"))
-    lead = lead.select("token", F.col("l.cls").alias("lc"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp"))
-    j = posts.join(lead, "token").where((F.col("cls") != F.col("lc")) & passes(F.col("n"), F.col("pos"), F.col("ln"), F.col("lp"), percent))
+def leader_pairs(posts: DataFrame, labels: DataFrame | None, percent: int, salt: int) -> DataFrame:
+    """Candidate pairs of classes with two leaders of each posting list, in other components: two at most per posting.
+
+    The first round's leaders are the first classes in two orders by hash, the same in all lists, so that few
+    different pairs arise; later rounds draw others in every list.
+    """
+    p = with_components(posts, labels)
+    row = [F.col(c) for c in ("cls", "n", "pos", "sig", "comp")]
+    seeds = [("cls", F.lit(i)) if labels is None else ("cls", "token", F.lit(2 * salt + i)) for i in (0, 1)]
+    firsts = [F.min(F.struct(F.xxhash64(*x).alias("o"), *row)).alias(f"l{i}") for i, x in enumerate(seeds)]
+    lead = p.groupBy("token").agg(*firsts, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{y}") for y in ("cls", "n", "pos", "sig", "comp")]) for x in ("l0", "l1")]))).alias("l"))
+    lead = lead.select("token", F.col("l.cls").alias("lc"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp"), F.col("l.sig").alias("ls"), F.col("l.comp").alias("lcomp"))
+    j = p.join(lead, "token").where((F.col("comp") != F.col("lcomp")) & passes(*[F.col(c) for c in ("n", "pos", "sig", "ln", "lp", "ls")], percent))
     return j.select(*pair(F.col("cls"), F.col("n"), F.col("lc"), F.col("ln"))).distinct()
 
 
 def rest_pairs(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of posting lists whose classes lie in different components."""
-    p = posts.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    p = with_components(posts, labels)
     mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
     p = p.join(mixed, "token", "left_semi")
     index = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
-    x = p.where(F.col("pos") <= index).select("token", F.col("cls").alias("xc"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("comp").alias("xcomp"))
+    x = p.where(F.col("pos") <= index).select("token", F.col("cls").alias("xc"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("sig").alias("xs"), F.col("comp").alias("xcomp"))
     on = (F.col("xn") < F.col("n")) | ((F.col("xn") == F.col("n")) & (F.col("xc") < F.col("cls")))
-    j = p.join(x, "token").where(on & (F.col("comp") != F.col("xcomp")) & passes(F.col("xn"), F.col("xp"), F.col("n"), F.col("pos"), percent))
+    j = p.join(x, "token").where(on & (F.col("comp") != F.col("xcomp")) & passes(*[F.col(c) for c in ("xn", "xp", "xs", "n", "pos", "sig")], percent))
     return j.select(*pair(F.col("cls"), F.col("n"), F.col("xc"), F.col("xn"))).distinct()
 
 
@@ -256,7 +279,7 @@ def suffix_filter(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(cls, set)`` (5 bytes a shingle) of the rows named in ``wanted`` (``cls, __id, __text``)."""
+    """``(cls, set)`` (8 bytes a shingle) of the rows named in ``wanted`` (``cls, __id, __text``)."""
     wanted = written(wanted, "jaccard-wanted")
     keys = wanted.select("__id", "__text").distinct()
     if wanted.count() <= MAX_FETCH:
@@ -271,7 +294,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, s
         for batch in batches:
             out = []
             for _, s in cut.sets(batch.column(0)):
-                out.append((class_key(s), np.sort(s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
+                out.append((class_key(s), s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["cls", "set"])
 
     return rows.select("__whole").mapInArrow(run, "cls binary, set binary").dropDuplicates(["cls"])
@@ -282,18 +305,13 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     j = (pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
          .join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb"))
 
-    def unpack(raw):
-        x = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
-        x[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
-        return x.view(np.uint64)[:, 0]
-
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = unpack(x), unpack(y)
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = np.sort(np.concatenate([x, y]))
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
@@ -318,23 +336,30 @@ def linked(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, per
     classes = written(full.groupBy("cls").agg(F.min(F.struct("__id", "__text", "cells")).alias("r"), F.min("__id").alias("least"))
                       .select("cls", "least", "r.__id", "r.__text", "r.cells"), "jaccard-classes")
     tested = labels = None
-    for step in ("leaders", "rest"):
-        found = leader_pairs(posts, percent) if step == "leaders" else rest_pairs(posts, labels, percent)
+    rounds = 0
+    while True:
+        last = rounds > LEADER_ROUNDS
+        found = rest_pairs(posts, labels, percent) if last else leader_pairs(posts, labels, percent, rounds)
         if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
+            found = found.join(tested, ["a", "b"], "left_anti").select("a", "na", "b", "nb")
         found = written(found, "jaccard-pairs")
         tested = found.select("a", "b") if tested is None else tested.unionAll(found.select("a", "b"))
         likely = written(suffix_filter(found, classes.select("cls", "cells"), percent), "jaccard-likely")
-        if labels is not None and likely.isEmpty():
-            continue  # nothing to verify, so the components stay
-        members = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
-        sets = written(whole_sets(docs, classes.select("cls", "__id", "__text").join(members, "cls", "left_semi"), id_col, text_col, size), "jaccard-sets")
-        new = written(verify(likely, sets, percent), "jaccard-links")
-        if labels is not None and new.isEmpty():
-            continue
-        # links of earlier steps are already in the labels: only their components are joined up further
-        links = new if labels is None else new.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = written(components(links), "jaccard-labels")
+        rounds += 1
+        new = None
+        if labels is None or not likely.isEmpty():
+            members = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
+            sets = written(whole_sets(docs, classes.select("cls", "__id", "__text").join(members, "cls", "left_semi"), id_col, text_col, size), "jaccard-sets")
+            new = written(verify(likely, sets, percent), "jaccard-links")
+        if labels is None or (new is not None and not new.isEmpty()):
+            # links of earlier rounds are already in the labels: only their components are joined up further
+            links = new if labels is None else new.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            labels = written(components(links), "jaccard-labels")
+        elif not last:
+            rounds = LEADER_ROUNDS + 1  # leaders find nothing more: what is left is compared in full
+        if last:
+            break
+    forget(posts)
     owned = classes.select("cls", "least").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = owned.groupBy("component").agg(F.min("least").alias("component_id"))
     owned = owned.join(least, "component").select("cls", "component", "component_id")
@@ -353,8 +378,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     first = written(first.select("__component", "f.__id", "f.__text", "f.__rows"), "jaccard-first")
     has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     one = docs.where(has_words).join(first, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__text")))
-    if not first.where("__rows > 1").isEmpty():  # rows equal in id and text: one of them
-        one = one.withColumn("__n", F.row_number().over(Window.partitionBy("__component").orderBy(F.lit(1)))).where("__n = 1")
+    if not first.where("__rows > 1").isEmpty():  # rows equal in id and text: the first one by its other columns, picked in each task first
+        others = F.to_json(F.struct(*[c for c in docs.columns if c != text_col]))
+        one = one.groupBy("__component").agg(F.min_by(F.struct(*docs.columns), others).alias("__r")).select("__r.*")
     return carried.restore(one.select(*docs.columns).unionAll(docs.where(~has_words)))
 
 

@@ -55,7 +55,7 @@ class Lines:
             e = np.where(full, ink[np.maximum(last - 1, 0)] + 1, 0) if len(ink) else np.zeros_like(ends)
             chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
             enough = chars[e] - chars[s] >= self.min_chars
-            keys = [p.ranges(p.prefix(v[part]), s, e) for p, v in zip(self.polys, self.values)]
+            keys = [p.strings(part, v, s, e) for p, v in zip(self.polys, self.values)]
             yield a, starts + offs[a], ends + offs[a], counts, enough, keys
 
 

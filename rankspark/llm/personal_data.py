@@ -142,7 +142,7 @@ class Tokens:
         self.glued[1:-1] = (self.s[1:] == self.e[:-1]) & (self.line[1:] == self.line[:-1])
         self.word = np.zeros(len(self.s), dtype=np.uint64)
         short = np.flatnonzero((self.cls == LETTER) & (self.e - self.s <= 12))
-        self.word[short] = poly.ranges(poly.prefix(value[data]), self.s[short], self.e[short])
+        self.word[short] = poly.strings(data, value, self.s[short], self.e[short])
         self.anchor = (self.cls == DIGIT) | (head == 64)
         low = np.where((data >= 65) & (data <= 90), data + 32, data)
         for text, bracketed in ((b"dot", False), (b"at", True)):

@@ -211,9 +211,14 @@ def test_jaccard_keeps_one_of_each_group(spark):
     rows = [r for r in near_rows(3) if r[0] is not None]
     kept = jaccard_join.keep_one(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
-    groups = {(d, n, c) for d, n, c in brute_components(rows)}
-    assert sorted({r["doc_id"] for r in kept.collect()}) == sorted({c for _, _, c in groups})
-    assert kept.count() == len({c for _, _, c in groups})
+    assert sorted({r["doc_id"] for r in kept.collect()}) == sorted({c for _, _, c in brute_components(rows)})
+    # two components may have one smallest id (texts of one id): groups are counted as components, rows without words on their own
+    grouped = jaccard_join.linked(frame(spark, rows), "doc_id", "text")
+    wordless = sum(not (t or "").strip() for _, t in rows)
+    assert kept.count() == grouped.where(F.col("__component").isNotNull()).select("__component").distinct().count() + wordless
+    same = [(9, "one and the same row of text here", lang) for lang in ("b", "a", None, "a")]
+    assert [r["lang"] for r in jaccard_join.keep_one(frame(spark, same)).collect()] in (["a"], [None]) and len({
+        jaccard_join.keep_one(frame(spark, same).repartition(i)).first()["lang"] for i in (1, 2, 3)}) == 1
     assert jaccard_join.link_documents(frame(spark, [])).count() == 0 and jaccard_join.keep_one(frame(spark, [])).count() == 0
 
 
@@ -225,6 +230,26 @@ def test_jaccard_keeps_unrelated_rows_without_id_or_of_one_id(spark):
     assert kept == sorted([rows[i] for i in (0, 3, 4, 6, 7, 8, 9, 10)], key=repr)
 
 
+def thue_morse(n, a, b):
+    """Two strings of n letters that collide under every polynomial modulo 2^64 from n = 1024 on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_strings_that_collide_under_polynomials_are_told_apart(spark):
+    from rankspark.llm import line_dedup, substring_dedup
+
+    x, y = thue_morse(2048, "a", "b")
+    kept = line_dedup.dedup_lines(frame(spark, [(1, x), (2, y), (3, x.upper())])).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {1: x, 2: y, 3: ""}
+    rest = " ".join(f"w{i}" for i in range(40))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_documents(frame(spark, [(1, x), (2, y), (3, f"{x} {rest}"), (4, f"{x.upper()} {rest}")])).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+    tail = " ".join(f"v{i}" for i in range(34))
+    out = substring_dedup.dedup_passages(frame(spark, [(1, f"{x} {tail}"), (2, f"{y} {tail} end"), (3, f"{x} {tail} other")])).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {1: 35, 2: 0, 3: 35}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     rng = random.Random(8)
     names = list(range(300))
