@@ -53,8 +53,10 @@ LOCAL_DOCS = 4
 MAX_COMMON = 1 << 19
 #: Ids up to this number (24 bytes each) are broadcast to fetch sets, more are joined by a shuffle.
 MAX_FETCH = 1 << 20
-#: At most so many rounds with leaders of components, before the remaining pairs are compared.
-LEADER_ROUNDS = 3
+#: At most so many rounds with fresh leaders, before the remaining pairs are compared.
+LEADER_ROUNDS = 1
+#: Up to so many classes with a link (32 bytes each) their components are broadcast, more are joined by a shuffle.
+MAX_LABELS = 1 << 20
 
 
 def needed(n_sum, percent):
@@ -99,9 +101,12 @@ def cell_parity(shingles):
     return np.packbits((np.bincount(cells, minlength=CELLS) & 1).astype(np.uint8)).tobytes()
 
 
+SIG = ("s0", "s1", "s2", "s3")
+
+
 def fold(cells):
-    """The parities of 64 cells: every 64th of ``CELLS`` together."""
-    return int(np.bitwise_xor.reduce(np.frombuffer(cells, dtype="<i8")))
+    """The parities of 256 cells (every 256th of ``CELLS`` together) as four numbers."""
+    return np.bitwise_xor.reduce(np.frombuffer(cells, dtype="<i8").reshape(-1, len(SIG)), axis=0)
 
 
 def common_shingles(texts: DataFrame, size: int):
@@ -134,7 +139,7 @@ def common_shingles(texts: DataFrame, size: int):
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Per document ``__id, __text (hash), n, cls, prefix, cells, sig``; written."""
+    """Per document ``__id, __text (hash), n, cls, prefix, cells, s0..s3``; written."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(docs.select(text_col), size))
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.col(text_col).alias("__whole"))
@@ -161,16 +166,17 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                     pre[row] = s[np.argsort(level, kind="stable")[:take]].tobytes()
                 else:
                     pre[row] = s[:take].tobytes()
+            sig = np.array([[0] * len(SIG) if c is None else fold(c) for c in cells], dtype=np.int64).reshape(-1, len(SIG))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(pre, pa.binary()), pa.array(cells, pa.binary()),
-                                              pa.array([None if c is None else fold(c) for c in cells], pa.int64())],
-                                             names=["__id", "__text", "n", "cls", "prefix", "cells", "sig"])
+                                              *[pa.array(sig[:, i]) for i in range(len(SIG))]],
+                                             names=["__id", "__text", "n", "cls", "prefix", "cells", *SIG])
 
-    schema = T.StructType([rows.schema["__id"], rows.schema["__text"], T.StructField("n", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("cls", "prefix", "cells")], T.StructField("sig", T.LongType())])
+    schema = T.StructType([rows.schema["__id"], rows.schema["__text"], T.StructField("n", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("cls", "prefix", "cells")], *[T.StructField(c, T.LongType()) for c in SIG]])
     return written(rows.mapInArrow(run, schema), "jaccard-prefixes")
 
 
 def postings(rows: DataFrame, total: int) -> DataFrame:
-    """``(token, cls, n, pos, sig)`` of prefix shingles that more than one class has."""
+    """``(token, cls, n, pos, s0..s3)`` of prefix shingles that more than one class has."""
     bits = filter_bits(total)
 
     def keys_of(batch):
@@ -200,20 +206,22 @@ def postings(rows: DataFrame, total: int) -> DataFrame:
                     row.append(np.full(len(k), i))
             if tok:
                 r = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), _column(batch, "cls").take(r), _column(batch, "n").take(r), pa.array(np.concatenate(at).astype(np.int32)), _column(batch, "sig").take(r)],
-                                                 names=["token", "cls", "n", "pos", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), _column(batch, "cls").take(r), _column(batch, "n").take(r), pa.array(np.concatenate(at).astype(np.int32)), *[_column(batch, c).take(r) for c in SIG]],
+                                                 names=["token", "cls", "n", "pos", *SIG])
 
-    found = rows.select("cls", "n", "prefix", "sig").mapInArrow(emit, "token long, cls binary, n long, pos int, sig long")
+    found = rows.select("cls", "n", "prefix", *SIG).mapInArrow(emit, "token long, cls binary, n long, pos int, s0 long, s1 long, s2 long, s3 long")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = found.repartition(n, "token").groupBy("token", "cls").agg(F.max("n").alias("n"), F.min("pos").alias("pos"), F.max("sig").alias("sig"))
+    found = found.repartition(n, "token").groupBy("token", "cls").agg(F.max("n").alias("n"), F.min("pos").alias("pos"), *[F.max(c).alias(c) for c in SIG])
     return bucketed(found, "jaccard-postings", "token")
 
 
-def passes(na, pa, sa, nb, pb, sb, percent):
-    """Length, positional and 64-cell filter of a match at positions ``pa``, ``pb`` of sets of ``na``, ``nb`` shingles."""
+def passes(percent, other="l"):
+    """Length, positional and 256-cell filter of two classes that meet at ``pos`` of ``n`` shingles; the other's columns begin with ``other``."""
+    na, nb = F.col("n"), F.col(f"{other}n")
     least = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
-    return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa, nb - pb) >= least)
-            & (F.bit_count(sa.bitwiseXOR(sb)) <= na + nb - 2 * least))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}{c}"))) for c in SIG), F.lit(0))
+    return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - F.col("pos"), nb - F.col(f"{other}pos")) >= least)
+            & (apart <= na + nb - 2 * least))
 
 
 def pair(a, na, b, nb):
@@ -226,7 +234,10 @@ def with_components(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Postings with ``comp``, the class's component (itself, if it has no link yet)."""
     if labels is None:
         return posts.withColumn("comp", F.col("cls"))
-    return posts.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    labels = labels.withColumnRenamed("node", "cls")
+    if labels.count() <= MAX_LABELS:
+        labels = F.broadcast(labels)  # the postings stay in their buckets
+    return posts.join(labels, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
 
 
 def leader_pairs(posts: DataFrame, labels: DataFrame | None, percent: int, salt: int) -> DataFrame:
@@ -236,14 +247,14 @@ def leader_pairs(posts: DataFrame, labels: DataFrame | None, percent: int, salt:
     different pairs arise; later rounds draw others in every list.
     """
     p = with_components(posts, labels)
-    row = [F.col(c) for c in ("cls", "n", "pos", "sig", "comp")]
+    carried = ("cls", "n", "pos", *SIG, "comp")
     seeds = [("cls", F.lit(i)) if labels is None else ("cls", "token", F.lit(2 * salt + i)) for i in (0, 1)]
-    firsts = [F.min(F.struct(F.xxhash64(*x).alias("o"), *row)).alias(f"l{i}") for i, x in enumerate(seeds)]
+    firsts = [F.min(F.struct(F.xxhash64(*x).alias("o"), *carried)).alias(f"l{i}") for i, x in enumerate(seeds)]
     lead = p.groupBy("token").agg(*firsts, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{y}") for y in ("cls", "n", "pos", "sig", "comp")]) for x in ("l0", "l1")]))).alias("l"))
-    lead = lead.select("token", F.col("l.cls").alias("lc"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp"), F.col("l.sig").alias("ls"), F.col("l.comp").alias("lcomp"))
-    j = p.join(lead, "token").where((F.col("comp") != F.col("lcomp")) & passes(*[F.col(c) for c in ("n", "pos", "sig", "ln", "lp", "ls")], percent))
-    return j.select(*pair(F.col("cls"), F.col("n"), F.col("lc"), F.col("ln"))).distinct()
+    lead = lead.select("token", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{y}") for y in carried]) for x in ("l0", "l1")]))).alias("l"))
+    lead = lead.select("token", *[F.col(f"l.{c}").alias(f"l{c}") for c in carried])
+    j = p.join(lead, "token").where((F.col("comp") != F.col("lcomp")) & passes(percent))
+    return j.select(*pair(F.col("cls"), F.col("n"), F.col("lcls"), F.col("ln"))).distinct()
 
 
 def rest_pairs(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -252,14 +263,25 @@ def rest_pairs(posts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
     p = p.join(mixed, "token", "left_semi")
     index = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))
-    x = p.where(F.col("pos") <= index).select("token", F.col("cls").alias("xc"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("sig").alias("xs"), F.col("comp").alias("xcomp"))
-    on = (F.col("xn") < F.col("n")) | ((F.col("xn") == F.col("n")) & (F.col("xc") < F.col("cls")))
-    j = p.join(x, "token").where(on & (F.col("comp") != F.col("xcomp")) & passes(*[F.col(c) for c in ("xn", "xp", "xs", "n", "pos", "sig")], percent))
-    return j.select(*pair(F.col("cls"), F.col("n"), F.col("xc"), F.col("xn"))).distinct()
+    x = p.where(F.col("pos") <= index).select("token", *[F.col(c).alias(f"l{c}") for c in ("cls", "n", "pos", *SIG, "comp")])
+    on = (F.col("ln") < F.col("n")) | ((F.col("ln") == F.col("n")) & (F.col("lcls") < F.col("cls")))
+    j = p.join(x, "token").where(on & (F.col("comp") != F.col("lcomp")) & passes(percent))
+    return j.select(*pair(F.col("cls"), F.col("n"), F.col("lcls"), F.col("ln"))).distinct()
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A written table of keys: broadcast up to ``MAX_FETCH`` rows, so that the large side need not move."""
+    return F.broadcast(df) if df.count() <= MAX_FETCH else df
+
+
+def members(pairs: DataFrame) -> DataFrame:
+    """``(cls)`` of all classes in some pairs."""
+    return written(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), "jaccard-members")
 
 
-def suffix_filter(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose cells leave a large enough intersection possible."""
+    cells = classes.select("cls", "cells").join(bounded(members(pairs)), "cls", "left_semi")
     j = (pairs.join(cells.select(F.col("cls").alias("a"), F.col("cells").alias("ca")), "a")
          .join(cells.select(F.col("cls").alias("b"), F.col("cells").alias("cb")), "b").select("a", "na", "b", "nb", "ca", "cb"))
 
@@ -282,7 +304,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, s
     """``(cls, set)`` (8 bytes a shingle) of the rows named in ``wanted`` (``cls, __id, __text``)."""
     wanted = written(wanted, "jaccard-wanted")
     keys = wanted.select("__id", "__text").distinct()
-    if wanted.count() <= MAX_FETCH:
+    if wanted.count() <= MAX_FETCH:  # distinct rows are no more
         keys = F.broadcast(keys)
     rows = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__whole"))
     rows = rows.join(keys, rows["__i"].eqNullSafe(keys["__id"]) & (F.xxhash64(rows["__whole"]) == keys["__text"]), "left_semi")
@@ -302,7 +324,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, s
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, ``(a, b)``."""
-    j = (pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
+    j = (bounded(pairs).join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
          .join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb"))
 
     def run(batches):
@@ -344,12 +366,12 @@ def linked(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, per
             found = found.join(tested, ["a", "b"], "left_anti").select("a", "na", "b", "nb")
         found = written(found, "jaccard-pairs")
         tested = found.select("a", "b") if tested is None else tested.unionAll(found.select("a", "b"))
-        likely = written(suffix_filter(found, classes.select("cls", "cells"), percent), "jaccard-likely")
+        likely = written(suffix_filter(found, classes, percent), "jaccard-likely")
         rounds += 1
         new = None
         if labels is None or not likely.isEmpty():
-            members = likely.select(F.col("a").alias("cls")).union(likely.select(F.col("b").alias("cls"))).distinct()
-            sets = written(whole_sets(docs, classes.select("cls", "__id", "__text").join(members, "cls", "left_semi"), id_col, text_col, size), "jaccard-sets")
+            wanted = classes.select("cls", "__id", "__text").join(bounded(members(likely)), "cls", "left_semi")
+            sets = written(whole_sets(docs, wanted, id_col, text_col, size), "jaccard-sets")
             new = written(verify(likely, sets, percent), "jaccard-links")
         if labels is None or (new is not None and not new.isEmpty()):
             # links of earlier rounds are already in the labels: only their components are joined up further
