@@ -4,7 +4,7 @@ A line's key is the line without ASCII white space at its ends and with A-Z
 lower-cased. Keys of ``min_chars`` code points or more that are found in two or
 more documents lose all their lines except in the smallest ``doc_id`` that holds
 them. First pass: the once-seen and twice-seen filters (``bloom``). Second pass:
-only keys in the twice filter leave the task, as two independent 64-bit hashes
+only keys in the twice filter leave the task, as the two halves of their 128-bit XXH3 hash
 and the ``doc_id``. Their smallest and largest ``doc_id`` (aggregated on the map
 side) confirm a repeat and name its keeper; a hot key's rows are split by
 Spark's skew join. Lines to drop go back to their documents by ``doc_id``.
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from rankspark.llm.bloom import contains, filter_bits, twice_filter
 from rankspark.llm.frames import Carried, map_rows, small_batches
-from rankspark.llm.hashing import SPACE, Poly, byte_values, text_bytes, text_groups
+from rankspark.llm.hashing import SPACE, text_bytes, text_groups
 
 MIN_CHARS = 10
 #: Sizes the filter; a wrong guess costs rows in the exact step, not results.
@@ -36,10 +36,13 @@ class Lines:
     """Splits a batch's texts into lines and hashes their keys."""
 
     def __init__(self, min_chars):
-        self.min_chars, self.polys, self.values = min_chars, (Poly(1), Poly(2)), (byte_values(1, True), byte_values(2, True))
+        self.min_chars, self.fold = min_chars, np.arange(256, dtype=np.uint8)
+        self.fold[65:91] += 32
 
     def groups(self, column):
         """Per group of rows: (first row, line starts, line ends, lines per text, long enough, key hashes)."""
+        import xxhash
+
         data, offs = text_bytes(column)
         for a, b in text_groups(offs, 1 << 20):
             part, o = data[offs[a]:offs[b]], offs[a:b + 1] - offs[a]
@@ -55,7 +58,10 @@ class Lines:
             e = np.where(full, ink[np.maximum(last - 1, 0)] + 1, 0) if len(ink) else np.zeros_like(ends)
             chars = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
             enough = chars[e] - chars[s] >= self.min_chars
-            keys = [p.strings(part, v, s, e) for p, v in zip(self.polys, self.values)]
+            keys, raw, at = np.zeros((len(s), 2), dtype=np.uint64), self.fold[part].tobytes(), np.flatnonzero(enough)
+            digests = b"".join([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(s[at].tolist(), e[at].tolist())])
+            keys[at] = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
+            keys = np.ascontiguousarray(keys.T)
             yield a, starts + offs[a], ends + offs[a], counts, enough, keys
 
 
