@@ -13,10 +13,11 @@ class at once, and only classes are joined:
    ``n - ceil(2t/(1+t) n) + 1``. A twice-seen Bloom filter over prefix shingles drops those of one
    document only; the rest are the postings, joined on the shingle.
 3. Filters. Length (``n_x >= t n_y``), position (shingles left after the match
-   must still suffice) and suffix: the shingles are dealt into ``CELLS`` cells by
-   hash, and the number of cells whose counts differ in parity is a lower bound for
-   the symmetric difference.
-4. Verification. A pair that passes is verified once on its whole sets.
+   must still suffice) and suffix: the shingles are dealt into cells by hash (as
+   many as shingles, ``CELLS`` at least, a power of two), and the number of cells whose counts
+   differ in parity is a lower bound for the symmetric difference.
+4. Verification. A pair that passes is verified once on its whole sets: the set of the class
+   with fewer pairs travels to the one with more, which is copied once for every ``SPLIT`` pairs.
 
 Pairs within a group are not listed: a first round compares every class with
 two leaders of each of its posting lists, and the components of the links found
@@ -47,7 +48,10 @@ from rankspark.llm.lm_score import Counter
 
 SHINGLE = 5
 PERCENT = 80
+#: Fewest cells of the suffix filter; longer sets have as many as shingles, up to the next power of two.
 CELLS = 2048
+#: Pairs of one class that a task verifies together; a class with more has its set copied to several.
+SPLIT = 256
 #: A task reports shingles that it sees in so many documents; the most frequent MAX_COMMON are broadcast.
 LOCAL_DOCS = 4
 MAX_COMMON = 1 << 19
@@ -97,15 +101,23 @@ def class_key(shingles):
 
 
 def cell_parity(shingles):
-    cells = (mix64(shingles ^ np.uint64(0xA5A5)) >> np.uint64(53)).astype(np.int64)
-    return np.packbits((np.bincount(cells, minlength=CELLS) & 1).astype(np.uint8)).tobytes()
+    n = max(CELLS, 1 << (len(shingles) - 1).bit_length())
+    cells = (mix64(shingles ^ np.uint64(0xA5A5)) & np.uint64(n - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=n) & 1).astype(np.uint8)).tobytes()
+
+
+def cells_apart(x: bytes, y: bytes) -> int:
+    """Cells that differ in parity; the one with more cells is folded to the other's number."""
+    x, y = sorted((x, y), key=len)
+    x, y = (np.frombuffer(c, dtype="<u8") for c in (x, y))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
 SIG = ("s0", "s1", "s2", "s3")
 
 
 def fold(cells):
-    """The parities of 256 cells (every 256th of ``CELLS`` together) as four numbers."""
+    """The parities of 256 cells (every 256th together) as four numbers."""
     return np.bitwise_xor.reduce(np.frombuffer(cells, dtype="<i8").reshape(-1, len(SIG)), axis=0)
 
 
@@ -291,8 +303,14 @@ def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, CELLS // 8) for i in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1)
+            x, y = (batch.column(i).to_pylist() for i in (4, 5))
+            apart = np.zeros(len(x), dtype=np.int64)
+            short = np.array([len(p) == len(q) == CELLS // 8 for p, q in zip(x, y)])
+            if short.any():
+                p, q = (np.frombuffer(b"".join(z[i] for i in np.flatnonzero(short)), dtype="<u8").reshape(-1, CELLS // 64) for z in (x, y))
+                apart[short] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+            for i in np.flatnonzero(~short).tolist():
+                apart[i] = cells_apart(x[i], y[i])
             both = batch.column(1).to_numpy() + batch.column(3).to_numpy()
             keep = apart <= both - 2 * needed(both, percent)
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
@@ -301,10 +319,10 @@ def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(cls, set)`` (8 bytes a shingle) of the rows named in ``wanted`` (``cls, __id, __text``)."""
+    """``(cls, set)`` (8 bytes a shingle) of the rows named in ``wanted`` (``cls, __id, __text``), one row a class; written."""
     wanted = written(wanted, "jaccard-wanted")
-    keys = wanted.select("__id", "__text").distinct()
-    if wanted.count() <= MAX_FETCH:  # distinct rows are no more
+    keys, classes = wanted.select("__id", "__text").distinct(), wanted.count()
+    if classes <= MAX_FETCH:  # distinct rows are no more
         keys = F.broadcast(keys)
     rows = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__whole"))
     rows = rows.join(keys, rows["__i"].eqNullSafe(keys["__id"]) & (F.xxhash64(rows["__whole"]) == keys["__text"]), "left_semi")
@@ -312,20 +330,36 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, s
     def run(batches):
         import pyarrow as pa
 
-        cut = Shingles(size)
+        cut, seen = Shingles(size), set()
         for batch in batches:
             out = []
             for _, s in cut.sets(batch.column(0)):
-                out.append((class_key(s), s.tobytes()))
+                key = class_key(s)
+                if key not in seen:
+                    seen.add(key)
+                    out.append((key, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["cls", "set"])
 
-    return rows.select("__whole").mapInArrow(run, "cls binary, set binary").dropDuplicates(["cls"])
+    sets = written(rows.select("__whole").mapInArrow(run, "cls binary, set binary"), "jaccard-sets")
+    if sets.count() != classes:  # rows equal in id and text, met by several tasks
+        sets = written(sets.dropDuplicates(["cls"]), "jaccard-sets")
+    return sets
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that link, ``(a, b)``."""
-    j = (bounded(pairs).join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
-         .join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb"))
+    often = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("d"))
+    often = bounded(written(often, "jaccard-often"))
+    p = (pairs.select("a", "b").join(often.select(F.col("cls").alias("a"), F.col("d").alias("da")), "a")
+         .join(often.select(F.col("cls").alias("b"), F.col("d").alias("db")), "b"))
+    first = F.col("da") >= F.col("db")
+    p = p.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"),
+                 F.ceil(F.greatest("da", "db") / SPLIT).alias("parts"))
+    p = written(p.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))), "jaccard-split")
+    travel = bounded(p.select("a", "b", "part")).join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
+    stay = (sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")).join(bounded(written(p.select("a", "parts").distinct(), "jaccard-stay")), "a")
+            .select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
+    j = travel.join(stay.hint("merge"), ["a", "part"]).select("a", "b", "sa", "sb")
 
     def run(batches):
         import pyarrow as pa
@@ -371,7 +405,7 @@ def linked(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, per
         new = None
         if labels is None or not likely.isEmpty():
             wanted = classes.select("cls", "__id", "__text").join(bounded(members(likely)), "cls", "left_semi")
-            sets = written(whole_sets(docs, wanted, id_col, text_col, size), "jaccard-sets")
+            sets = whole_sets(docs, wanted, id_col, text_col, size)
             new = written(verify(likely, sets, percent), "jaccard-links")
         if labels is None or (new is not None and not new.isEmpty()):
             # links of earlier rounds are already in the labels: only their components are joined up further

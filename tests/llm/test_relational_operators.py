@@ -207,6 +207,32 @@ def test_jaccard_components_brute_force(spark, monkeypatch, seed):
     assert sorted(map(tuple, out.collect()), key=repr) == brute_components(rows)
 
 
+@pytest.mark.parametrize("split", [1, 3])
+def test_jaccard_of_long_sets_in_cells_of_several_numbers(spark, monkeypatch, split):
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
+    rng = random.Random(split)
+    base = [f"x{rng.randrange(10**9)}" for _ in range(4300)]
+    rows = []
+    for i in range(24):  # around 4096 shingles, where the number of cells doubles; cut, or with words changed, at and off the limit
+        text = base[:rng.choice([3440, 3600, 4095, 4100, 4300])]
+        for at in rng.sample(range(len(text)), rng.choice([0, 5, 80, 95, 400])):
+            text = text[:at] + [f"y{rng.random()}"] + text[at + 1:]
+        rows.append((i, " ".join(text)))
+    rows += [(40, rows[3][1]), (3, rows[3][1])]
+    out = jaccard_join.link_documents(frame(spark, rows)).drop("__text")
+    assert sorted(map(tuple, out.collect()), key=repr) == brute_components(rows)
+
+
+def test_cell_parity_never_overstates_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m in [(1, 1), (900, 1000), (2040, 2060), (4000, 4200), (9000, 7500), (70_000, 60_000)]:
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = np.concatenate([x[:min(n, m) * 9 // 10], rng.integers(0, 1 << 63, m - min(n, m) * 9 // 10, dtype=np.uint64)])
+        apart = jaccard_join.cells_apart(jaccard_join.cell_parity(x), jaccard_join.cell_parity(y))
+        assert apart <= len(np.setxor1d(x, y)) and (n < 100 or apart > 0.25 * len(np.setxor1d(x, y)))
+        assert (jaccard_join.fold(jaccard_join.cell_parity(x)) == jaccard_join.fold(jaccard_join.cell_parity(np.flip(x)))).all()
+
+
 def test_jaccard_keeps_one_of_each_group(spark):
     rows = [r for r in near_rows(3) if r[0] is not None]
     kept = jaccard_join.keep_one(frame(spark, rows))
