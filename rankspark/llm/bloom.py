@@ -64,7 +64,14 @@ class Pair:
         for k in range(self.bits // SLICE_BITS):
             once = self.once[k * size:(k + 1) * size]
             if once.any():
-                yield k, zlib.compress(once.tobytes(), 1), zlib.compress(self.twice[k * size:(k + 1) * size].tobytes(), 1)
+                yield k, packed(once), packed(self.twice[k * size:(k + 1) * size])
+
+
+def packed(bits) -> bytes:
+    """Deflated bits; scattered ones compress best by Huffman codes alone, the sparsest and runs by matches."""
+    data = bits.tobytes()
+    plain = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)
+    return min(zlib.compress(data, 1), plain.compress(data) + plain.flush(), key=len)
 
 
 def set_bits(filter_, pos):
@@ -120,7 +127,7 @@ def twice_filter(df: DataFrame, keys_of, bits: int):
 
         once, twice = merge(zip(group["once"], group["twice"]))
         return pd.DataFrame({"task": [int(group["task"].iloc[0]) // FAN_IN], "slice": [int(group["slice"].iloc[0])],
-                             "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
+                             "once": [packed(once)], "twice": [packed(twice)]})
 
     schema = "task long, slice long, once binary, twice binary"
     tasks = max(1, df.rdd.getNumPartitions())
@@ -136,7 +143,7 @@ def twice_filter(df: DataFrame, keys_of, bits: int):
     for row in parts.select("slice", "once", "twice").collect():  # at most twice MAX_BITS / 8 bytes, and as a rule one row a slice
         part = row["once"], row["twice"]
         if row["slice"] in whole:  # an adaptive plan may have dealt the tasks otherwise
-            part = tuple(zlib.compress(x.tobytes(), 1) for x in merge([whole[row["slice"]], part]))
+            part = tuple(packed(x) for x in merge([whole[row["slice"]], part]))
         whole[row["slice"]] = part
     for k, (_, twice) in whole.items():
         out[k * size:(k + 1) * size] = np.frombuffer(zlib.decompress(twice), dtype=np.uint8)

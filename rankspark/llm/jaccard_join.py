@@ -10,8 +10,8 @@ class at once, and only classes are joined:
    common passages out of the prefixes.
 2. Prefixes. Two linked sets share a shingle among their first
    ``n - ceil(t n) + 1``, and the shorter one has it among its first
-   ``n - ceil(2t/(1+t) n) + 1``. A twice-seen Bloom filter over prefix shingles drops those of one
-   document only; the rest are the postings, joined on the shingle.
+   ``n - ceil(2t/(1+t) n) + 1``. Two twice-seen Bloom filters over prefix shingles, the second over what passes the
+   first, drop those of one document only; the rest are the postings, joined on the shingle.
 3. Filters. Length (``n_x >= t n_y``), position (shingles left after the match
    must still suffice) and suffix: the shingles are dealt into cells by hash (as
    many as shingles, ``CELLS`` at least, a power of two), and the number of cells whose counts
@@ -198,12 +198,18 @@ def postings(rows: DataFrame, total: int) -> DataFrame:
                 seen.add(cls)
                 yield np.frombuffer(pre, dtype=np.uint64)
 
-    twice = twice_filter(rows.select("cls", "prefix"), keys_of, bits)
+    first = twice_filter(rows.select("cls", "prefix"), keys_of, bits)
+
+    def passing(s):
+        return s[contains(np.frombuffer(first.value, dtype=np.uint8), s, bits)]
+
+    # a second filter, at other places and of the keys that pass the first only: few keys of one class pass both
+    second = twice_filter(rows.select("cls", "prefix"), lambda batch: (mix64(passing(s)) for s in keys_of(batch)), bits)
 
     def emit(batches):
         import pyarrow as pa
 
-        seen = np.frombuffer(twice.value, dtype=np.uint8)
+        seen, again = (np.frombuffer(x.value, dtype=np.uint8) for x in (first, second))
         for batch in batches:
             tok, at, row, done = [], [], [], set()
             for i, (cls, pre) in enumerate(zip(_column(batch, "cls").to_pylist(), _column(batch, "prefix").to_pylist())):
@@ -212,6 +218,7 @@ def postings(rows: DataFrame, total: int) -> DataFrame:
                 done.add(cls)
                 s = np.frombuffer(pre, dtype=np.uint64)
                 k = np.flatnonzero(contains(seen, s, bits))
+                k = k[contains(again, mix64(s[k]), bits)]
                 if len(k):
                     tok.append(s[k])
                     at.append(k)
