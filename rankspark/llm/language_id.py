@@ -6,17 +6,19 @@ boundary may stand at either end). Each is hashed to one of ``BUCKETS``
 embedding rows; the text's vector is their mean, and a linear softmax over it
 gives the languages. Embeddings and softmax are trained together by mini-batch
 stochastic gradient descent in numpy on a bounded sample (``SAMPLE_ROWS``
-labelled documents, dealt evenly over the labels by hash order); executors
+labelled documents, dealt evenly over all labels by hash order, one a label at least;
+rows equal in id, label and text count once); executors
 reduce each sampled text to bucket counts first. A part of the sample is kept
 apart to calibrate: a temperature, then the rejection threshold, which at most
-a share ``ALPHA`` of its rightly labelled texts falls short of.
+a share ``ALPHA`` of its rightly labelled texts falls short of (0 where they are too few to tell).
 
 Prediction covers whole texts. As embeddings and softmax are linear, a worker
 needs one ``BUCKETS x languages`` table.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and
-rejected; with nothing to learn from every text is ``und``; rows whose id is
-null are never learned from and not held out; ``lang_pred, score, rejected``
+rejected; with nothing to learn from every text is ``und`` and only those without letters
+are rejected; an empty table gives an empty result, repeated rows equal ones; rows whose id is
+null are never learned from and not held out; more labels than ``SAMPLE_ROWS`` are an error; ``lang_pred, score, rejected``
 replace input columns of these names.
 """
 
@@ -33,7 +35,7 @@ from rankspark.llm.hashing import mix64, text_bytes, text_groups
 BUCKETS = 1 << 15
 DIM = 16
 MAX_GRAM = 4
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 6000
 EPOCHS = 6
 MIN_STEPS = 300
 BATCH = 64
@@ -111,21 +113,23 @@ class Subwords:
 
 def sample_counts(docs: DataFrame, id_col, text_col, label_col, learn: Column, rows: int) -> list:
     """Bucket counts of at most ``rows`` labelled texts: ``[(label, buckets, shares)]``."""
-    usable = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("__id"), F.col(label_col).alias("__label"))
-    labels = {r[0]: r[1] for r in usable.groupBy("__label").count().orderBy(F.desc("count"), "__label").limit(rows // 20).collect()}
-    if not labels:
+    keys = ["__id", "__label", "__hash"]
+    known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    texts = known.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"), F.xxhash64(text_col).alias("__hash"), F.col(text_col).alias("__text"))
+    usable = known.where(learn).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"), F.xxhash64(text_col).alias("__hash"))
+    order = F.xxhash64(F.col("__id").cast("string"), "__hash")
+    found = usable.groupBy("__label").agg(F.approx_count_distinct(order).alias("n")).limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"more than {rows} labels: raise `rows`")
+    if not found:
         return []
-    share = rows // len(labels)
-    order = F.xxhash64(F.col("__id").cast("string"))
-    # a coarse cut by hash first: about four times the share of each label is left to rank, whatever its size
-    cut = F.create_map(*[F.lit(x) for k, n in labels.items() for x in (k, min(1.0, 4 * share / n))])[F.col("__label")]
-    picked = (usable.where(F.pmod(order, F.lit(1 << 30)) <= cut * (1 << 30))
-              .withColumn("__rank", F.row_number().over(Window.partitionBy("__label").orderBy(order, F.col("__id"))))
+    labels, share = {r["__label"]: max(1, r["n"]) for r in found}, rows // len(found)
+    # a coarse cut by hash first: about four times the share of each label, 40 at least, is left to rank, whatever its size
+    cut = F.create_map(*[F.lit(x) for k, n in sorted(labels.items()) for x in (k, min(1.0, max(4 * share, 40) / n))])[F.col("__label")]
+    picked = (usable.where(F.pmod(order, F.lit(1 << 30)) <= cut * (1 << 30)).dropDuplicates(keys)
+              .withColumn("__rank", F.row_number().over(Window.partitionBy("__label").orderBy(order, *keys)))
               .where(F.col("__rank") <= share).drop("__rank"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"), F.col(text_col).alias("__text"))
-    texts = texts.where(F.col("__text").isNotNull()).join(F.broadcast(picked), ["__id", "__label"])  # at most `rows` ids
-    texts = texts.select("__id", "__label", "__text")
+    texts = texts.join(F.broadcast(picked), keys, "left_semi").dropDuplicates(keys).select("__id", "__label", "__text")  # at most `rows` rows
 
     def count(batches):
         import pyarrow as pa
@@ -149,10 +153,12 @@ def sample_counts(docs: DataFrame, id_col, text_col, label_col, learn: Column, r
 
 
 def dense(rows):
-    x = np.zeros((len(rows), BUCKETS), dtype=np.float32)
+    """The buckets that some of the rows have, and the rows' shares of them."""
+    cols = np.unique(np.concatenate([b for _, b, _ in rows]))
+    x = np.zeros((len(rows), len(cols)), dtype=np.float32)
     for i, (_, b, s) in enumerate(rows):
-        x[i, b] = s
-    return x
+        x[i, np.searchsorted(cols, b)] = s
+    return cols, x
 
 
 def softmax(z):
@@ -167,7 +173,7 @@ def train(rows: list, seed: int = 1, epochs: int = EPOCHS, alpha: float = ALPHA)
     rng = np.random.default_rng(seed)
     labels = sorted({r[0] for r in rows})
     order = rng.permutation(len(rows))
-    kept = order[:len(rows) // 6] if len(rows) >= 60 else order[:0]
+    kept = order[:len(rows) // 5] if len(rows) >= 60 else order[:0]
     use = order[len(kept):]
     k = len(labels)
     number = {x: i for i, x in enumerate(labels)}
@@ -182,8 +188,8 @@ def train(rows: list, seed: int = 1, epochs: int = EPOCHS, alpha: float = ALPHA)
         use = rng.permutation(use)
         for i in range(0, len(use), BATCH):
             part = use[i:i + BATCH]
-            x = dense([rows[j] for j in part])
-            hidden = x @ emb
+            cols, x = dense([rows[j] for j in part])
+            hidden = x @ emb[cols]
             err = softmax(hidden @ w + bias)
             err[np.arange(len(part)), y[part]] -= 1
             err /= len(part)
@@ -191,19 +197,20 @@ def train(rows: list, seed: int = 1, epochs: int = EPOCHS, alpha: float = ALPHA)
             back = err @ w.T
             w -= rate * (hidden.T @ err)
             bias -= rate * 0.1 * err.sum(axis=0)
-            touched = np.flatnonzero(x.any(axis=0))
-            emb[touched] -= rate * 20 * (x[:, touched].T @ back)
+            emb[cols] -= rate * 20 * (x.T @ back)
             step += 1
     table, heat, threshold = emb @ w, 1.0, 0.0
     if len(kept):
-        z = np.concatenate([dense([rows[j] for j in kept[i:i + 256]]) @ table for i in range(0, len(kept), 256)]) + bias
+        parts = [dense([rows[j] for j in kept[i:i + 256]]) for i in range(0, len(kept), 256)]
+        z = np.concatenate([x @ table[cols] for cols, x in parts]) + bias
         truth = y[kept]
         loss = {t: -np.log(softmax(z / t)[np.arange(len(kept)), truth] + 1e-12).mean() for t in np.geomspace(0.05, 20, 60)}
         heat = min(loss, key=loss.get)
         p = softmax(z / heat)
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-        if len(right):
-            threshold = min(MAX_THRESHOLD, float(right[max(1, int(alpha * (len(right) + 1))) - 1]))
+        below = int(alpha * (len(right) + 1))  # so many at most may fall short
+        if below:
+            threshold = min(MAX_THRESHOLD, float(right[below - 1]))
     return {"labels": labels, "table": np.ascontiguousarray(table / heat, dtype=np.float32), "bias": (bias / heat).astype(np.float64), "threshold": threshold}
 
 
@@ -230,7 +237,7 @@ def identify(docs: DataFrame, model: dict | None, text_col: str = "text") -> Dat
             if m is None:
                 preds += [UND] * len(letters)
                 scores += [0.0] * len(letters)
-                rejected += [True] * len(letters)
+                rejected += (letters == 0).tolist()
                 continue
             sums, counts = np.zeros((len(letters), len(m["labels"]))), np.zeros(len(letters))
             for own, bucket in grams:

@@ -54,6 +54,25 @@ def test_language_id_odd_texts(spark):
     assert language_id.identify(frame(spark, odd), None).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_id_learns_every_label_and_repeated_rows_once(spark):
+    docs = spark.createDataFrame([(i, f"{chr(0x4e00 + i % 300) * 4} {chr(0x4e00 + i % 300)}{i}", f"l{i % 300}") for i in range(1200)], "doc_id long, text string, lang string")
+    found = language_id.sample_counts(docs, "doc_id", "text", "lang", F.lit(True), 400)
+    assert len(found) == 300 and {r[0] for r in found} == {f"l{i}" for i in range(300)}
+    with pytest.raises(ValueError):
+        language_id.sample_counts(docs, "doc_id", "text", "lang", F.lit(True), 200)
+    hot = spark.range(6000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "same text").otherwise(F.concat(F.lit("text "), "id")).alias("text"),
+                                   F.lit("en").alias("lang"))
+    assert 300 < len(language_id.sample_counts(hot, "doc_id", "text", "lang", F.lit(True), 400)) <= 400
+
+
+def test_language_id_threshold_needs_enough_texts_and_no_model_keeps_texts(spark):
+    rows = [(x, np.array([i % 2 + 2 * (i % 3)], dtype=np.uint16), np.ones(1, dtype=np.float32)) for i, x in enumerate("ab" * 60)]
+    assert language_id.train(rows, epochs=1)["threshold"] == 0.0
+    assert language_id.train(rows, epochs=1, alpha=0.5)["threshold"] > 0.0
+    out = language_id.identify(frame(spark, [(1, "words"), (2, None), (3, "12 !")]), language_id.train([]))
+    assert {r["doc_id"]: r["rejected"] for r in out.collect()} == {1: False, 2: True, 3: True}
+
+
 def test_subwords_of_a_batch_do_not_cross_texts():
     cut = language_id.Subwords()
 
