@@ -113,12 +113,9 @@ def _normalised(post: DataFrame, field_stats: DataFrame, k1: float, b: float) ->
 
 
 def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights: dict | None = None,
-                       row_bound: int | None = None, by_doc: bool = False) -> DataFrame:
+                       row_bound: int | None = None) -> DataFrame:
     """(topic_id, field, doc_id, <part>...): BM25 summands of every matched posting.
 
-    ``by_doc`` deals the matched postings by doc_id before they fan out to topics, so that
-    sums per (topic, document) and anything per document need no further shuffle.
-
     ``weights`` maps output column → query-weight column of ``qterms`` (default
     ``{"part": "qw"}``), so several weightings of the same postings come out of
     one pass. ``k1`` and ``b`` may be floats or Columns of ``qterms`` (R8:
@@ -138,12 +135,24 @@ def term_contributions(index: Index, qterms: DataFrame, k1=1.2, b=0.75, weights:
     # fixed k1, b: the tf normalisation is computed once per posting, before the join fans
     # each posting out to every topic holding the term
     normed = _normalised(post, field_stats, k1, b)
-    normed = normed.repartition("doc_id") if by_doc else normed
     return (normed.join(wb.drop("avgdl"), ["field", "term"])
             .select("topic_id", "field", "doc_id", *keep,
                     *[(F.col(f"__w_{out}") * F.col("__tfn")).alias(out) for out in weights]))
 
 
+def document_postings(index: Index, vocab: DataFrame, row_bound: int) -> DataFrame:
+    """(doc_id, term_no, idf, tf, norm): the postings of the listed terms, dealt by doc_id; ``norm`` is dl / avgdl.
+
+    ``vocab``: (field, term, term_no), at most ``row_bound`` rows. Any k1 and b are arithmetic on these rows.
+    """
+    q = vocab.select(F.lit(0).alias("topic_id"), "field", "term", "term_no", F.lit(1.0).alias("qw"))
+    post, w, _, fits, _ = _matched(index, q, {"idf": "qw"}, row_bound)
+    w = F.broadcast(w) if fits else w
+    return (post.repartition("doc_id").join(w, ["field", "term"])
+            .select("doc_id", "term_no", F.col("__w_idf").alias("idf"), F.col("tf").cast("int").alias("tf"),
+                    (F.col("dl") / F.col("avgdl")).alias("norm")))
+
+
 def match_terms(qterms: DataFrame, index: Index) -> DataFrame:
     """Query terms ⋈ postings on (field, term) — (topic_id, field, term, doc_id, tf, dl, qw)."""
     n = qterms.count()
@@ -152,38 +161,59 @@ def match_terms(qterms: DataFrame, index: Index) -> DataFrame:
 
 
 def bm25(index: Index, topics: DataFrame, fields=("body",), k1: float = 1.2, b: float = 0.75,
-         boosts: dict | None = None, facets: str = "first", by_field: bool = False) -> DataFrame:
+         boosts: dict | None = None, facets: str = "first", by_field: bool = False, k: int | None = None) -> DataFrame:
     """(topic_id, doc_id, score) for every document with ≥ 1 matching term.
 
     ``by_field=True`` keeps ``field`` in the key (one score per field, R9 / G1).
+    ``k`` leaves out documents that cannot be among a topic's k best: tasks sum the pairs of their
+    documents and keep k rows a topic, so no pair is shuffled (``hybrid.variant_scores``).
     """
+    if k is not None:
+        if by_field:
+            return bm25_sets(index, topics, {f: {f: (boosts or {}).get(f, 1.0)} for f in fields}, k, k1, b, facets).withColumnRenamed("variant", "field")
+        return bm25_sets(index, topics, {"": {f: (boosts or {}).get(f, 1.0) for f in fields}}, k, k1, b, facets).drop("variant")
     qterms = query_terms(topics, fields, boosts, facets)
     parts = term_contributions(index, qterms, k1, b, row_bound=query_size_bound(topics, len(fields)))
     keys = ["topic_id", "field", "doc_id"] if by_field else ["topic_id", "doc_id"]
     return parts.groupBy(*keys).agg(F.sum("part").alias("score"))
 
 
-def bm25_ablation(index: Index, topics: DataFrame, fields, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25_sets(index: Index, topics: DataFrame, field_sets: dict, k: int, k1: float = 1.2, b: float = 0.75, facets: str = "first") -> DataFrame:
+    """(variant, topic_id, doc_id, score): BM25 over each named set of boosted fields, the rows that can be among the k best."""
+    from rankspark.operators.hybrid import Variant, variant_scores
+    variants = [Variant(name, dict(boosts), {}, facets, z=-1.0) for name, boosts in field_sets.items()]
+    return variant_scores(index, topics, None, None, variants, k, k1, b).select("variant", "topic_id", "doc_id", "score")
+
+
+def bm25_ablation(index: Index, topics: DataFrame, fields, k1: float = 1.2, b: float = 0.75, k: int | None = None) -> DataFrame:
     """One document field at a time, the query being all facets joined by spaces.
 
     Tokens never span a facet boundary, so the joined query's term counts are the
     per-facet counts summed: ``facets="all"`` with ``field`` kept in the key.
     """
-    return bm25(index, topics, fields, k1, b, facets="all", by_field=True)
+    return bm25(index, topics, fields, k1, b, facets="all", by_field=True, k=k)
 
 
 def bm25_settings(index: Index, topics: DataFrame, settings, fields=("body",), boosts: dict | None = None,
-                  facets: str = "first") -> DataFrame:
+                  facets: str = "first", k: int | None = None) -> DataFrame:
     """R8 over many settings in one job: (setting, topic_id, doc_id, score).
 
     ``settings`` is a list of (setting id, k1, b) or a Column holding an
     ``array<struct<setting, k1, b>>``; it is exploded into the query side, so the
     postings are read once and no join with a settings table is needed.
+    ``k`` leaves out what cannot be among the k best of a (setting, topic), as in ``bm25``.
     """
     settings_list = None if isinstance(settings, Column) else list(settings)
-    if not isinstance(settings, Column):
+    if settings_list is not None:
         settings = F.array(*[F.struct(F.lit(s).alias("setting"), F.lit(float(k1)).alias("k1"),
-                                      F.lit(float(b)).alias("b")) for s, k1, b in settings])
+                                      F.lit(float(b)).alias("b")) for s, k1, b in settings_list])
+    if k is not None:
+        from rankspark.operators.hybrid import Variant, variant_scores
+        grid = topics.sparkSession.range(1).select(F.explode(settings).alias("s")).select("s.setting", "s.k1", "s.b")
+        fb = {f: (boosts or {}).get(f, 1.0) for f in fields}
+        variants = [Variant(str(r["setting"]), fb, {}, facets, z=-1.0, k1=float(r["k1"]), b=float(r["b"])) for r in grid.collect()]  # a row a setting
+        scores = variant_scores(index, topics, None, None, variants, k)
+        return scores.select(F.col("variant").cast(grid.schema["setting"].dataType).alias("setting"), "topic_id", "doc_id", "score")
     q = (query_terms(topics, fields, boosts, facets)
          .select("*", F.explode(settings).alias("__s"))
          .select("topic_id", "field", "term", "qw", "__s.setting", "__s.k1", "__s.b"))
