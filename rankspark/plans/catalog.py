@@ -311,7 +311,7 @@ def _settings_sql() -> str:
 def q_bm25_params(spark, sf_dir):
     """Four (k1, b) settings scored in one pass over the postings, top 10 per setting and topic."""
     index = inputs.corpus_index(spark, sf_dir, ("body",))
-    scores = bm25_ops.bm25_settings(index, inputs.topics(spark, sf_dir), SETTINGS)
+    scores = bm25_ops.bm25_settings(index, inputs.topics(spark, sf_dir), SETTINGS, k=TOPK)
     return _round(rank_run(scores, k=TOPK, partition_extra=("setting",)), "score").select(
         "setting", "topic_id", "doc_id", "rank", "score")
 
