@@ -68,7 +68,7 @@ def sweep(index: Index, topics: DataFrame, qrels: DataFrame, space: dict, n: int
     """BM25 under n seeded (k1, b) settings, evaluated per setting and topic."""
     settings = F.transform(param_grid_column(space, n, seed), lambda s: F.struct(
         s["setting"].alias("setting"), s["k1"].cast("double").alias("k1"), s["b"].cast("double").alias("b")))
-    scores = bm25_ops.bm25_settings(index, topics, settings, fields)
+    scores = bm25_ops.bm25_settings(index, topics, settings, fields, k=depth)
     run = rank_run(scores, k=depth, partition_extra=("setting",))
     return evaluate(run, qrels, metrics, keys=("setting",), decimals=None)
 
