@@ -323,7 +323,7 @@ def q_bm25_params(spark, sf_dir):
 def q_bm25_ablation(spark, sf_dir):
     """Each document field on its own, the query being all facets of a conversation, top 10."""
     index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
-    scores = bm25_ops.bm25_ablation(index, inputs.conversation_topics(spark, sf_dir), LEX_FIELDS)
+    scores = bm25_ops.bm25_ablation(index, inputs.conversation_topics(spark, sf_dir), LEX_FIELDS, k=TOPK)
     return _round(rank_run(scores, k=TOPK, partition_extra=("field",)), "score").select(
         "field", "topic_id", "doc_id", "rank", "score")
 

@@ -97,7 +97,7 @@ def test_sums_of_frequent_and_rare_terms():
     assert np.allclose(np.nan_to_num(got), want) and (np.isnan(got) == (want == 0)).all()
 
 
-QUERIES = ["hybrid_score_fn", "hybrid_multifacet", "bm25_params", "param_sweep"]
+QUERIES = ["hybrid_score_fn", "hybrid_multifacet", "bm25_params", "param_sweep", "bm25_ablation"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
