@@ -56,10 +56,17 @@ TOPK = 10
 EVAL_DEPTH = 1000
 
 
+def stored(spark, run: DataFrame) -> DataFrame:
+    """A run written once (at most its depth of rows a topic): what follows reads it several times without scoring anew."""
+    path = scratch_path(spark, "ranked")
+    run.write.parquet(path)
+    return spark.read.schema(run.schema).parquet(path)
+
+
 def body_run(spark, sf_dir, k=EVAL_DEPTH, index=None):
     index = index or inputs.corpus_index(spark, sf_dir, ("body",))
-    scores = bm25_ops.bm25(index, inputs.topics(spark, sf_dir), ("body",))
-    return rank_run(scores, k=k)
+    scores = bm25_ops.bm25(index, inputs.topics(spark, sf_dir), ("body",), k=k)
+    return stored(spark, rank_run(scores, k=k))
 
 
 @register("bm25_topk", sql.with_(sql.corpus_ctes(), sql.topics_cte(), sql.bm25_ctes(),
