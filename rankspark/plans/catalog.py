@@ -500,10 +500,9 @@ def _two_run_metrics(spark, sf_dir):
 
 def _body_and_all_fields(index, topics, k):
     """Two runs from one pass: BM25 per field, the body component alone and the sum over fields."""
-    per_field = bm25_ops.bm25(index, topics, LEX_FIELDS, by_field=True)
-    body = per_field.where(F.col("field") == "body").select("topic_id", "doc_id", "score")
-    both = per_field.groupBy("topic_id", "doc_id").agg(F.sum("score").alias("score"))
-    return rank_run(body, k=k), rank_run(both, k=k)
+    sets = bm25_ops.bm25_sets(index, topics, {"body": {"body": 1.0}, "both": {f: 1.0 for f in LEX_FIELDS}}, k)
+    runs = stored(topics.sparkSession, rank_run(sets, k=k, partition_extra=("variant",)))
+    return tuple(runs.where(F.col("variant") == name).drop("variant") for name in ("body", "both"))
 
 
 _P_SQL = """CASE WHEN n > 1 AND sd > 0 THEN greatest(0.0, 1 - CASE
