@@ -109,18 +109,9 @@ def sweep_cv(results: DataFrame, topic_folds: DataFrame, metric: str, depth: int
 
 def ablation_grid(index: Index, topics: DataFrame, field_sets: dict, k: int = 10, facets: str = "first",
                   k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """G1: BM25 per field once, summed per named field set, top k per (variant, topic).
-
-    The (variant, field) table holds one row per listed pair and is broadcast.
-    """
-    all_fields = sorted({f for fs in field_sets.values() for f in fs})
-    per_field = bm25_ops.bm25(index, topics, all_fields, k1, b, facets=facets, by_field=True)
-    spark = topics.sparkSession
-    variants = spark.createDataFrame([(name, f) for name, fs in field_sets.items() for f in fs],
-                                     "variant string, field string")
-    summed = (per_field.join(F.broadcast(variants), "field")
-              .groupBy("variant", "topic_id", "doc_id").agg(F.sum("score").alias("score")))
-    return rank_run(summed, k=k, partition_extra=("variant",))
+    """G1: BM25 per field once, summed per named field set, top k per (variant, topic)."""
+    sets = {name: {f: float(list(fs).count(f)) for f in fs} for name, fs in field_sets.items()}
+    return rank_run(bm25_ops.bm25_sets(index, topics, sets, k, k1, b, facets), k=k, partition_extra=("variant",))
 
 
 def ablation_variants(lexical_sets: dict, embed_sets: dict, query_types=("baseline", "embedding"), facets: str = "first") -> list:
