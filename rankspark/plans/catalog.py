@@ -283,7 +283,7 @@ SETTINGS = [(0, 1.2, 0.75), (1, 0.9, 0.4), (2, 2.0, 1.0), (3, 1.2, 0.0)]
 def _bm25_fields_query(boosts=None):
     def run(spark, sf_dir):
         index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
-        scores = bm25_ops.bm25(index, inputs.topics(spark, sf_dir), LEX_FIELDS, boosts=boosts)
+        scores = bm25_ops.bm25(index, inputs.topics(spark, sf_dir), LEX_FIELDS, boosts=boosts, k=TOPK)
         return _round(rank_run(scores, k=TOPK), "score").select("topic_id", "doc_id", "rank", "score")
     return run
 
