@@ -263,8 +263,7 @@ def _hybrid_sql(k=10, z="auto", use_bm25=True, missing=False, ceiling=None, boos
 def q_top_bm25_z(spark, sf_dir):
     """Best first-facet BM25 per topic and z for a ceiling of 2 (2 embedding fields × 1 facet)."""
     index = inputs.corpus_index(spark, sf_dir, LEX_FIELDS)
-    cand = hybrid_ops.lexical_candidates(index, inputs.topics(spark, sf_dir), LEX_FIELDS, facets="first")
-    top = cand.groupBy("topic_id").agg(F.max("bm25_first").alias("top_bm25"))
+    top = hybrid_ops.best_bm25(index, inputs.topics(spark, sf_dir), LEX_FIELDS)
     return top.select("topic_id", F.round("top_bm25", 6).alias("top_bm25"), F.lit(2.0).alias("ceiling"),
                       F.round(hybrid_ops.z_value(F.col("top_bm25"), F.lit(2.0)), 6).alias("z"))
 
