@@ -183,7 +183,7 @@ def score_topic_stream(topics_stream: DataFrame, index: Index, out_path: str, ch
         if score is not None:
             run = score(index, batch)
         else:
-            run = rank_run(bm25_ops.bm25(index, batch, fields, k1, b, facets=facets), k=k)
+            run = rank_run(bm25_ops.bm25(index, batch, fields, k1, b, facets=facets, k=k), k=k)
         run.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     w = topics_stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)

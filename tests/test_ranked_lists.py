@@ -97,7 +97,7 @@ def test_sums_of_frequent_and_rare_terms():
     assert np.allclose(np.nan_to_num(got), want) and (np.isnan(got) == (want == 0)).all()
 
 
-QUERIES = ["hybrid_score_fn", "hybrid_multifacet", "bm25_params", "param_sweep", "bm25_ablation", "eval_rprec", "rerank_hybrid", "kmax_pool", "multi_vector_agg", "paired_t", "rank_agreement", "ablation_grid", "bm25_boosted", "top_bm25_z", "low_topics"]
+QUERIES = ["hybrid_score_fn", "hybrid_multifacet", "bm25_params", "param_sweep", "bm25_ablation", "eval_rprec", "rerank_hybrid", "kmax_pool", "multi_vector_agg", "paired_t", "rank_agreement", "ablation_grid", "bm25_boosted", "top_bm25_z", "low_topics", "stream_topics_bm25"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
