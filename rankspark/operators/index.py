@@ -7,7 +7,7 @@ are one row per field and are broadcast.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ class Index:
     # Postings plus one LENGTH_MARKER row per (field, doc): a single tokenisation pass
     # yields postings, lengths and statistics (None for an index read from storage).
     raw: DataFrame | None = None
+    # field, doc_id, toks: the tokens of each text, from which term lists are counted row by row (None when read from storage).
+    tokens: DataFrame | None = None
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
         """Persist the index: postings range-clustered by (field, term) so row-group statistics prune scans.
@@ -72,14 +74,14 @@ def build_index(docs: DataFrame, fields=("body",), doc_id: str = "doc_id") -> In
     length, all through one ``explode_outer`` (no inferred filter re-running the
     regex) and one partial + final aggregate.
     """
-    long = fields_long(docs, fields, doc_id)
-    raw = (long.select("field", "doc_id", tokenize("text").alias("toks"))
+    tokens = fields_long(docs, fields, doc_id).select("field", "doc_id", tokenize("text").alias("toks"))
+    raw = (tokens
            .select("field", "doc_id", F.size("toks").alias("dl"),
                    F.explode_outer(F.concat(F.array(F.lit(LENGTH_MARKER)), F.col("toks"))).alias("term"))
            .where(F.col("term").isNotNull())
            .groupBy("field", "term", "doc_id", "dl")
            .agg(F.count(F.lit(1)).alias("tf")))
-    return from_raw(raw)
+    return replace(from_raw(raw), tokens=tokens)
 
 
 def from_raw(raw: DataFrame, keep_raw: bool = True) -> Index:

@@ -1,5 +1,7 @@
 """Top-k lists from the documents' term lists: same rows as all pairs ranked, and no query makes the pair table."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from rankspark.operators import bm25 as B
 from rankspark.operators import hybrid as H
 from rankspark.operators import sweep as S
+from rankspark.operators.index import build_index
 from rankspark.operators.runs import rank_run
 from rankspark.operators.sizing import MAX_BROADCAST_ROWS_CONF
 from rankspark.plans import catalog, catalog_more  # noqa: F401
@@ -121,3 +124,25 @@ def test_sweep_takes_settings_from_a_column(spark):
     grid = S.param_grid_column(space, 3)
     got, want = (rank_run(B.bm25_settings(index, t, grid, k=k), k=3, partition_extra=("setting",)) for k in (3, None))
     assert rows(got, "setting") == rows(want, "setting")
+
+
+@pytest.mark.parametrize("name", ["rerank_hybrid"])
+def test_runs_deal_no_postings(spark, monkeypatch, name):
+    def stop(*_, **__):
+        raise AssertionError("a row a posting is dealt")
+
+    monkeypatch.setattr(H, "document_postings", stop)
+    assert catalog.QUERIES[name](spark, SF_SMALL).columns
+
+
+def test_counted_terms_equal_dealt_postings(spark):
+    texts = [(1, "a b a", "c c"), (1, "b a a", "d"), (1, "a", None), (2, "a b", "c"), (2, "a b", "c"), (None, "b", ""), (None, "b", "a a"), (3, "", "zz"), (4, None, None)]
+    index = build_index(spark.createDataFrame(texts, "doc_id long, title string, body string"), ("title", "body"))
+    vocab = spark.createDataFrame([(f, w, 10 * j + i) for j, f in enumerate(("title", "body")) for i, w in enumerate("abcx")], "field string, term string, term_no int")
+
+    def lists(index):
+        found = H.document_terms(index, vocab, 20).collect()
+        return sorted((repr(r["doc_id"]), sorted((t["term_no"], t["tf"], round(t["idf"], 9), round(t["norm"], 9)) for t in r["terms"])) for r in found)
+
+    got = lists(index)
+    assert got == lists(replace(index, tokens=None)) and len(got) == 3
