@@ -126,7 +126,7 @@ def test_sweep_takes_settings_from_a_column(spark):
     assert rows(got, "setting") == rows(want, "setting")
 
 
-@pytest.mark.parametrize("name", ["rerank_hybrid", "kmax_pool", "rerank_generic"])
+@pytest.mark.parametrize("name", ["rerank_hybrid", "kmax_pool", "rerank_generic", "rerank_weights"])
 def test_runs_deal_no_postings(spark, monkeypatch, name):
     def stop(*_, **__):
         raise AssertionError("a row a posting is dealt")
