@@ -436,15 +436,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     carried = Carried(docs)
     docs, id_col, text_col = carried.df, carried[id_col], carried[text_col]
     groups = linked(docs, id_col, text_col, **kw).where(F.col("__component").isNotNull())
-    rows = groups.groupBy("__component", F.col(id_col).alias("__id"), "__text").agg(F.count(F.lit(1)).alias("__rows"))
-    first = rows.groupBy("__component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__text", "__rows")).alias("f"))
-    first = written(first.select("__component", "f.__id", "f.__text", "f.__rows"), "jaccard-first")
-    has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    one = docs.where(has_words).join(first, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__text")))
-    if not first.where("__rows > 1").isEmpty():  # rows equal in id and text: the first one by its other columns, picked in each task first
-        others = F.to_json(F.struct(*[c for c in docs.columns if c != text_col]))
-        one = one.groupBy("__component").agg(F.min_by(F.struct(*docs.columns), others).alias("__r")).select("__r.*")
-    return carried.restore(one.select(*docs.columns).unionAll(docs.where(~has_words)))
+    rows = written(groups.groupBy("__component", F.col(id_col).alias("__id"), "__text").agg(F.count(F.lit(1)).alias("__rows")), "jaccard-rows")
+    first = rows.groupBy("__component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__text", "__rows")).alias("f"), F.sum("__rows").alias("all"))
+    first = written(first.where("all > 1").select("__component", F.col("f.__id").alias("__first"), F.col("f.__text").alias("__first_text"), F.col("f.__rows").alias("__same")), "jaccard-first")
+    # the rows to drop are named, not those to keep: texts stay where they are while the dropped ones can be broadcast
+    others = rows.join(bounded(first), "__component").where(~(F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__text") == F.col("__first_text"))))
+    out = unnamed(docs, written(others.select("__id", "__text"), "jaccard-dropped"), id_col, text_col)
+    same = first.where("__same > 1").select(F.col("__first").alias("__id"), F.col("__first_text").alias("__text"))
+    if not same.isEmpty():  # rows equal in id and text: the first one by its other columns, picked in each task first
+        by = F.to_json(F.struct(*[c for c in docs.columns if c != text_col]))
+        one = unnamed(out, same, id_col, text_col, "left_semi").groupBy(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"))
+        one = one.agg(F.min_by(F.struct(*docs.columns), by).alias("__r")).select("__r.*")
+        out = unnamed(out, same, id_col, text_col).unionAll(one)
+    return carried.restore(out)
+
+
+def unnamed(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
+    """The rows whose id and text hash are not (``left_semi``: are) in the written table ``keys``."""
+    keys = bounded(keys)
+    return docs.join(keys, docs[id_col].eqNullSafe(keys["__id"]) & (F.xxhash64(docs[text_col]) == keys["__text"]), how)
 
 
 def op9_jaccard_join(spark, sf_dir):

@@ -256,6 +256,24 @@ def test_jaccard_keeps_unrelated_rows_without_id_or_of_one_id(spark):
     assert kept == sorted([rows[i] for i in (0, 3, 4, 6, 7, 8, 9, 10)], key=repr)
 
 
+def test_jaccard_keep_one_moves_no_text_while_dropped_rows_fit(spark, monkeypatch):
+    rows = [r for r in near_rows(3) if r[0] is not None] + [(900 + i, f"an extra text told apart by number {i} at its very end") for i in range(3)]
+    rows += rows[:4]
+
+    def kept():
+        out = jaccard_join.keep_one(frame(spark, rows))
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr), out._jdf.queryExecution().toString()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, plan = kept()
+        monkeypatch.setattr(jaccard_join, "MAX_FETCH", 0)
+        assert kept()[0] == found  # past the bound: by a shuffle
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and len(found) < len(rows)
+
+
 def thue_morse(n, a, b):
     """Two strings of n letters that collide under every polynomial modulo 2^64 from n = 1024 on."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
