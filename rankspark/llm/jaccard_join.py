@@ -10,8 +10,9 @@ class at once, and only classes are joined:
    common passages out of the prefixes.
 2. Prefixes. Two linked sets share a shingle among their first
    ``n - ceil(t n) + 1``, and the shorter one has it among its first
-   ``n - ceil(2t/(1+t) n) + 1``. Two twice-seen Bloom filters over prefix shingles, the second over what passes the
-   first, drop those of one document only; the rest are the postings, joined on the shingle.
+   ``n - ceil(2t/(1+t) n) + 1``, its index prefix. Two Bloom filters over the prefix shingles of one document a class drop
+   those of one class only, the second (over what passes the first) also those that are in no index prefix; the
+   rest are the postings, joined on the shingle.
 3. Filters. Length (``n_x >= t n_y``), position (shingles left after the match
    must still suffice) and suffix: the shingles are dealt into cells by hash (as
    many as shingles, ``CELLS`` at least, a power of two), and the number of cells whose counts
@@ -187,24 +188,39 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     return written(rows.mapInArrow(run, schema), "jaccard-prefixes")
 
 
-def postings(rows: DataFrame, total: int) -> DataFrame:
-    """``(token, cls, n, pos, s0..s3)`` of prefix shingles that more than one class has."""
+def one_a_class(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """The row of each class that ``classes`` names: copies need no postings of their own.
+
+    Rows equal in id and text all stay. Rows are dealt, and then written, only if the classes with copies are too many to broadcast.
+    """
+    many = classes.where("rows > 1").select(F.col("cls").alias("__c"), F.col("__id").alias("__i"), F.col("__text").alias("__t"))
+    named = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__text") == F.col("__t"))
+    few = many.count() <= MAX_FETCH
+    one = full.join(F.broadcast(many) if few else many, F.col("cls") == F.col("__c"), "left").where(F.col("__c").isNull() | named).select(*full.columns)
+    return one if few else written(one, "jaccard-one")
+
+
+def postings(rows: DataFrame, total: int, percent: int) -> DataFrame:
+    """``(token, cls, n, pos, s0..s3)`` of prefix shingles that more than one class has, one of them in its index prefix."""
     bits = filter_bits(total)
+    held = rows.select("cls", "n", "prefix")
 
-    def keys_of(batch):
+    def sets_of(batch):
         seen = set()
-        for cls, pre in zip(_column(batch, "cls").to_pylist(), _column(batch, "prefix").to_pylist()):
+        for cls, n, pre in zip(*[_column(batch, c).to_pylist() for c in ("cls", "n", "prefix")]):
             if cls is not None and cls not in seen:
                 seen.add(cls)
-                yield np.frombuffer(pre, dtype=np.uint64)
+                yield np.frombuffer(pre, dtype=np.uint64), n - -(-2 * percent * n // (100 + percent)) + 1
 
-    first = twice_filter(rows.select("cls", "prefix"), keys_of, bits)
+    first = twice_filter(held, lambda batch: (s for s, _ in sets_of(batch)), bits)
 
-    def passing(s):
-        return s[contains(np.frombuffer(first.value, dtype=np.uint8), s, bits)]
+    def passing(batch):
+        for s, index in sets_of(batch):
+            ok = contains(np.frombuffer(first.value, dtype=np.uint8), s, bits)
+            yield tuple(mix64(x[k]) for x, k in ((s[:index], ok[:index]), (s[index:], ok[index:])))
 
     # a second filter, at other places and of the keys that pass the first only: few keys of one class pass both
-    second = twice_filter(rows.select("cls", "prefix"), lambda batch: (mix64(passing(s)) for s in keys_of(batch)), bits)
+    second = twice_filter(held, passing, bits)
 
     def emit(batches):
         import pyarrow as pa
@@ -298,9 +314,9 @@ def members(pairs: DataFrame) -> DataFrame:
     return written(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct(), "jaccard-members")
 
 
-def suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose cells leave a large enough intersection possible."""
-    cells = classes.select("cls", "cells").join(bounded(members(pairs)), "cls", "left_semi")
+def suffix_filter(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose cells leave a large enough intersection possible; ``rows``: one a class (or some equal ones)."""
+    cells = rows.select("cls", "cells").join(bounded(members(pairs)), "cls", "left_semi").groupBy("cls").agg(F.first("cells").alias("cells"))
     j = (pairs.join(cells.select(F.col("cls").alias("a"), F.col("cells").alias("ca")), "a")
          .join(cells.select(F.col("cls").alias("b"), F.col("cells").alias("cb")), "b").select("a", "na", "b", "nb", "ca", "cb"))
 
@@ -393,11 +409,12 @@ def linked(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, per
     small_batches(docs)
     rows = prefixes(docs, id_col, text_col, size, percent)
     full = rows.where(F.col("n") > 0)
-    total = full.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
-    posts = postings(full, total // 8)
-    # one row per class; the row to fetch its set from, and its cells
-    classes = written(full.groupBy("cls").agg(F.min(F.struct("__id", "__text", "cells")).alias("r"), F.min("__id").alias("least"))
-                      .select("cls", "least", "r.__id", "r.__text", "r.cells"), "jaccard-classes")
+    # one row per class, with the row that its set, prefix and cells are taken from
+    classes = written(full.groupBy("cls").agg(F.min(F.struct("__id", "__text")).alias("r"), F.min("__id").alias("least"), F.count(F.lit(1)).alias("rows"))
+                      .select("cls", "least", "r.__id", "r.__text", "rows"), "jaccard-classes")
+    one = one_a_class(full, classes)
+    total = one.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    posts = postings(one, total // 8, percent)
     tested = labels = None
     rounds = 0
     while True:
@@ -407,7 +424,7 @@ def linked(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, per
             found = found.join(tested, ["a", "b"], "left_anti").select("a", "na", "b", "nb")
         found = written(found, "jaccard-pairs")
         tested = found.select("a", "b") if tested is None else tested.unionAll(found.select("a", "b"))
-        likely = written(suffix_filter(found, classes, percent), "jaccard-likely")
+        likely = written(suffix_filter(found, one, percent), "jaccard-likely")
         rounds += 1
         new = None
         if labels is None or not likely.isEmpty():

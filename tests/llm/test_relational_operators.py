@@ -233,6 +233,34 @@ def test_cell_parity_never_overstates_the_difference():
         assert (jaccard_join.fold(jaccard_join.cell_parity(x)) == jaccard_join.fold(jaccard_join.cell_parity(np.flip(x)))).all()
 
 
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_jaccard_deals_no_postings_of_copies_and_none_out_of_reach(spark, monkeypatch, bound):
+    monkeypatch.setattr(jaccard_join, "MAX_FETCH", bound)
+    found, dealt = [], jaccard_join.postings
+
+    def postings(*args):
+        found.append((args[0].collect(), dealt(*args)))
+        return found[-1][1]
+
+    monkeypatch.setattr(jaccard_join, "postings", postings)
+    monkeypatch.setattr(jaccard_join, "forget", lambda posts: None)
+    rows = [(i, " ".join(f"copy{j}" for j in range(200))) for i in range(30)] + [(100 + i, " ".join(f"own{i}x{j}" for j in range(200))) for i in range(30)]
+    jaccard_join.link_documents(frame(spark, rows).repartition(5))
+    base = [f"z{j}" for j in range(300)]
+    near = [(200 + i, " ".join(base[:150] + [f"e{i % 4}"] + base[151:])) for i in range(6)]
+    out = jaccard_join.link_documents(frame(spark, rows + near).repartition(5)).drop("__text")
+    assert sorted(map(tuple, out.collect()), key=repr) == brute_components(rows + near)
+    (one, alone), (_, posts) = found
+    assert len({r["cls"] for r in one}) == len(one) == 31 and alone.count() == 0  # a class is not joined with itself
+    lists = defaultdict(list)
+    for r in posts.collect():
+        lists[r["token"]].append(r["pos"] <= r["n"] - math.ceil(160 * r["n"] / 180))
+    assert lists and all(len(x) > 1 and any(x) for x in lists.values())
+    for _, p in found:
+        monkeypatch.undo()
+        jaccard_join.forget(p)
+
+
 def test_jaccard_keeps_one_of_each_group(spark):
     rows = [r for r in near_rows(3) if r[0] is not None]
     kept = jaccard_join.keep_one(frame(spark, rows))
@@ -360,6 +388,31 @@ def test_twice_filter_has_no_false_negatives(spark):
     assert hit[:10_000].all() and hit[10_000:].mean() < 0.05
 
 
+def test_filter_of_keys_met_beside_others(spark):
+    df = spark.range(0, 6000, numPartitions=70).select((F.col("id") % 5000).alias("k"), (F.col("id") % 5000 >= 2500).alias("beside"))
+    bits, mult = bloom.filter_bits(6000), np.uint64(0x9E3779B97F4A7C15)
+
+    def keys_of(batch):
+        k = batch.column(0).to_numpy().astype(np.uint64) * mult
+        at = batch.column(1).to_numpy(zero_copy_only=False)
+        yield k[~at], np.concatenate([k[at], k[~at & (k % np.uint64(2) == 0)]])
+
+    sent = bloom.twice_filter(df, keys_of, bits)
+    k = np.arange(5000, dtype=np.uint64) * mult
+    hit = bloom.contains(np.frombuffer(sent.value, dtype=np.uint8), k, bits)
+    due = (np.arange(5000) < 2500) & ((np.arange(5000) < 1000) | (k % np.uint64(2) == 0))
+    assert hit[due].all() and hit[~due].mean() < 0.02
+
+
+@pytest.mark.parametrize("share", [0, 1e-5, 0.002, 0.02, 0.3, 1])
+def test_packed_slices_come_back(share):
+    bits = np.packbits(np.random.default_rng(3).random(bloom.SLICE_BITS) < share, bitorder="little")
+    data = bloom.packed(bits)
+    assert (bloom.unpacked(data) == bits).all() and bloom.unpacked(bloom.packed(None)) is None
+    entropy = 0 if share in (0, 1) else -(share * math.log2(share) + (1 - share) * math.log2(1 - share))
+    assert len(data) < 1.25 * bloom.SLICE_BITS / 8 * entropy + 700  # deflated bytes of sparse bits took 1.7 times that and more
+
+
 # -- pipeline
 
 def test_pipeline_stages_have_their_effect(spark):
