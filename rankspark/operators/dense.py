@@ -1,8 +1,8 @@
 """Encoders, exhaustive dense top-k and the embedding cache.
 
 * ``hash_encode``  built-in encoder: a bag of hashed tokens, L2-normalised.
-  Tokens and md5 buckets are computed in the JVM; the per-row bucket counts are
-  one ``np.bincount`` per Arrow batch inside ``mapInArrow`` (no shuffle).
+  Tokens are computed in the JVM; each distinct token of an Arrow batch is hashed once, and
+  the per-row bucket counts are one ``np.bincount`` inside ``mapInArrow`` (no shuffle).
 * ``encode``  any object with ``encode_batch(list[str]) -> ndarray`` (U1), run
   in ``mapInArrow``; one model per Python worker, Arrow batches in and out.
 * ``dense_topk``  exhaustive top-k of query vectors against a corpus: one bounded block of
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankspark.functions.text import sentences, tokenize
-from rankspark.functions.vectors import hash_bucket
 from rankspark.operators.blocks import TopK, unit_rows, vectors
 from rankspark.operators.runs import rank_run
 
@@ -58,10 +57,8 @@ def hash_encode_columns(df: DataFrame, columns: dict, dim: int = DEFAULT_DIM, ke
     A null text gives a null vector in its column; the row is kept.
     """
     keep = list(keep) if keep is not None else [c for c in df.columns if c not in columns]
-    bucket_cols = [F.when(_text_for_pooling(t, pooling).isNotNull(),
-                          F.transform(tokenize(_text_for_pooling(t, pooling)), lambda x: hash_bucket(x, dim)))
-                   .alias(f"__b{i}") for i, t in enumerate(columns)]
-    src = df.select(*keep, *bucket_cols)
+    token_cols = [tokenize(_text_for_pooling(t, pooling)).alias(f"__t{i}") for i, t in enumerate(columns)]  # null for a null text
+    src = df.select(*keep, *token_cols)
     outs = list(columns.values())
     out_schema = _schema_with(df, keep, [T.StructField(o, T.ArrayType(T.DoubleType()), True) for o in outs])
     n_keep = len(keep)
@@ -76,7 +73,8 @@ def hash_encode_columns(df: DataFrame, columns: dict, dim: int = DEFAULT_DIM, ke
             for j in range(len(outs)):
                 lst = rb.column(n_keep + j)
                 rows = pc.list_parent_indices(lst).to_numpy(zero_copy_only=False).astype(np.int64)
-                vals = pc.list_flatten(lst).to_numpy(zero_copy_only=False).astype(np.int64)
+                toks = pc.list_flatten(lst).dictionary_encode()
+                vals = hash_buckets(toks.dictionary, dim)[toks.indices.to_numpy(zero_copy_only=False)]
                 m = np.bincount(rows * dim + vals, minlength=n * dim).astype(np.float64).reshape(n, dim)
                 norms = np.sqrt((m * m).sum(axis=1))
                 norms[norms == 0] = 1.0
@@ -91,6 +89,13 @@ def hash_encode_columns(df: DataFrame, columns: dict, dim: int = DEFAULT_DIM, ke
     return src.mapInArrow(count_batches, out_schema)
 
 
+def hash_buckets(tokens, dim: int) -> np.ndarray:
+    """``functions.vectors.hash_bucket`` of an Arrow array of tokens."""
+    import pyarrow as pa
+
+    return np.fromiter((int.from_bytes(hashlib.md5(t).digest()[:3], "big") % dim for t in tokens.cast(pa.binary()).to_pylist()), np.int64, len(tokens))
+
+
 class HashEncoder:
     """Python twin of ``hash_encode`` implementing the pluggable encoder interface."""
 
