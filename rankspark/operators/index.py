@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankspark.functions.text import tokenize
 
@@ -18,6 +19,7 @@ from rankspark.functions.text import tokenize
 # Fixed value: the term of the one marker row per (field, document) in ``Index.raw``.
 # Tokens are non-empty runs of letters/digits, so the empty string never clashes.
 LENGTH_MARKER = ""
+ROWS = 1 << 18  # rows of one Arrow batch on the way out
 
 
 @dataclass(frozen=True)
@@ -67,13 +69,16 @@ def fields_long(docs: DataFrame, fields, doc_id: str = "doc_id") -> DataFrame:
             .where(F.col("text").isNotNull()))
 
 
-def build_index(docs: DataFrame, fields=("body",), doc_id: str = "doc_id") -> Index:
+def build_index(docs: DataFrame, fields=("body",), doc_id: str = "doc_id", keep=()) -> Index:
     """Tokenise each field once and derive postings, lengths and statistics (lazy).
 
     Each (field, doc) contributes its token rows plus one marker row carrying its
     length, all through one ``explode_outer`` (no inferred filter re-running the
-    regex) and one partial + final aggregate.
+    regex) and one partial + final aggregate. With ``keep``, columns that raw rows carry, each
+    doc_id must name one document: its terms are counted text by text and no row is dealt.
     """
+    if keep:
+        return from_raw(counted_rows(docs, fields, doc_id, keep))
     tokens = fields_long(docs, fields, doc_id).select("field", "doc_id", tokenize("text").alias("toks"))
     raw = (tokens
            .select("field", "doc_id", F.size("toks").alias("dl"),
@@ -84,6 +89,38 @@ def build_index(docs: DataFrame, fields=("body",), doc_id: str = "doc_id") -> In
     return replace(from_raw(raw), tokens=tokens)
 
 
+def counted_rows(docs: DataFrame, fields, doc_id: str, keep) -> DataFrame:
+    """``(field, term, doc_id, dl, tf, keep...)``: the raw rows of documents with one row each, counted in Arrow batches."""
+    texts = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])).alias("f"))
+    texts = texts.where(F.col("f.text").isNotNull()).select("doc_id", *keep, "f.field", tokenize("f.text").alias("toks"))
+    schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), texts.schema["doc_id"], T.StructField("dl", T.IntegerType()),
+                           T.StructField("tf", T.LongType()), *[texts.schema[c] for c in keep]])
+    n_keep = len(keep)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            toks = batch.column(n_keep + 2)
+            words = pc.list_flatten(toks).dictionary_encode()
+            n = max(1, len(words.dictionary))
+            key, tf = np.unique(pc.list_parent_indices(toks).to_numpy().astype(np.int64) * n + words.indices.to_numpy(), return_counts=True)
+            dl = pc.list_value_length(toks)
+            # one marker row a text, then its terms
+            owner = np.concatenate([np.arange(batch.num_rows), key // n])
+            term = pa.concat_arrays([pa.array([LENGTH_MARKER], words.dictionary.type), words.dictionary])
+            place = np.concatenate([np.zeros(batch.num_rows, dtype=np.int64), key % n + 1])
+            tf = np.concatenate([np.ones(batch.num_rows, dtype=np.int64), tf])
+            for a in range(0, len(owner), ROWS):
+                of = pa.array(owner[a:a + ROWS])
+                yield pa.RecordBatch.from_arrays([batch.column(n_keep + 1).take(of), term.take(pa.array(place[a:a + ROWS])), batch.column(0).take(of), dl.take(of), pa.array(tf[a:a + ROWS]),
+                                                  *[batch.column(1 + i).take(of) for i in range(n_keep)]], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
 def from_raw(raw: DataFrame, keep_raw: bool = True) -> Index:
     """The index tables of raw rows (postings and length markers)."""
     postings = raw.where(F.col("term") != LENGTH_MARKER)

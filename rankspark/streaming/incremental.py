@@ -1,13 +1,13 @@
 """Incremental indexing and topic scoring with Structured Streaming.
 
-* ``stream_index``: a stateful operator keyed by document keeps the newest version and its
-  terms. A newer or equal version passes with the next revision number and with the terms
-  it replaces; an older one that arrives late is dropped. Each micro-batch's
-  passing documents are cleaned, encoded and written under ``batch_id=<n>`` with
-  overwrite, their postings are tokenised once from those rows, and the changes
-  (new terms count +1, replaced ones -1) are added to the statistics of the batch
-  before, giving the next statistics table. A replayed batch (after a failure) starts from the
-  same state and the same earlier statistics and rewrites the same folders, so nothing counts twice.
+* ``stream_index``: each micro-batch is compared with the stored documents by id and version only. A newer
+  or equal version passes with the next revision number and the batch that holds its predecessor; an
+  older one that arrives late is dropped. Texts are moved only where an id is named twice in a batch. The passing
+  documents are cleaned, encoded and written under ``batch_id=<n>`` with overwrite, their postings are
+  counted text by text from those rows, and the changes (new terms count +1, those of replaced
+  documents -1) are added to the statistics of the batch before, giving the next
+  statistics table. A replayed batch (after a failure) starts from the same finished
+  batches and rewrites the same folders, so nothing counts twice.
 * ``read_stream_index`` reads the newest finished statistics as they are; only replaced
   revisions, which the documents themselves name, are anti-joined away. Nothing is aggregated.
 * ``score_topic_stream``: topics arrive as a stream and each micro-batch is
@@ -20,44 +20,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rankspark.functions.text import clean_whitespace, tokenize
 from rankspark.operators import bm25 as bm25_ops
 from rankspark.operators.index import LENGTH_MARKER, Index, build_index
 from rankspark.operators.runs import rank_run
+from rankspark.operators.sizing import broadcast_if_bounded
 from rankspark.sources.corpus import enrich
 
-TERMS = "array<struct<field:string,dl:long,terms:array<string>>>"
-
-
-def _newest(key, frames, state):
-    """Per document: the newest row of the micro-batch, if the stored version is not newer; with its revision and the terms it replaces."""
-    import pandas as pd
-
-    best = None
-    for frame in frames:
-        for row in frame.to_dict("records"):
-            order = bool(row["__some"]), row["__version"], row["__row"]
-            if best is None or order > best[0]:
-                best = order, row
-    if best is None:
-        return
-    (some, version, _), row = best
-    version = version.item() if hasattr(version, "item") else version
-    revision, replaced = 1, None
-    if state.exists:
-        had, held, revision, replaced = state.get
-        if (some, version) < (had, held):
-            return
-        revision += 1
-    state.update((some, version, revision, row["__terms"]))
-    yield pd.DataFrame({**{c: [row[c]] for c in frame.columns if c not in ("__some", "__version")}, "revision": [revision], "__replaced": [replaced]})
-
-
 def _ordered(docs: DataFrame, version_col: str):
     """A version as a number or text that sorts like it."""
     kind = docs.schema[version_col].dataType
@@ -69,28 +42,41 @@ def _ordered(docs: DataFrame, version_col: str):
     return v.cast("long") if isinstance(kind, T.IntegralType) else v if isinstance(kind, T.StringType) else v.cast("double")
 
 
-def newest_documents(docs: DataFrame, doc_id: str, version_col: str, fields) -> DataFrame:
-    """The stateful part of ``stream_index``: passing documents with ``revision`` and ``__replaced`` (their predecessor's terms).
+def _versions(docs: DataFrame, doc_id: str, version_col: str, *others) -> DataFrame:
+    """(doc_id, __some, __version, others): a missing version is older than any other."""
+    least = F.lit("" if isinstance(docs.schema[version_col].dataType, T.StringType) else 0)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(version_col).isNotNull().alias("__some"), F.coalesce(_ordered(docs, version_col), least).alias("__version"), *others)
+
+
+def held_versions(batch: DataFrame, stored: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, held struct<revision, some, version, batch_id>) of the batch's documents that are stored already; no text is read."""
+    ids = batch.select(F.col(doc_id).alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
+    rows = _versions(stored, "doc_id", "version", "revision", "batch_id").join(ids, "doc_id", "left_semi")
+    last = F.max(F.struct("revision", F.col("__some").alias("some"), F.col("__version").alias("version"), "batch_id"))
+    return rows.groupBy("doc_id").agg(last.alias("held"))
+
 
-    A row without an id is not indexed; a missing version is older than any other.
+def newest_documents(batch: DataFrame, held: DataFrame | None, doc_id: str, version_col: str) -> DataFrame:
+    """The documents of a micro-batch that pass, with ``revision`` and ``__in``, the batch that holds the one they replace (null: none).
+
+    A row without an id is not indexed; a missing version is older than any other. Of one id the newest
+    row of the batch counts, of equal versions the greater row content. ``held``: the stored versions, None if there are none.
     """
-    def listed(f):
-        toks = tokenize(clean_whitespace(f))
-        return F.struct(F.lit(f).alias("field"), F.size(toks).cast("long").alias("dl"), F.array_distinct(toks).alias("terms"))
-
-    terms = F.to_json(F.filter(F.array(*[F.when(F.col(f).isNotNull(), listed(f)) for f in fields]), lambda x: x.isNotNull()))
-    version = _ordered(docs, version_col)
-    others = docs.select(*[c for c in docs.columns if c != doc_id])
-    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    rows = docs.where(F.col(doc_id).isNotNull()).select(  # whole rows as JSON, versions without nulls: pandas would turn numbers with nulls into floats
-        doc_id, F.to_json(F.struct(*others.columns), options).alias("__row"), F.col(version_col).isNotNull().alias("__some"),
-        F.coalesce(version, F.lit("" if isinstance(docs.schema[version_col].dataType, T.StringType) else 0)).alias("__version"), terms.alias("__terms"))
-    kept = [f for f in rows.schema.fields if f.name not in ("__some", "__version")]
-    schema = T.StructType([*kept, T.StructField("revision", T.LongType()), T.StructField("__replaced", T.StringType())])
-    state = T.StructType([T.StructField("some", T.BooleanType()), T.StructField("version", rows.schema["__version"].dataType),
-                          T.StructField("revision", T.LongType()), T.StructField("terms", T.StringType())])
-    out = rows.groupBy(doc_id).applyInPandasWithState(_newest, schema, state, "update", "NoTimeout")
-    return out.withColumn("__row", F.from_json("__row", others.schema, options)).select(doc_id, "__row.*", "__terms", "revision", "__replaced")
+    rows = batch.where(F.col(doc_id).isNotNull())
+    if not rows.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty():
+        rows = rows.repartition(doc_id)
+        order = _versions(rows, doc_id, version_col, F.to_json(F.struct(*[c for c in rows.columns if c != doc_id])).alias("__row"), *[F.col(c).alias(f"__c_{c}") for c in rows.columns])
+        w = Window.partitionBy("doc_id").orderBy(F.desc("__some"), F.desc("__version"), F.desc("__row"))
+        rows = order.withColumn("__n", F.row_number().over(w)).where(F.col("__n") == 1).select(*[F.col(f"__c_{c}").alias(c) for c in rows.columns])
+    if held is None:
+        return rows.withColumns({"revision": F.lit(1).cast("long"), "__in": F.lit(None).cast("long")})
+    known = broadcast_if_bounded(held.select(F.col("doc_id").alias("__id"), "held"))
+    some, version = (F.col(c) for c in ("__some", "__version"))
+    rows = _versions(rows, doc_id, version_col, *[F.col(c).alias(f"__c_{c}") for c in rows.columns]).join(known, F.col("doc_id") == F.col("__id"), "left")
+    had, was = F.col("held.some"), F.col("held.version")
+    rows = rows.where(F.col("__id").isNull() | (some & ~had) | ((some == had) & (version >= was)))
+    return rows.select(*[F.col(f"__c_{c}").alias(c) for c in batch.columns], (F.coalesce(F.col("held.revision"), F.lit(0)) + 1).cast("long").alias("revision"),
+                       F.col("held.batch_id").cast("long").alias("__in"))
 
 
 def stream_index(docs_stream: DataFrame, out_path: str, checkpoint: str, version_col: str, fields=("body",), doc_id: str = "doc_id",
@@ -100,34 +86,40 @@ def stream_index(docs_stream: DataFrame, out_path: str, checkpoint: str, version
     ``version_col`` orders the versions of a document (a version number or an arrival time); of equal
     versions the one of the later micro-batch wins, within one the greater row content.
     """
-    spark = docs_stream.sparkSession
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        part = f"batch_id={batch_id}"
-        docs = enrich(batch, fields, dim, doc_id, encoder)
+        spark, part = batch.sparkSession, f"batch_id={batch_id}"
+        before = last_batch(spark, f"{out_path}/stats", batch_id - 1)
+        stored = held = None
+        if before is not None:
+            stored = spark.read.parquet(f"{out_path}/docs").where(F.col("batch_id") <= F.lit(before))
+            held = held_versions(batch, stored, doc_id).persist()  # ids and versions of re-sent documents only
+        passing = newest_documents(batch, None if held is None or held.isEmpty() else held, doc_id, version_col)
+        docs = enrich(passing, fields, dim, doc_id, encoder)
         docs.withColumnsRenamed({doc_id: "doc_id", version_col: "version"}).write.mode("overwrite").parquet(f"{out_path}/docs/{part}")
+        if held is not None:
+            held.unpersist()
         docs = spark.read.parquet(f"{out_path}/docs/{part}")
-        raw = build_index(docs, fields).raw.join(docs.select("doc_id", "revision"), "doc_id")
-        raw.write.mode("overwrite").parquet(f"{out_path}/raw/{part}")
-        changes = term_changes(docs.select(F.explode(F.from_json("__terms", TERMS)).alias("f")), 1).unionByName(
-            term_changes(docs.where(F.col("__replaced").isNotNull()).select(F.explode(F.from_json("__replaced", TERMS)).alias("f")), -1))
-        before = last_batch(spark, f"{out_path}/stats", batch_id - 1)
+        build_index(docs, fields, keep=("revision",)).raw.write.mode("overwrite").parquet(f"{out_path}/raw/{part}")
+        changes = term_changes(spark.read.parquet(f"{out_path}/raw/{part}"), 1)
+        replaced = docs.where(F.col("__in").isNotNull()).select("doc_id", (F.col("revision") - 1).alias("revision"), F.col("__in").alias("batch_id"))
+        holding = [r["batch_id"] for r in replaced.select("batch_id").distinct().collect()]  # a number a batch at most
+        if holding:
+            gone = stored.where(F.col("batch_id").isin(holding)).join(broadcast_if_bounded(replaced.drop("batch_id")), ["doc_id", "revision"], "left_semi")
+            changes = changes.unionByName(term_changes(build_index(gone, fields, keep=("revision",)).raw, -1))
         if before is not None:
             changes = changes.unionByName(spark.read.parquet(f"{out_path}/stats/batch_id={before}"))
         stats = changes.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")).where(F.col("df") != 0)
         stats.write.mode("overwrite").parquet(f"{out_path}/stats/{part}")
 
-    w = newest_documents(docs_stream, doc_id, version_col, fields).writeStream.outputMode("update").foreachBatch(write_batch)
-    w = w.option("checkpointLocation", checkpoint)
+    w = docs_stream.writeStream.outputMode("append").foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
-def term_changes(lists: DataFrame, sign: int) -> DataFrame:
+def term_changes(raw: DataFrame, sign: int) -> DataFrame:
     """(field, term, df, length): ``sign`` per document and term; under the length marker the document and its length."""
-    f = F.col("f")
-    return (lists.select(f.field.alias("field"), f.dl.alias("dl"), F.explode(F.concat(F.array(F.lit(LENGTH_MARKER)), f.terms)).alias("term"))
-            .select("field", "term", F.lit(sign).cast("long").alias("df"), F.when(F.col("term") == LENGTH_MARKER, F.col("dl") * sign).otherwise(0).alias("length")))
+    return raw.select("field", "term", F.lit(sign).cast("long").alias("df"), F.when(F.col("term") == LENGTH_MARKER, F.col("dl") * sign).otherwise(0).cast("long").alias("length"))
 
 
 def last_batch(spark: SparkSession, path: str, most: int | None = None) -> int | None:
@@ -149,15 +141,15 @@ def _current(spark: SparkSession, out_path: str, name: str):
     """The rows of the finished batches without replaced revisions, and the last finished batch."""
     last = last_batch(spark, f"{out_path}/stats")
     docs = spark.read.parquet(f"{out_path}/docs").where(F.col("batch_id") <= F.lit(last))
-    gone = docs.where(F.col("__replaced").isNotNull()).select("doc_id", (F.col("revision") - 1).alias("revision"))  # re-sent documents only
+    gone = docs.where(F.col("__in").isNotNull()).select("doc_id", (F.col("revision") - 1).alias("revision"))  # re-sent documents only
     rows = docs if name == "docs" else spark.read.parquet(f"{out_path}/{name}").where(F.col("batch_id") <= F.lit(last))
-    return rows.join(gone, ["doc_id", "revision"], "left_anti"), last
+    return rows if gone.isEmpty() else rows.join(gone, ["doc_id", "revision"], "left_anti"), last
 
 
 def read_stream_documents(spark: SparkSession, out_path: str) -> DataFrame:
     """The current documents: cleaned text, vectors and version."""
     docs, _ = _current(spark, out_path, "docs")
-    return docs.drop("batch_id", "revision", "__terms", "__replaced")
+    return docs.drop("batch_id", "revision", "__in")
 
 
 def read_stream_index(spark: SparkSession, out_path: str) -> Index:
