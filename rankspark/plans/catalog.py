@@ -960,7 +960,7 @@ def _streamed(spark, *arrivals: DataFrame) -> str:
     out, ckpt = scratch_path(spark, "stream-index"), scratch_path(spark, "stream-index-ckpt")
     folder = scratch_path(spark, "docs-stream")
     for docs in arrivals:
-        docs.write.mode("append").parquet(folder)
+        docs.write.option("parquet.block.size", 8 << 20).mode("append").parquet(folder)  # row groups enough for all cores in each micro-batch
         files = max(1, -(-len(spark.read.parquet(folder).inputFiles()) // STREAM_BATCHES))
         stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(folder)
         inc.stream_index(stream, out, ckpt, "version", LEX_FIELDS, dim=DIM).awaitTermination()

@@ -37,3 +37,21 @@ def test_new_documents_are_not_moved(spark):
     assert "Exchange" not in inc.newest_documents(docs, None, "doc_id", "version")._jdf.queryExecution().executedPlan().toString()
     held = inc.held_versions(docs, docs.limit(2).select("*", F.lit(1).alias("revision"), F.lit(0).alias("batch_id")), "doc_id")
     assert {(r["doc_id"], r["held"]["version"]) for r in held.collect()} <= {(1, 2), (2, 0), (3, 1)} and held.count() == 2
+
+
+def test_source_files_have_row_groups_for_all_cores(spark, tmp_path, monkeypatch):
+    import glob
+    import pyarrow.parquet as pq
+    from rankspark.plans import catalog
+
+    class Done:
+        def awaitTermination(self):
+            pass
+
+    monkeypatch.setattr(catalog, "scratch_path", lambda _, name: str(tmp_path / name))
+    monkeypatch.setattr(catalog.inc, "stream_index", lambda *_, **__: Done())
+    text = F.concat_ws(" ", *[F.md5(F.concat("id", F.lit(f"|{i}"))) for i in range(40)])
+    docs = spark.range(0, 30000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("t").alias("title"), text.alias("body"), F.lit(1).cast("long").alias("version"))
+    catalog._streamed(spark, docs)
+    (file,) = glob.glob(f"{tmp_path}/docs-stream/*.parquet")
+    assert pq.ParquetFile(file).num_row_groups >= 4
