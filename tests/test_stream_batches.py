@@ -55,3 +55,14 @@ def test_source_files_have_row_groups_for_all_cores(spark, tmp_path, monkeypatch
     catalog._streamed(spark, docs)
     (file,) = glob.glob(f"{tmp_path}/docs-stream/*.parquet")
     assert pq.ParquetFile(file).num_row_groups >= 4
+
+
+def test_reading_joins_only_what_was_sent_again(spark, tmp_path):
+    folder, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    send(spark, folder, out, ck, ROWS)
+    send(spark, folder, out, ck, [(7, 1, "new", "n")])
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (inc.read_stream_documents(spark, out), inc.read_stream_index(spark, out).postings)]
+    assert not any("Join" in p for p in plans) and inc.read_stream_documents(spark, out).count() == 4
+    send(spark, folder, out, ck, [(7, 2, "newer", "n")])
+    docs = inc.read_stream_documents(spark, out)
+    assert "Join" in docs._jdf.queryExecution().optimizedPlan().toString() and {r["title"] for r in docs.where("doc_id = 7").collect()} == {"newer"}
