@@ -123,3 +123,15 @@ def test_a_vocabulary_past_one_broadcast_deals_no_postings(spark, monkeypatch):
         assert H.count_blocks(index, vocab, 20) == 2 and lists() == want
     finally:
         spark.conf.unset(MAX_BROADCAST_ROWS_CONF)
+
+
+def test_rows_are_dealt_without_the_vectors_of_topics(spark):
+    from rankspark.operators.rerank import rank_by_embeddings
+
+    dataset = spark.createDataFrame([("1_7",), ("2_7",), ("2_8",)], "id string")
+    tv = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (2, [3.0, 0.0])], "topic_id long, embedding array<double>")
+    dv = spark.createDataFrame([(7, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [0.0, 5.0])], "doc_id long, embedding array<double>")
+    out = rank_by_embeddings(dataset, tv, dv)
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert "topic_key" in joins[0] and "doc_key" in joins[1]
+    assert {(r["topic_id"], r["doc_id"], r["rank"], round(r["sum_sim"], 6)) for r in out.collect()} == {(1, 7, 1, 1.0), (2, 7, 1, 2.0), (2, 8, 2, 1.0)}
